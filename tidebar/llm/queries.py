@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebar.llm import bpe
+from tidebar.llm import bpe, substrings
 from tidebar.session import ensure_semantics
 from tidebar.sources.tables import table
 
@@ -16,8 +16,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every whole text when windows of 50 words that an earlier document has are removed."""
+    return substrings.Repeats(table(spark, sf_dir, "documents"), width=50).digest()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {"op1_bpe": op1_bpe}
+    found = {"op1_bpe": op1_bpe, "op7_substrings": op7_substrings}
     return {name: _settled(f) for name, f in found.items()}
 
 
