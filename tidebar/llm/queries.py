@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidebar.llm import bpe, substrings
+from tidebar.llm import bpe, simhash, substrings
 from tidebar.session import ensure_semantics
 from tidebar.sources.tables import table
 
@@ -21,8 +22,14 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.Repeats(table(spark, sf_dir, "documents"), width=50).digest()
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every whole text."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+    return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {"op1_bpe": op1_bpe, "op7_substrings": op7_substrings}
+    found = {"op1_bpe": op1_bpe, "op7_substrings": op7_substrings, "op8_simhash": op8_simhash}
     return {name: _settled(f) for name, f in found.items()}
 
 
