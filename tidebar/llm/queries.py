@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import bpe, simhash, substrings
+from tidebar.llm import bpe, secret_scan, simhash, substrings
 from tidebar.session import ensure_semantics
 from tidebar.sources.tables import table
 
@@ -28,8 +28,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every whole text."""
+    return secret_scan.find(table(spark, sf_dir, "documents"), outputs=("n_assign", "n_access", "n_hex", "base_sha256", "spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {"op1_bpe": op1_bpe, "op7_substrings": op7_substrings, "op8_simhash": op8_simhash}
+    found = {"op1_bpe": op1_bpe, "op7_substrings": op7_substrings, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets}
     return {name: _settled(f) for name, f in found.items()}
 
 
