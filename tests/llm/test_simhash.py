@@ -57,7 +57,8 @@ def corpus(seed):
 
 @pytest.mark.parametrize("tile", [4096, 16])
 def test_equals_brute_force(spark, monkeypatch, tile):
-    monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "LEAST_TILE", tile)
+    monkeypatch.setattr(simhash, "BLOCK", max(2, tile // 8))
     rows = corpus(tile)
     docs = spark.createDataFrame([(i, t, "n") for i, t in rows], "doc_id long, text string, fp string").repartition(3)
     found = simhash.near_duplicates(docs)
@@ -68,7 +69,8 @@ def test_equals_brute_force(spark, monkeypatch, tile):
 
 def test_tiles_lose_no_link(spark, monkeypatch):
     """Random fingerprints around a few centres: the forest connects what all links connect, though most tile pairs are skipped."""
-    monkeypatch.setattr(simhash, "TILE", 8)
+    monkeypatch.setattr(simhash, "LEAST_TILE", 8)
+    monkeypatch.setattr(simhash, "MOST_TILE", 8)
     rnd = random.Random(3)
     centres = [rnd.getrandbits(64) for _ in range(12)]
     fps = {c ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 6))) for c in centres for _ in range(12)}

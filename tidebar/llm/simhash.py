@@ -27,8 +27,10 @@ from tidebar.llm.components import connected_components
 from tidebar.session import scratch
 
 SEED = 42
-#: Classes in a tile, and the most tiles that the driver lists; beyond, tiles grow.
-TILE, TILES = 4096, 4096
+#: Classes in a tile: a share of all, within these bounds; beyond TILES tiles they grow, so that the driver's list of pairs stays bounded.
+LEAST_TILE, MOST_TILE, TILE_SHARE, TILES = 4096, 65536, 1 / 16, 4096
+#: Fingerprints in a block, into which a task divides a tile.
+BLOCK = 512
 #: Logarithm by which numbers of shingles are binned.
 SIZE_STEP = math.log(1.02)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -113,17 +115,32 @@ def _layout(cells: np.ndarray, weight: np.ndarray, tile: int) -> np.ndarray:
     return part
 
 
+def _near(low: np.ndarray, high: np.ndarray, lows: np.ndarray, highs: np.ndarray, radius: int, ratio: float | None) -> np.ndarray:
+    """Which of the ranges come within the radius of the first one."""
+    gap = np.maximum(0, np.maximum(low - highs, lows - high))
+    if ratio:
+        return (gap[:, 0] <= math.log(1 / ratio) / SIZE_STEP + 1) & (gap[:, 1] <= radius)
+    return gap.sum(axis=1) <= radius
+
+
 def _pairs(low: np.ndarray, high: np.ndarray, radius: int, ratio: float | None) -> list[tuple[int, int]]:
-    """Pairs of tiles whose ranges come within the radius."""
-    out = []
-    for i in range(len(low)):
-        gap = np.maximum(0, np.maximum(low[i] - high[i:], low[i:] - high[i]))
-        if ratio:
-            near = (gap[:, 0] <= math.log(1 / ratio) / SIZE_STEP + 1) & (gap[:, 1] <= radius)
-        else:
-            near = gap.sum(axis=1) <= radius
-        out += [(i, i + int(j)) for j in np.flatnonzero(near)]
-    return out
+    """Pairs of tiles that must be compared."""
+    return [(i, i + int(j)) for i in range(len(low)) for j in np.flatnonzero(_near(low[i], high[i], low[i:], high[i:], radius, ratio))]
+
+
+def _blocks(fps: np.ndarray, sizes: np.ndarray, ratio: float | None) -> tuple[np.ndarray, list[slice], np.ndarray, np.ndarray]:
+    """An order of a tile's fingerprints, blocks of it, and the blocks' ranges of counts (finer ones than the tile's)."""
+    if ratio:
+        counts = np.column_stack([np.floor(np.log(np.maximum(sizes, 1)) / SIZE_STEP), np.bitwise_count(fps).sum(axis=1)]).astype(np.int64)
+    else:
+        counts = np.bitwise_count(np.ascontiguousarray(fps).view(np.uint8)).reshape(len(fps), -1).astype(np.int64)
+    part = _layout(counts, np.ones(len(fps), dtype=np.int64), BLOCK)
+    order = np.argsort(part, kind="stable")
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(part[order])) + 1, [len(order)]])
+    cuts = [slice(a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    low = np.stack([counts[order[c]].min(axis=0) for c in cuts])
+    high = np.stack([counts[order[c]].max(axis=0) for c in cuts])
+    return order, cuts, low, high
 
 
 def _forest(a: np.ndarray, b: np.ndarray, same: bool, sizes: tuple[np.ndarray, np.ndarray], radius: int, ratio: float | None) -> list[tuple[int, int]]:
@@ -137,25 +154,31 @@ def _forest(a: np.ndarray, b: np.ndarray, same: bool, sizes: tuple[np.ndarray, n
         return x
 
     links, base = [], 0 if same else len(a)
-    columns = [np.ascontiguousarray(b[:, k]) for k in range(b.shape[1])]
-    for at in range(0, len(a), 64):
-        rows = slice(at, at + 64)
-        from_ = at if same else 0
-        apart = np.bitwise_count(a[rows, 0][:, None] ^ columns[0][None, from_:])
-        if len(columns) > 1:
-            apart = apart.astype(np.uint16)
-            for k in range(1, len(columns)):
-                apart += np.bitwise_count(a[rows, k][:, None] ^ columns[k][None, from_:])
-        x, y = np.nonzero(apart <= radius)
-        if ratio and len(x):
-            p, q = sizes[0][rows][x], sizes[1][from_:][y]
-            fit = np.minimum(p, q) >= ratio * np.maximum(p, q)
-            x, y = x[fit], y[fit]
-        for i, j in zip((x + at).tolist(), (y + from_ + base).tolist(), strict=True):
-            ri, rj = root(i), root(j)
-            if ri != rj:
-                parent[max(ri, rj)] = min(ri, rj)
-                links.append((i, j))
+    order_a, cuts_a, low_a, high_a = _blocks(a, sizes[0], ratio)
+    order_b, cuts_b, low_b, high_b = (order_a, cuts_a, low_a, high_a) if same else _blocks(b, sizes[1], ratio)
+    columns_a = [np.ascontiguousarray(a[order_a, k]) for k in range(a.shape[1])]
+    columns_b = [np.ascontiguousarray(b[order_b, k]) for k in range(b.shape[1])]
+    for i, own in enumerate(cuts_a):
+        near = _near(low_a[i], high_a[i], low_b, high_b, radius, ratio)
+        near[: i if same else 0] = False
+        for j in np.flatnonzero(near).tolist():
+            other = cuts_b[j]
+            apart = np.bitwise_count(columns_a[0][own][:, None] ^ columns_b[0][other][None, :])
+            if len(columns_a) > 1:
+                apart = apart.astype(np.uint16)
+                for x, y in zip(columns_a[1:], columns_b[1:], strict=True):
+                    apart += np.bitwise_count(x[own][:, None] ^ y[other][None, :])
+            x, y = np.nonzero(apart <= radius)
+            x, y = order_a[own][x], order_b[other][y]
+            if ratio and len(x):
+                p, q = sizes[0][x], sizes[1][y]
+                fit = np.minimum(p, q) >= ratio * np.maximum(p, q)
+                x, y = x[fit], y[fit]
+            for u, v in zip(x.tolist(), (y + base).tolist(), strict=True):
+                ru, rv = root(u), root(v)
+                if ru != rv:
+                    parent[max(ru, rv)] = min(ru, rv)
+                    links.append((u, v))
     return links
 
 
@@ -169,7 +192,8 @@ def link_forest(classes: DataFrame, lanes: int, radius: int, ratio: float | None
     if not len(counted):
         return spark.createDataFrame([], "a long, b long")
     cells, weight = counted[names].to_numpy(dtype=np.int64), counted["count"].to_numpy(dtype=np.int64)
-    tile = max(TILE, math.ceil(int(weight.sum()) / TILES))
+    total = int(weight.sum())
+    tile = max(LEAST_TILE, min(MOST_TILE, math.ceil(total * TILE_SHARE)), math.ceil(total / TILES))
     part = _layout(cells, weight, tile)
     total = np.bincount(part, weights=weight).astype(np.int64)
     splits = np.maximum(1, -(-total // tile))  # a cell of more than a tile is dealt out by hash
@@ -180,11 +204,14 @@ def link_forest(classes: DataFrame, lanes: int, radius: int, ratio: float | None
     high = np.stack([cells[order[bounds[k] : bounds[k + 1]]].max(axis=0) for k in range(len(total))])
     low, high = np.repeat(low, splits, axis=0), np.repeat(high, splits, axis=0)
     where = counted[names].assign(first=first[part], splits=splits[part])
+    # ids are sent only where they aren't the fingerprint itself, and sizes only where they count
+    sent = [*(["id"] if lanes > 1 or ratio else []), *(f"w{k}" for k in range(lanes)), *(["size"] if ratio else [])]
     tiles = (
         placed.join(F.broadcast(spark.createDataFrame(where)), names)
-        .select((F.col("first") + F.pmod(F.xxhash64("id"), F.col("splits"))).alias("tile"), "id", "fp", "size")
+        .select((F.col("first") + F.pmod(F.xxhash64("id"), F.col("splits"))).alias("tile"), "id", *(F.col("fp")[k].alias(f"w{k}") for k in range(lanes)), "size")
         .groupBy("tile")
-        .agg(F.collect_list(F.struct("id", "fp", "size")).alias("rows"))
+        .agg(*(F.collect_list(c).alias(c) for c in sent))
+        .select("tile", F.struct(*sent).alias("rows"))
     )
     folder = scratch(spark, "tiles")
     tiles.write.parquet(folder)
@@ -194,12 +221,9 @@ def link_forest(classes: DataFrame, lanes: int, radius: int, ratio: float | None
     met = pairs.join(tiles.select(F.col("tile").alias("a"), F.col("rows").alias("left")), "a").join(tiles.select(F.col("tile").alias("b"), F.col("rows").alias("right")), "b").repartition(spread, "a", "b")
 
     def unpack(rows: pa.StructScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        flat = rows.values
-        fp = flat.field("fp").values if isinstance(flat.field("fp"), pa.ListArray) else flat.field("fp")
-        begin = flat.field("fp").offsets[0].as_py()
-        n = len(flat)
-        fps = fp.to_numpy(zero_copy_only=False)[begin : begin + n * lanes].view(np.uint64).reshape(n, lanes)
-        return flat.field("id").to_numpy(zero_copy_only=False), fps, flat.field("size").to_numpy(zero_copy_only=False)
+        own = {c: rows[c].values.to_numpy(zero_copy_only=False) for c in sent}
+        fps = np.column_stack([own[f"w{k}"].view(np.uint64) for k in range(lanes)])
+        return own.get("id", own["w0"]), fps, own.get("size", np.zeros(len(fps), dtype=np.int64))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
