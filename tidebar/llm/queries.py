@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import bpe, secret_scan, simhash, substrings
+from tidebar.llm import bpe, secret_scan, simhash, substrings, toxicity
 from tidebar.session import ensure_semantics
 from tidebar.sources.tables import table
 
@@ -17,6 +17,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text; the lexicon is learned from labelled rows that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every whole text when windows of 50 words that an earlier document has are removed."""
     return substrings.Repeats(table(spark, sf_dir, "documents"), width=50).digest()
@@ -34,7 +41,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {"op1_bpe": op1_bpe, "op7_substrings": op7_substrings, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets}
+    found = {"op1_bpe": op1_bpe, "op3_toxicity": op3_toxicity, "op7_substrings": op7_substrings, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets}
     return {name: _settled(f) for name, f in found.items()}
 
 
