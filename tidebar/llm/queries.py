@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import bpe, secret_scan, simhash, substrings, toxicity
+from tidebar.llm import bpe, secret_scan, simhash, substrings, toxicity, url_filter
 from tidebar.session import ensure_semantics
 from tidebar.sources.tables import table
 
@@ -17,6 +17,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict for every page's URL."""
+    return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url")).drop("ratio")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text; the lexicon is learned from labelled rows that aren't held out."""
     docs = table(spark, sf_dir, "documents")
@@ -41,7 +46,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {"op1_bpe": op1_bpe, "op3_toxicity": op3_toxicity, "op7_substrings": op7_substrings, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets}
+    found = {"op1_bpe": op1_bpe, "op2_url_filter": op2_url_filter, "op3_toxicity": op3_toxicity, "op7_substrings": op7_substrings, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets}
     return {name: _settled(f) for name, f in found.items()}
 
 
@@ -55,4 +60,4 @@ def _settled(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filter": url_filter.oracle()}
