@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import bpe, secret_scan, simhash, substrings, toxicity, url_filter
+from tidebar.llm import bpe, imatch, secret_scan, simhash, substrings, toxicity, url_filter
 from tidebar.session import ensure_semantics
 from tidebar.sources.tables import table
 
@@ -45,8 +45,14 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find(table(spark, sf_dir, "documents"), outputs=("n_assign", "n_access", "n_hex", "base_sha256", "spans"))
 
 
+def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-Match fingerprints of every whole text and of its edited text, and their likeness."""
+    found = imatch.compare_with_edited(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), imatch.as_text(F.col("fp")).alias("fingerprint"), imatch.as_text(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {"op1_bpe": op1_bpe, "op2_url_filter": op2_url_filter, "op3_toxicity": op3_toxicity, "op7_substrings": op7_substrings, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets}
+    found = {"op1_bpe": op1_bpe, "op2_url_filter": op2_url_filter, "op3_toxicity": op3_toxicity, "op7_substrings": op7_substrings, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets, "op10_imatch": op10_imatch}
     return {name: _settled(f) for name, f in found.items()}
 
 
