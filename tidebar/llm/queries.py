@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import bpe, decontaminate, imatch, secret_scan, simhash, substrings, toxicity, url_filter
+from tidebar.llm import bpe, decontaminate, imatch, secret_scan, simhash, substrings, toxicity, url_filter, warc
 from tidebar.session import ensure_semantics
 from tidebar.sources.tables import table
 
@@ -29,6 +29,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record as it was written to an archive and read back, in the order of the capture history."""
+    found = warc.archive_and_index(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that whole texts hold, with the same or other values; a row for each pair."""
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -57,7 +63,7 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {"op1_bpe": op1_bpe, "op2_url_filter": op2_url_filter, "op3_toxicity": op3_toxicity, "op6_decontaminate": op6_decontaminate, "op7_substrings": op7_substrings, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets, "op10_imatch": op10_imatch}
+    found = {"op1_bpe": op1_bpe, "op2_url_filter": op2_url_filter, "op3_toxicity": op3_toxicity, "op4_warc": op4_warc, "op6_decontaminate": op6_decontaminate, "op7_substrings": op7_substrings, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets, "op10_imatch": op10_imatch}
     return {name: _settled(f) for name, f in found.items()}
 
 
