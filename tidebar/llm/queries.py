@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import bpe, decontaminate, imatch, secret_scan, simhash, substrings, toxicity, url_filter, warc
+from tidebar.llm import bpe, decontaminate, imatch, secret_scan, simhash, substrings, toxicity, training_order, url_filter, warc
 from tidebar.session import ensure_semantics
 from tidebar.sources.tables import table
 
@@ -35,6 +35,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sequence of every whole text (ids are UTF-8 bytes) as it was read back from its shard."""
+    shards = training_order.materialise(table(spark, sf_dir, "documents", "doc_id", "text"), key=20240607)
+    return shards.read().select("slot", "shard", "doc_id", "place", F.octet_length("ids").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that whole texts hold, with the same or other values; a row for each pair."""
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -63,7 +69,7 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {"op1_bpe": op1_bpe, "op2_url_filter": op2_url_filter, "op3_toxicity": op3_toxicity, "op4_warc": op4_warc, "op6_decontaminate": op6_decontaminate, "op7_substrings": op7_substrings, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets, "op10_imatch": op10_imatch}
+    found = {"op1_bpe": op1_bpe, "op2_url_filter": op2_url_filter, "op3_toxicity": op3_toxicity, "op4_warc": op4_warc, "op5_training_order": op5_training_order, "op6_decontaminate": op6_decontaminate, "op7_substrings": op7_substrings, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets, "op10_imatch": op10_imatch}
     return {name: _settled(f) for name, f in found.items()}
 
 
