@@ -13,6 +13,7 @@ Nulls: a null or empty text has no sequence; a null doc_id is written as the lea
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from tidebar.session import scratch
 
 LENGTH = 512
-RECORDS = 65_536
+RECORDS = 32_768
 ROUNDS = 6
 NO_ID = -(2**63)
 HEAD = 16
@@ -55,8 +56,7 @@ def slots(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def _sequences(docs: DataFrame, begins: dict[int, int], n: int, key: int, length: int, records: int) -> DataFrame:
-    """(shard, slot, record without its line feed) of every sequence."""
-    stride = HEAD + length
+    """(shard, slot, record) of every sequence; ids are deflated on their way through the shuffle."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -72,20 +72,14 @@ def _sequences(docs: DataFrame, begins: dict[int, int], n: int, key: int, length
             doc = np.repeat(np.arange(len(texts)), count)
             place = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
             own = np.minimum(length, size[doc] - place * length)
-            out = np.zeros((total, stride), dtype=np.uint8)
-            out[:, :8] = np.array(ids, dtype="<i8")[doc].view(np.uint8).reshape(total, 8)
-            out[:, 8:12] = place.astype("<u4").view(np.uint8).reshape(total, 4)
-            out[:, 12:16] = own.astype("<u4").view(np.uint8).reshape(total, 4)
-            k = 0
-            for t, c in zip(texts, count.tolist(), strict=True):
-                padded = np.frombuffer(t.ljust(c * length, b"\0"), dtype=np.uint8)
-                out[k : k + c, HEAD:] = padded.reshape(c, length)
-                k += c
+            head = np.zeros((total, HEAD), dtype=np.uint8)
+            head[:, :8] = np.array(ids, dtype="<i8")[doc].view(np.uint8).reshape(total, 8)
+            head[:, 8:12] = place.astype("<u4").view(np.uint8).reshape(total, 4)
+            head[:, 12:16] = own.astype("<u4").view(np.uint8).reshape(total, 4)
+            packed = [h.tobytes() + zlib.compress(texts[d][p * length : p * length + length], 1) for h, d, p in zip(head, doc.tolist(), place.tolist(), strict=True)]
             slot = slots(np.arange(at, at + total), n, key)
             at += total
-            flat = pa.py_buffer(out.tobytes())
-            offsets = pa.py_buffer(np.arange(0, (total + 1) * stride, stride, dtype=np.int32).tobytes())
-            return pa.RecordBatch.from_arrays([pa.array((slot // records).astype(np.int32)), pa.array(slot), pa.BinaryArray.from_buffers(pa.binary(), total, [None, offsets, flat])], names=["shard", "slot", "value"])
+            return pa.RecordBatch.from_arrays([pa.array((slot // records).astype(np.int32)), pa.array(slot), pa.array(packed, pa.binary())], names=["shard", "slot", "value"])
 
         for batch in batches:
             ids, texts, weight = [], [], 0
@@ -103,6 +97,19 @@ def _sequences(docs: DataFrame, begins: dict[int, int], n: int, key: int, length
     return docs.mapInArrow(work, "shard int, slot long, value binary")
 
 
+def _inflated(dealt: DataFrame, length: int) -> DataFrame:
+    """The records as they are written, without their line feed."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                own = batch.slice(at, AT_ONCE)
+                whole = [v[:HEAD] + zlib.decompress(v[HEAD:]).ljust(length, b"\0") for v in own.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(whole, pa.binary())], names=["shard", "slot", "value"])
+
+    return dealt.mapInArrow(work, "shard int, slot long, value binary")
+
+
 class Shards:
     """A written training order: its folder and what is needed to read it."""
 
@@ -160,7 +167,7 @@ def materialise(docs: DataFrame, key: int, length: int = LENGTH, records: int =
             n += r.c
         if n:
             made = _sequences(own, begins, n, key, length, records)
-            dealt = made.repartition(-(-n // records), "shard").sortWithinPartitions("shard", "slot")
+            dealt = _inflated(made.repartition(-(-n // records), "shard"), length).sortWithinPartitions("shard", "slot")
             dealt.select("shard", F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").partitionBy("shard").text(folder)
     finally:
         if before is None:
