@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebar.plans import q_bars, q_indicators  # noqa: F401
+from tidebar.plans import q_bars, q_indicators, q_structure  # noqa: F401
 from tidebar.plans.registry import ORACLES, QUERIES
 
 
