@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebar.plans import q_bars, q_indicators, q_structure  # noqa: F401
+from tidebar.plans import q_bars, q_indicators, q_structure, q_trading, q_validation  # noqa: F401
 from tidebar.plans.registry import ORACLES, QUERIES
 
 
@@ -19,4 +19,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["a1_resample"](spark, sf_dir)
+    return QUERIES["a8_win_rates"](spark, sf_dir)
