@@ -155,7 +155,9 @@ class Repeats:
         _windows(self.docs.join(hits, "doc_id"), width).write.option("compression", "zstd").parquet(f"{self.folder}/windows")
         self.held = spark.read.parquet(f"{self.folder}/windows")
         at = self.held.select("doc_id", "h1", F.explode(F.arrays_zip("places", "windows")).alias("w")).select("doc_id", "h1", F.col("w.places").alias("at"), F.col("w.windows").alias("window"))
-        first = at.groupBy("window").agg(F.min(F.struct("doc_id", "h1", "at")).alias("s"), F.max("doc_id").alias("hi")).filter("s.doc_id < hi").select("window", "s")
+        # written, so that both sides of the join are exchanges of their own and a hot window's partition can be split
+        at.groupBy("window").agg(F.min(F.struct("doc_id", "h1", "at")).alias("s"), F.max("doc_id").alias("hi")).filter("s.doc_id < hi").select("window", "s").write.parquet(f"{self.folder}/first")
+        first = spark.read.parquet(f"{self.folder}/first")
         later = at.join(first, "window").filter(F.col("doc_id") > F.col("s.doc_id")).select("doc_id", "h1", "at", "s")
 
         # 4. nonbranching paths: one source, one offset, no gap
