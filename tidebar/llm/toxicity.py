@@ -34,6 +34,8 @@ SHARE, PLACES, LOG_ODDS, STEMS = 0.005, 8, 3.0, 500
 #: Lengths of the word beginnings that are counted.
 SHORTEST, LONGEST = 3, 12
 CUT = 0.3
+#: Word beginnings that a task counts before it hands its counts on.
+BUFFERED = 100_000
 
 INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT, OTHER = range(7)
 SYMBOLS = range(7)
@@ -236,7 +238,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict[str, float]:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 sums[bool(toxic)].update(beginnings(text))
                 sums[bool(toxic)][""] += 1
-                if len(sums[0]) + len(sums[1]) > 400_000:
+                if len(sums[0]) + len(sums[1]) > BUFFERED:
                     yield out()
         if sums[0] or sums[1]:
             yield out()
