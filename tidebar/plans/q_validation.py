@@ -88,8 +88,8 @@ def _(spark, d):
     return V.bootstrap(trades(spark, d, 3), 500)
 
 
-_EXPAND = f"""{taken_sql(3)}, ordered AS (SELECT *, row_number() OVER ({W}) - 1 AS at FROM trades), w AS (SELECT series_id, CAST(floor((at - 40) / 25) AS BIGINT) AS k, count(*) AS test_n, avg(r) AS test_mean, avg(CASE WHEN r > 0 THEN 1.0::DOUBLE ELSE 0 END) AS test_wr, min(at) AS a FROM ordered WHERE at >= 40 GROUP BY 1, 2)
-SELECT w.series_id, w.k + 1 AS "window", w.a AS train_n, any_value(w.test_n) AS test_n, avg(x.r) AS train_mean, any_value(w.test_mean) AS test_mean, avg(CASE WHEN x.r > 0 THEN 1.0::DOUBLE ELSE 0 END) AS train_wr, any_value(w.test_wr) AS test_wr FROM w JOIN ordered x ON x.series_id = w.series_id AND x.at < w.a WHERE w.test_n >= 5 GROUP BY 1, 2, 3"""
+_EXPAND = f"""{taken_sql(3)}, ordered AS (SELECT *, row_number() OVER ({W}) - 1 AS pos FROM trades), w AS (SELECT series_id, CAST(floor((pos - 40) / 25) AS BIGINT) AS k, count(*) AS test_n, avg(r) AS test_mean, avg(CASE WHEN r > 0 THEN 1.0::DOUBLE ELSE 0 END) AS test_wr, min(pos) AS a FROM ordered WHERE pos >= 40 GROUP BY 1, 2)
+SELECT w.series_id, w.k + 1 AS "window", w.a AS train_n, any_value(w.test_n) AS test_n, avg(x.r) AS train_mean, any_value(w.test_mean) AS test_mean, avg(CASE WHEN x.r > 0 THEN 1.0::DOUBLE ELSE 0 END) AS train_wr, any_value(w.test_wr) AS test_wr FROM w JOIN ordered x ON x.series_id = w.series_id AND x.pos < w.a WHERE w.test_n >= 5 GROUP BY 1, 2, 3"""
 
 
 @query("v8_expanding", _EXPAND, "train_mean test_mean train_wr test_wr")
