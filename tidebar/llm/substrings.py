@@ -142,22 +142,21 @@ class Repeats:
 
         # 1. whole copies of an earlier document
         long_ones = paths.filter((F.col("n_words") >= width) & F.col("doc_id").isNotNull())
-        copied = long_ones.groupBy("h1", "h2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).filter("source < last").drop("last")
+        # what a join looks up is written first: both sides are then exchanges of their own, and a hot key's partition can be split
+        copied = self._written("copied", long_ones.groupBy("h1", "h2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).filter("source < last").drop("last"))
         self.copies = long_ones.join(copied, ["h1", "h2"]).filter("doc_id > source").select("doc_id", "h1", "source").distinct()
 
         # 2. repeated anchors, and the rows that have them
         rest = long_ones.select("doc_id", "h1", "anchors").join(self.copies.select("doc_id", "h1"), ["doc_id", "h1"], "left_anti")
         edges = rest.select("doc_id", F.explode("anchors").alias("anchor"))
-        repeated = edges.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
+        repeated = self._written("repeated", edges.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor"))
         hits = edges.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("hits"))
 
         # 3. their windows, and the least document that has each
         _windows(self.docs.join(hits, "doc_id"), width).write.option("compression", "zstd").parquet(f"{self.folder}/windows")
         self.held = spark.read.parquet(f"{self.folder}/windows")
         at = self.held.select("doc_id", "h1", F.explode(F.arrays_zip("places", "windows")).alias("w")).select("doc_id", "h1", F.col("w.places").alias("at"), F.col("w.windows").alias("window"))
-        # written, so that both sides of the join are exchanges of their own and a hot window's partition can be split
-        at.groupBy("window").agg(F.min(F.struct("doc_id", "h1", "at")).alias("s"), F.max("doc_id").alias("hi")).filter("s.doc_id < hi").select("window", "s").write.parquet(f"{self.folder}/first")
-        first = spark.read.parquet(f"{self.folder}/first")
+        first = self._written("first", at.groupBy("window").agg(F.min(F.struct("doc_id", "h1", "at")).alias("s"), F.max("doc_id").alias("hi")).filter("s.doc_id < hi").select("window", "s"))
         later = at.join(first, "window").filter(F.col("doc_id") > F.col("s.doc_id")).select("doc_id", "h1", "at", "s")
 
         # 4. nonbranching paths: one source, one offset, no gap
@@ -170,6 +169,10 @@ class Repeats:
         spans.select("doc_id", "h1", "a", "n", F.col("s.doc_id").alias("source"), F.col("s.h1").alias("source_h1"), F.col("s.at").cast("long").alias("source_a")).write.parquet(f"{self.folder}/spans")
         self.spans = self._checked(spark.read.parquet(f"{self.folder}/spans"))
 
+    def _written(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{name}")
+        return df.sparkSession.read.parquet(f"{self.folder}/{name}")
+
     def _checked(self, spans: DataFrame) -> DataFrame:
         """The spans whose words have the digest that their source has at the source coordinates."""
         own = spans.select("doc_id", "h1", "a", "n")
