@@ -260,7 +260,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, lanes: i
     links.write.parquet(f"{folder}/links")
     roots = connected_components(spark.read.parquet(f"{folder}/links"))
     placed = classes.join(roots, classes["id"] == roots["node"], "left").select(*keys, "least", F.coalesce("root", "id").alias("root"))
-    names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    placed.groupBy("root").agg(F.min("least").alias("component_id")).write.parquet(f"{folder}/names")
+    names = spark.read.parquet(f"{folder}/names")  # written, so that a large component's partition can be split in the join
     placed.join(names, "root").select(*keys, "component_id").write.parquet(f"{folder}/components")
     return rows.join(spark.read.parquet(f"{folder}/components"), keys).select("doc_id", "fp", "component_id")
 
