@@ -13,7 +13,7 @@ from tidebar.operators import rolling as R
 from tidebar.operators import validation as V
 from tidebar.plans.q_indicators import W, roll
 from tidebar.plans.q_structure import BASE, base
-from tidebar.plans.q_trading import signals, taken_sql, trades
+from tidebar.plans.q_trading import taken_sql, trades
 from tidebar.plans.registry import daily_sql, query
 from tidebar.sources.tables import table
 
@@ -243,5 +243,3 @@ def _(spark, d):
     top = F.forall(near, lambda s: s["high"] <= F.col("high")) & (F.size(near) == 2 * F.col("n"))
     return x.select("series_id", "ts", "n", top.cast("int").alias("swing_high"))
 
-
-__all__ = ["probs", "signals"]
