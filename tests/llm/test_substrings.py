@@ -3,9 +3,11 @@ import random
 import re
 from collections import Counter
 
+import duckdb
+import pandas as pd
 import pytest
 
-from tidebar.llm.substrings import Repeats
+from tidebar.llm.substrings import Repeats, oracle
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -74,5 +76,11 @@ def test_short_width_and_spans(spark):
 
 
 
+def test_sql_says_the_same():
+    rows = {i: t for i, t in corpus(5, 50) if i is not None}
+    documents = pd.DataFrame(list(rows.items()), columns=["doc_id", "text"])  # noqa: F841
+    assert sorted(map(tuple, duckdb.sql(oracle()).fetchall()), key=str) == brute(list(rows.items()), 50)
+
+
 def test_empty_table(spark):
     assert Repeats(spark.createDataFrame([], "doc_id long, text string")).digest().count() == 0

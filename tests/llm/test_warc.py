@@ -3,6 +3,8 @@ import gzip
 import hashlib
 import random
 
+import duckdb
+import pandas as pd
 import pytest
 
 from tidebar.llm import warc as W
@@ -40,6 +42,11 @@ def test_round_trip(spark, monkeypatch, size):
     assert len({r.file for r in got}) > 1 or size > 100_000
 
 
+def test_sql_says_the_same():
+    pages = pd.DataFrame([(i, p) for i, _, p in corpus()], columns=["page_id", "html"])  # noqa: F841
+    assert {(r[0], *r[1:]) for r in duckdb.sql(W.oracle()).fetchall()} == brute(corpus())
+
+
 def test_archives_are_plain_warc(spark, tmp_path):
     W.write(spark.createDataFrame([(5, "http://a.com/x", "hé\r\n\r\n"), (6, "http://a.com/x", "hé\r\n\r\n")], "page_id long, url string, html string"), f"{tmp_path}/w")
     raw = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("part-*.gz"))

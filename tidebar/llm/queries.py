@@ -83,4 +83,4 @@ def _settled(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.oracle()}
+    return {"op2_url_filter": url_filter.oracle(), "op4_warc": warc.oracle(), "op7_substrings": substrings.oracle()}

@@ -218,3 +218,14 @@ class Repeats:
                 F.when(F.col("copy"), F.lit(_EMPTY_SHA)).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256"),
             )
         )
+
+
+def oracle(table: str = "documents", width: int = 50) -> str:
+    """What digest() returns for documents with distinct ids, in DuckDB's SQL."""
+    return f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM {table}),
+spots AS (SELECT doc_id, words, unnest(range(1, len(words) - {width - 2})) AS i FROM w WHERE len(words) >= {width}),
+g AS (SELECT doc_id, i, md5(array_to_string(words[i:i + {width - 1}], ' ')) AS h FROM spots),
+cut AS (SELECT DISTINCT doc_id, i + k.range AS pos FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS first FROM g), range({width}) k WHERE first < doc_id),
+each AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w),
+kept AS (SELECT doc_id, count(*) FILTER (c.pos IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (c.pos IS NULL) AS text FROM each LEFT JOIN cut c USING (doc_id, pos) GROUP BY 1)
+SELECT w.doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""

@@ -201,3 +201,13 @@ def archive_and_index(pages: DataFrame, page_id: str = "page_id", url: str = "ur
     folder = scratch(pages.sparkSession, "warc")
     write(pages, folder, page_id, url, payload, at_least)
     return histories(index_runs(pages.sparkSession, folder))
+
+
+def oracle(table: str = "pages", at_least: int = 0) -> str:
+    """What op4 returns, in DuckDB's SQL."""
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    number = lambda k: f"CAST('0x' || substr(hex, {k}, 5) AS BIGINT)"
+    digits = " || ".join(f"substr('{alphabet}', CAST(({number(k)} >> {shift}) & 31 AS INTEGER) + 1, 1)" for k in range(1, 41, 5) for shift in (15, 10, 5, 0))
+    return f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM {table}),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS last FROM p)
+SELECT page_id, payload_bytes, {digits} AS payload_digest, CASE WHEN payload_bytes >= {at_least} AND last <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= {at_least} AND last <> page_id THEN last END AS refers_to FROM q"""
