@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidebar.operators import slicing
 from tidebar.sources.tables import table
 
 SECONDS = {"1m": 60, "5m": 300, "15m": 900, "30m": 1800, "1h": 3600, "4h": 14400, "1d": 86400}
@@ -64,7 +65,7 @@ def bars_of_events(spark: SparkSession, sf_dir: str, interval: str = "15m", by:
     """The events table as ticks: price is value; buyers are even user ids. One series for each event type, or one in all."""
     events = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
     ticks = events.select((F.col(by) if by else F.lit("ALL")).alias("series_id"), "ts", F.col("value").alias("price"), F.col("event_id").alias("tick_id"), "user_id")
-    return with_bar_idx(resample(ticks, interval, buy=F.col("user_id") % 2 == 0))
+    return slicing.with_bar_idx(resample(ticks, interval, buy=F.col("user_id") % 2 == 0))
 
 
 def daily_bars_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import math
 
 from tidebar.operators import bars as B
 from tidebar.operators import indicators as I
+from tidebar.operators import slicing
 from tidebar.plans.registry import bars_sql, query
 
 W = "PARTITION BY series_id ORDER BY ts"
@@ -111,7 +112,7 @@ sqrt(greatest(0, {roll("avg", "gk", 20)})) AS garman_klass, sqrt(greatest(0, {ro
 @query("i21_volatility", _VOL, "r rv_20 rv_48_half ar_spread garman_klass parkinson rogers_satchell")
 def _(spark, d):
     """Realised and range volatility, effective spread."""
-    return I.volatility(B.bars_of_events(spark, d)).select("series_id", "ts", "r", "rv_20", "rv_48_half", "ar_spread", "garman_klass", "parkinson", "rogers_satchell")
+    return slicing.sliced(B.bars_of_events(spark, d), I.volatility, 50).select("series_id", "ts", "r", "rv_20", "rv_48_half", "ar_spread", "garman_klass", "parkinson", "rogers_satchell")
 
 
 _BANDS = f"""WITH {bars_sql()}, x AS (SELECT *, {roll("avg", "close", 20)} AS bb_mid, {roll("stddev_samp", "close", 20)} AS sd, {TR} AS tr, {roll("min", "low", 14)} AS lo, {roll("max", "high", 14)} AS hi FROM bars),
@@ -148,7 +149,7 @@ SELECT series_id, ts, roc_5, roc_10, roc_20, {zs("roc_10", 50)} AS roc_10_z, CAS
 @query("i11_momentum", _MOMENTUM, "roc_5 roc_10 roc_20 roc_10_z")
 def _(spark, d):
     """Rates of change and confirmations."""
-    return I.momentum(B.bars_of_events(spark, d)).select("series_id", "ts", "roc_5", "roc_10", "roc_20", "roc_10_z", "near_low", "up_confirmed")
+    return slicing.sliced(B.bars_of_events(spark, d), I.momentum, 62).select("series_id", "ts", "roc_5", "roc_10", "roc_20", "roc_10_z", "near_low", "up_confirmed")
 
 
 _SESSION = f"""WITH {bars_sql()}, x AS (SELECT *, ts - INTERVAL '5 hours' AS ny FROM bars), y AS (SELECT *, hour(ny) * 60 + minute(ny) AS m FROM x)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidebar.operators import bars as B
 from tidebar.operators import indicators as I
 from tidebar.operators import machines as M
+from tidebar.operators import slicing
 from tidebar.operators import structure as S
 from tidebar.plans.q_indicators import TR, W, roll
 from tidebar.plans.registry import bars_sql, query
@@ -18,6 +19,11 @@ def base(spark, d):  # noqa: ANN001, ANN201
     return S.with_atr(B.bars_of_events(spark, d))
 
 
+def in_slices(spark, d, f, back: int, ahead: int = 0):  # noqa: ANN001, ANN201
+    """f over bars with their ATR (15 bars back) in slices of the series."""
+    return slicing.sliced(B.bars_of_events(spark, d), lambda x: f(S.with_atr(x)), back + 15, ahead)
+
+
 def _disp(side: str, up: str, gap: str, end: str) -> str:
     three = "abs(close - o2) / atr"
     single = f"(atr > 0 AND {up.format(c='close', o='open')} AND body >= 1.5 AND {end})"
@@ -37,7 +43,7 @@ _DISP_OUT = [f"disp_{s}{x}" for s in ("bull", "bear") for x in ("", "_age", "_st
 @query("m1_displacement", f"WITH {BASE}, {DISP.format(source='base')} SELECT series_id, ts, {_SIDE('bull')}, {_SIDE('bear')} FROM disp_bear_l", "disp_bull_strength disp_bull_close_loc disp_bear_strength disp_bear_close_loc")
 def _(spark, d):
     """Displacements and their latched properties."""
-    return S.displacement(base(spark, d)).select("series_id", "ts", *_DISP_OUT)
+    return in_slices(spark, d, S.displacement, 51).select("series_id", "ts", *_DISP_OUT)
 
 
 def swing_sql(source: str, n: int = 3, p: str = "") -> str:
@@ -108,7 +114,7 @@ FROM base LEFT JOIN s_bull USING (series_id, bar_idx) LEFT JOIN s_bear USING (se
 @query("m6_gaps", _GAPS, "fvg_bull_near_top fvg_bull_near_bot fvg_bear_near_top fvg_bear_near_bot")
 def _(spark, d):
     """Fair value gaps as intervals."""
-    x = S.gaps(S.gaps(base(spark, d), "bull"), "bear")
+    x = in_slices(spark, d, lambda b: S.gaps(S.gaps(b, "bull"), "bear"), 102)
     return x.select("series_id", "ts", *(f"fvg_{s}_{c}" for s in ("bull", "bear") for c in ("count", "age", "near_top", "near_bot", "in_zone")))
 
 

@@ -11,7 +11,7 @@ from tidebar.operators import indicators as I
 from tidebar.operators import labels as L
 from tidebar.operators import structure as S
 from tidebar.plans.q_indicators import W
-from tidebar.plans.q_structure import BASE, base, swing_sql
+from tidebar.plans.q_structure import BASE, base, in_slices, swing_sql
 from tidebar.plans.registry import query
 
 _FWD = ", ".join(f"(lead(close, {h}) OVER ({W}) / close - 1) * 100 AS fwd_return_{h}, CASE WHEN lead(close, {h}) OVER ({W}) IS NOT NULL THEN (max(high) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) / close - 1) * 100 END AS max_up_{h}, CASE WHEN lead(close, {h}) OVER ({W}) IS NOT NULL THEN (min(low) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) / close - 1) * 100 END AS max_down_{h}" for h in (12, 48))
@@ -20,7 +20,7 @@ _FWD = ", ".join(f"(lead(close, {h}) OVER ({W}) / close - 1) * 100 AS fwd_return
 @query("l1_forward_returns", f"WITH {BASE} SELECT series_id, ts, {_FWD} FROM base", "fwd_return_12 max_up_12 max_down_12 fwd_return_48 max_up_48 max_down_48")
 def _(spark, d):
     """Forward returns and excursions."""
-    return L.forward_returns(base(spark, d), (12, 48)).select("series_id", "ts", *(f"{x}_{h}" for h in (12, 48) for x in ("fwd_return", "max_up", "max_down")))
+    return in_slices(spark, d, lambda b: L.forward_returns(b, (12, 48)), 0, 48).select("series_id", "ts", *(f"{x}_{h}" for h in (12, 48) for x in ("fwd_return", "max_up", "max_down")))
 
 
 def ahead_sql(n: int, start: int = 1) -> str:
@@ -45,7 +45,7 @@ LABELLED = f"WITH {BASE}, x AS (SELECT *, {ahead_sql(48)} AS ahead FROM base), l
 @query("l2_triple_barrier", f"{LABELLED} SELECT * EXCLUDE (bar_idx, open, high, low, close, atr) FROM labels")
 def _(spark, d):
     """Barrier labels for three horizons, three ratios and both directions."""
-    return L.triple_barrier(base(spark, d)).select("series_id", "ts", *(L.name_of(*g) for g in _GRID))
+    return in_slices(spark, d, L.triple_barrier, 0, 48).select("series_id", "ts", *(L.name_of(*g) for g in _GRID))
 
 
 _DYN = f"WITH {BASE}, {swing_sql('base')}, x AS (SELECT *, list({{'h': high, 'l': low}}) OVER ({W} ROWS BETWEEN 2 FOLLOWING AND 49 FOLLOWING) AS ahead, lead(close) OVER ({W}) AS entry FROM st), y AS (SELECT *, entry - last_low AS risk FROM x) SELECT series_id, ts, CASE WHEN risk > 0 AND len(ahead) >= 48 THEN CASE WHEN coalesce({first_sql('ahead', 's.h >= entry + 2 * risk')} < coalesce({first_sql('ahead', 's.l <= last_low')}, 1000000), false) THEN 1 ELSE 0 END END AS label FROM y"
@@ -76,7 +76,7 @@ SELECT series_id, kind AS outcome, count(*) AS n, avg(coalesce(least(hit, lost),
 @query("l9_outcomes", _OUT, "mean_held expired_atr")
 def _(spark, d):
     """Targets, stops and expiries with holding times."""
-    x = L.outcomes(base(spark, d), 24).filter("outcome is not null")
+    x = in_slices(spark, d, lambda b: L.outcomes(b, 24), 0, 24).filter("outcome is not null")
     return x.groupBy("series_id", "outcome").agg(F.count("*").alias("n"), F.avg("held").alias("mean_held"), F.avg("expired_atr").alias("expired_atr"))
 
 
@@ -93,7 +93,7 @@ _SIGNALS = f"{LABELLED}, sig AS (SELECT *, label_long_hit_2r_24c AS won FROM lab
 
 
 def signals(spark, d):  # noqa: ANN001, ANN201
-    x = L.triple_barrier(base(spark, d), (24,), (2,)).withColumn("won", F.col("label_long_hit_2r_24c"))
+    x = in_slices(spark, d, lambda b: L.triple_barrier(b, (24,), (2,)), 0, 24).withColumn("won", F.col("label_long_hit_2r_24c"))
     return x.filter((F.col("close") > F.col("open")) & F.col("won").isNotNull()).select("series_id", "ts", "bar_idx", "close", "won")
 
 
@@ -174,7 +174,7 @@ SELECT session, CAST(isodow(ts) - 1 AS INTEGER) AS weekday, hour(ts) // 4 AS hou
 @query("a8_win_rates", _BREAK.replace("CAST(isodow(ts) - 1 AS INTEGER) AS weekday, hour(ts) // 4 AS hour_bucket", "w AS weekday, h AS hour_bucket").replace("FROM t GROUP BY", "FROM (SELECT *, CAST(isodow(ts) - 1 AS INTEGER) AS w, CAST(hour(ts) // 4 AS INTEGER) AS h FROM t) GROUP BY").replace("(isodow(ts) - 1), (hour(ts) // 4), (session, isodow(ts) - 1)", "(w), (h), (session, w)"), "win_rate")
 def _(spark, d):
     """Win rates by session, weekday and part of day in one pass."""
-    x = I.sessions(L.triple_barrier(base(spark, d), (48,), (2,))).filter("label_long_hit_2r_48c is not null")
+    x = I.sessions(in_slices(spark, d, lambda b: L.triple_barrier(b, (48,), (2,)), 0, 48)).filter("label_long_hit_2r_48c is not null")
     x = x.withColumn("hour_bucket", F.floor(F.hour("ts") / 4).cast("int"))
     return x.groupingSets([["session"], ["weekday"], ["hour_bucket"], ["session", "weekday"], []], "session", "weekday", "hour_bucket").agg(F.count("*").alias("n"), F.avg("label_long_hit_2r_48c").alias("win_rate"))
 
@@ -185,7 +185,7 @@ _MATRIX = f"{LABELLED} SELECT direction, ratio, horizon, count(y) AS n, avg(y) A
 @query("a10_ratio_horizon_matrix", _MATRIX, "random_wr filtered_wr breakeven edge")
 def _(spark, d):
     """Win rates by ratio and horizon against their breakeven."""
-    x = L.triple_barrier(base(spark, d))
+    x = in_slices(spark, d, L.triple_barrier, 0, 48)
     rows_ = F.explode(F.array(*(F.struct(F.lit(a).alias("direction"), F.lit(r).alias("ratio"), F.lit(h).alias("horizon"), F.col(L.name_of(a, r, h)).alias("y")) for a, r, h in _GRID)))
     x = x.select("open", "close", rows_.alias("g")).select("open", "close", "g.*")
     picked = F.avg(F.when(F.col("close") > F.col("open"), F.col("y")))
