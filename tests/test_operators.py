@@ -130,6 +130,15 @@ def test_asof_ties_and_nulls(spark):
     assert got == {1: "ten", 2: "fifteen", 3: None, "b": None}
 
 
+def test_asof_by_grain_equals_asof(spark):
+    rnd = random.Random(4)
+    stamp = lambda: f"2024-01-{rnd.randint(1, 9):02d} {rnd.randint(0, 23):02d}:{rnd.choice(['00', '30'])}:00"
+    left = spark.createDataFrame([(rnd.choice("ab"), i, stamp() if i % 9 else None) for i in range(200)], "k string, id int, t string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    right = spark.createDataFrame([(rnd.choice("ab"), stamp(), i if i % 5 else None) for i in range(25)], "k string, at string, v int").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    plain, cut = (sorted(J.asof_join(left, right, "t", "at", ["k"], ["v"], "r_", g).collect(), key=str) for g in (None, "day"))
+    assert plain == cut and any(r.r_v is not None for r in cut)
+
+
 def test_cooldown_is_strict(spark):
     df = spark.createDataFrame([("a", i) for i in (0, 3, 4, 5, 9, 10, 30)], "series_id string, bar_idx long")
     assert sorted(r.bar_idx for r in T.take(df, 4).collect()) == [0, 5, 10, 30]

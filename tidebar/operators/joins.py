@@ -6,18 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, by: list[str], columns: list[str], prefix: str = "") -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, by: list[str], columns: list[str], prefix: str = "", grain: str | None = None) -> DataFrame:
     """left with the `columns` of the last right row whose right_ts is at or before left_ts, per `by`; null where there is none.
 
     A union and one window: a single shuffle on `by`, no range join. On equal times the right row comes first, so that it counts. Of right rows with
-    equal keys and times, the one with the greatest values counts.
+    equal keys and times, the one with the greatest values counts. With a grain (day, hour), the window runs within (by, grain), so that a key with a
+    long history is spread; what is missing at the start of a grain is the last value of the grains before, from a table of one row a grain.
     """
     value = F.struct(*(F.col(c) for c in columns))
     r = right.filter(F.col(right_ts).isNotNull()).select(*by, F.col(right_ts).alias("__at"), F.lit(0).alias("__side"), value.alias("__value"))
     l_row = F.struct(*(F.col(c) for c in left.columns))
     both = left.select(*by, F.col(left_ts).alias("__at"), F.lit(1).alias("__side"), l_row.alias("__row")).unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(F.col("__at").asc_nulls_first(), "__side", "__value").rowsBetween(Window.unboundedPreceding, 0)
+    keys = list(by)
+    if grain:
+        both, keys = both.withColumn("__grain", F.date_trunc(grain, "__at")), [*by, "__grain"]
+    w = Window.partitionBy(*keys).orderBy(F.col("__at").asc_nulls_first(), "__side", "__value").rowsBetween(Window.unboundedPreceding, 0)
     held = both.withColumn("__last", F.last("__value", ignorenulls=True).over(w)).filter("__side = 1")
+    if grain:
+        ends = r.groupBy(*by, F.date_trunc(grain, "__at").alias("__grain")).agg(F.max(F.struct("__at", "__value")).alias("__end"))
+        there = ends.unionByName(left.filter(F.col(left_ts).isNotNull()).select(*by, F.date_trunc(grain, left_ts).alias("__grain")).distinct(), allowMissingColumns=True).groupBy(*by, "__grain").agg(F.max("__end").alias("__end"))
+        past = Window.partitionBy(*by).orderBy("__grain").rowsBetween(Window.unboundedPreceding, -1)
+        carried = there.select(*by, "__grain", F.last("__end", ignorenulls=True).over(past).alias("__end"))
+        held = held.join(carried, keys, "left").withColumn("__last", F.coalesce("__last", "__end.__value"))
     return held.select("__row.*", *(F.col(f"__last.{c}").alias(prefix + c) for c in columns))
 
 

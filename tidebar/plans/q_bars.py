@@ -74,7 +74,7 @@ def _(spark, d):
     """Each 5-minute bar with the last hour that had ended at its start."""
     base = B.bars_of_events(spark, d, "5m")
     hours = B.coarsen(base, "1h")
-    out = J.asof_join(base.select("series_id", "ts", "close"), hours, "ts", "end_ts", ["series_id"], ["close", "high", "low"], "h1_")
+    out = J.asof_join(base.select("series_id", "ts", "close"), hours, "ts", "end_ts", ["series_id"], ["close", "high", "low"], "h1_", grain="day")
     return out.select("series_id", "ts", "close", "h1_close", "h1_high", "h1_low")
 
 
@@ -86,7 +86,7 @@ SELECT b.ts, b.close, f.rate, f.event_id FROM bars b ASOF LEFT JOIN f ON b.ts >=
 def _(spark, d):
     """Bars with the last funding event before them."""
     f = table(spark, d, "events").filter("event_type = 'error'").select(F.lit("ALL").alias("series_id"), F.col("ts").alias("at"), F.col("value").alias("rate"), "event_id")
-    return J.asof_join(B.bars_of_events(spark, d, "1h", None).select("series_id", "ts", "close"), f, "ts", "at", ["series_id"], ["rate", "event_id"]).drop("series_id")
+    return J.asof_join(B.bars_of_events(spark, d, "1h", None).select("series_id", "ts", "close"), f, "ts", "at", ["series_id"], ["rate", "event_id"], grain="day").drop("series_id")
 
 
 _RANGE = f"""WITH {bars_sql("1 hour", "'ALL'")}, f AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS ts, sum(value) / 1e4 AS fund_rate_period, count(*) AS fund_events FROM events WHERE event_type = 'error' GROUP BY 1),
