@@ -2,8 +2,7 @@
 
 Writing: records are made by column expressions (SHA-1 payload digests in base 32 among them) and written as gzipped text whose line end closes each
 record, so any store that Spark can write will do and a lost executor's file is written anew. Of records with equal payloads, that with the largest
-page id is a response and the others are revisits that refer to it; the digests' groups are counted before they are joined, and hot digests are dealt
-over SALTS joins. Each file is one run of captures, sorted by URL key and time.
+page id is a response and the others are revisits that refer to it. Each file is one run of captures, sorted by URL key and time.
 
 Reading: each file is parsed by its records' lengths, which gives a sorted run of index entries. Runs are dealt by ranges of (URL key, time, page id),
 so that one URL with very many captures is spread as well, and in each range a loser tree merges the runs: the result is in global order.
@@ -24,7 +23,8 @@ from pyspark.sql import functions as F
 
 from tidebar.session import scratch
 
-SALTS = 16
+#: Stands for a page id that is null where ids are compared.
+NO_ID = -(2**63)
 #: Payload bytes in a file, about.
 FILE_BYTES = 32 * 2**20
 #: The time of the record of page 0; page ids count seconds from it where no times are given.
@@ -45,17 +45,22 @@ def url_key(url: Column) -> Column:
     return F.regexp_replace(F.when(host == "", low).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest)), r"[\s]+", F.lit("%20"))
 
 
-def planned(pages: DataFrame, page_id: str, url: str, payload: str, at_least: int) -> DataFrame:
-    """Each page with its digest, type and the response that it refers to."""
+def planned(pages: DataFrame, page_id: str, url: str, payload: str, at_least: int, files: int) -> DataFrame:
+    """Each page with its digest and the response that it refers to (null for responses), dealt over `files` partitions.
+
+    What is joined on the digest, which may be hot, are ids alone; payloads move once, by page id.
+    """
+    spark = pages.sparkSession
     own = pages.select(pages[page_id].cast("long").alias("page_id"), F.coalesce(pages[url], F.lit("")).alias("url"), F.coalesce(pages[payload], F.lit("")).alias("payload"))
-    own = own.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": base32(F.sha1(F.col("payload").cast("binary"))), "salt": F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")})
-    folder = scratch(pages.sparkSession, "warc-groups")
-    # sums in each task come first, so a digest of very many pages is no hot key
-    own.filter(F.col("bytes") >= at_least).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").drop("n").write.parquet(folder)
-    groups = pages.sparkSession.read.parquet(folder).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = own.join(groups, ["digest", "salt"], "left")
-    revisit = F.coalesce((F.col("last") != F.col("page_id")) | (F.col("page_id").isNull() & F.col("last").isNotNull()), F.lit(False)) & (F.col("bytes") >= at_least)
-    return joined.select("page_id", "url", "payload", "bytes", "digest", F.when(revisit, F.col("last")).alias("refers_to"))
+    own = own.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": base32(F.sha1(F.col("payload").cast("binary"))), "pid": F.coalesce("page_id", F.lit(NO_ID))})
+    folder = scratch(spark, "warc-groups")
+    ids = own.filter(F.col("bytes") >= at_least).select("page_id", "pid", "digest")
+    # sums in each task come first, so a digest of very many pages is no hot key; written, so that its partition can be split in the join
+    ids.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1 and last is not null").select("digest", "last").write.parquet(f"{folder}/groups")
+    groups = spark.read.parquet(f"{folder}/groups")
+    ids.join(groups, "digest").filter(F.col("page_id").isNull() | (F.col("page_id") != F.col("last"))).select("pid", "digest", F.col("last").alias("refers_to")).distinct().write.parquet(f"{folder}/revisits")
+    dealt = own.repartition(files, "pid", "digest")
+    return dealt.join(spark.read.parquet(f"{folder}/revisits"), ["pid", "digest"], "left").select("page_id", "url", "payload", "bytes", "digest", "refers_to")
 
 
 def records(plan: DataFrame) -> DataFrame:
@@ -79,9 +84,8 @@ def records(plan: DataFrame) -> DataFrame:
 def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", payload: str = "html", at_least: int = 0) -> None:
     """Writes a record for every page; each file is sorted by URL key, time and page id."""
     total = pages.agg(F.sum(F.octet_length(payload))).first()[0] or 0
-    plan = planned(pages, page_id, url, payload, at_least)
-    files = max(1, -(-total // FILE_BYTES))
-    runs = records(plan.repartition(files, F.xxhash64("page_id", "url"))).sortWithinPartitions("key", "time", "page_id") if files > 1 else records(plan.coalesce(1)).sortWithinPartitions("key", "time", "page_id")
+    plan = planned(pages, page_id, url, payload, at_least, max(1, -(-total // FILE_BYTES)))
+    runs = records(plan).sortWithinPartitions("key", "time", "page_id")
     runs.select("value").write.option("lineSep", "\r\n").option("compression", "gzip").text(folder)
 
 
