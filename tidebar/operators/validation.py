@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 PHI = NormalDist()
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's correlation of columns that are null together; null where one of them doesn't vary."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def auc(df: DataFrame, p: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Area under the ROC curve by ranks, ties averaged. Ranks come from counts by value, so equal probabilities fold before the window."""
     counts = df.groupBy(*by, p).agg(F.sum(y).alias("pos"), F.count("*").alias("n"))
@@ -67,7 +72,7 @@ def fold_roles(bars: DataFrame, spec: pd.DataFrame) -> DataFrame:
 
 
 def cscv(trades: DataFrame, by: tuple[str, ...] = ("series_id",), blocks: int = 8, r: str = "r") -> DataFrame:
-    """Share of symmetric splits whose other half loses, from the blocks' sums: all splits are 70 rows for 8 blocks."""
+    """Share of symmetric splits whose other half loses, from the blocks' sums: all splits are 70 rows for 8 blocks. Splits with an empty half are left out."""
     w = Window.partitionBy(*by)
     n = F.count("*").over(w)
     at = F.row_number().over(w.orderBy("bar_idx")) - 1
@@ -77,8 +82,8 @@ def cscv(trades: DataFrame, by: tuple[str, ...] = ("series_id",), blocks: int =
     table = F.broadcast(trades.sparkSession.createDataFrame(splits, "split int, inside array<int>"))
     joined = sums.join(table).withColumn("__in", F.array_contains("inside", F.col("block")))
     part = lambda c, flag: F.sum(F.when(F.col("__in") == flag, F.col(c)))
-    means = joined.groupBy(*by, "split").agg((part("s", True) / part("n", True)).alias("inner"), (part("s", False) / part("n", False)).alias("outer"))
-    return means.groupBy(*by).agg(F.avg((F.col("outer") <= 0).cast("double")).alias("pbo"), F.count("*").alias("splits"), F.avg("outer").alias("oos_mean"), F.median("outer").alias("oos_median"), F.stddev_pop("outer").alias("oos_std"), F.corr("inner", "outer").alias("is_oos_corr"))
+    means = joined.groupBy(*by, "split").agg((part("s", True) / part("n", True)).alias("inner"), (part("s", False) / part("n", False)).alias("outer")).filter("inner is not null and outer is not null")
+    return means.groupBy(*by).agg(F.avg((F.col("outer") <= 0).cast("double")).alias("pbo"), F.count("*").alias("splits"), F.avg("outer").alias("oos_mean"), F.median("outer").alias("oos_median"), F.stddev_pop("outer").alias("oos_std"), correlation("inner", "outer").alias("is_oos_corr"))
 
 
 def sharpe_test(trades: DataFrame, by: tuple[str, ...] = ("series_id",), r: str = "r") -> DataFrame:
@@ -89,7 +94,7 @@ def sharpe_test(trades: DataFrame, by: tuple[str, ...] = ("series_id",), r: str
     skew = F.when(n > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
     kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6) + 3)
     under = 1 - skew * sr + (kurt - 1) / 4 * sr * sr
-    return m.select(*by, n.cast("long").alias("n"), sr.alias("sharpe"), skew.alias("skew"), kurt.alias("kurt"), (sr * F.sqrt(n - 1) / F.sqrt(F.when(under > 0, under).otherwise(1.0))).alias("z"))
+    return m.select(*by, n.cast("long").alias("n"), sr.alias("sharpe"), skew.alias("skew"), kurt.alias("kurt"), (sr * F.sqrt(n - 1) / F.sqrt(F.when(under > 0, under).when(under.isNotNull(), 1.0))).alias("z"))
 
 
 def normal_cdf(z: Column) -> Column:
@@ -196,7 +201,7 @@ def rank_correlation(df: DataFrame, item: str, fold: str, value: str) -> DataFra
     ranked = df.withColumn("__n", F.row_number().over(w)).withColumn("__k", F.avg("__n").over(ties))
     a = ranked.select(item, F.col(fold).alias("a"), F.col("__k").alias("x"))
     b = ranked.select(item, F.col(fold).alias("b"), F.col("__k").alias("y"))
-    return a.join(b, item).filter("a < b").groupBy("a", "b").agg(F.corr("x", "y").alias("rho"), F.count("*").alias("n"))
+    return a.join(b, item).filter("a < b").groupBy("a", "b").agg(correlation("x", "y").alias("rho"), F.count("*").alias("n"))
 
 
 def isotonic(df: DataFrame, p: str, y: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidebar.operators import bars as B
 from tidebar.operators import joins as J
 from tidebar.operators import rolling as R
+from tidebar.operators.validation import correlation
 from tidebar.plans.registry import bars_sql, query
 from tidebar.sources import ingest
 from tidebar.sources.tables import table
@@ -182,7 +183,7 @@ def _(spark, d):
     """Correlation of two series on equal times."""
     b = B.bars_of_events(spark, d, "1h").select("series_id", "ts", "close", "volume")
     side = lambda kind, p: b.filter(F.col("series_id") == kind).select("ts", F.col("close").alias(p + "c"), F.col("volume").alias(p + "v"))
-    return side("view", "a").join(side("click", "b"), "ts").agg(F.count("*").alias("n"), F.corr("ac", "bc").alias("corr_close"), F.corr("av", "bv").alias("corr_volume"))
+    return side("view", "a").join(side("click", "b"), "ts").agg(F.count("*").alias("n"), correlation("ac", "bc").alias("corr_close"), correlation("av", "bv").alias("corr_volume"))
 
 
 _SETS = """WITH a AS (SELECT user_id, sum(value) AS v FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1 ORDER BY v DESC, user_id LIMIT 30), b AS (SELECT user_id, sum(value) AS v FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1 ORDER BY v DESC, user_id LIMIT 30)

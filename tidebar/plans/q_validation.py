@@ -51,7 +51,7 @@ def _(spark, d):
 
 _CSCV = f"""{taken_sql(3)}, b AS (SELECT *, CAST(least(7, floor((row_number() OVER (PARTITION BY series_id ORDER BY bar_idx) - 1) / greatest(1, floor(count(*) OVER (PARTITION BY series_id) / 8)))) AS INTEGER) AS block FROM trades), s AS (SELECT series_id, block, sum(r) AS s, count(*) AS n FROM b GROUP BY 1, 2),
 m AS (SELECT range AS mask FROM range(256) WHERE bit_count(CAST(range AS INTEGER)) = 4), halves AS (SELECT series_id, mask, sum(CASE WHEN (mask >> block) & 1 = 1 THEN s END) / sum(CASE WHEN (mask >> block) & 1 = 1 THEN n END) AS i, sum(CASE WHEN (mask >> block) & 1 = 0 THEN s END) / sum(CASE WHEN (mask >> block) & 1 = 0 THEN n END) AS o FROM s, m GROUP BY 1, 2)
-SELECT series_id, avg(CASE WHEN o <= 0 THEN 1.0::DOUBLE ELSE 0 END) AS pbo, count(*) AS splits, avg(o) AS oos_mean, median(o) AS oos_median, stddev_pop(o) AS oos_std, corr(i, o) AS is_oos_corr FROM halves GROUP BY 1"""
+SELECT series_id, avg(CASE WHEN o <= 0 THEN 1.0::DOUBLE ELSE 0 END) AS pbo, count(*) AS splits, avg(o) AS oos_mean, median(o) AS oos_median, stddev_pop(o) AS oos_std, corr(i, o) AS is_oos_corr FROM halves WHERE i IS NOT NULL AND o IS NOT NULL GROUP BY 1"""
 
 
 @query("v4_cscv", _CSCV, "pbo oos_mean oos_median oos_std is_oos_corr")
@@ -60,7 +60,7 @@ def _(spark, d):
     return V.cscv(trades(spark, d, 3))
 
 
-_PSR = f"""{taken_sql(3)}, m AS (SELECT series_id, count(*) AS n, avg(r) / stddev_samp(r) AS sharpe, skewness(r) AS skew, kurtosis(r) + 3 AS kurt FROM trades GROUP BY 1) SELECT *, sharpe * sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe) AS z FROM m"""
+_PSR = f"""{taken_sql(3)}, m AS (SELECT series_id, count(*) AS n, avg(r) / nullif(stddev_samp(r), 0) AS sharpe, skewness(r) AS skew, kurtosis(r) + 3 AS kurt FROM trades GROUP BY 1) SELECT *, sharpe * sqrt(n - 1) / sqrt(CASE WHEN 1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe <= 0 THEN 1 ELSE 1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe END) AS z FROM m"""
 
 
 @query("v5_sharpe_test", _PSR, "sharpe skew kurt z")
