@@ -20,7 +20,7 @@ def query(name: str, sql: str | None = None, floats: str = "") -> Callable:
 
     def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ensure_semantics(spark)
+            ensure_semantics(spark, bars=True)
             out = f(spark, sf_dir)
             return out.withColumns({c: F.round(c, DIGITS) + F.lit(0.0) for c in columns}) if columns else out
 

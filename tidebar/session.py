@@ -26,8 +26,12 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str
     )
 
 
-def ensure_semantics(spark: SparkSession) -> None:
-    for key, value in SEMANTIC_CONF.items():
+#: What the bar engine needs besides: a division by zero is NULL, as a missing value is.
+BAR_CONF = {"spark.sql.ansi.enabled": "false"}
+
+
+def ensure_semantics(spark: SparkSession, bars: bool = False) -> None:
+    for key, value in {**SEMANTIC_CONF, **(BAR_CONF if bars else {})}.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
 
