@@ -13,9 +13,9 @@ from tidebar.llm import bpe, decontaminate, secret_scan, simhash, toxicity
 from tidebar.session import ensure_semantics, scratch
 from tidebar.sources.tables import table
 
-#: Near-duplicates: 256-bit fingerprints of five-word shingles, whose expected distance is 39 bits at a similarity of 0.8 (deviation 6), and texts whose
-#: numbers of distinct shingles allow that similarity at all.
-SHINGLE, LANES, RADIUS, SIMILARITY = 5, 4, 48, 0.8
+#: Near-duplicates: texts whose sets of five-word shingles have an exact Jaccard similarity of 0.8. Candidates come from 256-bit fingerprints of the
+#: distinct shingles: at 0.8 their expected distance is 39 bits (deviation 6), at most 48 (for 4 and 5 shingles); the radius is 4 deviations beyond that.
+SHINGLE, LANES, RADIUS, SIMILARITY = 5, 4, 73, 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates the document with the least doc_id stays."""
-    found = simhash.near_duplicates(docs, shingle=SHINGLE, radius=RADIUS, lanes=LANES, ratio=SIMILARITY)
+    found = simhash.near_duplicates(docs, shingle=SHINGLE, radius=RADIUS, lanes=LANES, ratio=SIMILARITY, exact=True)
     return docs.join(found.filter("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -107,3 +107,42 @@ def test_components(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def five_words(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+@pytest.mark.parametrize("chunk", [4_000_000, 150])
+def test_exact_links_equal_a_pairwise_search(spark, monkeypatch, chunk):
+    """The pipeline's second stage: Jaccard of 0.8, not a distance of fingerprints."""
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    rnd = random.Random(5)
+    vocab, rows = [f"v{i}" for i in range(400)], []
+    for n in (6, 8, 9, 20, 40, 60, 100, 100, 200):
+        w = [rnd.choice(vocab) for _ in range(n)]
+        for edits in range(9):  # similarities from 1 to well below 0.8
+            v = list(w)
+            for k in rnd.sample(range(n), min(n, edits * max(1, n // 100))):
+                v[k] = rnd.choice(vocab)
+            rows.append((len(rows), " ".join(v)))
+    for k in range(40):  # windows of one text: a chain
+        rows.append((len(rows), " ".join(f"c{i}" for i in range(9 * k, 9 * k + 90))))
+    rows += [(len(rows), "a b c d e f g h"), (len(rows) + 1, "a b c d e f g h i"), (len(rows) + 2, ""), (len(rows) + 3, None), (None, rows[40][1])]
+    sets, root = [five_words(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    P = pytest.importorskip("corpus_pipeline")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in P.drop_near_duplicates(spark, docs, "").collect()}
+    assert kept == {i for k, (i, _) in enumerate(rows) if i is None or find(k) == k}

@@ -5,6 +5,9 @@ fingerprints' parts (and, where asked for, by their number of shingles). The sum
 a pair of tiles whose ranges differ beyond the radius is skipped, all other pairs are compared in full by numpy exclusive-or and bit counts. What a
 tile pair reports is a spanning forest of its links, never all pairs of a group; components then join the forests.
 
+Where links must be exact, the forests only gather candidates: the shingle sets of each component meet, and pairs within the radius whose exact Jaccard
+similarity is high enough are the links. A large component is dealt out in chunks that meet pair by pair.
+
 The comparison is quadratic in the number of classes apart from skipped tile pairs. Tiles grow with the table (TILES at most), so that the driver's
 list of tile pairs stays bounded.
 
@@ -31,6 +34,8 @@ SEED = 42
 LEAST_TILE, MOST_TILE, TILE_SHARE, TILES = 4096, 65536, 1 / 16, 4096
 #: Fingerprints in a block, into which a task divides a tile.
 BLOCK = 512
+#: Shingles in a chunk of a component whose links are verified.
+CHUNK = 4_000_000
 #: Logarithm by which numbers of shingles are binned.
 SIZE_STEP = math.log(1.02)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -63,22 +68,35 @@ def majority(h: np.ndarray) -> np.uint64:
     return np.packbits(set_in * 2 > len(h)).view(">u8")[0].astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp (array of `lanes` 64-bit words) and size (distinct shingles). The first word is of XXH64; others are of that hash mixed again."""
+def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, doc_id: str = "doc_id", text: str = "text", sets: bool = False) -> DataFrame:
+    """doc_id, fp (array of `lanes` 64-bit words) and size (distinct shingles). The first word is of XXH64; others are of that hash mixed again.
+
+    sets: fingerprints are over distinct shingles, and their sorted hashes and a digest of them are added.
+    """
     extra = [np.uint64(0xA0761D6478BD642F * (2 * j + 1) % 2**64) for j in range(1, lanes)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sizes = [], []
+            fps, sizes, own, digests = [], [], [], []
             for t in batch.column(1).cast(pa.binary()).to_pylist():
                 h = shingle_hashes(t or b"", shingle)
+                if sets:
+                    h = np.unique(h)
+                    own.append(h.view(np.int64))
+                    digests.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
                 fps.append(np.array([majority(h), *(majority(words.mix(h ^ c)) for c in extra)], dtype=np.uint64).view(np.int64))
-                sizes.append(len(np.unique(h)))
+                sizes.append(len(h) if sets else len(np.unique(h)))
             flat = pa.array(np.concatenate(fps) if fps else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * lanes), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(sizes, pa.int64())], names=["doc_id", "fp", "size"])
+            arrays, names = [batch.column(0), lists, pa.array(sizes, pa.int64())], ["doc_id", "fp", "size"]
+            if sets:
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                listed = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)))
+                arrays, names = [*arrays, pa.array(np.array(digests, dtype=np.uint64).view(np.int64)), listed], [*names, "digest", "shingles"]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(work, "doc_id long, fp array<long>, size long")
+    schema = "doc_id long, fp array<long>, size long" + (", digest long, shingles array<long>" if sets else "")
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(work, schema)
 
 
 def _features(lanes: int, radius: int, ratio: float | None) -> list:
@@ -143,8 +161,17 @@ def _blocks(fps: np.ndarray, sizes: np.ndarray, ratio: float | None) -> tuple[np
     return order, cuts, low, high
 
 
-def _forest(a: np.ndarray, b: np.ndarray, same: bool, sizes: tuple[np.ndarray, np.ndarray], radius: int, ratio: float | None) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two tiles (rows are fingerprints), as places in both laid end to end."""
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """The similarity of two sorted sets."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def _forest(a: np.ndarray, b: np.ndarray, same: bool, sizes: tuple[np.ndarray, np.ndarray], radius: int, ratio: float | None, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links between two tiles (rows are fingerprints), as places in both laid end to end.
+
+    sets: if given (in the order of those places), links are only pairs whose sets have a Jaccard similarity of at least the ratio.
+    """
     parent = list(range(len(a) + (0 if same else len(b))))
 
     def root(x: int) -> int:
@@ -176,7 +203,7 @@ def _forest(a: np.ndarray, b: np.ndarray, same: bool, sizes: tuple[np.ndarray, n
                 x, y = x[fit], y[fit]
             for u, v in zip(x.tolist(), (y + base).tolist(), strict=True):
                 ru, rv = root(u), root(v)
-                if ru != rv:
+                if ru != rv and (sets is None or jaccard(sets[u], sets[v]) >= ratio):
                     parent[max(ru, rv)] = min(ru, rv)
                     links.append((u, v))
     return links
@@ -240,15 +267,66 @@ def link_forest(classes: DataFrame, lanes: int, radius: int, ratio: float | None
     return met.select("a", "b", "left", "right").mapInArrow(work, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, lanes: int = 1, ratio: float | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def verified_links(members: DataFrame, radius: int, ratio: float) -> DataFrame:
+    """For members (id, root, fp, size, shingles) of candidate components: links (a, b) that connect exactly what all pairs of a component connect that
+    are within the radius and have a Jaccard similarity of at least the ratio."""
+    spark = members.sparkSession
+    folder = scratch(spark, "verified")
+    members.write.parquet(f"{folder}/members")
+    members = spark.read.parquet(f"{folder}/members")  # written, so that a large component's partition can be split in the join
+    chunks = members.groupBy("root").agg(F.ceil(F.sum("size") / CHUNK).cast("int").alias("chunks"))
+    dealt = members.join(chunks, "root").withColumn("chunk", F.pmod(F.xxhash64("id"), F.greatest("chunks", F.lit(1))).cast("int"))
+    meet = F.transform(F.sequence(F.lit(0), F.greatest("chunks", F.lit(1)) - 1), lambda k: F.struct(F.least("chunk", k).alias("i"), F.greatest("chunk", k).alias("j")))
+    spread = max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    met = dealt.withColumn("meets", F.explode(meet)).select("root", "meets.i", "meets.j", "chunk", "id", "fp", "size", "shingles")
+    met = met.repartition(spread, "root", "i", "j").sortWithinPartitions("root", "i", "j")
+
+    def links(key: tuple[int, int, int], held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, ids, sizes = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("chunk", "id", "size"))
+        fps = np.concatenate([b.column("fp").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for b in held]).view(np.uint64)
+        sets = [s.values.to_numpy(zero_copy_only=False).view(np.uint64) for b in held for s in b.column("shingles")]
+        same = key[1] == key[2]
+        left, right = np.flatnonzero(chunk == key[1]), np.flatnonzero(chunk == key[2])
+        if not len(left) or not len(right):
+            return
+        order = left if same else np.concatenate([left, right])
+        found = _forest(fps[left], fps[right], same, (sizes[left], sizes[right]), radius, ratio, [sets[k] for k in order.tolist()])
+        if found:
+            x = order[np.array(found, dtype=np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[x[:, 0]]), pa.array(ids[x[:, 1]])], names=["a", "b"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            keys = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("root", "i", "j")])
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                key = tuple(keys[a].tolist())
+                if key != now:
+                    if held:
+                        yield from links(now, held)
+                    now, held = key, []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from links(now, held)
+
+    return met.mapInArrow(work, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, lanes: int = 1, ratio: float | None = None, doc_id: str = "doc_id", text: str = "text", exact: bool = False) -> DataFrame:
     """For every row: doc_id, fp, and component_id, the least doc_id that it reaches over links of at most `radius` differing bits.
 
     ratio: if given, linked texts' numbers of distinct shingles must also be at least so near (a bound that a Jaccard similarity implies).
+    exact: linked texts' sets of shingles must also have a Jaccard similarity of at least the ratio; the radius then only finds candidates.
     """
+    if exact and not ratio:
+        raise ValueError("exact links need a ratio")
     spark = docs.sparkSession
     folder = scratch(spark, "simhash")
-    keys = ["fp", "size"] if ratio else ["fp"]
-    fingerprints(docs, shingle, lanes, doc_id, text).write.parquet(f"{folder}/rows")
+    keys = [*(["fp", "size"] if ratio else ["fp"]), *(["digest"] if exact else [])]
+    fingerprints(docs, shingle, lanes, doc_id, text, sets=exact).write.parquet(f"{folder}/rows")
     rows = spark.read.parquet(f"{folder}/rows")
     folded = rows.groupBy(*keys).agg(F.min("doc_id").alias("least"))
     # one word is its own id; several words get the id of their hash, 128 bits of which would be needed only beyond billions of classes
@@ -259,6 +337,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, lanes: i
     links = link_forest(sized.select("id", "fp", "size"), lanes, radius, ratio)
     links.write.parquet(f"{folder}/links")
     roots = connected_components(spark.read.parquet(f"{folder}/links"))
+    if exact:
+        sets = rows.withColumn("id", F.xxhash64(*keys)).join(roots.select(F.col("node").alias("id"), "root"), "id").groupBy("id", "root").agg(*(F.first(c).alias(c) for c in ("fp", "size", "shingles")))
+        verified_links(sets, radius, ratio).write.parquet(f"{folder}/verified")
+        roots = connected_components(spark.read.parquet(f"{folder}/verified"))
     placed = classes.join(roots, classes["id"] == roots["node"], "left").select(*keys, "least", F.coalesce("root", "id").alias("root"))
     placed.groupBy("root").agg(F.min("least").alias("component_id")).write.parquet(f"{folder}/names")
     names = spark.read.parquet(f"{folder}/names")  # written, so that a large component's partition can be split in the join
