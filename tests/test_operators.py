@@ -1,3 +1,4 @@
+import datetime
 import math
 import random
 from collections import namedtuple
@@ -184,3 +185,16 @@ def test_ingestion(spark, tmp_path):
     assert ingest.missing_columns(bars, ["open", "nope"]) == ["nope"]
     assert filters.drop_constant(bars, filters.feature_columns(bars)) == ["bar_idx", "close", "high", "low", "open", "taker_buy", "volume"]
     assert B.SECONDS["1h"] == 3600 and L.parse_name(L.name_of("long", 2, 48)) == ("long", 2, 48)
+
+
+def test_model_folds_run_to_the_end_of_the_bars(spark, tmp_path, monkeypatch):
+    from tidebar import catalog
+    from tidebar.plans import q_validation
+
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(k, at + datetime.timedelta(minutes=15 * (k // 2)), k % 9, "view", 10.0 + k % 7, None) for k in range(2 * 1000)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    seen = []
+    monkeypatch.setattr(q_validation.V, "boosted_folds", lambda df, features, label, spec, rounds: seen.append(spec) or df)
+    catalog.queries()["v2_walk_forward_model"](spark, str(tmp_path))
+    assert list(seen[0]["test_start"]) == [374, 524, 674, 824, 974] and list(seen[0]["test_end"]) == [524, 674, 824, 974, 1000]

@@ -226,6 +226,8 @@ def boosted_folds(df: DataFrame, features: list[str], label: str, spec: pd.DataF
         model = GBTClassifier(featuresCol="__x", labelCol="__y", maxIter=rounds, maxDepth=3, seed=7).fit(x.filter((F.col("bar_idx") < f.train_end) & (F.col("bar_idx") < f.train_below)))
         test = model.transform(x.filter((F.col("bar_idx") >= f.test_start) & (F.col("bar_idx") < f.test_end)))
         parts.append(test.select("series_id", "bar_idx", F.lit(int(f.fold)).alias("fold"), vector_to_array("probability")[1].alias("prob"), F.col("__y").cast("int").alias("label")))
+    if not parts:
+        return df.select("series_id", "bar_idx", F.lit(0).alias("fold"), F.lit(0.0).alias("prob"), F.lit(0).alias("label")).limit(0)
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
