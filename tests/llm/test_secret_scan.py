@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from tidebar.llm import secret_scan as S
 
 
@@ -56,3 +58,15 @@ def test_rows_nulls_empties_and_repeats(spark):
     assert all(r.base_sha256 == hashlib.sha256(r.base.encode()).hexdigest() for r in got)
     assert {r.doc_id: r.redacted for r in got}[2] is None
     assert S.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("size", [4_096, 6_000, 200_000])
+def test_literals_and_names_of_any_length(size):
+    rnd = random.Random(9)
+    key = "".join(rnd.choice("BCDFGHJKMPQRSVWZbcdfghjkmpqrsvwz23456789+") for _ in range(size))
+    long_name = "a_" * 200 + "private_key"
+    for head, tail in (('private_key = "', '"'), ("credentials: '", "'"), ("signing_key = `", "`"), ("private_key = ", ""), (f'{long_name} = "', '"'), (f'"{long_name}"' + " " * 150 + ': "', '"')):
+        text = f"x {head}{key}{tail} y"
+        first, spans = S.scan(text)
+        assert ("literal", 2 + len(head), 2 + len(head) + size) in spans and not first
+        assert S.redact(text, spans) == f"x {head}[SECRET]{tail} y"

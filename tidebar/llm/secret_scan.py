@@ -37,8 +37,10 @@ STAND_INS = ("example", "changeme", "your_", "your-", "placeholder", "dummy", "r
 THRESHOLD = 0.5
 
 _OPERATOR = re.compile(r":=|=>|={1,3}|:{1,2}")
-_NAME = re.compile(r"""(?:(["'])([A-Za-z_$][\w$.\-]{0,79})\1|(?<![\w$.\-])([A-Za-z_$][\w$.\-]{0,79}))[ \t]*\Z""", re.ASCII)
-_VALUE = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.){0,4096})"|'((?:[^'\\\n]|\\.){0,4096})'|`([^`]{0,4096})`|\$\{?([A-Za-z_]\w*)\}?|([^\s,;(){}\[\]"'`]{1,4096}))""", re.ASCII)
+_FIRST = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_$")
+_INNER = _FIRST | frozenset("0123456789.-")
+# possessive: literals of any length in one pass; a later opening quote of a kind closes an earlier one, so that a line has one failing pass for each kind
+_VALUE = re.compile(r"""[ \t]*+(?:"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)'|`([^`]*+)`|\$\{?([A-Za-z_]\w*)\}?|([^\s,;(){}\[\]"'`]++))""", re.ASCII)
 _PLUS = re.compile(r"[ \t]*(?:\+|\.\.)[ \t]*\n?")
 _IDENTIFIER = re.compile(r"[A-Za-z_$][\w$.]*\Z", re.ASCII)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -79,6 +81,19 @@ def randomness(literal: str) -> float:
     return min(1.0, 0.22 * entropy) * (1.0 if classes >= 2 else 0.6)
 
 
+def name_before(text: str, end: int) -> str | None:
+    """The name, quoted or not and of any length, that ends before a place, blanks aside."""
+    while end and text[end - 1] in " \t":
+        end -= 1
+    quote = text[end - 1] if end and text[end - 1] in "\"'" else ""
+    stop = start = end - len(quote)
+    while start and text[start - 1] in _INNER:
+        start -= 1
+    if start == stop or text[start] not in _FIRST or (quote and (not start or text[start - 1] != quote)):
+        return None
+    return text[start:stop]
+
+
 def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
     """Names with the places of the literals assigned to them, constants followed."""
     known: dict[str, list[tuple[int, int]]] = {}
@@ -86,10 +101,9 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
     for op in _OPERATOR.finditer(text):
         if op.start() < done or op[0] in ("==", "===", "::"):
             continue
-        name = _NAME.search(text, max(0, op.start() - 100), op.start())
-        if not name:
+        target, at, literals = name_before(text, op.start()), op.end(), []
+        if not target:
             continue
-        target, at, literals = name[2] or name[3], op.end(), []
         while True:
             value = _VALUE.match(text, at)
             if not value:
