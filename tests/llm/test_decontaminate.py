@@ -67,3 +67,21 @@ def test_plan_has_no_python(spark):
     docs, bench = spark.createDataFrame([(1, ITEM)], "doc_id long, text string"), spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     plan = D.matches(docs, bench)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "MapIn" not in plan
+
+
+#: Items with many numbers, units or names; the second text has other values, if the item has windows of plain words to find it by.
+RICH = [
+    ("A train goes 60 km in 2 hours and 90 km in 3 hours. Find its speed.", "A train goes 44 km in 5 hours and 81 km in 7 hours. Find its speed."),
+    ("Order 4 kg, 20 g, 3 lb, 7 oz from least to greatest.", "Order 5 kg, 21 g, 8 lb, 9 oz from least to greatest."),
+    ("Find the mean of 3, 5, 7, 11, 13, 17 and 21.", "Find the mean of 2, 4, 6, 8, 10, 12 and 14."),
+    ("Compute 12 + 7 * 3 - 45 / 9.", None),
+]
+
+
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_items_of_many_slots(spark, monkeypatch, few):
+    monkeypatch.setattr(D, "FEW", few)
+    texts = [(i, around(a, i)) for i, (a, _) in enumerate(RICH)] + [(10 + i, around(b, i)) for i, (_, b) in enumerate(RICH) if b]
+    texts += [(20, "table 1 2 3 4 5 6 7 8 9 12 7 3"), (21, around("Compute 13 + 8 * 4 - 46 / 2.")), (22, around("Find the mean of the week"))]
+    got = found(spark, texts, list(enumerate(a for a, _ in RICH)))
+    assert {(d, i): r.same_values for (d, i), r in got.items()} == {(0, 0): True, (1, 1): True, (2, 2): True, (3, 3): True, (10, 0): False, (11, 1): False, (12, 2): False}

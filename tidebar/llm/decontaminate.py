@@ -1,9 +1,9 @@
 """Benchmark passages in documents, also with other numbers, names or units, in DataFrame functions only.
 
 Texts become templates: numbers, units behind numbers, and capitalised words inside sentences turn into typed placeholders, the rest into lower-case
-words. Every WINDOW tokens of a benchmark item with at least LITERALS plain words are hashed and joined with those of the documents. Windows of one
-document and item on one offset belong together; their slots must be consistent: on one offset a value of the item stands for one value of the
-document. An item is found in a document if the windows of consistent offsets cover at least COVERAGE of its tokens.
+words. Every WINDOW tokens of a benchmark item with at least LITERALS plain words are hashed and joined with those of the documents: these are seeds; of
+an item without any, all windows are, but only with the item's own values. On a seed's offset all windows of the item, also those of placeholders alone, are compared with the document's; their slots must be consistent: on one offset a value of the item stands for one value of
+the document. An item is found in a document if the windows of consistent offsets cover at least COVERAGE of its tokens.
 
 Benchmark windows are few beside documents: up to FEW of them filter the documents' windows inside the scan; more are joined by a shuffle instead.
 
@@ -13,9 +13,11 @@ are not searched. Repeated rows count once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebar.session import scratch
+
 WINDOW, LITERALS, COVERAGE = 5, 3, 0.8
 FEW = 20_000
 NUM, UNIT, NAME = "0num", "0unit", "0name"
@@ -84,21 +86,38 @@ def windows(texts: DataFrame, wanted: list[int] | None) -> DataFrame:
     return valued.select("id", F.size("tokens").alias("n"), F.explode(each).alias("w")).select("id", "n", "w.at", "w.window", "w.slots", "w.literals")
 
 
+def _few(listed: DataFrame) -> list[int] | None:
+    """The distinct windows if they are few enough to filter inside a scan."""
+    found = [r.window for r in listed.select("window").distinct().limit(FEW + 1).collect()]
+    return found if len(found) <= FEW else None
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, coverage, same_values) of every benchmark item found in a document; same_values: whether no slot differs."""
     items = benchmark.select(benchmark[item_id].alias("id"), benchmark[text].alias("text")).filter("id is not null and text is not null").distinct()
-    theirs = windows(items, None).filter(F.col("literals") >= LITERALS).select(F.col("id").alias("item_id"), "n", F.col("at").alias("p"), "window", F.col("slots").alias("theirs"))
-    first = [r.window for r in theirs.select("window").distinct().limit(FEW + 1).collect()]
-    few = len(first) <= FEW
+    every = windows(items, None).select(F.col("id").alias("item_id"), "n", F.col("at").alias("p"), "window", F.col("slots").alias("theirs"), "literals")
+    most = F.max("literals").over(Window.partitionBy("item_id", "n"))
+    seeds = every.withColumn("most", most).filter((F.col("literals") >= LITERALS) | (F.col("most") < LITERALS)).drop("most")
+    wanted = _few(seeds)
     texts = docs.select(docs[doc_id].alias("id"), docs[text].alias("text")).filter("id is not null and text is not null")
-    own = windows(texts, first if few else None).select(F.col("id").alias("doc_id"), F.col("at").alias("q"), "window", F.col("slots").alias("own"))
-    met = own.join(F.broadcast(theirs) if few else theirs, "window")
+    own = windows(texts, wanted).select(F.col("id").alias("doc_id"), F.col("at").alias("q"), "window", F.col("slots").alias("own"))
+    met = own.join(F.broadcast(seeds) if wanted is not None else seeds, "window").filter((F.col("literals") >= LITERALS) | F.col("theirs").eqNullSafe(F.col("own")))
+    folder = scratch(docs.sparkSession, "decontaminate")
+    met.select("doc_id", "item_id", (F.col("q") - F.col("p")).alias("offset"), (F.col("literals") >= LITERALS).alias("seeded")).distinct().write.parquet(folder)
+    hits = docs.sparkSession.read.parquet(folder)
+    # all windows of the item along the seeds' offsets, of documents with seeds only
+    near = windows(texts.join(hits.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi"), _few(every)).select(F.col("id").alias("doc_id"), F.col("at").alias("q"), "window", F.col("slots").alias("own"))
+    expected = hits.join(every, "item_id").withColumn("q", F.col("p") + F.col("offset"))
     # what an item's values stand for, on one offset
-    offset = met.select("doc_id", "item_id", "n", "p", (F.col("q") - F.col("p")).alias("offset"), F.filter(F.arrays_zip("theirs", "own"), lambda z: z["theirs"].isNotNull()).alias("pairs"))
-    along = offset.groupBy("doc_id", "item_id", "n", "offset").agg(F.collect_set("p").alias("ps"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))  # an item's windows at most
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda z: z["theirs"])))
-    same = F.forall("pairs", lambda z: z["theirs"].eqNullSafe(z["own"]))
-    kept = along.filter(consistent).select("doc_id", "item_id", "n", "ps", same.alias("same"))
+    pairs = F.filter(F.arrays_zip("theirs", "own"), lambda z: z["theirs"].isNotNull())
+    offset = near.join(expected, ["doc_id", "q", "window"]).select("doc_id", "item_id", "n", "offset", "seeded", "p", pairs.alias("pairs"), (F.col("literals") >= LITERALS).alias("rich"))
+    sets = lambda only, ps, out: (F.collect_set(F.when(only, F.col("p"))).alias(ps), F.array_distinct(F.flatten(F.collect_set(F.when(only, F.col("pairs"))))).alias(out))
+    along = offset.groupBy("doc_id", "item_id", "n", "offset", "seeded").agg(*sets(F.lit(True), "ps", "pairs"), *sets(F.col("rich"), "rich_ps", "rich_pairs"))  # an item's windows at most
+    one = lambda c: F.size(c) == F.size(F.array_distinct(F.transform(c, lambda z: z["theirs"])))
+    equal = lambda c: F.forall(c, lambda z: z["theirs"].eqNullSafe(z["own"]))
+    # where values of placeholder-rich windows conflict, the others still count alone; an item without seeds needs its own values
+    usable = along.withColumn("whole", one("pairs") & (F.col("seeded") | equal("pairs"))).filter(F.col("whole") | (F.col("seeded") & one("rich_pairs")))
+    kept = usable.select("doc_id", "item_id", "n", F.when(F.col("whole"), F.col("ps")).otherwise(F.col("rich_ps")).alias("ps"), equal("pairs").alias("same"))
     covered = F.size(F.array_distinct(F.flatten(F.transform(F.array_distinct(F.flatten(F.collect_set("ps"))), lambda p: F.sequence(p, p + WINDOW - 1)))))
     found = kept.groupBy("doc_id", "item_id", "n").agg((covered / F.first("n")).alias("coverage"), F.bool_and("same").alias("same_values"))
     return found.filter(F.col("coverage") >= COVERAGE).groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.bool_and("same_values").alias("same_values"))
