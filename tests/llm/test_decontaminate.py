@@ -85,3 +85,62 @@ def test_items_of_many_slots(spark, monkeypatch, few):
     texts += [(20, "table 1 2 3 4 5 6 7 8 9 12 7 3"), (21, around("Compute 13 + 8 * 4 - 46 / 2.")), (22, around("Find the mean of the week"))]
     got = found(spark, texts, list(enumerate(a for a, _ in RICH)))
     assert {(d, i): r.same_values for (d, i), r in got.items()} == {(0, 0): True, (1, 1): True, (2, 2): True, (3, 3): True, (10, 0): False, (11, 1): False, (12, 2): False}
+
+
+def test_short_items_are_whole_sentences(spark):
+    items = [(1, "Compute 3 + 4 * 5 - 17 / 2."), (2, "Name a prime."), (3, "Paris"), (4, "Is 7 odd?"), (5, " ... "), (6, "Go. Stop!")]
+    texts = [(1, around("Compute 3 + 4 * 5 - 17 / 2.")), (2, "of the. Name a  prime! More."), (3, "we name a prime here"), (4, "one\nparis\ntwo"), (5, "Is 9 odd? Paris is far"), (6, "x. is 7 odd? y"), (7, "a\nGo. Stop!\nb"), (8, "")]
+    got = found(spark, texts, items)
+    assert set(got) == {(1, 1), (2, 2), (4, 3), (6, 4), (7, 6)} and all(r.same_values for r in got.values())
+
+
+def test_long_tokens_and_repeats_need_no_stack(spark):
+    texts = [(1, "said " + " ".join(["Anna"] * 100_000) + " then " + ITEM), (2, "of " + ".".join(["7"] * 100_000) + " and " + ITEM), (3, (ITEM + " ") * 600), (4, "\x01\x02 x " + ITEM), (5, "١٢ " * 1000 + "é" * 100_000)]
+    got = found(spark, texts, [(9, ITEM)])
+    assert set(got) == {(1, 9), (2, 9), (3, 9), (4, 9)}
+
+
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_renamed_values_equal_a_brute_force_search(spark, monkeypatch, few):
+    """Items whose slots get other values, consistently or not, against a loop over all alignments."""
+    monkeypatch.setattr(D, "FEW", few)
+    rnd = random.Random(5)
+    vocab = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    items = []
+    for i in range(12):
+        w = [rnd.choice(vocab) for _ in range(24)]
+        for k in rnd.sample(range(1, 24), 4):
+            w[k] = rnd.choice(["12", "57", "3.5"])
+        items.append((i, w))
+    texts = []
+    for d in range(60):
+        own, names = list(rnd.choice(items)[1]), {"12": "90", "57": "8", "3.5": "44"}
+        own = [names.get(x, x) if d % 3 else x for x in own]
+        if d % 5 == 0:  # one slot breaks the rule
+            k = next(k for k, x in enumerate(own) if x[0].isdigit())
+            own[k] = "1001"
+        texts.append((d, [rnd.choice(vocab) for _ in range(30)] + own + [rnd.choice(vocab) for _ in range(30)]))
+
+    kind = lambda x: "0" if x[0].isdigit() else x
+
+    def covers(item, text):
+        spots = set()
+        for off in range(-len(item), len(text)):
+            hit = [p for p in range(len(item) - 4) if 0 <= p + off <= len(text) - 5 and [kind(x) for x in item[p : p + 5]] == [kind(x) for x in text[p + off : p + off + 5]]]
+            rich = [p for p in hit if sum(kind(x) != "0" for x in item[p : p + 5]) >= 3]
+            fits = lambda ps, o=off: all(len({text[q + o] for p in ps for q in range(p, p + 5) if item[q] == v}) <= 1 for v in {"12", "57", "3.5"})
+            if rich and fits(hit):
+                spots |= {p + k for p in hit for k in range(5)}
+            elif rich and fits(rich):
+                spots |= {p + k for p in rich for k in range(5)}
+        return len(spots) >= 0.8 * len(item)
+
+    want = {(d, i) for d, t in texts for i, w in items if covers(w, t)}
+    assert set(found(spark, [(d, " ".join(t)) for d, t in texts], [(i, " ".join(w)) for i, w in items])) == want and len(want) > 20
+
+
+def test_texts_under_one_id_do_not_mix(spark):
+    a, b = " ".join(f"wa{c}" for c in "abcdefghijkl"), " ".join(f"wb{c}" for c in "abcdefghijkl")
+    half = lambda x, k: " ".join(x.split()[6 * k : 6 * k + 6])
+    got = found(spark, [(1, half(a, 0)), (1, half(a, 1)), (2, half(a, 0) + " " + half(b, 1)), (3, b)], [(5, a), (5, b)])
+    assert set(got) == {(3, 5)}

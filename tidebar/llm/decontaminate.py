@@ -1,14 +1,22 @@
 """Benchmark passages in documents, also with other numbers, names or units, in DataFrame functions only.
 
 Texts become templates: numbers, units behind numbers, and capitalised words inside sentences turn into typed placeholders, the rest into lower-case
-words. Every WINDOW tokens of a benchmark item with at least LITERALS plain words are hashed and joined with those of the documents: these are seeds; of
-an item without any, all windows are, but only with the item's own values. On a seed's offset all windows of the item, also those of placeholders alone, are compared with the document's; their slots must be consistent: on one offset a value of the item stands for one value of
-the document. An item is found in a document if the windows of consistent offsets cover at least COVERAGE of its tokens.
+words. Neighbouring capitalised words are one name. All patterns read single tokens and loop over classes of characters only, so that a token of any
+length costs no stack.
 
-Benchmark windows are few beside documents: up to FEW of them filter the documents' windows inside the scan; more are joined by a shuffle instead.
+Every WINDOW tokens of a benchmark item with at least LITERALS plain words are hashed and joined with those of the documents: these are seeds. An item
+without any is sought by the hashes of its windows with their own values instead. On a seed's offset all windows of the item, also those of placeholders
+alone, are compared with the document's; their slots must be consistent: on one offset a value of the item stands for one value of the document. An item
+is found in a document if the windows of consistent offsets cover at least COVERAGE of its tokens.
 
-Nulls: null texts have no tokens, and rows without an id are never found. Items of fewer than WINDOW tokens can't be told apart from common phrases and
-are not searched. Repeated rows count once.
+An item of fewer than WINDOW tokens is found where a sentence, a line or the whole text of a document has just its tokens, values included (elsewhere
+such few words are common phrases).
+
+Benchmark windows are few beside documents: up to FEW of them filter the documents' windows inside the scan; more are joined by a shuffle instead, with
+the same results.
+
+Nulls: null texts have no tokens, and rows without an id are never found. Items without tokens are never found. Repeated rows count once; texts that share
+an id are searched each for itself, and so are an item's texts.
 """
 
 from __future__ import annotations
@@ -23,101 +31,163 @@ FEW = 20_000
 NUM, UNIT, NAME = "0num", "0unit", "0name"
 #: Units that a number can have behind it.
 UNITS = "mm cm km m miles mile feet ft inches mg g kg lb lbs oz tons ml l litres liters gallons s sec seconds min minutes h hours days weeks months years mph kmh usd eur dollars euros cents percent degrees people".split()
-_NUMBER = r"(?<![\p{L}\p{N}])[+\-]?\p{Nd}+(?:[.,:/]\p{Nd}+)*"
-_WITH_UNIT = _NUMBER + r"(?=\s?(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}]))"
-_BARE = _NUMBER + r"(?:%|(?![\p{L}\p{N}]))"
-_UNIT_AFTER = rf"(?<={NUM}) ?\s?(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}])"
-_NAMES = r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*"
-_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Stand before a name, and between its words.
+MARK, JOINT = "\x01", "\x02"
+_LETTER = r"A-Za-z\x{80}-\x{10FFFF}"
+_NAME_HERE = r"(?<=[\p{L}\p{N},;] )(?=\p{Lu}\p{Ll})"
+_NAME_GOES_ON = rf"{MARK}([{_LETTER}]++) (?={MARK})"
+_SPELT_UNITS = "|".join(UNITS)
+_DIGITS = rf"(?:(?<![{_LETTER}0-9])[+\-])?[0-9][0-9.,:/]*+%?+"
+#: A name, a number (also with a unit right behind it), a word.
+TOKEN = rf"{MARK}[{_LETTER}{MARK}{JOINT}]++|{_DIGITS}(?:(?![{_LETTER}0-9])|(?=(?:{_SPELT_UNITS})(?![{_LETTER}0-9])))|[{_LETTER}0-9]++"
+#: What templates have in place of the hashes of words.
+_NAME_HASH, _NUM_HASH, _UNIT_HASH = 1, 2, 3
+
+
+def tokens(text: Column) -> Column:
+    """The text's tokens as they stand; names begin with MARK."""
+    plain = F.regexp_replace(text, F.lit(rf"[{MARK}{JOINT}]"), F.lit(" "))
+    marked = F.regexp_replace(F.regexp_replace(plain, F.lit(_NAME_HERE), F.lit(MARK)), F.lit(_NAME_GOES_ON), F.lit(f"{MARK}$1{JOINT}"))
+    return F.regexp_extract_all(marked, F.lit(TOKEN), F.lit(0))
+
 
+def _is_number(t: Column) -> Column:
+    # signs and digits sort below letters, so that only few tokens meet the pattern
+    return (t >= "+") & (t < ":") & ~t.rlike(rf"[{_LETTER}]")
 
-def _numbers_out(text: Column) -> Column:
-    united = F.regexp_replace(F.regexp_replace(text, F.lit(_WITH_UNIT), F.lit(f" {NUM}")), F.lit(_UNIT_AFTER), F.lit(f" {UNIT} "))
-    return F.regexp_replace(united, F.lit(_BARE), F.lit(f" {NUM} "))
+
+def _by_kind(ts: Column, name, number, unit, word) -> Column:  # noqa: ANN001
+    """For each token what the function for its kind makes of it."""
+
+    def of(t: Column, i: Column) -> Column:
+        behind = _is_number(F.get(ts, i - 1)) & F.lower(t).isin(UNITS)
+        return F.when(t.startswith(MARK), name(t)).when(_is_number(t), number(t)).when(behind, unit(t)).otherwise(word(t))
+
+    return F.transform(ts, of)
 
 
 def template(text: Column) -> Column:
     """The text's template as an array of tokens."""
-    return F.filter(F.split(F.lower(F.regexp_replace(_numbers_out(text), F.lit(_NAMES), F.lit(NAME))), _BETWEEN), lambda t: t != "")
+    # bound once by a one-element array
+    return F.flatten(F.transform(F.array(tokens(text)), lambda ts: _by_kind(ts, lambda t: F.lit(NAME), lambda t: F.lit(NUM), lambda t: F.lit(UNIT), F.lower)))
+
+
+def _hashes(ts: Column) -> Column:
+    long = lambda k: lambda t: F.lit(k).cast("long")
+    return _by_kind(ts, long(_NAME_HASH), long(_NUM_HASH), long(_UNIT_HASH), lambda t: F.xxhash64(F.lower(t)))
 
 
-def _hashes(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: F.xxhash64(t))
+def _is_literal(h: Column) -> Column:
+    return ~h.isin(_NAME_HASH, _NUM_HASH, _UNIT_HASH)
 
 
-def _places(tokens: Column) -> Column:
-    return F.when(F.size(tokens) >= WINDOW, F.sequence(F.lit(0), F.greatest(F.size(tokens) - WINDOW, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+def _values(ts: Column) -> Column:
+    """For each token its own value if it is a placeholder, else null."""
+    return _by_kind(ts, lambda t: F.translate(t, MARK + JOINT, " "), lambda t: F.rtrim(t, F.lit(".,:/")), F.lower, lambda t: F.lit(None).cast("string"))
+
+
+def _exact(ts: Column) -> Column:
+    """Hashes of the tokens with their values."""
+    return F.transform(ts, lambda t: F.xxhash64(F.rtrim(F.lower(t), F.lit(".,:/"))))
+
+
+def _places(h: Column) -> Column:
+    return F.when(F.size(h) >= WINDOW, F.sequence(F.lit(0), F.greatest(F.size(h) - WINDOW, F.lit(0)))).otherwise(F.array().cast("array<int>"))
 
 
 def _window(hashes: Column, i: Column) -> Column:
     return F.xxhash64(*(F.get(hashes, i + k) for k in range(WINDOW)))
 
 
-def _slots(tokens: Column, values: dict[str, Column], i: Column) -> Column:
-    """For each token of the window at i: its own value if it is a placeholder, else null. A value is found by counting the placeholders before it."""
+def _hashed(texts: DataFrame, exact: bool = False) -> DataFrame:
+    """For (id, row, text): the tokens, the template's hashes h and, if asked for, the hashes e of the tokens with their values."""
+    cut = texts.select("id", "row", tokens(F.col("text")).alias("ts"))
+    return cut.select("id", "row", "ts", _hashes(F.col("ts")).alias("h"), *([_exact(F.col("ts")).alias("e")] if exact else []))
+
 
-    def is_(kind: str):  # noqa: ANN202
-        return lambda t: t == kind
+def _seeds_in(texts: DataFrame, wanted: dict[bool, list[int]] | None, exact: bool) -> DataFrame:
+    """(id, row, at, by_value, window) of the windows of templates (by_value false) and, if asked for, of tokens with their values (true)."""
+    hashed = _hashed(texts, exact)
 
-    def value(j: Column) -> Column:
-        token = F.get(tokens, j)
-        out = F.lit(None).cast("string")
-        for kind, listed in values.items():
-            nth = F.size(F.filter(F.slice(tokens, F.lit(1), j + 1), is_(kind))) - 1
-            out = F.when(token == kind, F.coalesce(F.get(listed, nth), F.lit(""))).otherwise(out)
-        return out
+    def found(by_value: bool, column: str) -> Column:
+        places = _places(F.col(column))
+        if wanted is not None:
+            places = F.filter(places, lambda i: _window(F.col(column), i).isin(wanted[by_value])) if wanted[by_value] else F.array().cast("array<int>")
+        return F.transform(places, lambda i: F.struct(i.alias("at"), F.lit(by_value).alias("by_value"), _window(F.col(column), i).alias("window")))
 
-    return F.array(*(value(i + k) for k in range(WINDOW)))
+    every = F.concat(found(False, "h"), found(True, "e")) if exact else found(False, "h")
+    return hashed.select("id", "row", F.explode(every).alias("w")).select("id", "row", "w.at", "w.by_value", "w.window")
 
 
 def windows(texts: DataFrame, wanted: list[int] | None) -> DataFrame:
-    """For (id, text): (id, n tokens, at, window hash, slots) of every window, or of the wanted hashes only."""
-    tokens = texts.select("id", "text", template(F.col("text")).alias("tokens"))
-    hashed = tokens.select("id", "text", "tokens", _hashes(F.col("tokens")).alias("h"))
-    inside = (lambda i: _window(F.col("h"), i).isin(wanted)) if wanted is not None else None
-    places = F.filter(_places(F.col("tokens")), inside) if inside else _places(F.col("tokens"))
+    """For (id, row, text): (id, row, n tokens, at, window hash, slots, plain words in it) of every window, or of the wanted hashes only."""
+    hashed = _hashed(texts)
+    places = _places(F.col("h")) if wanted is None else F.filter(_places(F.col("h")), lambda i: _window(F.col("h"), i).isin(wanted))
     # no filter on places: it would be pushed below and take the hashes' expression into the lambda, to be evaluated for every window
-    found = hashed.select("id", "text", "tokens", "h", places.alias("places"))
-    hit = lambda values: F.when(F.size("places") > 0, values)
-    # numbers are taken from the text in the order in which they were replaced; names from the text without numbers
-    valued = found.withColumns({"nums": hit(F.regexp_extract_all("text", F.lit(_NUMBER + r"(?=\s?(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}])|%|(?![\p{L}\p{N}]))"), F.lit(0))), "names": hit(F.regexp_extract_all(_numbers_out(F.col("text")), F.lit(_NAMES), F.lit(0)))})
-    values = {NUM: F.col("nums"), NAME: F.col("names")}
-    each = F.transform("places", lambda i: F.struct(i.alias("at"), _window(F.col("h"), i).alias("window"), _slots(F.col("tokens"), values, i).alias("slots"), F.size(F.filter(F.slice(F.col("tokens"), i + 1, F.lit(WINDOW)), lambda t: ~t.isin(NUM, UNIT, NAME))).alias("literals")))
-    return valued.select("id", F.size("tokens").alias("n"), F.explode(each).alias("w")).select("id", "n", "w.at", "w.window", "w.slots", "w.literals")
-
-
-def _few(listed: DataFrame) -> list[int] | None:
-    """The distinct windows if they are few enough to filter inside a scan."""
-    found = [r.window for r in listed.select("window").distinct().limit(FEW + 1).collect()]
+    valued = hashed.select("id", "row", "h", "ts", places.alias("places")).withColumn("values", F.when(F.size("places") > 0, _values(F.col("ts"))))
+    slots = lambda i: F.slice(F.col("values"), i + 1, F.lit(WINDOW))
+    literals = lambda i: F.size(F.filter(F.slice(F.col("h"), i + 1, F.lit(WINDOW)), _is_literal))
+    each = F.transform("places", lambda i: F.struct(i.alias("at"), _window(F.col("h"), i).alias("window"), slots(i).alias("slots"), literals(i).alias("literals")))
+    return valued.select("id", "row", F.size("h").alias("n"), F.explode(each).alias("w")).select("id", "row", "n", "w.at", "w.window", "w.slots", "w.literals")
+
+
+def _few(listed: DataFrame, *columns: str) -> list | None:
+    """The rows if they are few enough to filter inside a scan."""
+    found = listed.select(*columns).limit(FEW + 1).collect()
     return found if len(found) <= FEW else None
 
 
+def _short(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id) where a sentence, a line or a whole text is an item of fewer than WINDOW tokens."""
+    key = lambda text: F.flatten(F.transform(F.array(tokens(text)), lambda ts: F.when((F.size(ts) > 0) & (F.size(ts) < WINDOW), F.array(F.xxhash64(_exact(ts)))).otherwise(F.array().cast("array<bigint>"))))
+    parts = F.array_distinct(F.concat(F.split("text", r"[.!?\n]+"), F.split("text", r"\n"), F.array("text")))
+    sought = items.select(F.col("id").alias("item_id"), F.explode(key(F.col("text"))).alias("key")).distinct()
+    own = texts.select(F.col("id").alias("doc_id"), F.explode(F.array_distinct(F.flatten(F.transform(parts, key)))).alias("key"))
+    return own.join(sought, "key").select("doc_id", "item_id").distinct()
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, coverage, same_values) of every benchmark item found in a document; same_values: whether no slot differs."""
-    items = benchmark.select(benchmark[item_id].alias("id"), benchmark[text].alias("text")).filter("id is not null and text is not null").distinct()
-    every = windows(items, None).select(F.col("id").alias("item_id"), "n", F.col("at").alias("p"), "window", F.col("slots").alias("theirs"), "literals")
-    most = F.max("literals").over(Window.partitionBy("item_id", "n"))
-    seeds = every.withColumn("most", most).filter((F.col("literals") >= LITERALS) | (F.col("most") < LITERALS)).drop("most")
-    wanted = _few(seeds)
-    texts = docs.select(docs[doc_id].alias("id"), docs[text].alias("text")).filter("id is not null and text is not null")
-    own = windows(texts, wanted).select(F.col("id").alias("doc_id"), F.col("at").alias("q"), "window", F.col("slots").alias("own"))
-    met = own.join(F.broadcast(seeds) if wanted is not None else seeds, "window").filter((F.col("literals") >= LITERALS) | F.col("theirs").eqNullSafe(F.col("own")))
-    folder = scratch(docs.sparkSession, "decontaminate")
-    met.select("doc_id", "item_id", (F.col("q") - F.col("p")).alias("offset"), (F.col("literals") >= LITERALS).alias("seeded")).distinct().write.parquet(folder)
-    hits = docs.sparkSession.read.parquet(folder)
+    spark, folder = docs.sparkSession, scratch(docs.sparkSession, "decontaminate")
+    of = lambda df, i: df.select(df[i].alias("id"), df[text].alias("text")).filter("id is not null and text is not null").withColumn("row", F.xxhash64("text"))
+    items, texts = of(benchmark, item_id).distinct(), of(docs, doc_id)
+    # of benchmark size: written, as every step reads it
+    every = windows(items, None).select(F.col("id").alias("item_id"), F.col("row").alias("item_row"), "n", F.col("at").alias("p"), "window", F.col("slots").alias("theirs"), "literals")
+    every.write.parquet(f"{folder}/items")
+    every = spark.read.parquet(f"{folder}/items")
+    most = F.max("literals").over(Window.partitionBy("item_id", "item_row"))
+    rich = every.withColumn("most", most)
+    seeds = rich.filter(F.col("literals") >= LITERALS).select("item_id", "item_row", "p", F.lit(False).alias("by_value"), "window")
+    poor = rich.filter(F.col("most") < LITERALS).select(F.col("item_id").alias("id"), F.col("item_row").alias("row")).distinct()
+    exact = not poor.isEmpty()
+    if exact:
+        valued = _seeds_in(items.join(poor, ["id", "row"], "left_semi"), None, True).filter("by_value")
+        seeds = seeds.union(valued.select(F.col("id").alias("item_id"), F.col("row").alias("item_row"), F.col("at").alias("p"), "by_value", "window"))
+    listed = _few(seeds, "by_value", "window")
+    wanted = None if listed is None else {v: sorted({r.window for r in listed if r.by_value == v}) for v in (False, True)}
+    own = _seeds_in(texts, wanted, exact).withColumnsRenamed({"id": "doc_id", "row": "doc_row", "at": "q"})
+    met = own.join(F.broadcast(seeds) if wanted is not None else seeds, ["by_value", "window"])  # FEW rows at most, if they are sent
+    met.select("doc_id", "doc_row", "item_id", "item_row", (F.col("q") - F.col("p")).alias("offset"), (~F.col("by_value")).alias("seeded")).distinct().write.parquet(f"{folder}/hits")
+    hits = spark.read.parquet(f"{folder}/hits")
     # all windows of the item along the seeds' offsets, of documents with seeds only
-    near = windows(texts.join(hits.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi"), _few(every)).select(F.col("id").alias("doc_id"), F.col("at").alias("q"), "window", F.col("slots").alias("own"))
-    expected = hits.join(every, "item_id").withColumn("q", F.col("p") + F.col("offset"))
+    few = _few(every, "window")
+    near = windows(texts.join(hits.select(F.col("doc_id").alias("id"), F.col("doc_row").alias("row")).distinct(), ["id", "row"], "left_semi"), None if few is None else sorted({r.window for r in few}))
+    near = near.select(F.col("id").alias("doc_id"), F.col("row").alias("doc_row"), F.col("at").alias("q"), "window", F.col("slots").alias("own")).distinct()
+    expected = hits.join(every, ["item_id", "item_row"]).withColumn("q", F.col("p") + F.col("offset"))
     # what an item's values stand for, on one offset
     pairs = F.filter(F.arrays_zip("theirs", "own"), lambda z: z["theirs"].isNotNull())
-    offset = near.join(expected, ["doc_id", "q", "window"]).select("doc_id", "item_id", "n", "offset", "seeded", "p", pairs.alias("pairs"), (F.col("literals") >= LITERALS).alias("rich"))
+    keys = ["doc_id", "doc_row", "item_id", "item_row", "n"]
+    offset = near.join(expected, ["doc_id", "doc_row", "q", "window"]).select(*keys, "offset", "seeded", "p", pairs.alias("pairs"), (F.col("literals") >= LITERALS).alias("rich"))
     sets = lambda only, ps, out: (F.collect_set(F.when(only, F.col("p"))).alias(ps), F.array_distinct(F.flatten(F.collect_set(F.when(only, F.col("pairs"))))).alias(out))
-    along = offset.groupBy("doc_id", "item_id", "n", "offset", "seeded").agg(*sets(F.lit(True), "ps", "pairs"), *sets(F.col("rich"), "rich_ps", "rich_pairs"))  # an item's windows at most
+    along = offset.groupBy(*keys, "offset", "seeded").agg(*sets(F.lit(True), "ps", "pairs"), *sets(F.col("rich"), "rich_ps", "rich_pairs"))  # an item's windows at most
     one = lambda c: F.size(c) == F.size(F.array_distinct(F.transform(c, lambda z: z["theirs"])))
     equal = lambda c: F.forall(c, lambda z: z["theirs"].eqNullSafe(z["own"]))
     # where values of placeholder-rich windows conflict, the others still count alone; an item without seeds needs its own values
     usable = along.withColumn("whole", one("pairs") & (F.col("seeded") | equal("pairs"))).filter(F.col("whole") | (F.col("seeded") & one("rich_pairs")))
-    kept = usable.select("doc_id", "item_id", "n", F.when(F.col("whole"), F.col("ps")).otherwise(F.col("rich_ps")).alias("ps"), equal("pairs").alias("same"))
+    kept = usable.select(*keys, F.when(F.col("whole"), F.col("ps")).otherwise(F.col("rich_ps")).alias("ps"), equal("pairs").alias("same"))
     covered = F.size(F.array_distinct(F.flatten(F.transform(F.array_distinct(F.flatten(F.collect_set("ps"))), lambda p: F.sequence(p, p + WINDOW - 1)))))
-    found = kept.groupBy("doc_id", "item_id", "n").agg((covered / F.first("n")).alias("coverage"), F.bool_and("same").alias("same_values"))
-    return found.filter(F.col("coverage") >= COVERAGE).groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.bool_and("same_values").alias("same_values"))
+    found = kept.groupBy(*keys).agg((covered / F.first("n")).alias("coverage"), F.bool_and("same").alias("same_values")).filter(F.col("coverage") >= COVERAGE)
+    short = items.filter((F.size(tokens(F.col("text"))) > 0) & (F.size(tokens(F.col("text"))) < WINDOW))
+    if not short.isEmpty():
+        found = found.select("doc_id", "item_id", "coverage", "same_values").union(_short(texts, short).withColumns({"coverage": F.lit(1.0), "same_values": F.lit(True)}))
+    return found.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.bool_and("same_values").alias("same_values"))
