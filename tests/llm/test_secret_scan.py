@@ -70,3 +70,78 @@ def test_literals_and_names_of_any_length(size):
         first, spans = S.scan(text)
         assert ("literal", 2 + len(head), 2 + len(head) + size) in spans and not first
         assert S.redact(text, spans) == f"x {head}[SECRET]{tail} y"
+
+
+KEY = "q8Zr-11xTpl0"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        f'signing_key = """{KEY}"""', f"signing_key = '''{KEY}'''", f'cfg["signing_key"] = "{KEY}"', f"cfg['signing_key']='{KEY}'", f'signing_key: str = "{KEY}"', f"signing_key: dict[str, int] | None = '{KEY}'",
+        f'const signingKey?: string = "{KEY}"', f"signing_key:\n  {KEY}\n", f"signing_key: |\n  {KEY}\nother: x", f"signing_key: >-  # note\n\n    {KEY}\nother: x", f"x = use(base)\nsigning_key = base\nbase = '{KEY}'", f"signing_key = a\na = b\nb = '{KEY}'\na = c()",
+        f"<signing_key>{KEY}</signing_key>", f'<add key="signing_key" value="{KEY}"/>', f"<add value='{KEY}' name='signing_key'></add>", f'<entry key="signing_key"> {KEY}\n</entry>', f'<conn signing_key="{KEY}"/>', f'signing_key = b"{KEY}"',
+        f'signing_key = /* don\'t */ "{KEY}"', f"# don't set signing_key = '{KEY}' it's\n", f"// it's\nsigning_key = `{KEY}`; // 'x'", f'{{"signing_key":\n"{KEY}"}}', f"note: signing_key={KEY}", f"open(1, signing_key='{KEY}')",
+    ],
+)
+def test_syntax_is_read(text):
+    assert added(text) == [KEY]
+
+
+@pytest.mark.parametrize(
+    "text", [f"base = '{KEY}'\nbase = load()\nsigning_key = base", f"base = '{KEY}'\nsigning_key = base(1)", f"signing_key = a\na = b\nb = a\nc = '{KEY}'", f"signing_key:\nother: {KEY}", f"signing_key: |\nother: {KEY}", f"signing_key == '{KEY}'", f"<signing_key>x<b>{KEY}</b></signing_key>"]
+)
+def test_what_is_not_assigned_is_left_alone(text):
+    assert added(text) == []
+
+
+def test_added_spans_equal_a_model_of_random_programs():
+    """Programs are written statement by statement while a model keeps what every name stands for."""
+    rnd = random.Random(31)
+    fresh = lambda: "".join(rnd.choice("BCDFGHJKMPQRSVWZbcdfghjkmpqrsvwz23456789+") for _ in range(rnd.randint(12, 30)))
+    for _ in range(400):
+        text, env, want = "", {}, set()
+        for _ in range(rnd.randint(1, 14)):
+            name = rnd.choice(["base", "other", "host", "signing_key", "dbPwd", "private-key"])
+            places, kind = [], rnd.choice(["literal", "literal", "name", "sum", "call", "block", "noise"])
+            if kind == "noise":
+                text += rnd.choice(["# it's fine\n", "say 'x: y'\n", "if a == b:\n", "std::x\n", "\n", "/* x */\n"])
+                continue
+            sign = rnd.choice([" = ", "=", ": ", " := "])
+            if kind == "block":
+                text += f"{name}: |\n"
+                for _ in range(rnd.randint(1, 3)):
+                    lit = fresh()
+                    text += "   " + lit + "\n"
+                    places.append((len(text) - 1 - len(lit), len(text) - 1))
+            else:
+                text += name + sign
+                for k in range(rnd.randint(2, 3) if kind == "sum" else 1):
+                    text += " + " if k else ""
+                    ref = rnd.choice([n for n in env if "-" not in n] or [""])
+                    if kind == "call":
+                        text += "load(1)"
+                    elif ref and (kind == "name" or (kind == "sum" and rnd.random() < 0.5)):
+                        text += ref
+                        places += env[ref]
+                    else:
+                        q, lit = rnd.choice(['"', "'", '"""', "`"]), fresh()
+                        text += q + lit + q
+                        places.append((len(text) - len(q) - len(lit), len(text) - len(q)))
+                text += "\n"
+            env[name] = list(dict.fromkeys(places))
+            if S.sensitivity(name) and env[name] and S.sensitivity(name) * S.randomness("".join(text[a:b] for a, b in env[name])) >= S.THRESHOLD:
+                want |= set(env[name])
+        assert {(a, b) for k, a, b in S.scan(text)[1] if k == "literal"} == want, text
+
+
+@pytest.mark.parametrize("text", ["signing_key = /* ", 'signing_key = """ ', "a:\n", 'pwd = \\"', "<pwd>", "x = y + ", "pwd: a | b ", "pwd = '''\\", "a:\n  b", "<a b='"])
+def test_long_texts_take_time_in_proportion(text):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        start = time.process_time()
+        S.scan(text * (n // len(text) + 1))
+        took.append(time.process_time() - start)
+    assert took[1] < 12 * took[0] + 0.2
