@@ -49,8 +49,31 @@ def test_sql_says_the_same():
 
 def test_archives_are_plain_warc(spark, tmp_path):
     W.write(spark.createDataFrame([(5, "http://a.com/x", "hé\r\n\r\n"), (6, "http://a.com/x", "hé\r\n\r\n")], "page_id long, url string, html string"), f"{tmp_path}/w")
-    raw = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("part-*.gz"))
-    assert raw.startswith(b"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:page:5>") and raw.endswith("hé\r\n\r\n\r\n\r\n".encode())
+    (file,) = [p for p in (tmp_path / "w").glob("part-*")]
+    raw = gzip.decompress(file.read_bytes())  # any reader of multi-member gzip can read it
+    assert raw.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n") and raw.endswith("hé\r\n\r\n\r\n\r\n".encode())
+    assert b"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:page:5>" in raw
+
+
+def test_a_record_is_read_by_its_place_alone(spark, tmp_path):
+    rows = [(i, f"http://a.com/{i % 7}", "x" * (i * 997 % 50_000) + str(i)) for i in range(60)] + [(100, "u", "same"), (101, "u", "same")]
+    W.write(spark.createDataFrame(rows, "page_id long, url string, html string"), f"{tmp_path}/w")
+    runs = W.index_runs(spark, f"{tmp_path}/w")
+    entry = runs.filter("page_id = 31").first()
+    data = open(entry.file.removeprefix("file:"), "rb").read()[entry.offset : entry.offset + entry.length]
+    assert W.parsed(gzip.decompress(data))[1].endswith(dict((i, p) for i, _, p in rows)[31].encode())
+    got = {r.page_id: r.payload for r in W.fetch(runs.filter("page_id % 3 = 1"), f"{tmp_path}/w").collect()}
+    assert got == {i: None if i == 100 else p.encode() for i, _, p in rows if i % 3 == 1}
+
+
+@pytest.mark.parametrize("entries", [W.ENTRIES, 40])
+def test_ids_of_both_extremes(spark, monkeypatch, entries):
+    monkeypatch.setattr(W, "ENTRIES", entries)
+    ids = [10**12, -(10**11), 2**62, -(2**63), 2**63 - 1, 0, -1, *range(300, 400)]
+    rows = [(i, "http://a.com/ \t x", f"p{i % 5}") for i in ids]
+    got = W.archive_and_index(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert {(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == brute(rows)
+    assert [r.page_id for r in got] == sorted(ids)
 
 
 def test_loser_tree():

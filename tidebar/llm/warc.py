@@ -1,11 +1,16 @@
 """WARC archives written and read back through Spark, with a globally ordered capture history.
 
-Writing: records are made by column expressions (SHA-1 payload digests in base 32 among them) and written as gzipped text whose line end closes each
-record, so any store that Spark can write will do and a lost executor's file is written anew. Of records with equal payloads, that with the largest
-page id is a response and the others are revisits that refer to it. Each file is one run of captures, sorted by URL key and time.
+Writing: records are made by column expressions (SHA-1 payload digests in base 32 among them); each is a gzip member of its own, and a file begins with
+a warcinfo record. Files are written by Spark's text sink, whose line end is an empty gzip member, so any store that Spark can write will do, a lost
+executor's file is written anew, and the files are whole multi-member archives. Of records with equal payloads, that with the largest page id is a
+response and the others are revisits that refer to it. Each file is one run of captures, sorted by URL key, time and page id.
 
-Reading: each file is parsed by its records' lengths, which gives a sorted run of index entries. Runs are dealt by ranges of (URL key, time, page id),
-so that one URL with very many captures is spread as well, and in each range a loser tree merges the runs: the result is in global order.
+Reading: each file's members give a sorted run of index entries with the place of each member in its file, by which fetch() reads single captures. Runs
+are dealt by ranges of (URL key, time, page id) of about ENTRIES entries each, so that one URL with very many captures is spread as well. In a range the
+entries stay in the order of their runs, and a loser tree merges the runs: the result is in global order, and a task holds one range.
+
+The time of a capture is EPOCH plus its page id in seconds, which is held between 0 and LATEST: later page ids have equal times and stay in order of
+their ids.
 
 Nulls: a null payload is empty, a null URL has the empty key. Equal page ids with equal payloads are all responses. Page ids may be null: such a record
 is named by `-`. Repeated rows are written as often as they come.
@@ -13,22 +18,32 @@ is named by `-`. Repeated rows are written as often as they come.
 
 from __future__ import annotations
 
+import base64
+import gzip
+import hashlib
 import zlib
 from collections.abc import Iterator, Sequence
 from datetime import UTC, datetime
+from itertools import pairwise
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebar.session import scratch
 
-#: Stands for a page id that is null where ids are compared.
-NO_ID = -(2**63)
 #: Payload bytes in a file, about.
 FILE_BYTES = 32 * 2**20
 #: The time of the record of page 0; page ids count seconds from it where no times are given.
 EPOCH = 1_704_067_200
+LATEST = 2**32
+#: Entries in a range that one task merges, about.
+ENTRIES = 100_000
+#: A gzip member without content: what ends each record's member.
+EMPTY_MEMBER = gzip.compress(b"", mtime=0)
+#: Packed bytes that are given to the inflater at once: what it reads beyond a member is copied.
+PIECE = 16_384
 
 
 def base32(hexadecimal: Column) -> Column:
@@ -52,7 +67,7 @@ def planned(pages: DataFrame, page_id: str, url: str, payload: str, at_least: in
     """
     spark = pages.sparkSession
     own = pages.select(pages[page_id].cast("long").alias("page_id"), F.coalesce(pages[url], F.lit("")).alias("url"), F.coalesce(pages[payload], F.lit("")).alias("payload"))
-    own = own.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": base32(F.sha1(F.col("payload").cast("binary"))), "pid": F.coalesce("page_id", F.lit(NO_ID))})
+    own = own.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": base32(F.sha1(F.col("payload").cast("binary"))), "pid": F.coalesce(F.col("page_id").cast("string"), F.lit("-"))})
     folder = scratch(spark, "warc-groups")
     ids = own.filter(F.col("bytes") >= at_least).select("page_id", "pid", "digest")
     # sums in each task come first, so a digest of very many pages is no hot key; written, so that its partition can be split in the join
@@ -63,48 +78,86 @@ def planned(pages: DataFrame, page_id: str, url: str, payload: str, at_least: in
     return dealt.join(spark.read.parquet(f"{folder}/revisits"), ["pid", "digest"], "left").select("page_id", "url", "payload", "bytes", "digest", "refers_to")
 
 
+def target_of(url: Column) -> Column:
+    """The URL as a header can hold it."""
+    return F.regexp_replace(F.coalesce(url, F.lit("")), r"[\x00-\x20]+", F.lit("%20"))
+
+
 def records(plan: DataFrame) -> DataFrame:
-    """Each planned page as the bytes of its record, but for the two bytes that the line end gives."""
+    """Each planned page as the bytes of its record."""
     name = lambda i: F.concat(F.lit("urn:page:"), F.coalesce(i.cast("string"), F.lit("-")))
-    when = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    time = F.lit(EPOCH) + F.least(F.greatest(F.coalesce("page_id", F.lit(0)), F.lit(0)), F.lit(LATEST))
+    when = F.date_format(F.timestamp_seconds(time), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
-    target = F.regexp_replace("url", r"[\x00-\x20]", F.lit("%20"))
+    target = target_of(F.col("url"))
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, "revisit").otherwise("response"), F.lit("\r\nWARC-Record-ID: <"), name(F.col("page_id")), F.lit(">\r\nWARC-Date: "), when,
         F.lit("\r\nWARC-Target-URI: "), target, F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest"),
         F.when(revisit, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <"), name(F.col("refers_to")), F.lit(">"))).otherwise(""),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "),
     )
-    body = F.concat(head, F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block, F.lit("\r\n"))
-    return plan.select(url_key(F.col("url")).alias("key"), F.coalesce("page_id", F.lit(0)).alias("time"), "page_id", body.alias("value"))
+    body = F.concat(head, F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block, F.lit("\r\n\r\n"))
+    return plan.select(url_key(target).alias("key"), time.alias("time"), "page_id", body.cast("binary").alias("value"))
+
+
+def _warcinfo(part: int) -> bytes:
+    fields = b"software: tidebar\r\nformat: WARC File Format 1.1\r\n"
+    date = datetime.fromtimestamp(EPOCH, UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    return f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:archive:{part}>\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(fields)}\r\n\r\n".encode() + fields + b"\r\n\r\n"
 
 
 def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", payload: str = "html", at_least: int = 0) -> None:
     """Writes a record for every page; each file is sorted by URL key, time and page id."""
     total = pages.agg(F.sum(F.octet_length(payload))).first()[0] or 0
     plan = planned(pages, page_id, url, payload, at_least, max(1, -(-total // FILE_BYTES)))
-    runs = records(plan).sortWithinPartitions("key", "time", "page_id")
-    runs.select("value").write.option("lineSep", "\r\n").option("compression", "gzip").text(folder)
+    runs = records(plan).sortWithinPartitions("key", "time", "page_id").select("value")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        member = lambda b: gzip.compress(b, compresslevel=6, mtime=0)
+        first = True
+        for batch in batches:
+            if first and batch.num_rows:
+                first = False
+                yield pa.RecordBatch.from_arrays([pa.array([member(_warcinfo(TaskContext.get().partitionId()))], pa.binary())], names=["value"])
+            yield pa.RecordBatch.from_arrays([pa.array([member(v.as_buffer()) for v in batch.column(0)], pa.binary())], names=["value"])
+
+    # the sink writes bytes as they are; the encoding is that of the line end
+    members = runs.mapInArrow(packed, "value binary").select(F.col("value").cast("string").alias("value"))
+    members.write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").text(folder)
+
+
+def record_at(data: bytes | memoryview, offset: int) -> tuple[int, bytes]:
+    """The record whose gzip member begins at this place, and the member's length."""
+    view, at, out, inflater = memoryview(data), offset, [], zlib.decompressobj(wbits=31)
+    while not inflater.eof:
+        if at >= len(view):
+            raise ValueError(f"the member at {offset} isn't closed")
+        out.append(inflater.decompress(view[at : at + PIECE]))
+        at += PIECE
+    return min(at, len(view)) - len(inflater.unused_data) - offset, b"".join(out)
+
+
+def parsed(record: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers and block of a record."""
+    end = record.index(b"\r\n\r\n")
+    lines = record[:end].decode("utf-8", "surrogateescape").split("\r\n")
+    headers = dict(x.split(": ", 1) for x in lines[1:] if ": " in x)
+    stop = end + 4 + int(headers["Content-Length"])
+    if lines[0] != "WARC/1.1" or record[stop:] != b"\r\n\r\n":
+        raise ValueError("a member isn't one whole record")
+    return headers, record[end + 4 : stop]
 
 
 def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """Offset and length (unpacked), headers and block of each record of a gzipped archive."""
-    raw = zlib.decompress(data, wbits=47) if data else b""
+    """Place and length of its member, headers and block of each record of an archive."""
     at = 0
-    while at < len(raw):
-        end = raw.index(b"\r\n\r\n", at)
-        lines = raw[at:end].decode("utf-8", "surrogateescape").split("\r\n")
-        if lines[0] != "WARC/1.1":
-            raise ValueError(f"no record at {at}")
-        headers = dict(x.split(": ", 1) for x in lines[1:] if ": " in x)
-        start = end + 4
-        stop = start + int(headers["Content-Length"])
-        if raw[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"record at {at} isn't closed")
-        yield at, stop + 4 - at, headers, raw[start:stop]
-        at = stop + 4
+    while at < len(data):
+        length, record = record_at(data, at)
+        if record:
+            yield at, length, *parsed(record)
+        at += length
 
 
 class LoserTree:
@@ -151,19 +204,22 @@ _ENTRY = "key string, time timestamp, page_id long, record_type string, payload_
 _ORDER = ("key", "time", "page_id")
 
 
-def index_runs(spark, folder: str) -> DataFrame:  # noqa: ANN001
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
+
+
+def index_runs(spark: SparkSession, folder: str) -> DataFrame:
     """The index entries of each archive, in the order of its records: one sorted run a file. Digests are made anew from the payloads read."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import base64
-        import hashlib
-
         for batch in batches:
-            for path, content, key in zip(batch.column(0), batch.column(1), range(batch.num_rows), strict=True):
+            for path, content in zip(batch.column(0), batch.column(1), strict=True):
                 rows = []
-                for offset, length, headers, block in parse(content.as_py()):
-                    payload = block[block.index(b"\r\n\r\n") + 4 :]
-                    stated = int(block[: block.index(b"\r\n\r\n")].rpartition(b"Content-Length: ")[2])
+                for offset, length, headers, block in parse(content.as_buffer()):
+                    if headers["WARC-Type"] == "warcinfo":
+                        continue
+                    http = block.index(b"\r\n\r\n")
+                    payload, stated = block[http + 4 :], int(block[:http].rpartition(b"Content-Length: ")[2])
                     digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
                     if headers["WARC-Type"] == "response" and (len(payload) != stated or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
                         raise ValueError(f"{path}: the payload at {offset} isn't what its digest says")
@@ -174,14 +230,27 @@ def index_runs(spark, folder: str) -> DataFrame:  # noqa: ANN001
                     columns = list(zip(*rows, strict=True))
                     kinds = [pa.string(), pa.timestamp("us", tz="UTC"), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in _ENTRY.split(", ")])
-                del key
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
-    return files.mapInArrow(work, _ENTRY).withColumn("key", url_key(F.col("key")))
+    return _files(spark, folder).mapInArrow(work, _ENTRY).withColumn("key", url_key(F.col("key")))
+
+
+def fetch(entries: DataFrame, folder: str) -> DataFrame:
+    """(page_id, payload) of index entries, each read by the place of its member alone; a revisit has no payload of its own."""
+    wanted = entries.groupBy(F.col("file").alias("path")).agg(F.collect_list(F.struct("page_id", "offset", "record_type")).alias("wanted"))  # a file's records at most
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content, listed in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                blocks = [parsed(record_at(content.as_buffer(), w["offset"])[1])[1] for w in listed]
+                payloads = [None if w["record_type"] == "revisit" else b[b.index(b"\r\n\r\n") + 4 :] for w, b in zip(listed, blocks, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([w["page_id"] for w in listed], pa.int64()), pa.array(payloads, pa.binary())], names=["page_id", "payload"])
+
+    return _files(entries.sparkSession, folder).join(wanted, "path").select("content", "wanted").mapInArrow(work, "page_id long, payload binary")
 
 
 def histories(runs: DataFrame, entries_at_once: int = 20_000) -> DataFrame:
-    """All runs merged in the order of URL key, time and page id: rows are in order within partitions, and partitions follow each other."""
+    """All runs merged in the order of URL key, time and page id: rows are in order within partitions, and partitions follow each other. runs must be a
+    table, as it is counted, sampled for the ranges and read."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = [b for b in batches if b.num_rows]
@@ -192,19 +261,22 @@ def histories(runs: DataFrame, entries_at_once: int = 20_000) -> DataFrame:
         keys = list(zip(whole.column("key").to_pylist(), whole.column("time").cast(pa.int64()).to_pylist(), ((i is not None, i or 0) for i in whole.column("page_id").to_pylist()), range(len(files)), strict=True))
         # the runs of a range: entries come one file after the other, each in its run's order
         begins = [0, *(k for k in range(1, len(files)) if files[k] != files[k - 1]), len(files)]
-        order = [x[-1] for x in LoserTree([iter(keys[a:b]) for a, b in zip(begins[:-1], begins[1:], strict=True)])]
+        order = list(LoserTree([iter(keys[a:b]) for a, b in zip(begins[:-1], begins[1:], strict=True)]))
+        if any(a[:3] > b[:3] for a, b in pairwise(order)):
+            raise ValueError("a run isn't sorted")
         for at in range(0, len(order), entries_at_once):
-            yield from whole.take(pa.array(order[at : at + entries_at_once])).combine_chunks().to_batches()
+            yield from whole.take(pa.array([x[-1] for x in order[at : at + entries_at_once]])).combine_chunks().to_batches()
 
-    dealt = runs.repartitionByRange(*_ORDER, F.col("file")).sortWithinPartitions("file", *_ORDER)
-    return dealt.mapInArrow(work, _ENTRY)
+    ranges = max(1, -(-runs.count() // ENTRIES))
+    return runs.repartitionByRange(ranges, *_ORDER, F.col("file")).sortWithinPartitions("file", "offset").mapInArrow(work, _ENTRY)
 
 
 def archive_and_index(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", at_least: int = 0) -> DataFrame:
     """Writes the pages' archives into the shared folder, reads them back and returns their capture history."""
-    folder = scratch(pages.sparkSession, "warc")
-    write(pages, folder, page_id, url, payload, at_least)
-    return histories(index_runs(pages.sparkSession, folder))
+    spark, folder = pages.sparkSession, scratch(pages.sparkSession, "warc")
+    write(pages, f"{folder}/archives", page_id, url, payload, at_least)
+    index_runs(spark, f"{folder}/archives").write.parquet(f"{folder}/index")
+    return histories(spark.read.parquet(f"{folder}/index"))
 
 
 def oracle(table: str = "pages", at_least: int = 0) -> str:
