@@ -75,3 +75,51 @@ def test_rows_nulls_and_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert X.learn(empty, spark.createDataFrame([], "doc_id long, toxic int")) == {}
     assert X.score(empty, {}).count() == 0
+
+
+def test_threats_in_four_languages():
+    for t in ("I will kill you.", "Ich werde dich töten!", "wir werden euch alle verbrennen", "Je vais te tuer", "te voy a matar", "vamos a matar a ustedes", "on va vous frapper"):
+        assert weight(t) == 3.0, t
+    for t in ("Ich werde töten.", "te voy a ver", "je vais tuer le temps", "te vi, voy a matar moscas"):
+        assert weight(t) == 0.0, t
+
+
+def test_common_stems_must_come_often():
+    scorer = X.Scorer({"bom": 3.0, "idiot": 1.0})
+    assert scorer.score("bomado ser bomes") < X.CUT <= scorer.score("bomado ser bomes. el bomar")
+    long = "ser " * 2000
+    assert scorer.score(long + "bomes " * 6) < X.CUT <= scorer.score(long + "bomes " * 9)
+
+
+def test_long_texts_take_time_in_proportion():
+    import time
+
+    scorer = X.Scorer(STEMS)
+    for text in ("foo. ", "idiot. ", "idiot ", "foo; scum"):
+        start = time.process_time()
+        scorer.score(text * (1_000_000 // len(text)))
+        assert time.process_time() - start < 8
+
+
+def test_a_stem_of_chance_is_learned_by_its_rate(spark):
+    """A stem that clean texts have once in a while and toxic ones often."""
+    rnd = random.Random(7)
+    vocab = [a + b for a in ("ba", "lo", "ti", "ren", "su") for b in ("ma", "ne", "ki", "dor", "vel", "sa")]
+    docs, labels = [], []
+    for i in range(600):
+        toxic = rnd.random() < 0.2
+        words = [rnd.choice(vocab) for _ in range(rnd.randint(30, 200))]
+        for _ in range(rnd.randint(4, 7) if toxic else rnd.random() < 0.25):
+            words.insert(rnd.randrange(len(words)), "bomen" + rnd.choice(vocab))
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    stems = X.learn(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r.score >= X.CUT for r in X.score(d, stems).collect()}
+    held = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum(got[i] == bool(t) for i, t in labels if i in held) >= 0.97 * len(held)
+
+
+def test_a_kept_column_of_the_scores_name_is_refused(spark):
+    with pytest.raises(ValueError, match="score"):
+        X.score(spark.createDataFrame([(1, "a", 2.0)], "doc_id long, text string, score double"), STEMS, keep=("doc_id", "score"))

@@ -1,13 +1,17 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words become symbols: insult (learned), threat, intent, target, negation, reported speech, other. Four transducers (insult in reach of a target,
-threat against a target, negation, reported speech) each read all symbols and carry a factor; their composition reads a clause once and gives its
-weight. Words alone decide nothing: a negated or merely reported insult weighs little, a threat weighs only with intent and target.
-
-The insult lexicon is learned from labelled rows: word beginnings that many toxic and next to no clean documents have, each grown to the stem at
-which its words part. What is learned is a few hundred stems at most (STEMS); labels, lang, source and doc_id are never read by the score.
-
-Documents are judged by the summed weight of their clauses, 1 - exp(-weight). Null and empty texts score 0. Rows stay rows.
+Words become symbols: insult (learned), threat, intent, target, object (a target that may stand before the threat), negation, reported speech, other. Four
+transducers (insult in reach of a target, threat against a target, negation, reported speech) each read all symbols and carry a factor; their composition
+reads a clause once and gives its weight. Words alone decide nothing: a negated or merely reported insult weighs little, a threat weighs only with intent
+and target.
+
+The insult lexicon is learned from labelled rows: word beginnings that many toxic and next to no clean documents have at least m times, for the least m
+from 1 to MOST_TIMES for which that holds. A beginning of m = 1 is an insult by itself; one of a larger m is common enough to come up by chance, and
+weighs so much that m of them reach the cut, or in long texts a share RATE of all words. Each is grown to the stem at which its words part. What is
+learned is a few hundred stems at most (STEMS); labels, lang, source and doc_id are never read by the score.
+
+Documents are judged by the summed weight of their clauses, 1 - exp(-weight), in one pass over the text. Null and empty texts score 0. Rows stay rows. A
+kept column with the score's name is refused.
 """
 
 from __future__ import annotations
@@ -31,19 +35,28 @@ SAMPLE = 20_000
 #: The least share of toxic documents (and two at least), and the least number of places with different neighbours in them (copies share their
 #: neighbours), that a stem must be seen in; the least log-odds that it must have; and the most stems kept.
 SHARE, PLACES, LOG_ODDS, STEMS = 0.005, 8, 3.0, 500
+#: The most times that a stem may have to come, and the share of a text's words that such stems must reach in long texts.
+MOST_TIMES, RATE = 5, 0.004
+#: Like SHARE, for stems that have to come more than once.
+COMMON_SHARE = 0.02
+#: Beginnings that may be candidates, those of the most toxic documents first.
+CANDIDATES = 200_000
 #: Lengths of the word beginnings that are counted.
 SHORTEST, LONGEST = 3, 12
 CUT = 0.3
+#: The summed weight that scores CUT, and a little more.
+ENOUGH = -math.log(1 - CUT) * 1.05
 #: Word beginnings that a task counts before it hands its counts on.
 BUFFERED = 100_000
 
-INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT, OTHER = range(7)
-SYMBOLS = range(7)
+INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT, OBJECT, OTHER = range(8)
+SYMBOLS = range(8)
 #: Words with a fixed symbol. An insult that was learned goes before these.
 FIXED = {
-    THREAT: "kill murder shoot stab strangle hurt beat destroy burn smash hang".split(),
-    INTENT: "will shall gonna going should must i'll we'll they'll let's".split(),
-    TARGET: "you your yours yourself he him she her they them their people everyone du dich euch sie toi vous tu tú usted ustedes".split(),
+    THREAT: "kill murder shoot stab strangle hurt beat destroy burn smash hang töten umbringen erschießen schlagen verprügeln verbrennen zerstören tuer frapper brûler détruire battre poignarder matar golpear quemar destruir apuñalar disparar".split(),
+    INTENT: "will shall gonna going should must i'll we'll they'll let's werde werden wird sollte sollten muss vais va vont dois devrait allons voy vamos debe debería".split(),
+    TARGET: "you your yours yourself he him she her they them their people everyone du ihn ihm elle lui tu toi tú usted ustedes ella ellos".split(),
+    OBJECT: "dich euch sie te vous os".split(),
     NEGATION: "not no never nobody neither nor isn't aren't wasn't weren't don't doesn't didn't hardly nicht kein keine nie pas jamais nunca tampoco".split(),
     REPORT: "said says say claimed claims wrote writes called calls accused alleged reportedly quoted heard sagte schrieb dit écrit dijo escribió".split(),
 }
@@ -81,25 +94,29 @@ def insults(reach: int = 4, boost: float = 1.5) -> Transducer:
     """An insult counts once; it counts `boost` times if a target stood at most `reach` words before."""
     arcs = {}
     for left, s in product(range(reach + 1), SYMBOLS):
-        to = reach if s == TARGET else max(0, left - 1)
+        to = reach if s in (TARGET, OBJECT) else max(0, left - 1)
         arcs[(left, s)] = (to, boost if s == INSULT and left else 1.0, 1.0 if s == INSULT else 0.0)
     return Transducer(0, arcs)
 
 
 def threats(reach: int = 4) -> Transducer:
-    """Intent, then a threat within reach, then a target within reach: only the last arc counts, threefold."""
+    """Intent, then a threat within reach, and a target within reach of the threat: only the arc that completes them counts, threefold. A target comes
+    after the threat; an object may also come before it (dich töten, te matar)."""
     arcs = {}
-    states = [("idle", 0), *(("intent", k) for k in range(1, reach + 1)), *(("threat", k) for k in range(1, reach + 1))]
-    for (name, k), s in product(states, SYMBOLS):
-        to, weight = ((name, k - 1) if k > 1 else ("idle", 0)), 0.0
+    states = product(range(reach + 1), repeat=3)  # how far intent, object and threat still reach
+    for (intent, ahead, threat), s in product(states, SYMBOLS):
+        to, weight = [max(0, intent - 1), max(0, ahead - 1), max(0, threat - 1)], 0.0
         if s == INTENT:
-            to = ("intent", reach)
-        elif s == THREAT and name == "intent":
-            to = ("threat", reach)
-        elif s == TARGET and name == "threat":
-            to, weight = ("idle", 0), 3.0
-        arcs[((name, k), s)] = (to, 1.0, weight)
-    return Transducer(("idle", 0), arcs)
+            to[0] = reach
+        elif s == THREAT and intent:
+            to, weight = ([0, 0, 0], 3.0) if ahead else ([0, 0, reach], 0.0)
+        elif s in (TARGET, OBJECT):
+            if threat:
+                to, weight = [0, 0, 0], 3.0
+            elif s == OBJECT:
+                to[1] = reach
+        arcs[((intent, ahead, threat), s)] = (tuple(to), 1.0, weight)
+    return Transducer((0, 0, 0), arcs)
 
 
 def negations(reach: int = 3, left_over: float = 0.1) -> Transducer:
@@ -130,84 +147,103 @@ def clause_weight(machine: Transducer, symbols: Iterable[tuple[int, float]]) ->
 
 
 class Scorer:
-    """A grammar with a learned lexicon: stems and their weights. A stem that ends in `$` is a whole word, others begin words."""
+    """A grammar with a learned lexicon: stems and their weights (of 1 at most), or the number of times, from 2 on, that they must come. A stem that ends
+    in `$` is a whole word, others begin words."""
 
     def __init__(self, stems: dict[str, float]):
         self.machine = grammar()
         self.whole = {s[:-1]: w for s, w in stems.items() if s.endswith("$")}
         self.begin = {s: w for s, w in stems.items() if not s.endswith("$")}
-        self.lengths = sorted({len(s) for s in self.begin})
+        self.lengths = sorted({len(s) for s in self.begin}, reverse=True)
         self.fixed = {w: symbol for symbol, listed in FIXED.items() for w in listed}
         self.alarm = ahocorasick.Automaton()
         for w in {*self.whole, *self.begin, *FIXED[THREAT]}:
             self.alarm.add_word(w, len(w))
         self.alarm.make_automaton()
 
-    def symbol(self, word: str) -> tuple[int, float]:
-        weight = self.whole.get(word, 0.0) or max((self.begin.get(word[:n], 0.0) for n in self.lengths), default=0.0)
-        return (INSULT, weight) if weight else (self.fixed.get(word, OTHER), 0.0)
+    def symbol(self, word: str, n_words: int = 0) -> tuple[int, float]:
+        """The word's symbol, and its own weight in a text of so many words."""
+        weight = self.whole.get(word, 0.0) or next((self.begin[word[:n]] for n in self.lengths if word[:n] in self.begin), 0.0)
+        if not weight:
+            return self.fixed.get(word, OTHER), 0.0
+        return INSULT, weight if weight <= 1 else ENOUGH / max(weight, RATE * n_words)
 
     def clauses(self, text: str) -> Iterator[tuple[int, int, float]]:
         """Places and weights of the clauses that weigh anything. Only clauses in which a word that can count begins are read."""
         low = text.lower() if text.isascii() or len(text.lower()) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        done = -1
+        borders, start, n_words = _CLAUSE.finditer(low), 0, 0
+        border, done = next(borders, None), -1
         for end, n in self.alarm.iter(low):
             at = end - n + 1
             if at < done or (at and (low[at - 1].isalnum() or low[at - 1] == "_")):
                 continue
-            start, stop = self._around(low, at)
-            done = stop
-            weight = clause_weight(self.machine, map(self.symbol, _WORD.findall(low, start, stop)))
+            while border and border.end() <= at:  # borders and places both go forward: one pass for all clauses
+                start, border = border.end(), next(borders, None)
+            n_words = n_words or low.count(" ") + low.count("\n") + 1
+            done = stop = border.start() if border else len(low)
+            weight = clause_weight(self.machine, (self.symbol(w, n_words) for w in _WORD.findall(low, start, stop)))
             if weight:
                 yield start, stop, weight
 
-    @staticmethod
-    def _around(low: str, at: int) -> tuple[int, int]:
-        """The clause that has this place."""
-        after = _CLAUSE.search(low, at)
-        start = max(low.rfind(c, 0, at) for c in (".", "!", "?", ";", ":", "\n", ", ", ",\n"))
-        return start + 1, after.start() if after else len(low)
-
     def score(self, text: str | None) -> float:
         if not text:
             return 0.0
         return 1.0 - math.exp(-sum(w for _, _, w in self.clauses(text)))
 
 
-def beginnings(text: str) -> set[str]:
-    """The distinct word beginnings of a text, and its words with an end mark."""
-    out: set[str] = set()
-    for w in set(_WORD.findall(text.lower())):
-        out.add(w + "$")
-        out.update(w[:n] for n in range(SHORTEST, min(LONGEST, len(w)) + 1))
+def beginnings(text: str) -> Iterator[str]:
+    """The word beginnings of a text, and its words with an end mark; with a number m behind a space, those that come at least m times, and as often as a
+    share RATE of all words."""
+    out: Counter = Counter()
+    n_words = 0
+    for w, times in Counter(_WORD.findall(text.lower())).items():
+        n_words += times
+        out[w + "$"] += times
+        for n in range(SHORTEST, min(LONGEST, len(w)) + 1):
+            out[w[:n]] += times
+    for b, times in out.items():
+        yield b
+        if times > 1 and times >= RATE * n_words:
+            yield from (f"{b} {m}" for m in range(2, min(times, MOST_TIMES) + 1))
+
+
+def telling_of(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> dict[str, tuple[int, float]]:
+    """From (toxic, clean) document counts of beginnings: of those that many toxic and next to no clean documents have at least m times, the least such m
+    and its log-odds."""
+    out: dict[str, tuple[int, float]] = {}
+    for key, (t, c) in counts.items():
+        b, _, m = key.partition(" ")
+        odds = math.log((t + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
+        least = max(2, SHARE * n_toxic) if not m else max(3, COMMON_SHARE * n_toxic)
+        if odds >= LOG_ODDS and t >= least and t > 20 * c and int(m or 1) < out.get(b, (MOST_TIMES + 1,))[0]:
+            out[b] = (int(m or 1), odds)
     return out
 
 
-def telling_of(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """From (toxic, clean) document counts of beginnings: the log-odds of those that many toxic and next to no clean documents have."""
-    odds = {b: math.log((t + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1)) for b, (t, c) in counts.items()}
-    return {b: o for b, o in odds.items() if o >= LOG_ODDS and counts[b][0] >= max(2, SHARE * n_toxic) and counts[b][0] > 20 * counts[b][1]}
-
-
-def stems_of(telling: dict[str, float], counts: dict[str, tuple[int, int]]) -> dict[str, float]:
-    """The shortest telling beginnings, each grown while one longer beginning has all its documents."""
+def stems_of(telling: dict[str, tuple[int, float]], counts: dict[str, tuple[int, int]]) -> dict[str, float]:
+    """The telling beginnings that most toxic documents have, of equal ones the shortest, each grown while one longer beginning has all its documents. Of
+    beginnings of one another, only the first counts."""
+    toxic = lambda b: counts[b if telling[b][0] == 1 else f"{b} {telling[b][0]}"][0]
     longer: dict[str, list[str]] = {}
     for b in telling:
         if len(b) > 1:
             longer.setdefault(b[:-1], []).append(b)
-    out: dict[str, float] = {}
-    for b in sorted(telling, key=len):
-        if any(b[:n] in telling for n in range(SHORTEST, len(b))):
-            continue  # grown from a shorter one
+    out: dict[str, tuple[int, float, float]] = {}
+    covered: set[str] = set()
+    for b in sorted(telling, key=lambda b: (-toxic(b), len(b), b)):
+        if b in covered or any(b[:n] in out for n in range(SHORTEST, len(b))):
+            continue
         stem = b
         while True:
-            all_of = [x for x in longer.get(stem, []) if counts[x][0] >= 0.98 * counts[stem][0]]
+            all_of = [x for x in longer.get(stem, []) if telling[x][0] <= telling[stem][0] and toxic(x) >= 0.98 * toxic(stem)]
             if len(all_of) != 1:
                 break
             stem = all_of[0]
-        out[stem] = min(1.0, telling[stem] / 6.0)
-    best = sorted(out, key=lambda s: (-counts[s][0] * telling[s], s))[:STEMS]
-    return {s: out[s] for s in best}
+        times, odds = telling[stem]
+        out[stem] = (times, odds, min(1.0, odds / 6.0) if times == 1 else float(times))
+        covered.update(stem[:n] for n in range(SHORTEST, len(stem)))
+    best = sorted(out, key=lambda s: (-toxic(s) * out[s][1], s))[:STEMS]
+    return {s: out[s][2] for s in best}
 
 
 def held_out(doc_id) -> F.Column:  # noqa: ANN001
@@ -244,7 +280,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict[str, float]:
             yield out()
 
     counted = rows.mapInArrow(count, "b string, toxic long, clean long").groupBy("b").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    found = counted.filter((F.col("toxic") >= 2) & (F.col("toxic") > 20 * F.col("clean")) | (F.col("b") == "")).toPandas()
+    found = counted.filter((F.col("toxic") >= 2) & (F.col("toxic") > 20 * F.col("clean")) | (F.col("b") == "")).orderBy(F.desc(F.col("b") == ""), F.desc("toxic"), "b").limit(CANDIDATES + 1).toPandas()
     counts = {b: (int(t), int(c)) for b, t, c in found.itertuples(index=False)}
     n_toxic, n_clean = counts.pop("", (0, 0))
     telling = telling_of(counts, n_toxic, n_clean) if n_toxic and n_clean else {}
@@ -263,12 +299,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict[str, float]:
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.string()), pa.array([c for _, c in out], pa.int64())], names=["b", "place"])
 
     seen = rows.filter("toxic <> 0").mapInArrow(places, "b string, place long").groupBy("b").agg(F.countDistinct("place").alias("n")).filter(F.col("n") >= PLACES).toPandas()
-    wide = {b for b, n in seen.itertuples(index=False) if 2 * n >= counts[b][0]}
+    wide = {b for b, n in seen.itertuples(index=False) if 2 * n >= counts.get(b, counts.get(f"{b} {telling[b][0]}"))[0]}
     return stems_of({b: o for b, o in telling.items() if b in wide}, counts)
 
 
 def score(docs: DataFrame, stems: dict[str, float], keep: tuple[str, ...] = ("doc_id",), text: str = "text", out: str = "score") -> DataFrame:
     """docs' `keep` columns with each whole text's score between 0 and 1."""
+    if out in keep:
+        raise ValueError(f"a kept column has the score's name: {out}")
     schema = docs.select(*(docs[k] for k in keep)).schema.add(out, "double")
     n = len(keep)
 
