@@ -25,38 +25,29 @@ def rule(url):
     return max(fit, key=lambda r: len(r.name), default=None)
 
 
-def classes(url):
-    out = []
-    for c in url:
-        c = c.lower() if "A" <= c <= "Z" else c
-        c = next((g[0] for g in U.GROUPS if c in g), c)
-        out.append(U.SIGNS.index(c) if c in U.SIGNS else U.CLASSES - 1)
-    return out
-
-
 def brute(urls):
     counts = {True: Counter(), False: Counter()}
     apart = lambda u: hashlib.md5(u.encode()).hexdigest()[0] in "012"
     ruled = {u: rule(u) for u in set(urls)}
-    for u in urls:
+    padded = lambda u: "\x02" * U.ORDER + (u or "")
+    for u in set(urls):
         if u and ruled[u] and not apart(u):
-            x = classes(u)
-            for i in range(len(x)):
-                for k in range(min(i, U.ORDER) + 1):
-                    counts[ruled[u].verdict == "allow"][tuple(x[i - k : i + 1])] += 1
+            for i in range(U.ORDER, U.ORDER + len(u)):
+                for k in range(U.ORDER + 1):
+                    counts[ruled[u].verdict == "allow"][padded(u)[i - k : i + 1]] += 1
     totals = {g: Counter() for g in counts}
     for g, c in counts.items():
         for gram, n in c.items():
             totals[g][gram[:-1]] += n
 
     def p(g, gram):
-        below = 1 / U.CLASSES if len(gram) == 1 else p(g, gram[1:])
+        below = 1 / U.ALPHABET if len(gram) == 1 else p(g, gram[1:])
         return (counts[g][gram] + U.FALLBACK * below) / (totals[g][gram[:-1]] + U.FALLBACK)
 
     def ratio(u):
-        x = classes(u or "")
-        each = [math.log(p(True, tuple(x[i - U.ORDER : i + 1]))) - math.log(p(False, tuple(x[i - U.ORDER : i + 1]))) for i in range(U.ORDER, len(x))]
-        return sum(each) / len(each) if each else None
+        grams = [padded(u)[i - U.ORDER : i + 1] for i in range(U.ORDER, U.ORDER + len(u or ""))]
+        each = [math.log(p(True, g)) - math.log(p(False, g)) for g in grams]
+        return round(sum(each) / len(each), U.PLACES) if each else None
 
     ratios = {u: ratio(u) for u in set(urls)}
     side = {g: [r for u, r in ratios.items() if u and ruled[u] and apart(u) and (ruled[u].verdict == "allow") == g and r is not None] for g in (True, False)}
@@ -64,13 +55,13 @@ def brute(urls):
     if side[True] and side[False]:
         m = {g: sum(v) / len(v) for g, v in side.items()}
         s = {g: math.sqrt(sum((x - m[g]) ** 2 for x in v) / len(v)) + 1e-9 for g, v in side.items()}
-        cut = (m[True] * s[False] + m[False] * s[True]) / (s[True] + s[False])
+        cut = round((m[True] * s[False] + m[False] * s[True]) / (s[True] + s[False]), U.PLACES)
     return {u: (*host_path(u), ruled[u].name if ruled[u] else None, ruled[u].verdict if ruled[u] else "block" if ratios[u] is not None and ratios[u] < cut else "allow") for u in set(urls)}
 
 
 def corpus():
     rnd = random.Random(6)
-    urls = [None, "", "abc", "no scheme/x", "://", "http://", "HTTP://WWW.Example.COM/en/1?q", "http://example.com", "http://example.com?x/en/", "http://a.b/c://d/e", "http://notexample.com/en/x", "http://x.net/es/", "http://net/fr/1", "ftp://é.com/\nü", "http://user@com/", "x" * 5000 + "://net/es/" + "y" * 5000]
+    urls = [None, "", "abc", "no scheme/x", "://", "http://", "HTTP://WWW.Example.COM/en/1?q", "http://example.com", "http://example.com?x/en/", "http://a.b/c://d/e", "http://notexample.com/en/x", "http://x.net/es/", "http://net/fr/1", "ftp://é.com/\nü", "a", "http://😀.net/😀é",  "http://user@com/", "x" * 5000 + "://net/es/" + "y" * 5000]
     for _ in range(500):
         host = rnd.choice(["www.", "m.", "", "a.b."]) + rnd.choice(["example", "thering", "tionsh"]) + rnd.choice([".com", ".net", ".org", ".example.com"])
         urls.append(f"http{rnd.choice(['', 's'])}://{host}/{rnd.choice(['en', 'es', 'fr', 'de'])}/{rnd.randrange(300)}{rnd.choice(['', '/', '.html', '?a=1', '#top'])}")
@@ -99,3 +90,16 @@ def test_nothing_to_learn_from(spark):
 def test_plan_has_no_python(spark):
     plan = U.judge(spark.createDataFrame([(1, "http://x.com/a")], "page_id long, url string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "MapIn" not in plan
+
+
+def test_held_out_urls_are_told_apart(spark):
+    """URLs that no rule decides but whose words do: those of the hosts that are allowed and blocked elsewhere."""
+    rnd = random.Random(8)
+    words = {True: [f"{a}{b}" for a in ("farm", "tool", "book") for b in ("shop", "land", "er")], False: [f"{a}{b}" for a in ("luck", "spin", "pill") for b in ("zone", "wiz", "xx")]}
+    make = lambda good, end: f"http://{rnd.choice(words[good])}{rnd.randrange(100)}.{end}/{rnd.choice(words[good])}/{rnd.randrange(1000)}"
+    rules = [U.Rule("allow", "com", "/"), U.Rule("block", "net", "/")]
+    urls = [make(True, "com") for _ in range(400)] + [make(False, "net") for _ in range(400)]
+    fresh = [(make(g, "org"), g) for g in [True, False] * 100]
+    rows = list(enumerate([*urls, *(u for u, _ in fresh)]))
+    got = {r.page_id: r.verdict == "allow" for r in U.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert sum(got[len(urls) + k] == g for k, (_, g) in enumerate(fresh)) >= 0.97 * len(fresh)

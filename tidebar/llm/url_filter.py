@@ -1,14 +1,18 @@
 """URL filter: host and path rules first, then the ratio of two character language models. DataFrame functions only.
 
-Accepted and rejected URLs (those that rules decide) each give a Markov model over characters with contexts of 0 to ORDER characters. Longer contexts
-fall back on shorter ones: P_k(c | context) = (count + FALLBACK * P_{k-1}(c | shorter context)) / (context's count + FALLBACK). URLs are read over 32
-character classes (26 letters, a digit, dot, slash, dash, query signs, all else), so that the table of log-ratios has 32 ** (ORDER + 1) rows whatever the
-corpus: it is dense, bounded and small, and may be sent to all executors. Counts are taken from all decided URLs but for three sixteenths, by a hash
-of the URL, which calibrate: the cut lies between the two classes' mean length-normalised ratios, nearer to the one that spreads less.
-
-A null URL, or one without `://`, has an empty host and path and fits no rule. A URL of at most ORDER characters has no
-ratio; it is allowed unless a rule decides. Where there is no accepted or no rejected URL to calibrate by, the cut is 0. Repeated rows are judged alike; page_id may
-be null.
+Accepted and rejected URLs (those that rules decide, each distinct one once) each give a Markov model over characters as they stand, with contexts of 0
+to ORDER characters; before its first character a URL has start marks, so that all of its characters are scored. Longer contexts fall back on shorter
+ones: P_k(c | context) = (count + FALLBACK * P_{k-1}(c | shorter context)) / (context's count + FALLBACK), down to an even spread over ALPHABET.
+
+The models hold what the URLs have: a row for each distinct sequence of ORDER + 1 characters and its endings, joined by shuffles, so they grow with the
+corpus. A sequence has at most as many extensions as there are characters, so no key of these joins is hot; the scores are joined to the URLs' sequences,
+some of which all URLs share, as one exchange on either side, which adaptive execution can split.
+
+Counts are taken from all decided URLs but for three sixteenths, by a hash of the URL, which calibrate: the cut lies between the two classes' mean
+length-normalised ratios, nearer to the one that spreads less. Ratios count to nine places.
+
+A null URL, or one without `://`, has an empty host and path and fits no rule. A null or empty URL has no ratio and is allowed unless a rule decides.
+Where there is no accepted or no rejected URL to calibrate by, the cut is 0. Repeated rows are judged alike; page_id may be null.
 """
 
 from __future__ import annotations
@@ -20,11 +24,11 @@ from pyspark.sql import functions as F
 
 from tidebar.session import scratch
 
-ORDER = 3
+ORDER = 5
 FALLBACK = 4.0
-CLASSES = 32
-#: Each letter has a class of its own, from 0; then come these, each with the characters that it stands for.
-GROUPS = ["0123456789", ".", "/", "-_", "?&=#%+"]
+ALPHABET = 256
+START = "\x02"
+PLACES = 9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -60,120 +64,80 @@ def rule_of(host: Column, path: Column, rules: list[Rule], verdict: bool = False
     return out
 
 
-#: A class's own sign, in order; the last class has none.
-SIGNS = LOWER + "".join(g[0] for g in GROUPS)
-
-
-def _classes(url: Column) -> Column:
-    """The URL's characters as an array of class numbers, read in lower case."""
-    known = F.translate(url, UPPER, LOWER)
-    for g in GROUPS:
-        known = F.translate(known, g, g[0] * len(g))
-    chars = F.filter(F.split(known, ""), lambda c: c != "")
-    return F.transform(chars, lambda c: F.coalesce(F.nullif(F.instr(F.lit(SIGNS), c), F.lit(0)) - 1, F.lit(CLASSES - 1)))
+def sequences(url: Column) -> Column:
+    """Each character of the URL with the ORDER characters before it."""
+    chars = F.concat(F.array(*(F.lit(START) for _ in range(ORDER))), F.filter(F.split(url, ""), lambda c: c != ""))
+    # bound once by a one-element array
+    return F.flatten(F.transform(F.array(chars), lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - ORDER, F.lit(1))), lambda i: F.array_join(F.slice(x, i, F.lit(ORDER + 1)), ""))))
 
 
-def _spelt(classes: Column, i: Column, order: int) -> Column:
-    """The number that the class at i and the `order` classes before it spell in base 32."""
-    out = F.lit(0)
-    for back in range(order, -1, -1):
-        out = out * CLASSES + F.get(classes, i - back)
-    return out
-
-
-def _full(classes: Column) -> Column:
-    """Of each character with a full context, the number of both."""
-    last = F.size(classes) - 1
-    return F.when(last >= ORDER, F.transform(F.sequence(F.lit(ORDER), F.greatest(last, F.lit(ORDER))), lambda i: _spelt(classes, i, ORDER))).otherwise(F.array().cast("array<int>"))
-
-
-def train(decided: DataFrame) -> DataFrame:
-    """From (url, good boolean): the dense table (gram, ratio) of log P(accepted) - log P(rejected), a row for each context of ORDER classes and class."""
-    x = F.col("x")
-    full = F.transform(_full(x), lambda g: F.struct(F.lit(ORDER).alias("k"), g.alias("gram")))
-    starts = [F.when(F.size(x) > k, F.struct(F.lit(k).alias("k"), _spelt(x, F.lit(k), k).alias("gram"))) for k in range(ORDER)]
-    grams = decided.select("good", _classes(F.col("url")).alias("x")).select("good", F.explode(F.concat(full, F.filter(F.array(*starts), lambda s: s.isNotNull()))).alias("g"))
-    # map-side sums leave at most 32 ** (ORDER + 1) rows and a few in each task
-    spark, folder = decided.sparkSession, scratch(decided.sparkSession, "url-grams")
-    grams.groupBy("g.k", "g.gram").agg(F.count_if("good").alias("yes"), F.count_if(~F.col("good")).alias("no")).write.parquet(folder)
-    sums = spark.read.parquet(folder)
-    # a gram of a shorter order ends every longer one with the same last classes; the first characters have no longer one
-    counts = {ORDER: sums.filter(F.col("k") == ORDER).select("gram", "yes", "no")}
-    for k in range(ORDER - 1, -1, -1):
-        ends = counts[k + 1].select((F.col("gram") % CLASSES ** (k + 1)).alias("gram"), "yes", "no")
-        counts[k] = ends.union(sums.filter(F.col("k") == k).select("gram", "yes", "no")).groupBy("gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    table = None
+def train(urls: DataFrame) -> DataFrame:
+    """From distinct (url, good boolean or null): (gram, ratio) of log P(accepted) - log P(rejected) for every sequence that the URLs have. Those with a
+    null `good` are not counted; their sequences get ratios by what shorter ones count."""
+    spark, folder = urls.sparkSession, scratch(urls.sparkSession, "url-model")
+    good = F.col("good")
+    whole = urls.select("good", F.explode(sequences(F.col("url"))).alias("gram")).groupBy("gram").agg(F.count_if(good).alias("yes"), F.count_if(~good).alias("no"))
+    endings = F.transform(F.sequence(F.lit(1), F.lit(ORDER + 1)), lambda k: F.substring(F.col("gram"), k, F.lit(ORDER + 1)))
+    sums = whole.select(F.explode(endings).alias("gram"), "yes", "no").groupBy("gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    sums.withColumn("k", F.char_length("gram") - 1).write.parquet(f"{folder}/sums")
+    sums, below = spark.read.parquet(f"{folder}/sums"), None
     for k in range(ORDER + 1):
-        every = spark.range(CLASSES ** (k + 1)).select(F.col("id").cast("int").alias("gram"))
-        own = every.join(counts[k], "gram", "left").na.fill(0, ["yes", "no"]).withColumn("context", F.expr(f"gram div {CLASSES}").cast("int"))
+        own = sums.filter(F.col("k") == k).select("gram", "yes", "no", F.substring("gram", 1, k).alias("context"))
         totals = own.groupBy("context").agg(F.sum("yes").alias("all_yes"), F.sum("no").alias("all_no"))
         joined = own.join(totals, "context")
-        if table is None:
-            joined = joined.withColumns({"py": F.lit(1 / CLASSES), "pn": F.lit(1 / CLASSES)})
+        if below is None:
+            joined = joined.withColumns({"py": F.lit(1 / ALPHABET), "pn": F.lit(1 / ALPHABET)})
         else:
-            joined = joined.withColumn("short", (F.col("gram") % CLASSES**k).cast("int")).join(table.withColumnRenamed("gram", "short"), "short")
+            joined = joined.withColumn("short", F.substring("gram", 2, k)).join(below.withColumnRenamed("gram", "short"), "short")
         p = lambda seen, of, low: (F.col(seen) + FALLBACK * F.col(low)) / (F.col(of) + FALLBACK)
-        table = joined.select("gram", p("yes", "all_yes", "py").alias("py"), p("no", "all_no", "pn").alias("pn"))
-    return table.select("gram", (F.log("py") - F.log("pn")).alias("ratio"))
-
-
-def ratios(urls: DataFrame, model: DataFrame) -> DataFrame:
-    """From distinct (url): the mean log-ratio over its characters with a full context; no row if it has none."""
-    each = urls.select("url", _classes(F.col("url")).alias("x")).select("url", F.explode(_full(F.col("x"))).alias("gram"))
-    # the model has 32 ** (ORDER + 1) rows of 12 bytes, whatever the corpus
-    return each.join(F.broadcast(model), "gram").groupBy("url").agg(F.avg("ratio").alias("ratio"))
+        joined.select("gram", p("yes", "all_yes", "py").alias("py"), p("no", "all_no", "pn").alias("pn")).write.parquet(f"{folder}/{k}")
+        below = spark.read.parquet(f"{folder}/{k}")
+    return below.select("gram", (F.log("py") - F.log("pn")).alias("ratio"))
 
 
 def judge(pages: DataFrame, rules: list[Rule] | None = None, page_id: str = "page_id", url: str = "url") -> DataFrame:
-    """page_id, host, path, rule (its name or null), verdict (allow or block) and ratio (null if the URL is too short for one) of every page."""
+    """page_id, host, path, rule (its name or null), verdict (allow or block) and ratio (null if the URL has no characters) of every page."""
     rules = RULES if rules is None else rules
+    spark, folder = pages.sparkSession, scratch(pages.sparkSession, "url-filter")
     own = pages.select(pages[page_id].alias("page_id"), pages[url].alias("url"))
     own = own.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     own = own.withColumns({"rule": rule_of(F.col("host"), F.col("path"), rules), "ruled": rule_of(F.col("host"), F.col("path"), rules, verdict=True)})
-    decided = own.filter("ruled is not null").select("url", (F.col("ruled") == "allow").alias("good"), F.substring(F.md5(F.col("url").cast("binary")), 1, 1).isin("0", "1", "2").alias("apart"))
-    model = train(decided.filter(~F.col("apart")).select("url", "good"))
-    folder = scratch(pages.sparkSession, "url-filter")
-    ratios(own.filter("url is not null").select("url").distinct(), model).write.parquet(folder)
-    scored = pages.sparkSession.read.parquet(folder)
-    seen = decided.filter("apart").select("url", "good").distinct().join(scored, "url")
+    distinct = own.filter(F.col("url") != "").groupBy("url").agg((F.first("ruled") == "allow").alias("good"))
+    apart = F.substring(F.md5(F.col("url").cast("binary")), 1, 1).isin("0", "1", "2")
+    distinct.select(F.monotonically_increasing_id().alias("uid"), "url", "good", apart.alias("apart")).write.parquet(f"{folder}/urls")
+    urls = spark.read.parquet(f"{folder}/urls")
+    model = train(urls.select("url", F.when(~F.col("apart"), F.col("good")).alias("good")))
+    each = urls.select("uid", F.explode(sequences(F.col("url"))).alias("gram"))
+    ratios = each.join(model, "gram").groupBy("uid").agg(F.round(F.avg("ratio"), PLACES).alias("ratio"))
+    urls.join(ratios, "uid").select("url", "good", "apart", "ratio").write.parquet(f"{folder}/scored")
+    scored = spark.read.parquet(f"{folder}/scored")
     side = lambda f, good: f(F.when(F.col("good") == good, F.col("ratio")))
-    spread = seen.agg(side(F.avg, True).alias("my"), side(F.stddev_pop, True).alias("sy"), side(F.avg, False).alias("mn"), side(F.stddev_pop, False).alias("sn")).first()
+    spread = scored.filter("apart and good is not null").agg(side(F.avg, True).alias("my"), side(F.stddev_pop, True).alias("sy"), side(F.avg, False).alias("mn"), side(F.stddev_pop, False).alias("sn")).first()
     cut = 0.0
     if spread.my is not None and spread.mn is not None:
-        cut = (spread.my * (spread.sn + 1e-9) + spread.mn * (spread.sy + 1e-9)) / (spread.sy + spread.sn + 2e-9)
+        cut = round((spread.my * (spread.sn + 1e-9) + spread.mn * (spread.sy + 1e-9)) / (spread.sy + spread.sn + 2e-9), PLACES)
     by_ratio = F.when(F.col("ratio") < cut, "block").otherwise("allow")
-    return own.join(scored, "url", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", by_ratio).alias("verdict"), "ratio")
+    return own.join(scored.select("url", "ratio"), "url", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", by_ratio).alias("verdict"), "ratio")
 
 
 def oracle(table: str = "pages", rules: list[Rule] | None = None) -> str:
     """The same in DuckDB's SQL, without the ratio."""
     rules = RULES if rules is None else rules
-    known = f"translate(url, '{UPPER}', '{LOWER}')"
-    for g in GROUPS:
-        known = f"translate({known}, '{g}', '{g[0] * len(g)}')"
     fits = [(f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))", r) for r in sorted(rules, key=lambda r: (len(r.name), r.name), reverse=True)]
     rule = "CASE " + " ".join(f"WHEN {f} THEN '{r.name}'" for f, r in fits) + " END"
     ruled = "CASE " + " ".join(f"WHEN {f} THEN '{r.verdict}'" for f, r in fits) + " END"
-    spell = lambda i, k: " + ".join(f"x[{i} - {back}] * {CLASSES**back}" for back in range(k, -1, -1))
-    parts = [f"SELECT good, {k} AS k, unnest(CASE WHEN len(x) > {k} THEN list_transform(range({k + 1}, len(x) + 1), lambda i: {spell('i', k)}) ELSE [] END) AS gram FROM learnt" for k in range(ORDER + 1)]
-    tables = []
+    levels = [f"count{ORDER} AS (SELECT gram, count(*) FILTER (good AND NOT apart) AS yes, count(*) FILTER (NOT good AND NOT apart) AS no FROM grams GROUP BY 1)"]
+    levels += [f"count{k} AS (SELECT substr(gram, 2) AS gram, sum(yes) AS yes, sum(no) AS no FROM count{k + 1} GROUP BY 1)" for k in range(ORDER - 1, -1, -1)]
     for k in range(ORDER + 1):
-        low = f"SELECT gram, 1.0 / {CLASSES} AS py, 1.0 / {CLASSES} AS pn FROM every0" if k == 0 else f"SELECT e.gram, t.py, t.pn FROM every{k} e JOIN table{k - 1} t ON e.gram % {CLASSES**k} = t.gram"
-        tables.append(f"""every{k} AS (SELECT range AS gram FROM range({CLASSES ** (k + 1)})),
-low{k} AS ({low}),
-own{k} AS (SELECT l.gram, l.py, l.pn, coalesce(s.yes, 0) AS yes, coalesce(s.no, 0) AS no FROM low{k} l LEFT JOIN (SELECT * FROM sums WHERE k = {k}) s USING (gram)),
-all{k} AS (SELECT gram // {CLASSES} AS context, sum(yes) AS yes, sum(no) AS no FROM own{k} GROUP BY 1),
-table{k} AS (SELECT o.gram, (o.yes + {FALLBACK} * o.py) / (a.yes + {FALLBACK}) AS py, (o.no + {FALLBACK} * o.pn) / (a.no + {FALLBACK}) AS pn FROM own{k} o JOIN all{k} a ON o.gram // {CLASSES} = a.context)""")
+        below = f"SELECT gram, 1.0::DOUBLE / {ALPHABET} AS py, 1.0::DOUBLE / {ALPHABET} AS pn FROM count0" if k == 0 else f"SELECT c.gram, t.py, t.pn FROM count{k} c JOIN table{k - 1} t ON substr(c.gram, 2) = t.gram"
+        levels.append(f"""all{k} AS (SELECT substr(gram, 1, {k}) AS context, sum(yes) AS yes, sum(no) AS no FROM count{k} GROUP BY 1),
+table{k} AS (SELECT c.gram, (c.yes + {FALLBACK}::DOUBLE * b.py) / (a.yes + {FALLBACK}::DOUBLE) AS py, (c.no + {FALLBACK}::DOUBLE * b.pn) / (a.no + {FALLBACK}::DOUBLE) AS pn FROM count{k} c JOIN ({below}) b USING (gram) JOIN all{k} a ON substr(c.gram, 1, {k}) = a.context)""")
     return f"""WITH hosts AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM {table}),
 judged AS (SELECT *, {rule} AS rule, {ruled} AS ruled FROM hosts),
-classes AS (SELECT url, list_transform(string_split({known}, ''), lambda c: CASE WHEN c <> '' AND instr('{SIGNS}', c) > 0 THEN instr('{SIGNS}', c) - 1 ELSE {CLASSES - 1} END) AS x FROM (SELECT DISTINCT url FROM hosts WHERE url <> '')),
-decided AS (SELECT url, ruled = 'allow' AS good, substr(md5(url), 1, 1) IN ('0', '1', '2') AS apart FROM judged WHERE ruled IS NOT NULL),
-learnt AS (SELECT good, x FROM decided JOIN classes USING (url) WHERE NOT apart),
-sums AS (SELECT k, gram, count(*) FILTER (good) AS yes, count(*) FILTER (NOT good) AS no FROM ({" UNION ALL ".join(parts)}) GROUP BY 1, 2),
-{", ".join(tables)},
-model AS (SELECT gram, ln(py) - ln(pn) AS ratio FROM table{ORDER}),
-grams AS (SELECT url, unnest(CASE WHEN len(x) > {ORDER} THEN list_transform(range({ORDER + 1}, len(x) + 1), lambda i: {spell("i", ORDER)}) ELSE [] END) AS gram FROM classes),
-scored AS (SELECT url, avg(ratio) AS ratio FROM grams JOIN model USING (gram) GROUP BY 1),
-spread AS (SELECT avg(ratio) FILTER (good) AS my, stddev_pop(ratio) FILTER (good) + 1e-9 AS sy, avg(ratio) FILTER (NOT good) AS mn, stddev_pop(ratio) FILTER (NOT good) + 1e-9 AS sn FROM (SELECT DISTINCT url, good FROM decided WHERE apart) JOIN scored USING (url)),
-cut AS (SELECT coalesce((my * sn + mn * sy) / (sy + sn), 0) AS cut FROM spread)
-SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN ratio < cut THEN 'block' ELSE 'allow' END) AS verdict FROM judged LEFT JOIN scored USING (url), cut"""
+urls AS (SELECT DISTINCT url, ruled = 'allow' AS good, substr(md5(url), 1, 1) IN ('0', '1', '2') AS apart, repeat(chr(2), {ORDER}) || url AS padded FROM judged WHERE url <> ''),
+grams AS (SELECT url, good, apart, unnest(list_transform(range(1, length(url) + 1), lambda i: substr(padded, i, {ORDER + 1}))) AS gram FROM urls),
+{", ".join(levels)},
+scored AS (SELECT url, good, apart, round(avg(ln(py) - ln(pn)), {PLACES}) AS ratio FROM grams JOIN table{ORDER} USING (gram) GROUP BY ALL),
+spread AS (SELECT avg(ratio) FILTER (good) AS my, stddev_pop(ratio) FILTER (good) + 1e-9 AS sy, avg(ratio) FILTER (NOT good) AS mn, stddev_pop(ratio) FILTER (NOT good) + 1e-9 AS sn FROM scored WHERE apart AND good IS NOT NULL),
+cut AS (SELECT coalesce(round((my * sn + mn * sy) / (sy + sn), {PLACES}), 0) AS cut FROM spread)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN ratio < cut THEN 'block' ELSE 'allow' END) AS verdict FROM judged LEFT JOIN (SELECT url, ratio FROM scored) USING (url), cut"""
