@@ -1,14 +1,17 @@
 """Removal of long word sequences that an earlier document already has.
 
-The words' sequence graph has an edge for every `width` consecutive words (a window). Building all edges would shuffle more than the text, so the
-graph is compacted first: a window is named by its anchor, the least hash of the EDGE-word k-mers in it, and consecutive windows with one anchor
-form one path (as super-k-mers do in assemblers of de Bruijn graphs). Equal windows have equal anchors, so
-
-1. documents that equal an earlier one as a whole are settled by their hash and leave the graph,
-2. anchors of at least two documents are found by a join of paths on anchors; all other paths are unrepeated and end here,
-3. windows of the repeated paths are joined on their hash with the least document (and place) that has them,
-4. windows next to each other with one source and one offset compact into spans, whose source coordinates are checked: the source's words at
-   these places must have the digest that the span's own words have.
+The words' de Bruijn graph has an edge for every `width` consecutive words (a window) between its first and its last `width - 1` words. Building all edges
+would shuffle more than the text, so only edges that can repeat are built: a window is named by its anchor, the least hash of the EDGE-word k-mers in it,
+and equal windows have equal anchors.
+
+1. Documents that equal an earlier one as a whole are settled by their hash and leave the graph.
+2. Anchors of at least two documents are found by a join of documents on anchors; windows of all other anchors are unrepeated.
+3. The windows of repeated anchors become edges, keyed by 128 bits. An aggregate gives each edge its least holder (document and place) and whether all its
+   occurrences go on to one next edge and come from one previous edge: its node degrees.
+4. A join of edges with their next ones finds the joints without a branch. Edges that no joint leads to begin a compacted path, which has one
+   source: all occurrences of a path's first edge are followed by the whole path.
+5. Occurrences of first edges are joined with the paths and give spans. A span counts if its own words have the digest of the words at the source's
+   coordinates.
 
 Nulls: a null text has no words. A row without doc_id is neither a source nor cut. Repeated rows are cut alike; equal doc_ids are no source for each
 other. Documents with fewer than `width` words stay whole.
@@ -29,6 +32,7 @@ from tidebar.session import scratch
 
 #: Words of a k-mer that can be an anchor.
 EDGE = 12
+_OTHER = np.uint64(0xA0761D6478BD642F)
 _EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -83,7 +87,8 @@ def _paths(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _windows(joined: DataFrame, width: int) -> DataFrame:
-    """For rows (doc_id, h1, text, hits): the text with the places and hashes of the windows whose anchors are among the hits."""
+    """For rows (doc_id, h1, text, hits): the text with the windows whose anchors are among the hits: their places, 128-bit keys, and the first half of the
+    keys of the windows one word on and one word back, 0 where these aren't among them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,20 +97,27 @@ def _windows(joined: DataFrame, width: int) -> DataFrame:
             for lo, hi in words.blocks(texts):
                 data, begin, end, first = words.of_block(texts[lo:hi])
                 h = words.hashes(data, begin, end)
-                h1s, places, found = [], [], []
+                h1s, found = [], {"places": [], "k1": [], "k2": [], "next": [], "prev": []}
                 for i in range(hi - lo):
                     own = h[first[i] : first[i + 1]]
                     hit = hits[lo + i].values.to_numpy(zero_copy_only=False)
                     at = np.flatnonzero(np.isin(_anchors(own, width).view(np.int64), hit))
+                    k1 = words.runs(own, width)[at].view(np.int64)
+                    joined_up = np.diff(at) == 1
                     h1s.append(_whole(own)[0])
-                    places.append(at)
-                    found.append(words.runs(own, width)[at].view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(h1s, pa.int64()), batch.column(1).slice(lo, hi - lo), _lists(places, np.int32), _lists(found, np.int64)],
-                    names=["doc_id", "h1", "text", "places", "windows"],
-                )
+                    found["places"].append(at)
+                    found["k1"].append(k1)
+                    found["k2"].append(words.runs(words.mix(own ^ _OTHER), width)[at].view(np.int64))
+                    found["next"].append(np.append(np.where(joined_up, k1[1:], 0), np.zeros(min(1, len(at)), np.int64)))
+                    found["prev"].append(np.append(np.zeros(min(1, len(at)), np.int64), np.where(joined_up, k1[:-1], 0)))
+                lists = [_lists(v, np.int32 if c == "places" else np.int64) for c, v in found.items()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(h1s, pa.int64()), batch.column(1).slice(lo, hi - lo), *lists], names=["doc_id", "h1", "text", *found])
+
+    return joined.mapInArrow(work, "doc_id long, h1 long, text string, places array<int>, k1 array<long>, k2 array<long>, next array<long>, prev array<long>")
+
 
-    return joined.mapInArrow(work, "doc_id long, h1 long, text string, places array<int>, windows array<long>")
+def _digest(own: list[bytes], a: int, n: int) -> bytes:
+    return hashlib.blake2b(b" ".join(own[a : a + n]), digest_size=16).digest()
 
 
 def _digests(asked: DataFrame) -> DataFrame:
@@ -118,16 +130,14 @@ def _digests(asked: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for i, wanted in enumerate(batch.column(3).to_pylist()):
                 own = texts[i].split()
-                for x in wanted:
-                    d = hashlib.blake2b(b" ".join(own[x["a"] : x["a"] + x["n"]]), digest_size=16).digest()
-                    out.append((ids[i], h1s[i], x["a"], x["n"], d))
+                out += [(ids[i], h1s[i], x["a"], x["n"], _digest(own, x["a"], x["n"])) for x in wanted]
                 if len(out) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["doc_id", "h1", "a", "n", "digest"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["source", "source_h1", "source_a", "n", "digest"])
                     out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["doc_id", "h1", "a", "n", "digest"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["source", "source_h1", "source_a", "n", "digest"])
 
-    return asked.mapInArrow(work, "doc_id long, h1 long, a long, n long, digest binary")
+    return asked.mapInArrow(work, "source long, source_h1 long, source_a long, n long, digest binary")
 
 
 class Repeats:
@@ -152,41 +162,42 @@ class Repeats:
         repeated = self._written("repeated", edges.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor"))
         hits = edges.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("hits"))
 
-        # 3. their windows, and the least document that has each
+        # 3. their windows as edges, with the least holder and the degrees of their nodes
         _windows(self.docs.join(hits, "doc_id"), width).write.option("compression", "zstd").parquet(f"{self.folder}/windows")
         self.held = spark.read.parquet(f"{self.folder}/windows")
-        at = self.held.select("doc_id", "h1", F.explode(F.arrays_zip("places", "windows")).alias("w")).select("doc_id", "h1", F.col("w.places").alias("at"), F.col("w.windows").alias("window"))
-        first = self._written("first", at.groupBy("window").agg(F.min(F.struct("doc_id", "h1", "at")).alias("s"), F.max("doc_id").alias("hi")).filter("s.doc_id < hi").select("window", "s"))
-        later = at.join(first, "window").filter(F.col("doc_id") > F.col("s.doc_id")).select("doc_id", "h1", "at", "s")
-
-        # 4. nonbranching paths: one source, one offset, no gap
-        per = Window.partitionBy("doc_id", "h1").orderBy("at")
-        prev = F.lag(F.struct("s", "at")).over(per)
-        steps = later.repartition("doc_id", "h1").dropDuplicates().withColumn("p", prev)
-        goes_on = (F.col("p.at") == F.col("at") - 1) & (F.col("p.s.doc_id") == F.col("s.doc_id")) & (F.col("p.s.h1") == F.col("s.h1")) & (F.col("p.s.at") == F.col("s.at") - 1)
-        numbered = steps.withColumn("path", F.sum(F.when(goes_on, 0).otherwise(1)).over(per))
-        spans = numbered.groupBy("doc_id", "h1", "path").agg(F.min("at").cast("long").alias("a"), (F.max("at") - F.min("at") + F.lit(width)).cast("long").alias("n"), F.min(F.struct("s.at", "s.doc_id", "s.h1")).alias("s"))
-        spans.select("doc_id", "h1", "a", "n", F.col("s.doc_id").alias("source"), F.col("s.h1").alias("source_h1"), F.col("s.at").cast("long").alias("source_a")).write.parquet(f"{self.folder}/spans")
-        self.spans = self._checked(spark.read.parquet(f"{self.folder}/spans"))
+        fields = ["places", "k1", "k2", "next", "prev"]
+        at = self.held.select("doc_id", "h1", F.explode(F.arrays_zip(*fields)).alias("w")).select("doc_id", "h1", F.col("w.places").alias("at"), *(f"w.{f}" for f in fields[1:]))
+        one = lambda c: F.when((F.min(c) == F.max(c)) & (F.min(c) != 0), F.min(c)).alias(c)  # noqa: E731  null at a branch or an end
+        holder = F.min(F.struct("doc_id", "h1", "at")).alias("s")
+        edges = self._written("edges", at.groupBy("k1", "k2").agg(holder, F.max("doc_id").alias("hi"), one("next"), one("prev")).filter("s.doc_id < hi").select("k1", "k2", "s.*", "next", "prev"))
+
+        # 4. joints without a branch, and the paths that they make; their edges lie side by side in the path's source
+        before = edges.filter("next is not null").select(F.col("k1").alias("prev"), F.col("next").alias("k1"), "doc_id", "h1", (F.col("at") + 1).alias("at"), F.lit(True).alias("goes_on"))
+        jointed = edges.join(before.distinct(), ["k1", "prev", "doc_id", "h1", "at"], "left")
+        along = Window.partitionBy("doc_id", "h1").orderBy("at")
+        numbered = jointed.withColumn("path", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(along))
+        first = F.min_by(F.struct("k1", "k2"), "at").alias("first")
+        paths_of = numbered.groupBy("doc_id", "h1", "path").agg(first, F.min("at").alias("at"), F.count("*").alias("edges"))
+        compact = self._written("compact", paths_of.select("first.k1", "first.k2", F.col("doc_id").alias("source"), F.col("h1").alias("source_h1"), F.col("at").cast("long").alias("source_a"), (F.col("edges") + width - 1).alias("n")))
+
+        # 5. the paths' occurrences in later documents
+        later = at.select("doc_id", "h1", "at", "k1", "k2").join(compact, ["k1", "k2"]).filter("doc_id > source")
+        spans = self._written("spans", later.select("doc_id", "h1", F.col("at").cast("long").alias("a"), "n", "source", "source_h1", "source_a").distinct())
+        self.spans = spans.join(self._sources(spans), ["source", "source_h1", "source_a", "n"])
 
     def _written(self, name: str, df: DataFrame) -> DataFrame:
         df.write.parquet(f"{self.folder}/{name}")
         return df.sparkSession.read.parquet(f"{self.folder}/{name}")
 
-    def _checked(self, spans: DataFrame) -> DataFrame:
-        """The spans whose words have the digest that their source has at the source coordinates."""
-        own = spans.select("doc_id", "h1", "a", "n")
-        there = spans.select(F.col("source").alias("doc_id"), F.col("source_h1").alias("h1"), F.col("source_a").alias("a"), "n")
-        asked = own.union(there).distinct().groupBy("doc_id", "h1").agg(F.collect_list(F.struct("a", "n")).alias("asked"))
+    def _sources(self, spans: DataFrame) -> DataFrame:
+        """The digests of the words at the spans' source coordinates."""
+        asked = spans.select(F.col("source").alias("doc_id"), F.col("source_h1").alias("h1"), F.col("source_a").alias("a"), "n").distinct().groupBy("doc_id", "h1").agg(F.collect_list(F.struct("a", "n")).alias("asked"))
         texts = self.held.select("doc_id", "h1", "text").dropDuplicates(["doc_id", "h1"])
-        _digests(texts.join(asked, ["doc_id", "h1"]).select("doc_id", "h1", "text", "asked")).write.parquet(f"{self.folder}/digests")
-        digests = spans.sparkSession.read.parquet(f"{self.folder}/digests")
-        theirs = digests.select(F.col("doc_id").alias("source"), F.col("h1").alias("source_h1"), F.col("a").alias("source_a"), "n", F.col("digest").alias("source_digest"))
-        return spans.join(digests, ["doc_id", "h1", "a", "n"]).join(theirs, ["source", "source_h1", "source_a", "n"]).filter("digest = source_digest").select("doc_id", "h1", "a", "n", "source", "source_a")
+        return self._written("digests", _digests(texts.join(asked, ["doc_id", "h1"]).select("doc_id", "h1", "text", "asked")))
 
     def cut(self) -> DataFrame:
-        """For rows with spans: (doc_id, h1, n_removed, kept): the words outside all spans, joined by one space."""
-        listed = self.spans.groupBy("doc_id", "h1").agg(F.collect_list(F.struct("a", "n")).alias("spans"))
+        """For rows with spans: (doc_id, h1, n_removed, kept): the words outside all spans that have their source's digest, joined by one space."""
+        listed = self.spans.groupBy("doc_id", "h1").agg(F.collect_list(F.struct("a", "n", "digest")).alias("spans"))
         texts = self.held.select("doc_id", "h1", "text").dropDuplicates(["doc_id", "h1"])
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +207,8 @@ class Repeats:
                     own = t.split()
                     gone = np.zeros(len(own), dtype=bool)
                     for s in found:
-                        gone[s["a"] : s["a"] + s["n"]] = True
+                        if _digest(own, s["a"], s["n"]) == s["digest"]:
+                            gone[s["a"] : s["a"] + s["n"]] = True
                     removed.append(int(gone.sum()))
                     kept.append(b" ".join(w for w, g in zip(own, gone.tolist(), strict=True) if not g).decode())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "h1", "n_removed", "kept"])
