@@ -12,30 +12,45 @@ def test_slots_are_a_permutation(n):
         assert (a != O.slots(np.arange(n), n, 6)).mean() > 0.9 and abs(np.corrcoef(a, np.arange(n))[0, 1]) < 0.1
 
 
-def pieces(rows, length):
+def pieces(rows, unit):
     out = []
-    for i, t in rows:
-        b = (t or "").encode()
-        out += [(i, k // length, b[k : k + length]) for k in range(0, len(b), length)]
+    for i, b in rows:
+        out += [(i, k // unit, (b or b"")[k : k + unit]) for k in range(0, len(b or b""), unit)]
     return sorted(out, key=str)
 
 
-def test_round_trip_and_resume(spark, tmp_path):
-    rows = [(i, "line\nfeed é " * (i % 40)) for i in range(200)] + [(None, "no id"), (7, None), (8, ""), (9, "x\0y" * 5000), (9, "x\0y" * 5000)]
-    spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, slot int").repartition(5).write.parquet(f"{tmp_path}/in")
-    docs = spark.read.parquet(f"{tmp_path}/in")
-    made = O.materialise(docs, key=11, length=64, records=50)
+@pytest.mark.parametrize(("width", "shards", "ranges"), [(1, 10**6, 10**6), (2, 10**6, 3), (4, 5, 2)])
+def test_round_trip_and_resume(spark, tmp_path, monkeypatch, width, shards, ranges):
+    monkeypatch.setattr(O, "MOST_SHARDS", shards)
+    monkeypatch.setattr(O, "RANGES", ranges)
+    rows = [(i, b"line\nfeed \xff\0\x8b\n" * (i % 40) * width) for i in range(200)] + [(None, b"no id" * width), (7, None), (8, b""), (9, b"x\0y" * 5000 * width), (9, b"x\0y" * 5000 * width), (-(2**63), b"a" * width)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, ids binary, slot int").repartition(5)
+    made = O.materialise(docs, key=11, length=64, width=width, records=50)
     got = made.read().collect()
+    n = made.records
+    assert n >= 50 and -(-made.n // n) <= shards
     assert sorted(r.slot for r in got) == list(range(made.n))
-    assert sorted(((r.doc_id, r.place, bytes(r.ids)) for r in got), key=str) == pieces(rows, 64)
-    assert all(r.shard == r.slot // 50 for r in got)
+    assert sorted(((r.doc_id, r.place, bytes(r.ids)) for r in got), key=str) == pieces(rows, 64 * width)
+    assert all(r.shard == r.slot // n and r.n_tokens * width == len(r.ids) for r in got)
     rest = made.read(start=123).collect()
     assert {(r.slot, bytes(r.ids)) for r in rest} == {(r.slot, bytes(r.ids)) for r in got if r.slot >= 123}
     files = [(p, p.stat().st_size) for p in __import__("pathlib").Path(made.folder.removeprefix("file:")).glob("shard=*/part-*")]
-    assert all(s == made.stride * min(50, made.n - 50 * int(p.parent.name[6:])) for p, s in files) and len(files) == -(-made.n // 50)
-    again = O.materialise(docs, key=11, length=64, records=50).read().collect()
-    assert {(r.slot, bytes(r.ids)) for r in again} == {(r.slot, bytes(r.ids)) for r in got}
+    assert all(s == made.stride * min(n, made.n - n * int(p.parent.name[6:])) for p, s in files) and len(files) == -(-made.n // n)
+    # a record is read by its place alone
+    at = {r.slot: r for r in got}
+    for p, _ in files:
+        shard = int(p.parent.name[6:])
+        with open(p, "rb") as f:
+            f.seek(3 * made.stride)
+            record = f.read(made.stride)
+        assert record[O.HEAD : O.HEAD + len(at[shard * n + 3].ids)] == bytes(at[shard * n + 3].ids)
+
+
+def test_same_files_give_the_same_slots(spark, tmp_path):
+    spark.createDataFrame([(i, bytes([i % 256]) * (i % 300)) for i in range(500)], "doc_id long, ids binary").repartition(3).write.parquet(f"{tmp_path}/in")
+    slots = lambda: {(r.slot, r.doc_id, r.place) for r in O.materialise(spark.read.parquet(f"{tmp_path}/in"), key=4, length=16, width=1, records=64).read().collect()}
+    assert slots() == slots()
 
 
 def test_empty_table(spark):
-    assert O.materialise(spark.createDataFrame([], "doc_id long, text string"), key=1).read().count() == 0
+    assert O.materialise(spark.createDataFrame([], "doc_id long, ids binary"), key=1).read().count() == 0

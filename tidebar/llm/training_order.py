@@ -1,14 +1,15 @@
 """Token ids in training order, as fixed-stride shards.
 
-Every text is cut into sequences of LENGTH ids. Sequences are numbered in the order of the input's partitions, and a keyed Feistel permutation with
-cycle-walking gives each number a global slot: a bijection of 0 .. n-1 without a sort or a table. Slots are dealt by range (slot div RECORDS), and each
-range is written as one file of equal records, so that record r of shard s is slot s * RECORDS + r, at byte r * stride: reads are sequential and can
-resume at any slot by a seek.
+Every document's ids are cut into sequences of LENGTH ids and written once, each document with its place in its partition. A sum for each partition then
+numbers all sequences without a sort, and a keyed Feistel permutation with cycle-walking gives each number a global slot: a bijection of 0 .. n-1 without
+a table. Slots are dealt by range: shard s has the slots from s * records on, and a task writes a range of neighbouring shards. Shards grow with the
+corpus beyond MOST_SHARDS of them, and there are RANGES tasks at most, so that the driver's work stays bounded.
 
-A record is: doc_id (8 bytes, signed), place of the sequence in its document (4), number of ids (4), LENGTH ids padded with zeros, a line feed (which
-Spark's text sink ends each value with); all little-endian.
+Each shard is one file of equal records, so that record r of shard s is slot s * records + r, at byte r * stride: reads are sequential and can resume at
+any slot. A record is: doc_id (8 bytes, signed), place of the sequence in its document (4), number of ids (3), whether there is a doc_id (1), LENGTH ids
+of `width` bytes padded with zeros, a line feed (which Spark's text sink ends each value with); all little-endian.
 
-Nulls: a null or empty text has no sequence; a null doc_id is written as the least 64-bit number. Repeated rows are written as often as they come.
+Nulls: a document without ids (null or empty) has no sequence; a null doc_id is flagged. Repeated rows are written as often as they come.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 from tidebar.session import scratch
 
 LENGTH = 512
-RECORDS = 32_768
+#: Records in a shard at least; the most shards; the most tasks that write them.
+RECORDS, MOST_SHARDS, RANGES = 32_768, 100_000, 20_000
 ROUNDS = 6
-NO_ID = -(2**63)
 HEAD = 16
 #: Sequences built at once.
 AT_ONCE = 8192
@@ -55,74 +56,85 @@ def slots(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def _sequences(docs: DataFrame, begins: dict[int, int], n: int, key: int, length: int, records: int) -> DataFrame:
-    """(shard, slot, record) of every sequence; ids are deflated on their way through the shuffle."""
+def _placed(docs: DataFrame, unit: int) -> DataFrame:
+    """(part, at, n, doc_id, ids) of every document with ids: how many sequences its partition has before it, and how many it has, of `unit` bytes each."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        at, stop = begins.get(part, (0, 0))
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            size = np.array([0 if x is None else x for x in pa.compute.binary_length(batch.column(1)).to_pylist()], dtype=np.int64)
+            own = np.flatnonzero(size)
+            n = -(-size[own] // unit)
+            begin = at + np.cumsum(n) - n
+            at += int(n.sum())
+            picked = batch.take(pa.array(own))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), part, dtype=np.int32)), pa.array(begin), pa.array(n), *picked.columns], names=["part", "at", "n", "doc_id", "ids"])
+
+    return docs.mapInArrow(work, "part int, at long, n long, doc_id long, ids binary")
+
+
+def _sequences(placed: DataFrame, begins: dict[int, int], n: int, key: int, unit: int, width: int) -> DataFrame:
+    """(slot, record) of every sequence; ids are deflated on their way through the shuffle."""
 
-        def built(ids: list[int], texts: list[bytes]) -> pa.RecordBatch:
-            nonlocal at
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def built(at: list[int], ids: list[int | None], texts: list[bytes]) -> pa.RecordBatch:
             size = np.array([len(t) for t in texts], dtype=np.int64)
-            count = -(-size // length)
+            count = -(-size // unit)
             total = int(count.sum())
-            if at + total > stop:
-                raise RuntimeError("the input's partitions changed between counting and writing")
             doc = np.repeat(np.arange(len(texts)), count)
             place = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-            own = np.minimum(length, size[doc] - place * length)
+            own = np.minimum(unit, size[doc] - place * unit) // width
             head = np.zeros((total, HEAD), dtype=np.uint8)
-            head[:, :8] = np.array(ids, dtype="<i8")[doc].view(np.uint8).reshape(total, 8)
+            head[:, :8] = np.array([i or 0 for i in ids], dtype="<i8")[doc].view(np.uint8).reshape(total, 8)
             head[:, 8:12] = place.astype("<u4").view(np.uint8).reshape(total, 4)
-            head[:, 12:16] = own.astype("<u4").view(np.uint8).reshape(total, 4)
-            packed = [h.tobytes() + zlib.compress(texts[d][p * length : p * length + length], 1) for h, d, p in zip(head, doc.tolist(), place.tolist(), strict=True)]
-            slot = slots(np.arange(at, at + total), n, key)
-            at += total
-            return pa.RecordBatch.from_arrays([pa.array((slot // records).astype(np.int32)), pa.array(slot), pa.array(packed, pa.binary())], names=["shard", "slot", "value"])
+            head[:, 12:16] = (own + (np.array([i is not None for i in ids], dtype=np.int64)[doc] << 24)).astype("<u4").view(np.uint8).reshape(total, 4)
+            packed = [h.tobytes() + zlib.compress(texts[d][p * unit : p * unit + unit], 1) for h, d, p in zip(head, doc.tolist(), place.tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(slots(np.array(at, dtype=np.int64)[doc] + place, n, key)), pa.array(packed, pa.binary())], names=["slot", "value"])
 
         for batch in batches:
-            ids, texts, weight = [], [], 0
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if t:
-                    ids.append(NO_ID if i is None else i)
-                    texts.append(t)
-                    weight += -(-len(t) // length)
-                    if weight >= AT_ONCE:
-                        yield built(ids, texts)
-                        ids, texts, weight = [], [], 0
+            at, ids, texts, weight = [], [], [], 0
+            for part, begin, count, i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at.append(begins[part] + begin)
+                ids.append(i)
+                texts.append(t)
+                weight += count
+                if weight >= AT_ONCE:
+                    yield built(at, ids, texts)
+                    at, ids, texts, weight = [], [], [], 0
             if texts:
-                yield built(ids, texts)
+                yield built(at, ids, texts)
 
-    return docs.mapInArrow(work, "shard int, slot long, value binary")
+    return placed.select("part", "at", "n", "doc_id", "ids").mapInArrow(work, "slot long, value binary")
 
 
-def _inflated(dealt: DataFrame, length: int) -> DataFrame:
-    """The records as they are written, without their line feed."""
+def _inflated(dealt: DataFrame, unit: int, records: int) -> DataFrame:
+    """The records as they are written, without their line feed, and their shards."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, AT_ONCE):
                 own = batch.slice(at, AT_ONCE)
-                whole = [v[:HEAD] + zlib.decompress(v[HEAD:]).ljust(length, b"\0") for v in own.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(whole, pa.binary())], names=["shard", "slot", "value"])
+                whole = [v[:HEAD] + zlib.decompress(v[HEAD:]).ljust(unit, b"\0") for v in own.column(1).to_pylist()]
+                shard = own.column(0).to_numpy(zero_copy_only=False) // records
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(whole, pa.binary())], names=["shard", "value"])
 
-    return dealt.mapInArrow(work, "shard int, slot long, value binary")
+    return dealt.mapInArrow(work, "shard long, value binary")
 
 
 class Shards:
     """A written training order: its folder and what is needed to read it."""
 
-    def __init__(self, spark: SparkSession, folder: str, n: int, length: int, records: int):
-        self.spark, self.folder, self.n, self.length, self.records = spark, folder, n, length, records
+    def __init__(self, spark: SparkSession, folder: str, n: int, length: int, width: int, records: int):
+        self.spark, self.folder, self.n, self.length, self.width, self.records = spark, folder, n, length, width, records
 
     @property
     def stride(self) -> int:
-        return HEAD + self.length + 1
+        return HEAD + self.length * self.width + 1
 
     def read(self, start: int = 0) -> DataFrame:
-        """(slot, shard, doc_id, place, ids) from slot `start` on. Shards before it aren't opened, and its own shard is entered by a seek."""
-        stride, records = self.stride, self.records
+        """(slot, shard, doc_id, place, n_tokens, ids) from slot `start` on. Shards before it aren't opened; its own is entered at its record. A task
+        holds one shard."""
+        stride, records, width = self.stride, self.records, self.width
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -134,46 +146,39 @@ class Shards:
                     for at in range(max(0, start - shard * records), len(rows), AT_ONCE):
                         own = rows[at : at + AT_ONCE]
                         column = lambda a, b, kind: np.ascontiguousarray(own[:, a:b]).view(kind).ravel()  # noqa: B023, E731
-                        size = column(12, 16, "<u4")
-                        ids = [r[HEAD : HEAD + s].tobytes() for r, s in zip(own, size.tolist(), strict=True)]
-                        doc = column(0, 8, "<i8")
+                        last = column(12, 16, "<u4").astype(np.int64)
+                        size, known = last & 0xFFFFFF, (last >> 24) == 1
+                        ids = [r[HEAD : HEAD + s * width].tobytes() for r, s in zip(own, size.tolist(), strict=True)]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(shard * records + at + np.arange(len(own))), pa.array(np.full(len(own), shard, dtype=np.int32)), pa.array(doc, mask=doc == NO_ID), pa.array(column(8, 12, "<u4").astype(np.int64)), pa.array(ids, pa.binary())],
-                            names=["slot", "shard", "doc_id", "place", "ids"],
+                            [pa.array(shard * records + at + np.arange(len(own))), pa.array(np.full(len(own), shard, dtype=np.int64)), pa.array(column(0, 8, "<i8"), mask=~known), pa.array(column(8, 12, "<u4").astype(np.int64)), pa.array(size), pa.array(ids, pa.binary())],
+                            names=["slot", "shard", "doc_id", "place", "n_tokens", "ids"],
                         )
 
-        schema = "slot long, shard int, doc_id long, place long, ids binary"
+        schema = "slot long, shard long, doc_id long, place long, n_tokens long, ids binary"
         if not self.n:
             return self.spark.createDataFrame([], schema)
         files = self.spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(self.folder)
         # the folder of a shard is its number, so partition pruning leaves earlier ones alone
-        return files.filter(F.col("shard") >= start // records).select("shard", "content").mapInArrow(work, schema)
+        return files.filter(F.col("shard") >= start // records).select(F.col("shard").cast("long"), "content").mapInArrow(work, schema)
 
 
-def materialise(docs: DataFrame, key: int, length: int = LENGTH, records: int = RECORDS, doc_id: str = "doc_id", text: str = "text", folder: str | None = None) -> Shards:
-    """Writes the shards of docs' texts, whose ids are their UTF-8 bytes (or of a binary column of one-byte ids). docs must be a scan of files or a
-    checkpoint: it is read twice, for the count and for the ids, and both reads must have the same partitions (this is checked)."""
+def materialise(docs: DataFrame, key: int, length: int = LENGTH, width: int = 4, records: int = RECORDS, doc_id: str = "doc_id", ids: str = "ids", folder: str | None = None) -> Shards:
+    """Writes the shards of a binary column of ids of `width` bytes each, little-endian. Slots follow from the key, the input's rows and how these are
+    dealt over partitions."""
     spark = docs.sparkSession
-    folder = folder or scratch(spark, "shards")
-    own = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("binary").alias("ids"))
-    setting = "spark.sql.files.minPartitionNum"  # else splits depend on the cores at hand
-    before = spark.conf.get(setting, None)
-    spark.conf.set(setting, before or str(spark.sparkContext.defaultParallelism))
-    try:
-        counted = own.select(F.spark_partition_id().alias("p"), F.ceil(F.coalesce(F.octet_length("ids"), F.lit(0)) / length).alias("c")).groupBy("p").agg(F.sum("c").alias("c"))
-        begins, n = {}, 0
-        for r in sorted(counted.collect(), key=lambda r: r.p):  # a number for each partition
-            begins[r.p] = (n, n + r.c)
-            n += r.c
-        if n:
-            made = _sequences(own, begins, n, key, length, records)
-            dealt = _inflated(made.repartition(-(-n // records), "shard"), length).sortWithinPartitions("shard", "slot")
-            dealt.select("shard", F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").partitionBy("shard").text(folder)
-    finally:
-        if before is None:
-            spark.conf.unset(setting)
-        else:
-            spark.conf.set(setting, before)
-    return Shards(spark, folder, n, length, records)
-
-
+    folder, unit = folder or scratch(spark, "shards"), length * width
+    _placed(docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[ids].alias("ids")), unit).write.option("compression", "zstd").parquet(f"{folder}/ids")
+    placed = spark.read.parquet(f"{folder}/ids")
+    begins, n = {}, 0
+    for r in placed.groupBy("part").agg(F.sum("n").alias("c")).orderBy("part").collect():  # a number for each partition of the input
+        begins[r.part] = n
+        n += r.c
+    records = max(records, -(-n // MOST_SHARDS))
+    if n:
+        shards = -(-n // records)
+        ranges = min(shards, RANGES)
+        made = _sequences(placed, begins, n, key, unit, width)
+        # a range is a number of neighbouring shards
+        dealt = made.repartitionById(ranges, F.floor(F.floor(F.col("slot") / records) * ranges / shards).cast("int")).sortWithinPartitions("slot")
+        _inflated(dealt, unit, records).select("shard", F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").partitionBy("shard").text(f"{folder}/shards")
+    return Shards(spark, f"{folder}/shards", n, length, width, records)
