@@ -16,7 +16,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,6 +33,8 @@ from pyspark.sql import types as T
 END = "\ue000"
 #: Chunks whose ids are kept; the table is emptied when it is full.
 KEPT_CHUNKS = 400_000
+#: Whether the machine writes integers as ids are written.
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 #: Separators that str.split() knows and the tokenizer's \s doesn't.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -57,11 +61,13 @@ class WordBpe:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern).findall
         self.space = regex.compile(r"\s+")
-        self.glyphs = byte_glyphs()
+        self.glyphs = dict(enumerate(byte_glyphs()))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) + ")").split if self.special else None
         self._load(model)
         self.chunks = _Chunks(self)
+        #: ids of words; chunks are words with signs around them
+        self.kept: dict[str, list[int]] = {}
 
     def _marked(self, token: str) -> str:
         return token[: -len(self.suffix)] + END if self.suffix and token.endswith(self.suffix) else token
@@ -69,7 +75,7 @@ class WordBpe:
     def _load(self, model: dict) -> None:
         vocab: dict[str, int] = model["vocab"]
         self.ids = {self._marked(t): i for t, i in vocab.items()}
-        self.text = {i: t for t, i in self.ids.items()}
+        self.sizes = {i: len(t) for t, i in self.ids.items()}
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
@@ -145,31 +151,34 @@ class WordBpe:
         if whole is not None and (whole in self.parts or len(word) == 1) and self._reachable(whole):
             return [whole]
         first, n = self.longest(marked), len(marked)
-        lengths = self.text
+        sizes, shorter, fits, compatible = self.sizes, self.shorter, self.fits, self.compatible
         alive = bytearray(b"\x01") * (n + 1)
         out: list[int] = []
-        at, token = 0, first[0]
+        at, token, last = 0, first[0], -1
         while True:
-            last = out[-1] if out else -1
             while token >= 0:
-                end = at + len(lengths[token])
-                if alive[end] and (last < 0 or self.compatible(last, token)):
-                    break
-                token = self.shorter[token]
+                end = at + sizes[token]
+                if alive[end]:
+                    if last < 0:
+                        break
+                    known = fits.get((last, token))
+                    if known or (known is None and compatible(last, token)):
+                        break
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
-                at = end
-                if at == n:
+                if end == n:
                     return out
-                token = first[at]
+                at, last, token = end, token, first[end]
                 continue
             # nothing fits here: the position is dead, and the token before gives way to a shorter one
             alive[at] = 0
             if not out:
                 raise ValueError(f"word can't be encoded: {word!r}")
             gone = out.pop()
-            at -= len(lengths[gone])
-            token = self.shorter[gone]
+            last = out[-1] if out else -1
+            at -= sizes[gone]
+            token = shorter[gone]
 
     @lru_cache(maxsize=100_000)  # noqa: B019  one tokenizer lives as long as its worker
     def _reachable(self, token: int) -> bool:
@@ -201,10 +210,17 @@ class WordBpe:
 
     def encode_chunk(self, chunk: str) -> bytes:
         """Ids, as little-endian unsigned 32-bit integers, of a normalised chunk without white space."""
-        glyphs, ids = self.glyphs, []
+        glyphs, kept, ids = self.glyphs, self.kept, []
         for word in self.words(chunk):
-            ids += self.encode_word("".join(glyphs[b] for b in word.encode("utf-8", "surrogatepass")))
-        return np.array(ids, dtype="<u4").tobytes()
+            own = kept.get(word)
+            if own is None:
+                own = self.encode_word(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(glyphs))
+                if len(word) < 100:
+                    if len(kept) >= KEPT_CHUNKS:
+                        kept.clear()
+                    kept[word] = own
+            ids += own
+        return array("I", ids).tobytes() if LITTLE else np.array(ids, dtype="<u4").tobytes()
 
     def normalise(self, text: str) -> str:
         if not text.isascii():
