@@ -3,6 +3,8 @@ import math
 import random
 import re
 
+import pytest
+
 from tidebar.llm import imatch as I
 
 SPLIT = re.compile(I.BETWEEN)
@@ -50,7 +52,7 @@ def test_fingerprints(spark):
 def test_small_and_empty_tables(spark):
     assert I.compare_with_edited(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = I.compare_with_edited(spark.createDataFrame([(4, "abcd")], "doc_id long, text string")).collect()
-    assert [(r.doc_id, r.edited, r.near_edited, r.near_next) for r in one] == [(4, "abab", 1.0, 1.0)]
+    assert [(r.doc_id, r.edited, r.near_edited, r.near_next) for r in one] == [(4, "abab", 0.0, 1.0)]  # no lexicon term in either, so only equal texts are alike
     twice = I.compare_with_edited(spark.createDataFrame([(4, "ab"), (4, "ab"), (4, "cd")], "doc_id long, text string")).collect()
     assert len(twice) == 3
 
@@ -62,3 +64,26 @@ def test_sha(spark):
 def test_plan_has_no_python(spark):
     plan = I.compare_with_edited(spark.createDataFrame([(1, "a b"), (2, "a c")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "MapIn" not in plan
+
+
+@pytest.mark.parametrize("stretch", [3, 7])
+def test_sparse_ids_and_rows_without_one(spark, monkeypatch, stretch):
+    monkeypatch.setattr(I, "STRETCH", stretch)
+    rnd = random.Random(3)
+    rows = [(i, f"{i} a") for i in range(40)] + [(2**63 - 1, "top"), (-(2**63), "bottom"), (10**15, "far")] + [(None, f"none {rnd.randrange(10**6)}") for _ in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    hashes = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(text) AS h").collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    got = {r.text: r.next_text for r in I.with_next(docs, ["text"]).collect()}
+    assert got == {t: ordered[(k + 1) % len(ordered)][1] for k, (_, t) in enumerate(ordered)}
+    sizes = [r.n for r in docs.groupBy(I._stretch(docs.doc_id, [39, 30, 20, 10, 0]).alias("s")).agg(I.F.count("*").alias("n")).collect()]
+    assert sum(sizes) == len(rows)
+
+
+def test_documents_outside_the_lexicon_are_like_their_equals_only(spark):
+    common = [(i, " ".join(f"w{(i * 7 + k) % 60}" for k in range(20))) for i in range(400)]
+    rare = [(1000, "alpha beta"), (1001, "beta  alpha"), (1002, "gamma delta"), (1003, "!!!"), (1004, "???"), (1005, ""), (1006, None), (1007, "!!!")]
+    fp = {r.doc_id: r.fp for r in I.compare_with_edited(spark.createDataFrame(common + rare, "doc_id long, text string")).collect()}
+    assert fp[1000] == fp[1001] and fp[1003] == fp[1007] and fp[1005] == fp[1006]
+    like = lambda a, b: sum(x == y for x, y in zip(fp[a], fp[b], strict=True)) / I.SUBSETS
+    assert all(like(a, b) < 0.05 for a, b in [(1000, 1002), (1003, 1004), (1003, 1005), (1000, 3)])
