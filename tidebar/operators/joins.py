@@ -45,16 +45,17 @@ def lagged_daily_join(bars: DataFrame, daily: DataFrame, day: str, columns: list
     return bars.withColumn("__day", F.col(ts).cast("date")).join(seen, "__day", "left").drop("__day")
 
 
-def next_event(value: Column, happens: Column, by: Window) -> Column:
-    """The value at the next row where something happens, strictly after the row; null on such rows themselves."""
-    ahead = by.rowsBetween(1, Window.unboundedFollowing)
-    return F.when(~happens, F.first(F.when(happens, value), ignorenulls=True).over(ahead))
+def next_event(value: Column, happens: Column, by: list[str], order: str) -> Column:
+    """The value at the next row where something happens, strictly after the row; null on such rows themselves. In descending order, what comes next has
+    been seen already, so that the frame grows by one row at a time."""
+    seen = Window.partitionBy(*by).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    return F.when(~happens, F.last(F.when(happens, value), ignorenulls=True).over(seen))
 
 
 def forward_asof(events: DataFrame, bars: DataFrame, event_ts: str, by: list[str], ts: str = "ts") -> DataFrame:
-    """events with the index of the first bar at or after them."""
+    """events with the index of the first bar at or after them; a running frame in descending order."""
     e = events.select(*by, F.col(event_ts).alias("__at"), F.lit(0).alias("__side"), F.struct(*events.columns).alias("__row"))
     b = bars.select(*by, F.col(ts).alias("__at"), F.lit(1).alias("__side"), F.col("bar_idx").alias("__idx"))
-    w = Window.partitionBy(*by).orderBy("__at", "__side").rowsBetween(0, Window.unboundedFollowing)
-    found = e.unionByName(b, allowMissingColumns=True).withColumn("__first", F.first("__idx", ignorenulls=True).over(w)).filter("__side = 0")
+    w = Window.partitionBy(*by).orderBy(F.col("__at").desc(), F.col("__side").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    found = e.unionByName(b, allowMissingColumns=True).withColumn("__first", F.last("__idx", ignorenulls=True).over(w)).filter("__side = 0")
     return found.select("__row.*", F.col("__first").alias("first_bar_idx"))

@@ -91,22 +91,22 @@ def affine_scan(df: DataFrame, b: Column, a: float, out: str) -> DataFrame:
     """y_t = a * y_{t-1} + b_t along each series (b null counts as 0), without a sequential pass.
 
     Bars are cut into blocks of BLOCK. In a block, y is a scaled running sum (a ** -i stays far from overflow there). What a block hands on is its last
-    value; since a ** BLOCK shrinks quickly, a block takes over from as many blocks before it as can still matter in double precision. Both windows are
-    partitioned by block or hold one row for each block, so a long series is spread over many tasks.
+    value; since a ** BLOCK shrinks quickly, it matters in double precision to a few blocks only: the last bar of a block is sent to these as a guest, and
+    guests are dropped afterwards. Both windows are partitioned by block, so a long series is spread over many tasks, and the plan below is read once.
     """
-    reach = max(1, min(64, math.ceil(math.log(1e-18) / (BLOCK * math.log(a))))) if 0 < a < 1 else 1
-    # a block may not be scaled beyond what doubles hold
-    size = min(BLOCK, max(1, math.floor(250 / -math.log10(a)))) if 0 < a < 1 else BLOCK
-    if size < BLOCK:
-        reach = max(1, math.ceil(math.log(1e-18) / (size * math.log(a))))
+    size = min(BLOCK, max(1, math.floor(250 / -math.log10(a)))) if 0 < a < 1 else BLOCK  # a block may not be scaled beyond what doubles hold
+    reach = max(1, min(64 if size == BLOCK else 10**6, math.ceil(math.log(1e-18) / (size * math.log(a))))) if 0 < a < 1 else 1
     placed = df.withColumns({"__b": F.coalesce(b, F.lit(0.0)), "__block": F.floor(F.col("bar_idx") / size), "__k": (F.col("bar_idx") % size).cast("double")})
-    inside = Window.partitionBy("series_id", "__block").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
-    local = placed.withColumn("__y", F.pow(F.lit(a), F.col("__k")) * F.sum(F.col("__b") * F.pow(F.lit(a), -F.col("__k"))).over(inside))
-    ends = local.groupBy("series_id", "__block").agg(F.max_by("__y", "bar_idx").alias("__end"))
-    along = Window.partitionBy("series_id").orderBy("__block")
-    carry = sum((F.coalesce(F.lag("__end", j).over(along), F.lit(0.0)) * a ** (size * (j - 1)) for j in range(1, reach + 1)), F.lit(0.0))
-    carried = ends.select("series_id", "__block", carry.alias("__carry"))
-    return local.join(carried, ["series_id", "__block"]).withColumn(out, F.col("__y") + F.pow(F.lit(a), F.col("__k") + 1) * F.col("__carry")).drop("__b", "__block", "__k", "__y", "__carry")
+    inside = Window.partitionBy("series_id", "__block").orderBy("bar_idx")
+    up = inside.rowsBetween(Window.unboundedPreceding, 0)
+    local = placed.withColumns({"__y": F.pow(F.lit(a), F.col("__k")) * F.sum(F.col("__b") * F.pow(F.lit(a), -F.col("__k"))).over(up), "__last": F.lead("bar_idx").over(inside).isNull()})
+    blocks = F.when(F.col("__last"), F.sequence(F.col("__block"), F.col("__block") + reach)).otherwise(F.array("__block"))
+    dealt = local.withColumn("__to", F.explode(blocks))
+    # from the last bar of the guest's block to the end of the block before this one
+    decay = F.pow(F.lit(a), size * (F.col("__to") - F.col("__block")) - 1 - F.col("__k"))
+    carry = F.sum(F.when(F.col("__to") != F.col("__block"), F.col("__y") * decay)).over(Window.partitionBy("series_id", "__to"))
+    carried = dealt.withColumn("__carry", F.coalesce(carry, F.lit(0.0))).filter(F.col("__to") == F.col("__block"))
+    return carried.withColumn(out, F.col("__y") + F.pow(F.lit(a), F.col("__k") + 1) * F.col("__carry")).drop("__b", "__block", "__k", "__y", "__last", "__to", "__carry")
 
 
 def ewm(df: DataFrame, x: Column, out: str, alpha: float | None = None, span: int | None = None, adjust: bool = False, least: int = 0) -> DataFrame:

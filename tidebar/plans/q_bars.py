@@ -159,18 +159,18 @@ SELECT series_id, ts, up, CASE WHEN NOT up THEN (SELECT f.close FROM e f WHERE f
 def _(spark, d):
     """The next strong bar after each bar."""
     b = B.bars_of_events(spark, d, "1h").withColumn("up", F.col("close") > 1.5 * F.col("open"))
-    nxt = lambda v: J.next_event(v, F.col("up"), B.in_order())
+    nxt = lambda v: J.next_event(v, F.col("up"), ["series_id"], "ts")
     return b.select("series_id", "ts", "up", nxt(F.col("close")).alias("next_close"), (nxt(F.col("bar_idx")) - F.col("bar_idx")).alias("bars_to_next"))
 
 
-_FORWARD = f"""WITH {bars_sql("1 hour")}, e AS (SELECT event_id, event_type AS series_id, ts AS at FROM events WHERE user_id % 7 = 0)
-SELECT e.event_id, e.at, (SELECT min(bar_idx) FROM bars b WHERE b.series_id = e.series_id AND b.ts >= e.at) AS first_bar_idx FROM e"""
+_FORWARD = f"""WITH {bars_sql("1 hour")}, e AS (SELECT event_id, event_type AS series_id, ts AS at FROM events)
+SELECT e.event_id, e.at, b.bar_idx AS first_bar_idx FROM e ASOF LEFT JOIN bars b ON e.series_id = b.series_id AND e.at <= b.ts"""
 
 
 @query("j11_forward_asof", _FORWARD)
 def _(spark, d):
     """The first bar at or after each event."""
-    e = table(spark, d, "events").filter("user_id % 7 = 0").select("event_id", F.col("event_type").alias("series_id"), F.col("ts").alias("at"))
+    e = table(spark, d, "events").select("event_id", F.col("event_type").alias("series_id"), F.col("ts").alias("at"))
     return J.forward_asof(e, B.bars_of_events(spark, d, "1h"), "at", ["series_id"]).select("event_id", "at", "first_bar_idx")
 
 
@@ -212,13 +212,13 @@ def _(spark, d):
     return b.groupBy("series_id").agg(F.count("*").alias("n"), (F.count("*") - F.countDistinct("ts")).alias("duplicates"), F.count_if(F.col("gap") > 1350).alias("gaps"), F.max("gap").alias("longest_gap"), F.count_if(~B.ohlc_valid()).alias("invalid"), F.count_if(F.col("close").isNull()).alias("null_close"), F.count_if(F.col("taker_buy") > F.col("volume")).alias("bad_taker"))
 
 
-_CSV = """SELECT CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS open_ms, value AS price, event_type AS kind, event_id FROM events WHERE user_id % 5 = 0"""
+_CSV = """SELECT CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS open_ms, value AS price, event_type AS kind, event_id FROM events"""
 
 
 @query("s6_kline_csv", _CSV, "price")
 def _(spark, d):
     """A round trip through headed, dirty CSV text: header rows and rows that don't parse go, microseconds become milliseconds."""
-    e = table(spark, d, "events").filter("user_id % 5 = 0")
+    e = table(spark, d, "events")
     lines = e.select(F.concat_ws(",", F.unix_micros(F.col("ts").cast("timestamp")), "value", "event_type", "event_id").alias("line"))
     dirty = lines.union(spark.createDataFrame([("open_time,price,kind,event_id",), ("n/a,1.0,x,0",)], "line string"))
     return ingest.parse_lines(dirty, "open_time string, price string, kind string, event_id string").select(ingest.to_millis("open_time").alias("open_ms"), F.expr("try_cast(price AS double)").alias("price"), "kind", F.expr("try_cast(event_id AS bigint)").alias("event_id")).filter("open_ms is not null")

@@ -162,13 +162,13 @@ def _(spark, d):
     return c.select("feature", F.when(F.col("feature").rlike("^(m15|m30|h1|h4|d1)_"), "htf").when(head.isin("ict", "sess", "liq", "fund", "cvd", "label"), head).otherwise("ta").alias("family"))
 
 
-_UNTRIED = """WITH tried AS (SELECT DISTINCT user_id % 7 AS a, event_id % 5 AS b FROM events WHERE event_id % 3 = 0 AND user_id % 2 = 0), grid AS (SELECT x.range AS a, y.range AS b FROM range(9) x, range(6) y) SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM grid EXCEPT SELECT a, b FROM tried"""
+_UNTRIED = """WITH tried AS (SELECT DISTINCT user_id % 7 AS a, event_id % 5 AS b FROM events), grid AS (SELECT x.range AS a, y.range AS b FROM range(9) x, range(6) y) SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM grid EXCEPT SELECT a, b FROM tried"""
 
 
 @query("o8_untried", _UNTRIED)
 def _(spark, d):
     """Options of a small search grid that weren't tried."""
-    tried = table(spark, d, "events").filter("event_id % 3 = 0 and user_id % 2 = 0").select((F.col("user_id") % 7).alias("a"), (F.col("event_id") % 5).alias("b")).distinct()
+    tried = table(spark, d, "events").select((F.col("user_id") % 7).alias("a"), (F.col("event_id") % 5).alias("b")).distinct()
     grid = spark.range(9 * 6).select(F.floor(F.col("id") / 6).alias("a"), (F.col("id") % 6).alias("b"))
     return grid.join(tried, ["a", "b"], "left_anti")
 

@@ -98,12 +98,18 @@ def _(spark, d):
     return V.expanding(trades(spark, d, 3))
 
 
-@query("v1_folds", f"WITH {daily_sql()}, f AS (SELECT * FROM (VALUES (1, 230, 235, 285, 290, 350, 211, 242), (2, 290, 295, 345, 350, 410, 271, 302)) v(fold, train_end, val_start, val_end, test_start, test_end, train_below, val_below)), r AS (SELECT fold, CASE WHEN bar_idx < train_end AND bar_idx < train_below THEN 'train' WHEN bar_idx >= val_start AND bar_idx < val_end AND bar_idx < val_below THEN 'validate' WHEN bar_idx >= test_start AND bar_idx < test_end THEN 'test' END AS role FROM bars JOIN f ON bar_idx < test_end) SELECT CAST(fold AS BIGINT) AS fold, role, count(*) AS n FROM r WHERE role IS NOT NULL GROUP BY 1, 2")
+_FOLDS = f"""WITH {daily_sql()}, s AS (SELECT unnest(range(290, n, 60)) AS start, n FROM (SELECT max(bar_idx) + 1 AS n FROM bars)), v AS (SELECT row_number() OVER (ORDER BY start) AS fold, start, least(start + 60, n) AS test_end, start - 5 AS free, start - 5 - greatest(CAST(floor((start - 5) * 0.1) AS BIGINT), 50) AS val FROM s),
+r AS (SELECT fold, CASE WHEN bar_idx < val - 24 THEN 'train' WHEN bar_idx >= val AND bar_idx < start - 48 THEN 'validate' WHEN bar_idx >= start AND bar_idx < test_end THEN 'test' END AS role FROM bars JOIN v ON bar_idx < test_end) SELECT CAST(fold AS BIGINT) AS fold, role, count(*) AS n FROM r WHERE role IS NOT NULL GROUP BY 1, 2"""
+
+
+@query("v1_folds", _FOLDS)
 def _(spark, d):
-    """Walk-forward folds with embargo and purging."""
-    spec = V.folds(410, 285, 60, 5, 48, least=50)
+    """Walk-forward folds with embargo and purging, to the end of the longest series."""
+    bars = B.daily_bars_of_orders(spark, d)
+    last = bars.agg(F.max("bar_idx")).first()[0]
+    spec = V.folds(0 if last is None else last + 1, 285, 60, 5, 48, least=50)
     spec["train_below"], spec["val_below"] = spec["val_start"] - 24, spec["test_start"] - 48
-    return V.fold_roles(B.daily_bars_of_orders(spark, d), spec).groupBy("fold", "role").agg(F.count("*").alias("n"))
+    return V.fold_roles(bars, spec).groupBy("fold", "role").agg(F.count("*").alias("n"))
 
 
 _LO = f"""WITH {daily_sql()}, d AS (SELECT series_id, ts AS day, close / open - 1 AS r FROM bars), m AS (SELECT *, r - avg(r) OVER (PARTITION BY series_id) AS x FROM d), l AS (SELECT *, {", ".join(f"x * lag(x, {k}) OVER (PARTITION BY series_id ORDER BY day) AS l{k}" for k in range(1, 11))} FROM m),
