@@ -61,11 +61,13 @@ def ohlc_valid() -> Column:
     return F.coalesce((low <= F.col("open")) & (F.col("open") <= high) & (low <= F.col("close")) & (F.col("close") <= high) & (F.col("volume") >= 0), F.lit(False))
 
 
-def bars_of_events(spark: SparkSession, sf_dir: str, interval: str = "15m", by: str | None = "event_type") -> DataFrame:
-    """The events table as ticks: price is value; buyers are even user ids. One series for each event type, or one in all."""
+def bars_of_events(spark: SparkSession, sf_dir: str, interval: str = "15m", by: str | None = "event_type", numbered: bool = True) -> DataFrame:
+    """The events table as ticks: price is value; buyers are even user ids. One series for each event type, or one in all. Numbering the bars reads the
+    table once more, as it counts days first."""
     events = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
     ticks = events.select((F.col(by) if by else F.lit("ALL")).alias("series_id"), "ts", F.col("value").alias("price"), F.col("event_id").alias("tick_id"), "user_id")
-    return slicing.with_bar_idx(resample(ticks, interval, buy=F.col("user_id") % 2 == 0))
+    bars = resample(ticks, interval, buy=F.col("user_id") % 2 == 0)
+    return slicing.with_bar_idx(bars) if numbered else bars
 
 
 def daily_bars_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,19 +49,26 @@ def _touch(ahead: Column, direction: str, target: Column, stop: Column) -> tuple
 
 
 def triple_barrier(df: DataFrame, horizons: tuple[int, ...] = (12, 24, 48), ratios: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """1 if the target of r ATR is touched before the stop of 1 ATR; ties and neither are 0; null without an ATR or without a full horizon."""
-    longest = max(horizons)
-    base = df.withColumn("__ahead", R.ahead(["high", "low"], longest))
+    """1 if the target of r ATR is touched before the stop of 1 ATR; ties and neither are 0; null without an ATR or without a full horizon.
+
+    First touches are looked for once, over the longest horizon: one stop for each direction, one target for each direction and ratio. A horizon only
+    compares places."""
+    base = df.withColumn("__ahead", R.ahead(["high", "low"], max(horizons)))
+    sides = (("long", 1), ("short", -1))
+    places = {"__size": F.size("__ahead")}
+    for direction, sign in sides:
+        for r in ratios:
+            hit, lost = _touch(F.col("__ahead"), direction, F.col("close") + sign * r * F.col("atr"), F.col("close") - sign * F.col("atr"))
+            places |= {f"__hit_{direction}_{r}": hit, f"__lost_{direction}": lost}
+    base = base.withColumns(places).drop("__ahead")
     out = {}
     for h in horizons:
-        ahead = F.slice("__ahead", 1, h)
-        whole = (F.size("__ahead") >= h) & (F.col("atr") > 0)
-        for direction, sign in (("long", 1), ("short", -1)):
+        whole = (F.col("__size") >= h) & (F.col("atr") > 0)
+        for direction, _ in sides:
             for r in ratios:
-                hit, lost = _touch(ahead, direction, F.col("close") + sign * r * F.col("atr"), F.col("close") - sign * F.col("atr"))
-                won = hit.isNotNull() & (lost.isNull() | (hit < lost))
-                out[name_of(direction, r, h)] = F.when(whole, won.cast("int"))
-    return base.withColumns(out).drop("__ahead")
+                hit, lost = F.col(f"__hit_{direction}_{r}"), F.col(f"__lost_{direction}")
+                out[name_of(direction, r, h)] = F.when(whole, F.coalesce((hit <= h) & (lost.isNull() | (hit < lost)), F.lit(False)).cast("int"))
+    return base.withColumns(out).drop(*places)
 
 
 def dynamic(df: DataFrame, direction: str = "long", r: float = 2.0, stop: str = "atr", multiple: float = 1.5, horizon: int = 48, delay: int = 0, pct: float = 0.01, out: str = "label") -> DataFrame:

@@ -100,23 +100,33 @@ def ob_quality(df: DataFrame, lookback: int = 200) -> DataFrame:
 def gaps(df: DataFrame, side: str = "bull", cap: int = 100, least_atr: float = 0.5) -> DataFrame:
     """Fair value gaps as intervals of bars: born where three bars leave a gap, dead at the first later close through the near edge or after `cap` bars.
 
-    Each gap becomes rows for the bars that it lives on (`cap` at most), which are summed by bar: no state is carried from bar to bar.
+    Each gap becomes rows for the bars that it lives on (`cap` at most), with what they need of these bars. They meet the bars' own rows in one aggregate by
+    bar: no state is carried from bar to bar, and nothing is joined.
     """
     bull = side == "bull"
     top, bot = (F.col("low"), lag("high", 2)) if bull else (lag("low", 2), F.col("high"))
-    base = df.withColumns({"__top": top, "__bot": bot, "__ahead": F.transform(R.ahead(["close"], cap - 1), lambda s: s["close"])})
-    born = base.filter(F.col("__top") - F.col("__bot") > F.coalesce(F.col("atr") * least_atr, F.lit(0.0)))
-    dies = R.first_true(F.col("__ahead"), (lambda c: c <= F.col("__top")) if bull else (lambda c: c >= F.col("__bot")))
-    last = F.coalesce(dies - 1, F.least(F.size("__ahead"), F.lit(cap - 1)))
-    alive = born.select("series_id", F.col("bar_idx").alias("birth"), F.col("__top").alias("top"), F.col("__bot").alias("bot"), F.explode(F.sequence(F.col("bar_idx"), F.col("bar_idx") + last)).alias("bar_idx"))
-    held = df.join(alive, ["series_id", "bar_idx"])
-    near = F.struct(F.least(F.abs(F.col("top") - F.col("close")), F.abs(F.col("bot") - F.col("close"))), F.col("birth"))
-    name = f"fvg_{side}"
-    inside = (F.col("low") <= F.col("top")) & (F.col("high") >= F.col("bot"))
-    summed = held.groupBy("series_id", "bar_idx").agg(
-        F.count("*").alias(f"{name}_count"), (F.max("bar_idx") - F.max("birth") + 1).alias(f"{name}_age"), F.min_by("top", near).alias(f"{name}_near_top"), F.min_by("bot", near).alias(f"{name}_near_bot"), F.max(inside.cast("int")).alias(f"{name}_in_zone")
-    )
-    return df.join(summed, ["series_id", "bar_idx"], "left").withColumns({f"{name}_count": F.coalesce(f"{name}_count", F.lit(0).cast("long")), f"{name}_in_zone": F.coalesce(f"{name}_in_zone", F.lit(0))})
+    base = df.withColumns({"__top": top, "__bot": bot, "__now": R.ahead(["high", "low", "close"], cap - 1, 0)})
+    born = F.coalesce(F.col("__top") - F.col("__bot") > F.coalesce(F.col("atr") * least_atr, F.lit(0.0)), F.lit(False))
+    dies = R.first_true(F.slice("__now", 2, cap), (lambda s: s["close"] <= F.col("__top")) if bull else (lambda s: s["close"] >= F.col("__bot")))
+    base = base.withColumn("__ages", F.when(born, F.coalesce(dies, F.size("__now").cast("long"))).otherwise(0))
+
+    def living(s: Column, age: Column) -> Column:
+        near = F.least(F.abs(F.col("__top") - s["close"]), F.abs(F.col("__bot") - s["close"]))
+        inside = (s["low"] <= F.col("__top")) & (s["high"] >= F.col("__bot"))
+        return F.struct((F.col("bar_idx") + age).alias("at"), F.struct(near.alias("near"), F.col("bar_idx").alias("birth"), F.col("__top").alias("top"), F.col("__bot").alias("bot"), inside.cast("int").alias("inside")).alias("gap"))
+
+    gaps_of = F.transform(F.slice("__now", F.lit(1), F.col("__ages").cast("int")), living)
+    nothing = F.struct(F.col("bar_idx").alias("at"), F.lit(None).cast("struct<near: double, birth: bigint, top: double, bot: double, inside: int>").alias("gap"))
+    dealt = base.withColumn("__each", F.explode(F.concat(F.array(nothing), gaps_of)))
+    own = F.when(F.col("__each.gap").isNull(), F.struct(*df.columns))
+    met = dealt.select("series_id", F.col("__each.at").alias("__at"), own.alias("__own"), F.col("__each.gap").alias("__gap")).groupBy("series_id", "__at")
+    name, gap = f"fvg_{side}", F.col("__gap")
+    near = F.when(gap.isNotNull(), F.struct("__gap.near", "__gap.birth"))
+    summed = met.agg(
+        F.first("__own", ignorenulls=True).alias("__own"), F.count("__gap").alias(f"{name}_count"), (F.col("__at") - F.max("__gap.birth") + 1).alias(f"{name}_age"), F.min_by("__gap.top", near).alias(f"{name}_near_top"),
+        F.min_by("__gap.bot", near).alias(f"{name}_near_bot"), F.coalesce(F.max("__gap.inside"), F.lit(0)).alias(f"{name}_in_zone"),
+    )
+    return summed.filter(F.col("__own").isNotNull()).select("__own.*", *(f"{name}_{c}" for c in ("count", "age", "near_top", "near_bot", "in_zone")))
 
 
 def ranges(df: DataFrame) -> DataFrame:

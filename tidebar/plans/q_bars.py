@@ -31,7 +31,7 @@ epoch_ms(time_bucket(INTERVAL '1 hour', ts)) AS start_ms, epoch_ms(time_bucket(I
 @query("a3_coarsen_completeness", _COARSE, OHLCV)
 def _(spark, d):
     """5-minute bars to hours, with completeness and bar times in epoch milliseconds (A2, A3, A4)."""
-    hours = B.completeness(B.coarsen(B.bars_of_events(spark, d, "5m"), "1h"), "1h", "5m")
+    hours = B.completeness(B.coarsen(B.bars_of_events(spark, d, "5m", numbered=False), "1h"), "1h", "5m")
     ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
     return hours.withColumns({"start_ms": ms("ts"), "end_ms": ms("end_ts")}).drop("end_ts")
 
@@ -44,8 +44,8 @@ SELECT b.ts, close, mark, idx, (mark - idx) / idx AS basis_mark, (close - idx) /
 @query("a5_basis", _BASIS, "close mark idx basis_mark basis_last")
 def _(spark, d):
     """Mark and index prices joined onto bars on equal times, and their basis."""
-    bars = B.bars_of_events(spark, d, "1h", None)
-    side = lambda kind, name: B.bars_of_events(spark, d, "1h").filter(F.col("series_id") == kind).select("ts", F.col("close").alias(name))
+    bars = B.bars_of_events(spark, d, "1h", None, numbered=False)
+    side = lambda kind, name: B.bars_of_events(spark, d, "1h", numbered=False).filter(F.col("series_id") == kind).select("ts", F.col("close").alias(name))
     out = bars.join(side("view", "mark"), "ts", "left").join(side("click", "idx"), "ts", "left")
     return out.select("ts", "close", "mark", "idx", ((F.col("mark") - F.col("idx")) / F.col("idx")).alias("basis_mark"), ((F.col("close") - F.col("idx")) / F.col("idx")).alias("basis_last"))
 
@@ -73,7 +73,7 @@ SELECT b.series_id, b.ts, b.close, h.close AS h1_close, h.high AS h1_high, h.low
 @query("j1_asof_higher_timeframe", _ASOF, "close h1_close h1_high h1_low")
 def _(spark, d):
     """Each 5-minute bar with the last hour that had ended at its start."""
-    base = B.bars_of_events(spark, d, "5m")
+    base = B.bars_of_events(spark, d, "5m", numbered=False)
     hours = B.coarsen(base, "1h")
     out = J.asof_join(base.select("series_id", "ts", "close"), hours, "ts", "end_ts", ["series_id"], ["close", "high", "low"], "h1_", grain="day")
     return out.select("series_id", "ts", "close", "h1_close", "h1_high", "h1_low")
@@ -87,7 +87,7 @@ SELECT b.ts, b.close, f.rate, f.event_id FROM bars b ASOF LEFT JOIN f ON b.ts >=
 def _(spark, d):
     """Bars with the last funding event before them."""
     f = table(spark, d, "events").filter("event_type = 'error'").select(F.lit("ALL").alias("series_id"), F.col("ts").alias("at"), F.col("value").alias("rate"), "event_id")
-    return J.asof_join(B.bars_of_events(spark, d, "1h", None).select("series_id", "ts", "close"), f, "ts", "at", ["series_id"], ["rate", "event_id"], grain="day").drop("series_id")
+    return J.asof_join(B.bars_of_events(spark, d, "1h", None, numbered=False).select("series_id", "ts", "close"), f, "ts", "at", ["series_id"], ["rate", "event_id"], grain="day").drop("series_id")
 
 
 _RANGE = f"""WITH {bars_sql("1 hour", "'ALL'")}, f AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS ts, sum(value) / 1e4 AS fund_rate_period, count(*) AS fund_events FROM events WHERE event_type = 'error' GROUP BY 1),
@@ -99,7 +99,7 @@ SELECT ts, fund_rate_period, fund_events, sum(fund_rate_period) OVER (ORDER BY t
 def _(spark, d):
     """Funding events summed into the bars that they fall into, with a rolling sum and z-score."""
     f = table(spark, d, "events").filter("event_type = 'error'").select(F.lit("ALL").alias("series_id"), F.col("ts").alias("at"), "value")
-    out = J.range_agg_join(B.bars_of_events(spark, d, "1h", None), f, "at", 3600, ["series_id"], {"fund_rate_period": F.sum("value") / 1e4, "fund_events": F.count("*")})
+    out = J.range_agg_join(B.bars_of_events(spark, d, "1h", None, numbered=False), f, "at", 3600, ["series_id"], {"fund_rate_period": F.sum("value") / 1e4, "fund_events": F.count("*")})
     x = "fund_rate_period"
     return out.select("ts", x, F.coalesce("fund_events", F.lit(0).cast("long")).alias("fund_events"), F.sum(x).over(B.rows(-23, 0)).alias("fund_cum_24"), R.zscore(x, 30, 10).alias("fund_z"))
 
@@ -140,7 +140,7 @@ SELECT b.series_id, b.ts, pdh, pdl, pdc, pwh, pwl, close - pdh AS dist_pdh, (clo
 @query("a7_previous_levels", _LEVELS.replace(", least(q.o, q.pdc) AS x", ""), "pdh pdl pdc pwh pwl dist_pdh dist_pdh_pct opening_gap")
 def _(spark, d):
     """Previous day's and week's levels joined back, distances to them and opening gaps."""
-    b = B.bars_of_events(spark, d).withColumns({"day": F.to_date("ts"), "week": F.date_trunc("week", "ts")})
+    b = B.bars_of_events(spark, d, numbered=False).withColumns({"day": F.to_date("ts"), "week": F.date_trunc("week", "ts")})
     days = b.groupBy("series_id", "day").agg(F.max("high").alias("h"), F.min("low").alias("l"), F.max_by("close", "ts").alias("c"), F.min_by("open", "ts").alias("o"))
     per = Window.partitionBy("series_id")
     days = days.select("series_id", "day", "o", *(F.lag(c).over(per.orderBy("day")).alias(f"pd{c}") for c in "hlc"))
@@ -181,7 +181,7 @@ SELECT count(*) AS n, corr(a.close, b.close) AS corr_close, corr(a.volume, b.vol
 @query("a24_correlation", _CORR, "corr_close corr_volume")
 def _(spark, d):
     """Correlation of two series on equal times."""
-    b = B.bars_of_events(spark, d, "1h").select("series_id", "ts", "close", "volume")
+    b = B.bars_of_events(spark, d, "1h", numbered=False).select("series_id", "ts", "close", "volume")
     side = lambda kind, p: b.filter(F.col("series_id") == kind).select("ts", F.col("close").alias(p + "c"), F.col("volume").alias(p + "v"))
     return side("view", "a").join(side("click", "b"), "ts").agg(F.count("*").alias("n"), correlation("ac", "bc").alias("corr_close"), correlation("av", "bv").alias("corr_volume"))
 
@@ -208,7 +208,7 @@ count(*) FILTER (taker_buy > volume) AS bad_taker, mode(hour(ts) ORDER BY hour(t
 @query("a23_audit", _QA.replace(", mode(hour(ts) ORDER BY hour(ts)) AS busiest_hour", ""))
 def _(spark, d):
     """Audit of bars: duplicates, gaps, validity, nulls."""
-    b = B.bars_of_events(spark, d).withColumn("gap", F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.lag("ts").over(B.in_order()).cast("timestamp")))
+    b = B.bars_of_events(spark, d, numbered=False).withColumn("gap", F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.lag("ts").over(B.in_order()).cast("timestamp")))
     return b.groupBy("series_id").agg(F.count("*").alias("n"), (F.count("*") - F.countDistinct("ts")).alias("duplicates"), F.count_if(F.col("gap") > 1350).alias("gaps"), F.max("gap").alias("longest_gap"), F.count_if(~B.ohlc_valid()).alias("invalid"), F.count_if(F.col("close").isNull()).alias("null_close"), F.count_if(F.col("taker_buy") > F.col("volume")).alias("bad_taker"))
 
 
@@ -241,7 +241,7 @@ def _(spark, d):
     """A filter given as {column: {min, max, eq}}; unknown columns and operators are skipped."""
     from tidebar.operators.filters import declarative
 
-    b = B.bars_of_events(spark, d, "1h").filter(F.col("ts") >= F.lit("2024-01-05").cast("timestamp_ntz"))
+    b = B.bars_of_events(spark, d, "1h", numbered=False).filter(F.col("ts") >= F.lit("2024-01-05").cast("timestamp_ntz"))
     return b.filter(declarative(b, {"close": {"min": 10, "max": 80}, "trade_count": {"eq": 3}, "no_such": {"min": 1}, "volume": {"near": 3}})).select("series_id", "ts", "close", "volume")
 
 
@@ -252,7 +252,7 @@ SELECT CASE WHEN a THEN 'H4' WHEN b THEN 'H1' WHEN c THEN 'M15' END AS source, c
 @query("f11_mask_priority", _MASKS)
 def _(spark, d):
     """Signals united with the first source's priority, and their overlaps."""
-    b = B.bars_of_events(spark, d, "1h")
+    b = B.bars_of_events(spark, d, "1h", numbered=False)
     m = b.select((F.col("close") > F.col("open")).alias("a"), (F.col("volume") > 100).alias("b"), (F.col("trade_count") >= 3).alias("c"))
     source = F.when(F.col("a"), "H4").when(F.col("b"), "H1").when(F.col("c"), "M15")
     n = lambda *c: F.count_if(F.expr(" and ".join(c)))
