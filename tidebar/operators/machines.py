@@ -1,21 +1,30 @@
-"""Order-dependent machines that neither windows nor intervals express: one ordered pass over each series, fed by groupBy().applyInPandas().
+"""Order-dependent machines that neither windows nor intervals express: one ordered pass over each series.
 
-A machine is a generator-like object with step(bar) -> dict of outputs. Bars come as named tuples in order; state is what the object holds. Series are
-independent, so that they run in parallel; a machine's memory is what its caps allow, not the length of the series.
+A machine is an object with step(bar) -> dict of outputs. Bars come as named tuples in order; state is what the object holds. A partition has whole series,
+sorted by series and bar, and is streamed in Arrow batches: what is in memory is a batch and a machine's state, which its caps bound, and not a series.
+Series are independent, so that they run in parallel. An output that isn't known is null.
 """
 
 from __future__ import annotations
 
 import math
-from collections import deque
+from collections import deque, namedtuple
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NAN = float("nan")
+# The weights of a block's score (strength, wait, width; gap, tested) and of a gap's (displacement; distance, age, width), and the scales
+# of age in bars.
+BLOCK_WEIGHTS = (0.45, 0.35, 0.20)
+BLOCK_GAP, BLOCK_TESTED, BLOCK_AGE = 1.25, 0.85, 200
+GAP_WEIGHTS = (0.55, 0.30, 0.15)
+GAP_DISPLACED, GAP_AGE = 1.35, 288
 #: Columns that machines read.
 INPUT = ("open", "high", "low", "close", "volume", "atr", "bos", "swing_high", "swing_low", "last_high", "last_low", "disp_bull", "disp_bear")
 
@@ -31,18 +40,26 @@ def unit(x: float) -> float:
 def run(df: DataFrame, machine: type, *args: object) -> DataFrame:
     """(series_id, ts, bar_idx) and the machine's outputs for every bar."""
     used = [c for c in INPUT if c in df.columns]
-    own = df.select("series_id", "ts", "bar_idx", *used)
+    keys = ["series_id", "ts", "bar_idx"]
     names = list(machine(*args).outputs())
-    schema = T.StructType([own.schema["series_id"], own.schema["ts"], own.schema["bar_idx"], *(T.StructField(n, T.DoubleType()) for n in names)])
-
-    def over(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar_idx")
-        m = machine(*args)
-        made = [m.step(bar) for bar in pdf[used].astype("float64").itertuples(index=False)]
-        out = pdf[["series_id", "ts", "bar_idx"]].reset_index(drop=True)
-        return pd.concat([out, pd.DataFrame.from_records(made, columns=names).astype("float64")], axis=1)
-
-    return own.groupBy("series_id").applyInPandas(over, schema)
+    schema = T.StructType([*(df.schema[k] for k in keys), *(T.StructField(n, T.DoubleType()) for n in names)])
+    bar_of = namedtuple("Bar", used)._make
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, m = None, None
+        for batch in batches:
+            made: dict[str, list[float]] = {n: [] for n in names}
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[len(keys) :]]
+            for series, values in zip(batch.column(0).to_pylist(), zip(*(c.tolist() for c in columns), strict=True), strict=True):
+                if m is None or series != now:
+                    now, m = series, machine(*args)
+                for n, v in m.step(bar_of(values)).items():
+                    made[n].append(v)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *(pa.array(made[n], pa.float64(), from_pandas=True) for n in names)], names=[*keys, *names])
+
+    # a null is NaN to a machine
+    own = df.select(*keys, *(F.coalesce(F.col(c).cast("double"), F.lit(NAN)).alias(c) for c in used))
+    return own.repartition("series_id").sortWithinPartitions("series_id", "bar_idx").mapInArrow(work, schema)
 
 
 @dataclass
@@ -114,8 +131,8 @@ class AnchoredBlocks:
 
     def _score(self, z: Zone, bar, age: int) -> float:  # noqa: ANN001
         width = (z.top - z.bot) / bar.atr if valid(bar.atr) else 0.0
-        base = 0.45 * unit((z.strength - 1) / 2) + 0.35 * unit(1 - z.wait / 12) + 0.20 * unit(width)
-        return base * (1.25 if z.gap else 1.0) * (0.85 if z.tested else 1.0) * math.exp(-age / 200)
+        base = sum(w * unit(x) for w, x in zip(BLOCK_WEIGHTS, ((z.strength - 1) / 2, 1 - z.wait / 12, width), strict=True))
+        return base * (BLOCK_GAP if z.gap else 1.0) * (BLOCK_TESTED if z.tested else 1.0) * math.exp(-age / BLOCK_AGE)
 
     def step(self, bar) -> dict:  # noqa: ANN001
         self.now += 1
@@ -199,7 +216,8 @@ class TrackedGaps:
 
             def score(z: Zone) -> float:
                 width = (z.top - z.bot) / bar.atr if valid(bar.atr) else 0.0  # noqa: B023
-                return (1.35 if z.strong else 1.0) * (0.55 / (1 + far(z)) + 0.30 * math.exp(-(self.now - z.born + 1) / 288) + 0.15 * unit(width))  # noqa: B023
+                near, young, wide = GAP_WEIGHTS
+                return (GAP_DISPLACED if z.strong else 1.0) * (near / (1 + far(z)) + young * math.exp(-(self.now - z.born + 1) / GAP_AGE) + wide * unit(width))  # noqa: B023
 
             for k, z in enumerate(sorted(zones, key=lambda z: (-score(z), far(z)))[: self.SHOWN], 1):  # noqa: B023
                 shown = {"ce": z.mid, "dist_atr": far(z) if valid(bar.atr) else NAN, "touched": z.touched, "rejected": z.rejected, "fill": z.depth(bar, bull), "filled": bar.low <= z.bot if bull else bar.high >= z.top, "is_displacement": z.strong, "is_inverted": z.inverted}

@@ -14,7 +14,8 @@ from tidebar.operators import legacy as G
 from tidebar.operators import rolling as R
 from tidebar.operators import structure as S
 from tidebar.plans.q_indicators import W, roll
-from tidebar.plans.q_structure import BASE, base, swing_sql
+from tidebar.plans import machine_sql as Q
+from tidebar.plans.q_structure import _X, BASE, base, swing_sql
 from tidebar.plans.q_trading import LABELLED, ahead_sql, first_sql, taken_sql, trades
 from tidebar.plans.registry import bars_sql, query
 from tidebar.sources.tables import table
@@ -183,13 +184,13 @@ def _(spark, d):
     return G.strict_blocks(S.swings(base(spark, d))).select("series_id", "ts", "strict_ob", "strict_ob_mitigated")
 
 
-@query("m18_level_sweeps")
+@query("m18_level_sweeps", Q.level_sweeps_sql(_X), "swept_high_level swept_low_level")
 def _(spark, d):
     """Sweeps of any intact level."""
     return G.level_sweeps(S.swings(base(spark, d)))
 
 
-@query("m26_one_shot_delivery")
+@query("m26_one_shot_delivery", Q.one_shot_sql(_X))
 def _(spark, d):
     """One-shot change of delivery after a swing."""
     return G.one_shot_delivery(S.swings(base(spark, d)))

@@ -9,6 +9,7 @@ from tidebar.operators import indicators as I
 from tidebar.operators import machines as M
 from tidebar.operators import slicing
 from tidebar.operators import structure as S
+from tidebar.plans import machine_sql as Q
 from tidebar.plans.q_indicators import TR, W, roll
 from tidebar.plans.registry import bars_sql, query
 
@@ -92,7 +93,15 @@ def _(spark, d):
     return S.order_blocks(S.swings(base(spark, d))).select("series_id", "ts", *(f"ob_{s}_{x}" for s in ("bull", "bear") for x in ("top", "bot", "mid", "age", "in_zone")))
 
 
-@query("m14_ob_quality")
+def _quality(side: str, test: str, sign: int, source: str) -> str:
+    return f"""q_{side} AS (SELECT *, last(CASE WHEN {test} THEN q END IGNORE NULLS) OVER ({W} ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING) AS f_{side} FROM {source}), k_{side} AS (SELECT *, last(CASE WHEN bos = {sign} THEN {{'at': bar_idx, 'q': f_{side}}} END IGNORE NULLS) OVER ({W}) AS e_{side} FROM q_{side})"""
+
+
+_QUALITY = f"""WITH {BASE}, {swing_sql("base")}, r AS (SELECT *, abs(close - open) / nullif(atr, 0) * volume / ({roll("avg", "volume", 20, 1)}) AS q FROM st), {_quality("bull", "close < open", 1, "r")}, {_quality("bear", "close > open", -1, "k_bull")}
+SELECT series_id, ts, e_bull.q / (bar_idx - e_bull.at + 1) AS ob_bull_quality, e_bear.q / (bar_idx - e_bear.at + 1) AS ob_bear_quality FROM k_bear"""
+
+
+@query("m14_ob_quality", _QUALITY, "ob_bull_quality ob_bear_quality")
 def _(spark, d):
     """Quality of order blocks, fixed when they form."""
     return S.ob_quality(S.swings(base(spark, d))).select("series_id", "ts", "ob_bull_quality", "ob_bear_quality")
@@ -157,27 +166,35 @@ def _(spark, d):
     return S.gap_events(base(spark, d))
 
 
-@query("m25_power_of_three")
+_PO3W = "(PARTITION BY series_id, day ORDER BY ts)"
+_PO3 = f"""WITH {bars_sql()}, y AS (SELECT *, (hour(ts) * 60 + minute(ts) + 1140) % 1440 AS m, CAST(ts + INTERVAL '4 hours' AS DATE) AS day FROM bars), s AS (SELECT *, CASE WHEN m >= 1200 OR m < 60 THEN 'asia' WHEN m >= 120 AND m < 300 THEN 'london' WHEN m >= 420 AND m < 600 THEN 'new_york' ELSE 'none' END AS session FROM y),
+a AS (SELECT *, max(CASE WHEN session = 'asia' THEN high END) OVER {_PO3W} AS asia_high, min(CASE WHEN session = 'asia' THEN low END) OVER {_PO3W} AS asia_low FROM s), o AS (SELECT *, max(CASE WHEN session = 'london' AND high > asia_high THEN 1 END) OVER {_PO3W} AS over, max(CASE WHEN session = 'london' AND low < asia_low THEN 1 END) OVER {_PO3W} AS under FROM a),
+p AS (SELECT *, CASE WHEN under = 1 AND over IS NULL THEN 1 WHEN over = 1 AND under IS NULL THEN -1 ELSE 0 END AS po3_bias FROM o) SELECT series_id, ts, session, asia_high, asia_low, po3_bias, CAST(coalesce(po3_bias <> 0 AND sign(close - (asia_high + asia_low) / 2) = po3_bias, false) AS INTEGER) AS po3_confirmed FROM p"""
+
+
+@query("m25_power_of_three", _PO3, "asia_high asia_low")
 def _(spark, d):
     """Asia range, London sweep, confirmation."""
     return S.power_of_three(I.sessions(base(spark, d))).select("series_id", "ts", "session", "asia_high", "asia_low", "po3_bias", "po3_confirmed")
 
 
-for _name, _machine, _why in (
-    ("m5_anchored_blocks", M.anchored_blocks, "Order blocks anchored at displacements, best three of each side (M5, W22)"),
-    ("m7_tracked_gaps", M.tracked_gaps, "Gaps with middle touches, rejections and inversion, best three (M7)"),
-    ("m9_liquidity", M.liquidity_levels, "Intact swing levels, nearest ones and equal highs and lows (M9, M23)"),
-    ("m10_sweeps", M.sweeps, "Sweeps of clustered levels with confirmation (M10, M18)"),
-    ("m13_delivery_change", M.delivery_change, "Changes in the state of delivery (M13, M26)"),
-    ("m15_breakers", M.breakers, "Order blocks that turned into breakers (M15)"),
-    ("i16_supertrend", M.supertrend, "Ratcheting bands and their flips (I16)"),
+_X = f"WITH {BASE}, {swing_sql('base')}, x AS (SELECT *, CAST(sh IS NOT NULL AS INTEGER) AS swing_high, CAST(sl IS NOT NULL AS INTEGER) AS swing_low FROM st)"
+
+for _name, _machine, _why, _sql, _floats in (
+    ("m5_anchored_blocks", M.anchored_blocks, "Order blocks anchored at displacements, best three of each side (M5, W22)", None, ""),
+    ("m7_tracked_gaps", M.tracked_gaps, "Gaps with middle touches, rejections and inversion, best three (M7)", None, ""),
+    ("m9_liquidity", M.liquidity_levels, "Intact swing levels, nearest ones and equal highs and lows (M9, M23)", Q.liquidity_sql(_X), "liq_above_pct liq_below_pct"),
+    ("m10_sweeps", M.sweeps, "Sweeps of clustered levels with confirmation (M10, M18)", None, ""),
+    ("m13_delivery_change", M.delivery_change, "Changes in the state of delivery (M13, M26)", Q.delivery_sql(_X), ""),
+    ("m15_breakers", M.breakers, "Order blocks that turned into breakers (M15)", Q.breakers_sql(_X), "breaker_bull_dist breaker_bear_dist"),
+    ("i16_supertrend", M.supertrend, "Ratcheting bands and their flips (I16)", Q.supertrend_sql(_X), "supertrend"),
 ):
 
     def _run(spark, d, machine=_machine):  # noqa: ANN001, ANN202
         return machine(S.displacement(S.swings(base(spark, d))))
 
     _run.__doc__ = _why
-    query(_name)(_run)
+    query(_name, _sql, _floats)(_run)
 
 
 @query("m11_sweep_sequence")
