@@ -108,14 +108,26 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z < 0, low).otherwise(1 - low)
 
 
+def expected_best(experiments: int) -> float:
+    """The Sharpe ratio that the best of so many experiments without skill is expected to have."""
+    euler = 0.5772156649
+    return (1 - euler) * PHI.inv_cdf(1 - 1 / experiments) + euler * PHI.inv_cdf(1 - 1 / (experiments * math.e))
+
+
 def deflated_sharpe(sharpe: float, experiments: int, bars: int, skew: float = 0.0, kurt: float = 3.0) -> float:
     """The chance that the best of so many experiments isn't noise."""
     if experiments <= 1:
         return 1.0
-    euler = 0.5772156649
-    expected = (1 - euler) * PHI.inv_cdf(1 - 1 / experiments) + euler * PHI.inv_cdf(1 - 1 / (experiments * math.e))
     error = math.sqrt(max(0.0, (1 + 0.5 * sharpe**2 - skew * sharpe + (kurt - 3) / 4 * sharpe**2) / bars))
-    return 1.0 if error < 1e-10 else PHI.cdf((sharpe - expected) / error)
+    return 1.0 if error < 1e-10 else PHI.cdf((sharpe - expected_best(experiments)) / error)
+
+
+def deflated(experiments: int, sharpe: Column, bars: Column, skew: Column, kurt: Column) -> Column:
+    """deflated_sharpe() of a row's moments, as a column."""
+    if experiments <= 1:
+        return F.lit(1.0)
+    error = F.sqrt(F.greatest(F.lit(0.0), (1 + 0.5 * sharpe * sharpe - skew * sharpe + (kurt - 3) / 4 * sharpe * sharpe) / bars))
+    return F.when(error < 1e-10, 1.0).otherwise(normal_cdf((sharpe - expected_best(experiments)) / error))
 
 
 def bootstrap(trades: DataFrame, draws: int = 1000, block: int = 5, seed: int = 42, r: str = "r") -> DataFrame:
@@ -123,10 +135,11 @@ def bootstrap(trades: DataFrame, draws: int = 1000, block: int = 5, seed: int =
 
     Block sums are prefix differences, so a draw joins starts with sums instead of copying returns."""
     w = Window.partitionBy("series_id").orderBy("bar_idx")
-    x = trades.select("series_id", (F.row_number().over(w) - 1).alias("at"), F.sum(r).over(w.rowsBetween(0, block - 1)).alias("s"), F.count("*").over(w.rowsBetween(0, block - 1)).alias("m"))
+    x = trades.select("series_id", (F.row_number().over(w) - 1).cast("long").alias("at"), F.sum(r).over(w.rowsBetween(0, block - 1)).alias("s"), F.count("*").over(w.rowsBetween(0, block - 1)).alias("m"))
     sizes = x.groupBy("series_id").agg(F.count("*").alias("n"))
     starts = sizes.select("series_id", "n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).select("series_id", "n", "draw", F.explode(F.sequence(F.lit(1), F.ceil(F.col("n") / block).cast("int"))).alias("b"))
-    picked = starts.withColumn("at", F.pmod(F.xxhash64(F.lit(seed), "draw", "b"), F.greatest(F.col("n") - block + 1, F.lit(1))).cast("int"))
+    number = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), "draw", "b").cast("binary")), 1, 8), 16, 10).cast("long")
+    picked = starts.withColumn("at", number % F.greatest(F.col("n") - block + 1, F.lit(1)))
     means = picked.join(x, ["series_id", "at"]).groupBy("series_id", "draw").agg((F.sum("s") / F.sum("m")).alias("mean"))
     return means.groupBy("series_id").agg(F.percentile("mean", F.lit(0.025)).alias("lower"), F.percentile("mean", F.lit(0.975)).alias("upper"), F.avg((F.col("mean") > 0).cast("double")).alias("positive"))
 
@@ -177,15 +190,38 @@ def gt_score(scores: list[float], rows: int, features: int, leaves: int = 31, ha
     return round(mean - 0.3 * spread - features * math.log2(max(leaves, 2)) * math.log(t) / (2 * t) - 0.001 * features, 6)
 
 
-def gates(metrics: dict[str, float], least: dict[str, float] | None = None, most: dict[str, float] | None = None, overrides: dict[str, float] | None = None) -> dict[str, bool]:
-    """Which bounds hold; a tier's overrides replace the bounds of the same name. A metric that isn't there fails."""
+def score_column(scores: list[Column], rows: int, features: int, leaves: int = 31, half_life: float = 3.0) -> Column:
+    """gt_score() of a row's fold scores, as a column; a null score counts as 0."""
+    x = [F.coalesce(s, F.lit(0.0)) for s in scores]
+    w = [0.5 ** ((len(x) - 1 - k) / half_life) for k in range(len(x))]
+    w = [v / sum(w) for v in w]
+    mean = sum((v * s for v, s in zip(w, x, strict=True)), F.lit(0.0))
+    spread = F.sqrt(F.greatest(F.lit(0.0), sum((v * (s - mean) * (s - mean) for v, s in zip(w, x, strict=True)), F.lit(0.0))))
+    t = max(rows, 1)
+    value = mean - 0.3 * spread - features * math.log2(max(leaves, 2)) * math.log(t) / (2 * t) - 0.001 * features
+    return F.when(F.least(*x, F.lit(0.0)) < -0.5, -999.0).otherwise(F.round(value, 6))
+
+
+def _bounds(least: dict[str, float] | None, most: dict[str, float] | None, overrides: dict[str, float] | None) -> tuple[dict[str, float], dict[str, float]]:
     least, most = dict(least or {}), dict(most or {})
     for k, v in (overrides or {}).items():
         (least if k in least else most)[k] = v
+    return least, most
+
+
+def gates(metrics: dict[str, float], least: dict[str, float] | None = None, most: dict[str, float] | None = None, overrides: dict[str, float] | None = None) -> dict[str, bool]:
+    """Which bounds hold; a tier's overrides replace the bounds of the same name. A metric that isn't there fails."""
+    least, most = _bounds(least, most, overrides)
     value = lambda k: metrics.get(k, math.nan)
     return {**{k: value(k) >= v for k, v in least.items()}, **{k: value(k) <= v for k, v in most.items()}}
 
 
+def gate_columns(least: dict[str, float] | None = None, most: dict[str, float] | None = None, overrides: dict[str, float] | None = None) -> list[Column]:
+    """gates() over the columns of these names; a null fails."""
+    least, most = _bounds(least, most, overrides)
+    return [F.coalesce(c, F.lit(False)) for c in (*(F.col(k) >= v for k, v in least.items()), *(F.col(k) <= v for k, v in most.items()))]
+
+
 def importance(rows: DataFrame, folds_: int, top: int) -> DataFrame:
     """Per feature: mean absolute contribution over folds (missing ones are 0), its variation, and rank; the best `top`."""
     per_fold = rows.groupBy("feature", "fold").agg(F.avg(F.abs("value")).alias("v"))

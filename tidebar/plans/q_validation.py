@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import functions as F
 
 from tidebar.operators import bars as B
@@ -11,7 +15,8 @@ from tidebar.operators import indicators as I
 from tidebar.operators import labels as L
 from tidebar.operators import rolling as R
 from tidebar.operators import validation as V
-from tidebar.plans.q_indicators import W, roll
+from tidebar.plans.machine_sql import normal_sql
+from tidebar.plans.q_indicators import _ADX, W, rank, roll
 from tidebar.plans.q_structure import BASE, base
 from tidebar.plans.q_trading import taken_sql, trades
 from tidebar.plans.registry import daily_sql, query
@@ -69,20 +74,28 @@ def _(spark, d):
     return V.sharpe_test(trades(spark, d, 3))
 
 
-@query("v5_psr")
+@query("v5_psr", f"SELECT *, {normal_sql('z')} AS psr FROM ({_PSR})", "sharpe skew kurt z psr")
 def _(spark, d):
-    """The probabilistic Sharpe ratio itself; SQL has no normal distribution (V5)."""
+    """The probabilistic Sharpe ratio itself (V5)."""
     return V.sharpe_test(trades(spark, d, 3)).withColumn("psr", V.normal_cdf(F.col("z")))
 
 
-@query("v6_deflated_sharpe")
+_DEFLATED = f"""SELECT series_id, {normal_sql(f"((sharpe - {V.expected_best(100)!r}) / sqrt((1 + 0.5 * sharpe * sharpe - skew * sharpe + (kurt - 3) / 4 * sharpe * sharpe) / n))")} AS dsr FROM (SELECT series_id, n, coalesce(sharpe, 0) AS sharpe, coalesce(skew, 0) AS skew, coalesce(kurt, 3) AS kurt FROM ({_PSR}))"""
+
+
+@query("v6_deflated_sharpe", _DEFLATED, "dsr")
 def _(spark, d):
-    """Deflated Sharpe ratios from one row of moments a series (V6)."""
-    rows = V.sharpe_test(trades(spark, d, 3)).collect()  # a row for each series
-    return spark.createDataFrame([(r.series_id, V.deflated_sharpe(r.sharpe or 0.0, 100, r.n, r["skew"] or 0.0, r.kurt or 3.0)) for r in rows], "series_id string, dsr double")
+    """Deflated Sharpe ratios from a row of moments for each series (V6)."""
+    m = V.sharpe_test(trades(spark, d, 3)).na.fill({"sharpe": 0.0, "skew": 0.0, "kurt": 3.0})
+    return m.select("series_id", V.deflated(100, F.col("sharpe"), F.col("n"), F.col("skew"), F.col("kurt")).alias("dsr"))
+
 
+_BOOT = f"""{taken_sql(3)}, x AS (SELECT series_id, row_number() OVER ({W}) - 1 AS spot, sum(r) OVER ({W} ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s, count(*) OVER ({W} ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS m FROM trades), n AS (SELECT series_id, count(*) AS n FROM x GROUP BY 1),
+p AS (SELECT series_id, draw, CAST('0x' || substr(md5('42-' || draw || '-' || b), 1, 8) AS BIGINT) % greatest(n - 4, 1) AS spot FROM (SELECT *, unnest(range(1, CAST(ceil(n / 5) AS BIGINT) + 1)) AS b FROM (SELECT series_id, n, unnest(range(1, 501)) AS draw FROM n))),
+means AS (SELECT series_id, draw, sum(s) / sum(m) AS mean FROM p JOIN x USING (series_id, spot) GROUP BY 1, 2) SELECT series_id, quantile_cont(mean, 0.025) AS lower, quantile_cont(mean, 0.975) AS upper, avg(CASE WHEN mean > 0 THEN 1.0::DOUBLE ELSE 0 END) AS positive FROM means GROUP BY 1"""
 
-@query("v7_bootstrap")
+
+@query("v7_bootstrap", _BOOT, "lower upper positive")
 def _(spark, d):
     """Block bootstrap intervals with hash-seeded starts (V7)."""
     return V.bootstrap(trades(spark, d, 3), 500)
@@ -134,7 +147,12 @@ def _(spark, d):
     return V.timing_regression(x.join(x.groupBy("ts").agg(F.avg("r").alias("m")), "ts"), "r", "m", ("series_id",))
 
 
-@query("v3_isotonic")
+_ISO = f"""WITH {PROBS}, g AS (SELECT p, count(*) AS w, sum(y) AS s, row_number() OVER (ORDER BY p) AS i FROM probs GROUP BY 1), c AS (SELECT *, sum(w) OVER (ORDER BY i) AS cw, sum(s) OVER (ORDER BY i) AS cs FROM g),
+jk AS (SELECT j.i AS j, k.i AS k, (k.cs - j.cs + j.s) / (k.cw - j.cw + j.w) AS a FROM c j JOIN c k ON j.i <= k.i), ji AS (SELECT c.i, c.p, jk.j, min(a) AS a FROM c JOIN jk ON jk.j <= c.i AND jk.k >= c.i GROUP BY 1, 2, 3), f AS (SELECT i, p, round(max(a), 9) AS calibrated FROM ji GROUP BY 1, 2)
+SELECT p, calibrated FROM (SELECT *, lag(calibrated) OVER (ORDER BY i) AS before, lead(calibrated) OVER (ORDER BY i) AS after FROM f) WHERE calibrated IS DISTINCT FROM before OR calibrated IS DISTINCT FROM after"""
+
+
+@query("v3_isotonic", _ISO, "p calibrated")
 def _(spark, d):
     """Isotonic calibration (V3)."""
     return V.isotonic(probs(spark, d), "p", "y")
@@ -148,15 +166,20 @@ def _(spark, d):
     return V.boosted_folds(x, ["roc_5", "roc_10", "volume"], "label_long_hit_2r_24c", V.folds(0 if last is None else last + 1, 350, 150, 24, 24, least=50), 3)
 
 
-@query("v9_gates")
+_W3 = [0.5 ** ((2 - k) / 3) for k in range(3)]
+_WS = [v / sum(_W3) for v in _W3]
+_GATES = f"""{taken_sql(3)}, m AS (SELECT series_id, count(*) AS n, count(*) FILTER (r > 0) / count(*) AS win_rate, avg(r) AS ev, avg(r) / nullif(stddev_samp(r), 0) * sqrt(count(*) / 0.082) AS sharpe FROM trades GROUP BY 1), g AS (SELECT *, coalesce(sharpe / 20, 0) AS a FROM m),
+h AS (SELECT *, CAST(n >= 20 AS INTEGER) + CAST(win_rate >= 0.35 AS INTEGER) + CAST(ev <= 5 AS INTEGER) AS held, {_WS[0]!r} * a + {_WS[1] * 0.1 + _WS[2] * 0.2!r} AS mean FROM g)
+SELECT series_id, held = 3 AS passed, held, CASE WHEN a < -0.5 THEN -999.0 ELSE round(mean - 0.3 * sqrt({_WS[0]!r} * pow(a - mean, 2) + {_WS[1]!r} * pow(0.1 - mean, 2) + {_WS[2]!r} * pow(0.2 - mean, 2)) - {12 * math.log2(31) * math.log(10_000) / 20_000 + 0.012!r}, 6) END AS gt_score FROM h"""
+
+
+@query("v9_gates", _GATES, "gt_score")
 def _(spark, d):
     """Gates over a metrics row of each series, and a search score."""
-    rows = T.metrics(trades(spark, d, 3), ("series_id",), 0.082).collect()  # a row for each series
-    out = []
-    for r in sorted(rows, key=lambda r: r.series_id):
-        passed = V.gates(r.asDict(), {"n": 20, "win_rate": 0.3}, {"ev": 5.0}, {"win_rate": 0.35})
-        out.append((r.series_id, all(passed.values()), sum(passed.values()), V.gt_score([r.sharpe / 20 if r.sharpe else 0.0, 0.1, 0.2], 10_000, 12)))
-    return spark.createDataFrame(out, "series_id string, passed boolean, held int, gt_score double")
+    m = T.metrics(trades(spark, d, 3), ("series_id",), 0.082)
+    passed = V.gate_columns({"n": 20, "win_rate": 0.3}, {"ev": 5.0}, {"win_rate": 0.35})
+    score = V.score_column([F.col("sharpe") / 20, F.lit(0.1), F.lit(0.2)], 10_000, 12)
+    return m.select("series_id", reduce(and_, passed).alias("passed"), sum(p.cast("int") for p in passed).alias("held"), score.alias("gt_score"))
 
 
 _IMPORTANCE = """WITH r AS (SELECT 'f' || (user_id % 40) AS feature, event_id % 5 AS fold, value - 20 AS value FROM events), p AS (SELECT feature, fold, avg(abs(value)) AS v FROM r GROUP BY 1, 2) SELECT feature, sum(v) / 5 AS mean_abs, sqrt(greatest(0, sum(v * v) / 5 - pow(sum(v) / 5, 2))) / nullif(sum(v) / 5, 0) AS cv FROM p GROUP BY 1 ORDER BY mean_abs DESC, feature LIMIT 30"""
@@ -231,7 +254,13 @@ def _(spark, d):
     return x.select("series_id", "ts", F.when(m > 1e-4, 1).when(m < -5e-5, -1).otherwise(0).alias("fund_regime"), (F.col("rate") * 3 * 365).alias("fund_annual"), R.rolling(F.sum, "rate", 12).alias("s12"), (F.col("atr") / F.nullif(R.rolling(F.avg, "atr", 50, 10), F.lit(0.0))).alias("atr_ratio"), (F.col("volume") - old).alias("oi_diff_12"), ((F.col("volume") - old) / old).alias("oi_pct_12"))
 
 
-@query("i40_adx_regime")
+_REG40 = f"""{_ADX.replace("INTERVAL '1 hour'", "INTERVAL '15 minutes'").replace("SELECT series_id, ts, plus_di, minus_di, adx FROM q LEFT JOIN e USING (series_id, bar_idx)", "")}, ax AS (SELECT series_id, bar_idx, adx FROM q LEFT JOIN e USING (series_id, bar_idx)),
+base AS (SELECT series_id, ts, bar_idx, {roll("avg", "t0", 14)} AS atr, 4 * ({roll("stddev_samp", "close", 20)}) / ({roll("avg", "close", 20)}) AS bb_width FROM y),
+j AS (SELECT base.*, adx, {rank("atr", 96)} AS atr_rank, CASE WHEN count(bb_width) OVER w >= 96 THEN quantile_cont(bb_width, 0.75) OVER w END AS q75 FROM base JOIN ax USING (series_id, bar_idx) WINDOW w AS ({W} ROWS 95 PRECEDING))
+SELECT series_id, ts, adx, bb_width, atr_rank, CASE WHEN adx IS NULL OR q75 IS NULL THEN NULL WHEN adx > 25 AND bb_width > q75 THEN 2 WHEN adx < 20 THEN 0 ELSE 1 END AS regime, atr_rank * adx AS adx_x_atr FROM j"""
+
+
+@query("i40_adx_regime", _REG40, "adx bb_width atr_rank adx_x_atr")
 def _(spark, d):
     """ADX composite regime and its interactions."""
     x = I.bands(I.adx(base(spark, d)))
@@ -240,7 +269,11 @@ def _(spark, d):
     return x.select("series_id", "ts", "adx", "bb_width", "atr_rank", tag.alias("regime"), (F.col("atr_rank") * F.col("adx")).alias("adx_x_atr"))
 
 
-@query("m17_adaptive_swings")
+_ADAPTIVE = f"""WITH {BASE}, r AS (SELECT *, {rank("atr", 96)} AS rank FROM base), l AS (SELECT *, CASE WHEN rank > 0.67 THEN 10 WHEN rank < 0.33 THEN 3 ELSE 5 END AS n, list(high) OVER ({W} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS b, list(high) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS a FROM r),
+s AS (SELECT *, list_concat(list_reverse(coalesce(b, []))[1:n], coalesce(a, [])[1:n]) AS near FROM l) SELECT series_id, ts, n, CAST(len(near) = 2 * n AND len(list_filter(near, lambda h: h > high)) = 0 AS INTEGER) AS swing_high FROM s"""
+
+
+@query("m17_adaptive_swings", _ADAPTIVE)
 def _(spark, d):
     """Swings whose width follows the ATR's percentile; centred windows look ahead, kept for comparison."""
     x = base(spark, d).withColumn("rank", R.percentile_rank("atr", 96))
