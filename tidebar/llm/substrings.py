@@ -87,8 +87,7 @@ def _paths(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _windows(joined: DataFrame, width: int) -> DataFrame:
-    """For rows (doc_id, h1, text, hits): the text with the windows whose anchors are among the hits: their places, 128-bit keys, and the first half of the
-    keys of the windows one word on and one word back, 0 where these aren't among them."""
+    """For rows (doc_id, h1, text, hits): the text with the places and 128-bit keys of the windows whose anchors are among the hits."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,23 +96,21 @@ def _windows(joined: DataFrame, width: int) -> DataFrame:
             for lo, hi in words.blocks(texts):
                 data, begin, end, first = words.of_block(texts[lo:hi])
                 h = words.hashes(data, begin, end)
-                h1s, found = [], {"places": [], "k1": [], "k2": [], "next": [], "prev": []}
+                h1s, places, k1, k2 = [], [], [], []
                 for i in range(hi - lo):
                     own = h[first[i] : first[i + 1]]
                     hit = hits[lo + i].values.to_numpy(zero_copy_only=False)
                     at = np.flatnonzero(np.isin(_anchors(own, width).view(np.int64), hit))
-                    k1 = words.runs(own, width)[at].view(np.int64)
-                    joined_up = np.diff(at) == 1
                     h1s.append(_whole(own)[0])
-                    found["places"].append(at)
-                    found["k1"].append(k1)
-                    found["k2"].append(words.runs(words.mix(own ^ _OTHER), width)[at].view(np.int64))
-                    found["next"].append(np.append(np.where(joined_up, k1[1:], 0), np.zeros(min(1, len(at)), np.int64)))
-                    found["prev"].append(np.append(np.zeros(min(1, len(at)), np.int64), np.where(joined_up, k1[:-1], 0)))
-                lists = [_lists(v, np.int32 if c == "places" else np.int64) for c, v in found.items()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(h1s, pa.int64()), batch.column(1).slice(lo, hi - lo), *lists], names=["doc_id", "h1", "text", *found])
+                    places.append(at)
+                    k1.append(words.runs(own, width)[at].view(np.int64))
+                    k2.append(words.runs(words.mix(own ^ _OTHER), width)[at].view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), pa.array(h1s, pa.int64()), batch.column(1).slice(lo, hi - lo), _lists(places, np.int32), _lists(k1, np.int64), _lists(k2, np.int64)],
+                    names=["doc_id", "h1", "text", "places", "k1", "k2"],
+                )
 
-    return joined.mapInArrow(work, "doc_id long, h1 long, text string, places array<int>, k1 array<long>, k2 array<long>, next array<long>, prev array<long>")
+    return joined.mapInArrow(work, "doc_id long, h1 long, text string, places array<int>, k1 array<long>, k2 array<long>")
 
 
 def _digest(own: list[bytes], a: int, n: int) -> bytes:
@@ -165,8 +162,9 @@ class Repeats:
         # 3. their windows as edges, with the least holder and the degrees of their nodes
         _windows(self.docs.join(hits, "doc_id"), width).write.option("compression", "zstd").parquet(f"{self.folder}/windows")
         self.held = spark.read.parquet(f"{self.folder}/windows")
-        fields = ["places", "k1", "k2", "next", "prev"]
-        at = self.held.select("doc_id", "h1", F.explode(F.arrays_zip(*fields)).alias("w")).select("doc_id", "h1", F.col("w.places").alias("at"), *(f"w.{f}" for f in fields[1:]))
+        beside = lambda p, i, step: F.when(F.get("places", i + step) == p + step, F.get("k1", i + step)).otherwise(0)  # noqa: E731  0 where the window one word on isn't there
+        each = F.transform("places", lambda p, i: F.struct(p.alias("at"), F.get("k1", i).alias("k1"), F.get("k2", i).alias("k2"), beside(p, i, 1).alias("next"), beside(p, i, -1).alias("prev")))
+        at = self.held.select("doc_id", "h1", F.explode(each).alias("w")).select("doc_id", "h1", "w.*")
         one = lambda c: F.when((F.min(c) == F.max(c)) & (F.min(c) != 0), F.min(c)).alias(c)  # noqa: E731  null at a branch or an end
         holder = F.min(F.struct("doc_id", "h1", "at")).alias("s")
         edges = self._written("edges", at.groupBy("k1", "k2").agg(holder, F.max("doc_id").alias("hi"), one("next"), one("prev")).filter("s.doc_id < hi").select("k1", "k2", "s.*", "next", "prev"))
