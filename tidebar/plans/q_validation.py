@@ -90,9 +90,9 @@ def _(spark, d):
     return m.select("series_id", V.deflated(100, F.col("sharpe"), F.col("n"), F.col("skew"), F.col("kurt")).alias("dsr"))
 
 
-_BOOT = f"""{taken_sql(3)}, x AS (SELECT series_id, row_number() OVER ({W}) - 1 AS spot, sum(r) OVER ({W} ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s, count(*) OVER ({W} ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS m FROM trades), n AS (SELECT series_id, count(*) AS n FROM x GROUP BY 1),
-p AS (SELECT series_id, draw, CAST('0x' || substr(md5('42-' || draw || '-' || b), 1, 8) AS BIGINT) % greatest(n - 4, 1) AS spot FROM (SELECT *, unnest(range(1, CAST(ceil(n / 5) AS BIGINT) + 1)) AS b FROM (SELECT series_id, n, unnest(range(1, 501)) AS draw FROM n))),
-means AS (SELECT series_id, draw, sum(s) / sum(m) AS mean FROM p JOIN x USING (series_id, spot) GROUP BY 1, 2) SELECT series_id, quantile_cont(mean, 0.025) AS lower, quantile_cont(mean, 0.975) AS upper, avg(CASE WHEN mean > 0 THEN 1.0::DOUBLE ELSE 0 END) AS positive FROM means GROUP BY 1"""
+_BOOT = f"""{taken_sql(3)}, blocks AS (SELECT series_id, row_number() OVER ({W}) - 1 AS spot, sum(r) OVER ({W} ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s, count(*) OVER ({W} ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS m FROM trades), sizes AS (SELECT series_id, count(*) AS n FROM blocks GROUP BY 1),
+picks AS (SELECT series_id, draw, CAST('0x' || substr(md5('42-' || draw || '-' || b), 1, 8) AS BIGINT) % greatest(n - 4, 1) AS spot FROM (SELECT *, unnest(range(1, CAST(ceil(n / 5) AS BIGINT) + 1)) AS b FROM (SELECT series_id, n, unnest(range(1, 501)) AS draw FROM sizes))),
+means AS (SELECT series_id, draw, sum(s) / sum(m) AS mean FROM picks JOIN blocks USING (series_id, spot) GROUP BY 1, 2) SELECT series_id, quantile_cont(mean, 0.025) AS lower, quantile_cont(mean, 0.975) AS upper, avg(CASE WHEN mean > 0 THEN 1.0::DOUBLE ELSE 0 END) AS positive FROM means GROUP BY 1"""
 
 
 @query("v7_bootstrap", _BOOT, "lower upper positive")
