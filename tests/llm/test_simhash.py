@@ -114,10 +114,11 @@ def five_words(text):
     return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-@pytest.mark.parametrize("chunk", [4_000_000, 150])
-def test_exact_links_equal_a_pairwise_search(spark, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "sent"), [(4_000_000, 1_000_000), (150, 0)])
+def test_exact_links_equal_a_pairwise_search(spark, monkeypatch, chunk, sent):
     """The pipeline's second stage: Jaccard of 0.8, not a distance of fingerprints."""
     monkeypatch.setattr(simhash, "CHUNK", chunk)
+    monkeypatch.setattr(simhash, "SENT", sent)
     rnd = random.Random(5)
     vocab, rows = [f"v{i}" for i in range(400)], []
     for n in (6, 8, 9, 20, 40, 60, 100, 100, 200):

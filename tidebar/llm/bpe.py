@@ -19,7 +19,7 @@ import re
 import sys
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -31,8 +31,8 @@ from pyspark.sql import types as T
 
 #: Marks the end of a word inside the automaton; private use, never a byte-level glyph.
 END = "\ue000"
-#: Chunks whose ids are kept; the table is emptied when it is full.
-KEPT_CHUNKS = 400_000
+#: Chunks, and words in them, whose ids are kept; a table is emptied when it is full.
+KEPT_CHUNKS, KEPT_WORDS = 60_000, 200_000
 #: Whether the machine writes integers as ids are written.
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 #: Separators that str.split() knows and the tokenizer's \s doesn't.
@@ -67,7 +67,7 @@ class WordBpe:
         self._load(model)
         self.chunks = _Chunks(self)
         #: ids of words; chunks are words with signs around them
-        self.kept: dict[str, list[int]] = {}
+        self.kept: dict[str, bytes] = {}
 
     def _marked(self, token: str) -> str:
         return token[: -len(self.suffix)] + END if self.suffix and token.endswith(self.suffix) else token
@@ -215,12 +215,13 @@ class WordBpe:
             own = kept.get(word)
             if own is None:
                 own = self.encode_word(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(glyphs))
+                own = array("I", own).tobytes() if LITTLE else np.array(own, dtype="<u4").tobytes()
                 if len(word) < 100:
-                    if len(kept) >= KEPT_CHUNKS:
+                    if len(kept) >= KEPT_WORDS:
                         kept.clear()
                     kept[word] = own
-            ids += own
-        return array("I", ids).tobytes() if LITTLE else np.array(ids, dtype="<u4").tobytes()
+            ids.append(own)
+        return ids[0] if len(ids) == 1 else b"".join(ids)
 
     def normalise(self, text: str) -> str:
         if not text.isascii():
@@ -282,6 +283,21 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def encoder_of(width: int = 4, path: str | None = None) -> Callable[[], Callable[[str | None], bytes]]:
+    """Makes what encodes a text to ids of `width` bytes, little-endian; ids must fit. To be called in a task."""
+    path = path or default_path()
+
+    def made() -> Callable[[str | None], bytes]:
+        encode = tokenizer(path).encode
+        if width == 4:
+            return encode
+        if len(tokenizer(path).offsets) - 1 > 1 << 8 * width:
+            raise ValueError(f"the vocabulary's ids need more than {width} bytes")
+        return lambda text: np.frombuffer(encode(text), dtype="<u4").astype(f"<u{width}").tobytes()
+
+    return made
+
+
 #: What encode_decode() can add to each row.
 OUTPUTS = {"n_tokens": T.LongType(), "ids": T.BinaryType(), "decoded": T.StringType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
 #: Rows worked on at once, so that a batch of very long texts stays small.

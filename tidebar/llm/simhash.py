@@ -36,6 +36,10 @@ LEAST_TILE, MOST_TILE, TILE_SHARE, TILES = 4096, 65536, 1 / 16, 4096
 BLOCK = 512
 #: Shingles in a chunk of a component whose links are verified.
 CHUNK = 4_000_000
+#: Texts whose fingerprints are made at once.
+ROWS_AT_ONCE = 1024
+#: Classes (of 16 bytes each) that may be sent to all executors to pick rows by.
+SENT = 1_000_000
 #: Logarithm by which numbers of shingles are binned.
 SIZE_STEP = math.log(1.02)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -76,7 +80,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, doc_id: str
     extra = [np.uint64(0xA0761D6478BD642F * (2 * j + 1) % 2**64) for j in range(1, lanes)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE)):
             fps, sizes, own, digests = [], [], [], []
             for t in batch.column(1).cast(pa.binary()).to_pylist():
                 h = shingle_hashes(t or b"", shingle)
@@ -326,7 +330,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, lanes: i
     spark = docs.sparkSession
     folder = scratch(spark, "simhash")
     keys = [*(["fp", "size"] if ratio else ["fp"]), *(["digest"] if exact else [])]
-    fingerprints(docs, shingle, lanes, doc_id, text, sets=exact).write.parquet(f"{folder}/rows")
+    fingerprints(docs, shingle, lanes, doc_id, text, sets=exact).withColumn("rid", F.monotonically_increasing_id()).write.parquet(f"{folder}/rows")
     rows = spark.read.parquet(f"{folder}/rows")
     folded = rows.groupBy(*keys).agg(F.min("doc_id").alias("least"))
     # one word is its own id; several words get the id of their hash, 128 bits of which would be needed only beyond billions of classes
@@ -338,8 +342,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, lanes: i
     links.write.parquet(f"{folder}/links")
     roots = connected_components(spark.read.parquet(f"{folder}/links"))
     if exact:
-        sets = rows.withColumn("id", F.xxhash64(*keys)).join(roots.select(F.col("node").alias("id"), "root"), "id").groupBy("id", "root").agg(*(F.first(c).alias(c) for c in ("fp", "size", "shingles")))
-        verified_links(sets, radius, ratio).write.parquet(f"{folder}/verified")
+        # one row of each class in a component; sets are read of these rows only
+        first = rows.select("rid", F.xxhash64(*keys).alias("id")).join(roots.select(F.col("node").alias("id"), "root"), "id").groupBy("id", "root").agg(F.min("rid").alias("rid"))
+        first.write.parquet(f"{folder}/first")
+        first = spark.read.parquet(f"{folder}/first")
+        few = first.limit(SENT + 1).count() <= SENT
+        verified_links(rows.select("rid", "fp", "size", "shingles").join(F.broadcast(first) if few else first, "rid").drop("rid"), radius, ratio).write.parquet(f"{folder}/verified")
         roots = connected_components(spark.read.parquet(f"{folder}/verified"))
     placed = classes.join(roots, classes["id"] == roots["node"], "left").select(*keys, "least", F.coalesce("root", "id").alias("root"))
     placed.groupBy("root").agg(F.min("least").alias("component_id")).write.parquet(f"{folder}/names")
