@@ -54,3 +54,13 @@ def test_same_files_give_the_same_slots(spark, tmp_path):
 
 def test_empty_table(spark):
     assert O.materialise(spark.createDataFrame([], "doc_id long, ids binary"), key=1).read().count() == 0
+
+
+def test_texts_are_encoded_on_the_way(spark):
+    from tidebar.llm import bpe
+
+    rows = [(1, "Some words to encode, and more"), (2, None), (3, ""), (4, "é " * 400)]
+    got = O.materialise(spark.createDataFrame(rows, "doc_id long, text string"), key=3, length=16, width=2, ids="text", encoder=bpe.encoder_of(2)).read().collect()
+    whole = {i: b"".join(bytes(r.ids) for r in sorted(got, key=lambda r: r.place) if r.doc_id == i) for i, _ in rows}
+    encode = bpe.WordBpe(bpe.default_path()).encode
+    assert whole == {i: np.frombuffer(encode(t), dtype="<u4").astype("<u2").tobytes() for i, t in rows}

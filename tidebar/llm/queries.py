@@ -36,9 +36,8 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sequence of every whole text's token ids (those of op1, of four bytes) as it was read back from its shard."""
-    encoded = bpe.encode_decode(table(spark, sf_dir, "documents", "doc_id", "text"), outputs=("ids",))
-    shards = training_order.materialise(encoded, key=20240607)
+    """Every sequence of every whole text's token ids (those of op1, of two bytes each) as it was read back from its shard."""
+    shards = training_order.materialise(table(spark, sf_dir, "documents", "doc_id", "text"), key=20240607, width=2, ids="text", encoder=bpe.encoder_of(2))
     return shards.read().select("slot", "shard", "doc_id", "place", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
 
 

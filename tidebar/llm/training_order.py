@@ -15,7 +15,7 @@ Nulls: a document without ids (null or empty) has no sequence; a null doc_id is
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +27,14 @@ from tidebar.session import scratch
 
 LENGTH = 512
 #: Records in a shard at least; the most shards; the most tasks that write them.
-RECORDS, MOST_SHARDS, RANGES = 32_768, 100_000, 20_000
+RECORDS, MOST_SHARDS, RANGES = 16_384, 100_000, 20_000
 ROUNDS = 6
 HEAD = 16
-#: Sequences built at once.
-AT_ONCE = 8192
+#: Sequences built at once, and documents encoded at once.
+AT_ONCE, ROWS_AT_ONCE = 8192, 256
+
+#: Makes, once in each task, what turns a text (or null) into the bytes of its ids.
+Encoder = Callable[[], Callable[[str | None], bytes]]
 
 
 def _mixed(x: np.ndarray, key: int, r: int) -> np.ndarray:
@@ -56,19 +59,24 @@ def slots(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def _placed(docs: DataFrame, unit: int) -> DataFrame:
+def _placed(docs: DataFrame, unit: int, encoder: Encoder | None) -> DataFrame:
     """(part, at, n, doc_id, ids) of every document with ids: how many sequences its partition has before it, and how many it has, of `unit` bytes each."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            size = np.array([0 if x is None else x for x in pa.compute.binary_length(batch.column(1)).to_pylist()], dtype=np.int64)
-            own = np.flatnonzero(size)
-            n = -(-size[own] // unit)
-            begin = at + np.cumsum(n) - n
-            at += int(n.sum())
-            picked = batch.take(pa.array(own))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), part, dtype=np.int32)), pa.array(begin), pa.array(n), *picked.columns], names=["part", "at", "n", "doc_id", "ids"])
+        encode = encoder() if encoder else None
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(start, ROWS_AT_ONCE)
+                ids = [encode(x) if encode else x or b"" for x in batch.column(1).to_pylist()]
+                size = np.array([len(x) for x in ids], dtype=np.int64)
+                own = np.flatnonzero(size)
+                n = -(-size[own] // unit)
+                begin = at + np.cumsum(n) - n
+                at += int(n.sum())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(own), part, dtype=np.int32)), pa.array(begin), pa.array(n), batch.column(0).take(pa.array(own)), pa.array([ids[k] for k in own], pa.binary())], names=["part", "at", "n", "doc_id", "ids"]
+                )
 
     return docs.mapInArrow(work, "part int, at long, n long, doc_id long, ids binary")
 
@@ -162,12 +170,12 @@ class Shards:
         return files.filter(F.col("shard") >= start // records).select(F.col("shard").cast("long"), "content").mapInArrow(work, schema)
 
 
-def materialise(docs: DataFrame, key: int, length: int = LENGTH, width: int = 4, records: int = RECORDS, doc_id: str = "doc_id", ids: str = "ids", folder: str | None = None) -> Shards:
-    """Writes the shards of a binary column of ids of `width` bytes each, little-endian. Slots follow from the key, the input's rows and how these are
-    dealt over partitions."""
+def materialise(docs: DataFrame, key: int, length: int = LENGTH, width: int = 4, records: int = RECORDS, doc_id: str = "doc_id", ids: str = "ids", encoder: Encoder | None = None, folder: str | None = None) -> Shards:
+    """Writes the shards of a binary column of ids of `width` bytes each, little-endian, or of a text column that the encoder turns into such ids (in the
+    same Python worker). Slots follow from the key, the input's rows and how these are dealt over partitions."""
     spark = docs.sparkSession
     folder, unit = folder or scratch(spark, "shards"), length * width
-    _placed(docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[ids].alias("ids")), unit).write.option("compression", "zstd").parquet(f"{folder}/ids")
+    _placed(docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[ids].alias("ids")), unit, encoder).write.option("compression", "zstd").parquet(f"{folder}/ids")
     placed = spark.read.parquet(f"{folder}/ids")
     begins, n = {}, 0
     for r in placed.groupBy("part").agg(F.sum("n").alias("c")).orderBy("part").collect():  # a number for each partition of the input
