@@ -87,6 +87,12 @@ def first_true(values: Column, test) -> Column:  # noqa: ANN001
     return F.nullif(place, F.lit(0).cast("long"))
 
 
+def top_k(items: Column, k: int, score, distance) -> Column:  # noqa: ANN001
+    """The k items of an array with the greatest scores, the nearest first where scores tie, and the first in the array where both do."""
+    keyed = F.transform(items, lambda s, i: F.struct((-score(s)).alias("a"), distance(s).alias("b"), i.alias("c"), s.alias("item")))
+    return F.transform(F.slice(F.array_sort(keyed), 1, k), lambda s: s["item"])
+
+
 def affine_scan(df: DataFrame, b: Column, a: float, out: str) -> DataFrame:
     """y_t = a * y_{t-1} + b_t along each series (b null counts as 0), without a sequential pass.
 

@@ -6,6 +6,7 @@ Sums are taken by Spark; what is left for the driver is arithmetic on one row, o
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 from statistics import NormalDist
 
@@ -250,6 +251,35 @@ def isotonic(df: DataFrame, p: str, y: str) -> DataFrame:
     return df.sparkSession.createDataFrame(list(zip(map(float, model.boundaries.toArray()), map(float, model.predictions.toArray()), strict=True)), "p double, calibrated double")
 
 
+def linear_contributions(df: DataFrame, features: list[str], label: str, spec: pd.DataFrame) -> DataFrame:
+    """For each walk-forward fold and feature: the mean absolute contribution to a linear model's prediction on the test rows. Contributions are exact
+    Shapley values: coefficient times distance from the training mean."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    x = df.filter(F.col(label).isNotNull()).na.drop(subset=features).withColumn("__y", F.col(label).cast("double"))
+    vectors = VectorAssembler(inputCols=features, outputCol="__x")
+    parts = []
+    for f in spec.itertuples():
+        train = x.filter((F.col("bar_idx") < f.train_end) & (F.col("bar_idx") < f.train_below))
+        means = train.agg(*(F.avg(c).alias(c) for c in features)).first()
+        if means[0] is None:
+            continue
+        weights = LinearRegression(featuresCol="__x", labelCol="__y", solver="normal", standardization=False).fit(vectors.transform(train)).coefficients
+        test = x.filter((F.col("bar_idx") >= f.test_start) & (F.col("bar_idx") < f.test_end))
+        each = F.array(*(F.struct(F.lit(c).alias("feature"), F.abs(float(w) * (F.col(c) - means[c])).alias("v")) for c, w in zip(features, weights, strict=True)))
+        parts.append(test.select(F.explode(each).alias("e")).groupBy("e.feature").agg(F.avg("e.v").alias("mean_abs")).select(F.lit(int(f.fold)).cast("long").alias("fold"), "feature", "mean_abs"))
+    return reduce(DataFrame.union, parts) if parts else df.select(F.lit(0).cast("long").alias("fold"), F.lit("").alias("feature"), F.lit(0.0).alias("mean_abs")).limit(0)
+
+
+def prune_list(contributions: DataFrame, least: float = 0.010, protected: list[str] | None = None) -> DataFrame:
+    """From (fold, feature, mean_abs): per feature the mean share of its fold's contributions, the change from the first fold to the last, and whether it
+    may be pruned: its share is under `least` and it isn't protected."""
+    share = F.col("mean_abs") / F.nullif(F.sum("mean_abs").over(Window.partitionBy("fold")), F.lit(0.0))
+    s = contributions.withColumn("share", share).groupBy("feature").agg(F.avg("share").alias("share"), (F.max_by("share", "fold") - F.min_by("share", "fold")).alias("delta"))
+    return s.withColumn("prune", (F.col("share") < least) & ~F.col("feature").isin(protected or []))
+
+
 def boosted_folds(df: DataFrame, features: list[str], label: str, spec: pd.DataFrame, rounds: int = 10) -> DataFrame:
     """Out-of-sample probabilities of a gradient-boosted classifier for each walk-forward fold."""
     from pyspark.ml.classification import GBTClassifier

@@ -37,8 +37,8 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def versioned(spark: SparkSession, candidates: list[str]) -> DataFrame:
     """The first candidate path that can be read; holdout data is refused."""
     for path in candidates:
-        if "holdout" in path:
-            raise ValueError(f"holdout data must not be read here: {path}")
+        if "holdout" in path or "_full" in os.path.basename(path.rstrip("/")):
+            raise ValueError(f"holdout and full data must not be read here: {path}")
     for path in candidates:
         try:
             return spark.read.parquet(path)
@@ -59,6 +59,30 @@ def write_bars(df: DataFrame, path: str, ts: str = "ts", by_month: bool = False)
     (writer.partitionBy("ym") if by_month else writer).parquet(path)
 
 
+def write_array(df: DataFrame, path: str, at: str, value: str) -> None:
+    """A cached array as a table of places and values."""
+    df.select(F.col(at).alias("at"), F.col(value).alias("value")).write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def read_array(spark: SparkSession, path: str, length: int) -> DataFrame:
+    """A cached array, if it has just this length; a cache of other data is refused."""
+    found = spark.read.parquet(path)
+    n = found.count()
+    if n != length:
+        raise ValueError(f"{path} has {n} values where {length} are due")
+    return found
+
+
+def upsert(registry: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """The registry with these rows in place of those of the same key."""
+    return registry.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows)
+
+
+def description(df: DataFrame, ts: str = "ts") -> DataFrame:
+    """One row of ranges and counts of a table, in one pass."""
+    return df.agg(F.count("*").alias("rows"), F.min(ts).alias("first"), F.max(ts).alias("last")).withColumn("columns", F.lit(len(df.columns)).cast("long"))
+
+
 def describe(df: DataFrame, ts: str = "ts") -> str:
     """Ranges and counts of a table as JSON."""
     r = df.agg(F.count("*").alias("rows"), F.min(ts).cast("string").alias("first"), F.max(ts).cast("string").alias("last")).first()
