@@ -198,3 +198,53 @@ def test_model_folds_run_to_the_end_of_the_bars(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(q_validation.V, "boosted_folds", lambda df, features, label, spec, rounds: seen.append(spec) or df)
     catalog.queries()["v2_walk_forward_model"](spark, str(tmp_path))
     assert list(seen[0]["test_start"]) == [374, 524, 674, 824, 974] and list(seen[0]["test_end"]) == [524, 674, 824, 974, 1000]
+
+
+def test_scratch_paths_are_released(spark, tmp_path):
+    from tidebar import session
+
+    before = session.made()
+    a, b = session.scratch(spark, "a"), session.scratch(spark, "b")
+    for p in (a, b):
+        spark.range(3).write.parquet(p)
+    session.release(spark, since=before, keep=(b,))
+    assert spark.read.parquet(b).count() == 3 and session.made() == before + 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(a)
+    session.release(spark, since=before)
+
+
+def test_runs_that_fail_are_recorded(spark):
+    from tidebar.operators import search
+
+    tries = []
+
+    def flaky():
+        tries.append(1)
+        if len(tries) < 2:
+            raise RuntimeError("once")
+        return {"auc": 0.7}
+
+    assert search.safely(flaky) == {"status": "done", "attempts": 2, "auc": 0.7}
+    assert search.safely(lambda: 1 / 0)["status"] == "failed"
+
+
+def test_versions_and_caches(spark, tmp_path):
+    spark.range(2).write.parquet(f"{tmp_path}/bars_v1.parquet")
+    assert ingest.versioned(spark, [f"{tmp_path}/bars_v2.parquet", f"{tmp_path}/bars_v1.parquet"]).count() == 2
+    for bad in ("holdout/x.parquet", "bars_v3_full.parquet"):
+        with pytest.raises(ValueError, match="must not be read"):
+            ingest.versioned(spark, [f"{tmp_path}/{bad}"])
+    ingest.write_array(spark.range(5).selectExpr("id", "id / 2 AS p"), f"{tmp_path}/a", "id", "p")
+    assert ingest.read_array(spark, f"{tmp_path}/a", 5).count() == 5
+    with pytest.raises(ValueError, match="has 5 values"):
+        ingest.read_array(spark, f"{tmp_path}/a", 6)
+
+
+def test_next_event_and_forward_asof_are_linear(spark):
+    n = 200_000
+    b = spark.range(n).selectExpr("'a' AS series_id", "id AS ts", "id AS bar_idx")
+    got = b.select("ts", J.next_event(F.col("bar_idx"), F.col("ts") % 1000 == 0, ["series_id"], "ts").alias("n"))
+    assert got.filter("n IS NOT NULL").agg(F.sum("n")).first()[0] == sum(k * 1000 * 999 for k in range(1, n // 1000))
+    e = spark.range(n // 2).selectExpr("'a' AS series_id", "id * 2 - 1 AS at")
+    assert J.forward_asof(e, b.filter("ts % 10 = 0"), "at", ["series_id"]).filter("first_bar_idx <> ceil(at / 10) * 10").count() == 0

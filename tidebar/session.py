@@ -58,6 +58,26 @@ def ensure_checkpoint(spark: SparkSession) -> str:
     return folder
 
 
+#: Scratch paths that this process has given out and not removed.
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, purpose: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder. What operators write there stays readable, as their results are lazy, until release() is called."""
+    path = f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def made() -> int:
+    """How many scratch paths there are; release() can go back to this point."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Removes the scratch paths given out since a point, but for those to keep. Results that read them can't be computed again afterwards."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in [p for p in _MADE[since:] if p not in keep]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        _MADE.remove(path)
