@@ -1,4 +1,5 @@
-"""The corpus pipeline: documents go through STAGES in order, each stage written as Parquet and read again as the next one's input.
+"""The corpus pipeline: documents go through STAGES in order, each stage written as Parquet and read again as the next one's input. What a stage has
+written besides is removed when its output is there.
 
 Every stage works on all that its predecessor kept. Rows that share a doc_id are one document and stay or go together; rows without a doc_id can't be
 named as copies or leaks and stay. Null texts stay null up to the last stage, where they have no ids.
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebar.llm import bpe, decontaminate, secret_scan, simhash, toxicity
-from tidebar.session import ensure_semantics, scratch
+from tidebar.session import ensure_semantics, made, release, scratch
 from tidebar.sources.tables import table
 
 #: Near-duplicates: texts whose sets of five-word shingles have an exact Jaccard similarity of 0.8. Candidates come from 256-bit fingerprints of the
@@ -64,8 +65,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_semantics(spark)
-    docs, folder = table(spark, sf_dir, "documents"), scratch(spark, "pipeline")
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+    docs, before = table(spark, sf_dir, "documents"), made()
+    for name, stage in STAGES:
+        folder = scratch(spark, name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+        release(spark, since=before, keep=(folder,))  # a stage's own tables and its predecessor's output aren't read any more
     return docs
