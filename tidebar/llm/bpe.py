@@ -31,8 +31,8 @@ from pyspark.sql import types as T
 
 #: Marks the end of a word inside the automaton; private use, never a byte-level glyph.
 END = "\ue000"
-#: Chunks, and words in them, whose ids are kept; a table is emptied when it is full.
-KEPT_CHUNKS, KEPT_WORDS = 60_000, 200_000
+#: Chunks, and words in them, whose ids are kept in a generation.
+KEPT_CHUNKS, KEPT_WORDS = 40_000, 120_000
 #: Whether the machine writes integers as ids are written.
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 #: Separators that str.split() knows and the tokenizer's \s doesn't.
@@ -65,9 +65,9 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) + ")").split if self.special else None
         self._load(model)
-        self.chunks = _Chunks(self)
+        self.chunks = _Kept(self.encode_chunk, KEPT_CHUNKS)
         #: ids of words; chunks are words with signs around them
-        self.kept: dict[str, bytes] = {}
+        self.kept = _Kept(self.encode_kept, KEPT_WORDS)
 
     def _marked(self, token: str) -> str:
         return token[: -len(self.suffix)] + END if self.suffix and token.endswith(self.suffix) else token
@@ -89,7 +89,7 @@ class WordBpe:
         self.automaton = ahocorasick.Automaton()
         usable = [(t, i) for t, i in self.ids.items() if i in self.parts or len(t.rstrip(END)) == 1]
         for t, i in usable:
-            self.automaton.add_word(t, (len(t), i))
+            self.automaton.add_word(t, (len(t) - 1, i))
         self.automaton.make_automaton()
         #: for each token the longest usable token that is a proper prefix of it, or -1
         known = dict(usable)
@@ -135,13 +135,10 @@ class WordBpe:
                 limit, b = rb + 1, pb[0]
 
     def longest(self, word: str) -> list[int]:
-        """For each position the longest token that begins there."""
+        """For each position the longest token that begins there: matches come by their ends, so of one beginning the longest comes last."""
         best = [-1] * len(word)
-        size = [0] * len(word)
-        for end, (n, token) in self.automaton.iter(word):
-            start = end - n + 1
-            if n > size[start]:
-                size[start], best[start] = n, token
+        for end, (back, token) in self.automaton.iter(word):
+            best[end - back] = token
         return best
 
     def encode_word(self, word: str) -> list[int]:
@@ -210,18 +207,12 @@ class WordBpe:
 
     def encode_chunk(self, chunk: str) -> bytes:
         """Ids, as little-endian unsigned 32-bit integers, of a normalised chunk without white space."""
-        glyphs, kept, ids = self.glyphs, self.kept, []
-        for word in self.words(chunk):
-            own = kept.get(word)
-            if own is None:
-                own = self.encode_word(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(glyphs))
-                own = array("I", own).tobytes() if LITTLE else np.array(own, dtype="<u4").tobytes()
-                if len(word) < 100:
-                    if len(kept) >= KEPT_WORDS:
-                        kept.clear()
-                    kept[word] = own
-            ids.append(own)
-        return ids[0] if len(ids) == 1 else b"".join(ids)
+        own = self.words(chunk)
+        return self.kept[own[0]] if len(own) == 1 else b"".join(map(self.kept.__getitem__, own))
+
+    def encode_kept(self, word: str) -> bytes:
+        ids = self.encode_word(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.glyphs))
+        return array("I", ids).tobytes() if LITTLE else np.array(ids, dtype="<u4").tobytes()
 
     def normalise(self, text: str) -> str:
         if not text.isascii():
@@ -257,17 +248,24 @@ class WordBpe:
         return self.blob[where[:-1]].tobytes()
 
 
-class _Chunks(dict):
-    def __init__(self, tokenizer: WordBpe):
-        super().__init__()
-        self.tokenizer = tokenizer
+class _Kept(dict):
+    """Results by text, in two generations: when the younger one is full it becomes the older one, of which what is still in use comes back."""
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= KEPT_CHUNKS:
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.most = make, most
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.older.get(text)
+        if ids is None:
+            ids = self.make(text)
+            if len(text) >= 100:
+                return ids
+        if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        ids = self.tokenizer.encode_chunk(chunk)
-        if len(chunk) < 100:
-            self[chunk] = ids
+        self[text] = ids
         return ids
 
 
