@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.operators import machines as M
@@ -75,6 +75,23 @@ def one_shot_delivery(df: DataFrame) -> DataFrame:
     return M.run(df, OneShotDelivery)
 
 
+def single_gap(df: DataFrame, side: str = "bull") -> DataFrame:
+    """The last gap of three bars alone, until a later bar reaches its middle: its edges while it is open, and whether it is. A new gap takes its place."""
+    bull = side == "bull"
+    before = lambda c: F.lag(c, 2).over(in_order())
+    top, bot = (F.col("low"), before("high")) if bull else (before("low"), F.col("high"))
+    x = df.withColumns({"__top": top, "__bot": bot})
+    x = x.withColumn("__born", F.coalesce(F.col("__top") > F.col("__bot"), F.lit(False)))
+    x = x.withColumns({"__track": F.sum(F.col("__born").cast("int")).over(rows(None, 0)), "__t": F.last(F.when(F.col("__born"), F.col("__top")), ignorenulls=True).over(rows(None, 0)), "__b": F.last(F.when(F.col("__born"), F.col("__bot")), ignorenulls=True).over(rows(None, 0))})
+    since = Window.partitionBy("series_id", "__track").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    middle = (F.col("__t") + F.col("__b")) / 2
+    reached = (F.min(F.when(~F.col("__born"), F.col("low"))).over(since) <= middle) if bull else (F.max(F.when(~F.col("__born"), F.col("high"))).over(since) >= middle)
+    x = x.withColumn("__open", F.col("__t").isNotNull() & ~F.coalesce(reached, F.lit(False)))
+    name = f"gap_{side}"
+    x = x.withColumns({f"{name}_open": F.col("__open").cast("int"), f"{name}_top": F.when(F.col("__open"), F.col("__t")), f"{name}_bot": F.when(F.col("__open"), F.col("__b"))})
+    return x.drop("__top", "__bot", "__born", "__track", "__t", "__b", "__open")
+
+
 def strict_blocks(df: DataFrame, ahead: int = 20) -> DataFrame:
     """The last falling candle before a rise: marked if a break of structure comes within `ahead` bars and no other falling candle lies between. LOOKS AHEAD."""
     down = F.col("close") < F.col("open")

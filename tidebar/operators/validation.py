@@ -6,6 +6,7 @@ Sums are taken by Spark; what is left for the driver is arithmetic on one row, o
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 from statistics import NormalDist
@@ -15,12 +16,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PHI = NormalDist()
-
+from tidebar.functions import correlation, normal_cdf
 
-def correlation(x: str, y: str) -> Column:
-    """Pearson's correlation of columns that are null together; null where one of them doesn't vary."""
-    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+PHI = NormalDist()
 
 
 def auc(df: DataFrame, p: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -98,17 +96,6 @@ def sharpe_test(trades: DataFrame, by: tuple[str, ...] = ("series_id",), r: str
     return m.select(*by, n.cast("long").alias("n"), sr.alias("sharpe"), skew.alias("skew"), kurt.alias("kurt"), (sr * F.sqrt(n - 1) / F.sqrt(F.when(under > 0, under).when(under.isNotNull(), 1.0))).alias("z"))
 
 
-def normal_cdf(z: Column) -> Column:
-    """Phi by Spark's own functions: there is no erf, so the tail's continued fraction for large z and the series for small ones (both to 1e-12)."""
-    a = F.abs(z)
-    density = F.exp(-a * a / 2) / math.sqrt(2 * math.pi)
-    step = lambda acc, k: F.struct((acc["term"] * a * a / (2 * k + 1)).alias("term"), (acc["total"] + acc["term"] * a * a / (2 * k + 1)).alias("total"))
-    total = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(a.alias("term"), a.alias("total")), step)["total"]
-    fraction = F.aggregate(F.sequence(F.lit(40), F.lit(1), F.lit(-1)), a, lambda acc, k: a + k / acc)
-    low = F.when(a < 3, 0.5 - density * total).otherwise(density / fraction)
-    return F.when(z < 0, low).otherwise(1 - low)
-
-
 def expected_best(experiments: int) -> float:
     """The Sharpe ratio that the best of so many experiments without skill is expected to have."""
     euler = 0.5772156649
@@ -251,27 +238,45 @@ def isotonic(df: DataFrame, p: str, y: str) -> DataFrame:
     return df.sparkSession.createDataFrame(list(zip(map(float, model.boundaries.toArray()), map(float, model.predictions.toArray()), strict=True)), "p double, calibrated double")
 
 
-def linear_contributions(df: DataFrame, features: list[str], label: str, spec: pd.DataFrame) -> DataFrame:
-    """For each walk-forward fold and feature: the mean absolute contribution to a linear model's prediction on the test rows. Contributions are exact
-    Shapley values: coefficient times distance from the training mean."""
+def _linear_folds(df: DataFrame, features: list[str], label: str, spec: pd.DataFrame) -> Iterator[tuple[int, dict[str, Column], DataFrame]]:
+    """For each walk-forward fold whose training rows exist: its number, a linear model's terms (coefficient times distance from the training mean) by
+    feature, as columns over the test rows, and these rows."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
     x = df.filter(F.col(label).isNotNull()).na.drop(subset=features).withColumn("__y", F.col(label).cast("double"))
     vectors = VectorAssembler(inputCols=features, outputCol="__x")
-    parts = []
     for f in spec.itertuples():
         train = x.filter((F.col("bar_idx") < f.train_end) & (F.col("bar_idx") < f.train_below))
         means = train.agg(*(F.avg(c).alias(c) for c in features)).first()
         if means[0] is None:
             continue
         weights = LinearRegression(featuresCol="__x", labelCol="__y", solver="normal", standardization=False).fit(vectors.transform(train)).coefficients
-        test = x.filter((F.col("bar_idx") >= f.test_start) & (F.col("bar_idx") < f.test_end))
-        each = F.array(*(F.struct(F.lit(c).alias("feature"), F.abs(float(w) * (F.col(c) - means[c])).alias("v")) for c, w in zip(features, weights, strict=True)))
-        parts.append(test.select(F.explode(each).alias("e")).groupBy("e.feature").agg(F.avg("e.v").alias("mean_abs")).select(F.lit(int(f.fold)).cast("long").alias("fold"), "feature", "mean_abs"))
+        terms = {c: float(w) * (F.col(c) - means[c]) for c, w in zip(features, weights, strict=True)}
+        yield int(f.fold), terms, x.filter((F.col("bar_idx") >= f.test_start) & (F.col("bar_idx") < f.test_end))
+
+
+def linear_contributions(df: DataFrame, features: list[str], label: str, spec: pd.DataFrame) -> DataFrame:
+    """For each walk-forward fold and feature: the mean absolute contribution to a linear model's prediction on the test rows. The model's terms are exact
+    Shapley values."""
+    parts = []
+    for fold, terms, test in _linear_folds(df, features, label, spec):
+        each = F.array(*(F.struct(F.lit(c).alias("feature"), F.abs(t).alias("v")) for c, t in terms.items()))
+        parts.append(test.select(F.explode(each).alias("e")).groupBy("e.feature").agg(F.avg("e.v").alias("mean_abs")).select(F.lit(fold).cast("long").alias("fold"), "feature", "mean_abs"))
     return reduce(DataFrame.union, parts) if parts else df.select(F.lit(0).cast("long").alias("fold"), F.lit("").alias("feature"), F.lit(0.0).alias("mean_abs")).limit(0)
 
 
+def ablation(df: DataFrame, features: list[str], dropped: list[str], label: str, spec: pd.DataFrame, digits: int = 9) -> DataFrame:
+    """Mean area under the ROC curve over walk-forward folds, with all features and retrained without the dropped ones. Scores count to `digits` places."""
+    parts = []
+    for name, used in (("all", features), ("reduced", [c for c in features if c not in dropped])):
+        for fold, terms, test in _linear_folds(df, used, label, spec):
+            score = F.round(sum(terms.values(), F.lit(0.0)), digits)
+            parts.append(test.select(F.lit(name).alias("features"), F.lit(fold).cast("long").alias("fold"), score.alias("score"), F.col("__y").cast("long").alias("y")))
+    scores = reduce(DataFrame.union, parts) if parts else df.select(F.lit("").alias("features"), F.lit(0).cast("long").alias("fold"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("y")).limit(0)
+    return auc(scores, "score", "y", ("features", "fold")).groupBy("features").agg(F.avg("auc").alias("auc"), F.count("auc").alias("folds"))
+
+
 def prune_list(contributions: DataFrame, least: float = 0.010, protected: list[str] | None = None) -> DataFrame:
     """From (fold, feature, mean_abs): per feature the mean share of its fold's contributions, the change from the first fold to the last, and whether it
     may be pruned: its share is under `least` and it isn't protected."""

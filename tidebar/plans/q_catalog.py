@@ -154,10 +154,26 @@ w AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS wa, (aa * by_ - ab
 p AS (SELECT fold, 'roc_5' AS feature, a / nullif(a + b, 0) AS share FROM m UNION ALL SELECT fold, 'roc_10', b / nullif(a + b, 0) FROM m) SELECT feature, avg(share) AS share, max_by(share, fold) - min_by(share, fold) AS delta, avg(share) < 0.4 AS prune FROM p GROUP BY 1"""
 
 
+def _folded(spark, d):  # noqa: ANN001, ANN202
+    x = I.momentum(L.triple_barrier(base(spark, d), (24,), (2,)))
+    last = base(spark, d).agg(F.max("bar_idx")).first()[0]
+    return x, V.folds(0 if last is None else last + 1, 350, 400, 24, 24, least=50)
+
+
 @query("v13_contributions", _SHAP, "share delta")
 def _(spark, d):
     """Walk-forward contributions of features, their changes, and what may be pruned."""
-    x = I.momentum(L.triple_barrier(base(spark, d), (24,), (2,)))
-    last = base(spark, d).agg(F.max("bar_idx")).first()[0]
-    spec = V.folds(0 if last is None else last + 1, 350, 400, 24, 24, least=50)
+    x, spec = _folded(spark, d)
     return V.prune_list(V.linear_contributions(x, ["roc_5", "roc_10"], "label_long_hit_2r_24c", spec), 0.4)
+
+
+_ABLATION = _SHAP[: _SHAP.index("m AS (SELECT fold, avg(abs(")] + """e AS (SELECT 'all' AS features, fold, round(wa * (a - ma) + wb * (b - mb), 9) AS score, y FROM w JOIN obs x ON x.bar_idx >= w.start AND x.bar_idx < w.stop UNION ALL SELECT 'reduced', fold, round(ay / aa * (a - ma), 9), y FROM w JOIN obs x ON x.bar_idx >= w.start AND x.bar_idx < w.stop),
+k AS (SELECT *, rank() OVER (PARTITION BY features, fold ORDER BY score) + (count(*) OVER (PARTITION BY features, fold, score) - 1) / 2.0 AS r FROM e), u AS (SELECT features, fold, (sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / nullif(sum(y) * (count(*) - sum(y)), 0) AS auc FROM k GROUP BY 1, 2)
+SELECT features, avg(auc) AS auc, count(auc) AS folds FROM u GROUP BY 1"""
+
+
+@query("v14_ablation", _ABLATION, "auc")
+def _(spark, d):
+    """Areas under the ROC curve with all features and retrained without one."""
+    x, spec = _folded(spark, d)
+    return V.ablation(x, ["roc_5", "roc_10"], ["roc_10"], "label_long_hit_2r_24c", spec)

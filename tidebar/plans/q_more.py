@@ -17,7 +17,7 @@ from tidebar.plans.q_indicators import W, roll
 from tidebar.plans import machine_sql as Q
 from tidebar.plans.q_structure import _X, BASE, base, swing_sql
 from tidebar.plans.q_trading import LABELLED, ahead_sql, first_sql, taken_sql, trades
-from tidebar.plans.registry import bars_sql, query
+from tidebar.plans.registry import ORACLES, bars_sql, query
 from tidebar.sources.tables import table
 
 #: The switches of the configurable filter stack.
@@ -206,3 +206,36 @@ def _(spark, d):
     x = trades(spark, d, 3).join(c, ["series_id", "bar_idx"]).withColumn("net", F.col("r") - 0.1 * F.col("latency_cost"))
     return x.groupBy("series_id").agg(F.avg("latency_cost").alias("mean_latency"), F.median("latency_cost").alias("median_latency"), F.stddev_samp("latency_cost").alias("sd_latency"), (F.sum(F.when(F.col("r") > 0, F.col("net"))) / F.nullif(-F.sum(F.when(F.col("r") < 0, F.col("net"))), F.lit(0.0))).alias("profit_factor"))
 
+
+
+def _single(side: str, top: str, bot: str, reached: str, source: str) -> str:
+    return f"""a_{side} AS (SELECT *, coalesce({top} > {bot}, false) AS born_{side} FROM {source}), b_{side} AS (SELECT *, sum(CAST(born_{side} AS INTEGER)) OVER ({W}) AS track_{side}, last(CASE WHEN born_{side} THEN {top} END IGNORE NULLS) OVER ({W}) AS t_{side}, last(CASE WHEN born_{side} THEN {bot} END IGNORE NULLS) OVER ({W}) AS o_{side} FROM a_{side}),
+c_{side} AS (SELECT *, t_{side} IS NOT NULL AND NOT coalesce({reached}, false) AS open_{side} FROM b_{side})"""
+
+
+_S = lambda s: f"CAST(open_{s} AS INTEGER) AS gap_{s}_open, CASE WHEN open_{s} THEN t_{s} END AS gap_{s}_top, CASE WHEN open_{s} THEN o_{s} END AS gap_{s}_bot"
+_SINGLE = f"""WITH {bars_sql()}, z AS (SELECT *, lag(high, 2) OVER ({W}) AS h2, lag(low, 2) OVER ({W}) AS l2 FROM bars),
+{_single("bull", "low", "h2", "min(CASE WHEN NOT born_bull THEN low END) OVER (PARTITION BY series_id, track_bull ORDER BY ts) <= (t_bull + o_bull) / 2", "z")},
+{_single("bear", "l2", "high", "max(CASE WHEN NOT born_bear THEN high END) OVER (PARTITION BY series_id, track_bear ORDER BY ts) >= (t_bear + o_bear) / 2", "c_bull")} SELECT series_id, ts, {_S("bull")}, {_S("bear")} FROM c_bear"""
+
+
+@query("m30_single_gap", _SINGLE, "gap_bull_top gap_bull_bot gap_bear_top gap_bear_bot")
+def _(spark, d):
+    """One gap of each side at a time, open until its middle is reached."""
+    x = G.single_gap(G.single_gap(B.bars_of_events(spark, d, numbered=False), "bull"), "bear")
+    return x.select("series_id", "ts", *(f"gap_{s}_{c}" for s in ("bull", "bear") for c in ("open", "top", "bot")))
+
+
+_CONF45 = f"""SELECT a.series_id, a.ts, CAST(a.ob_bull_in_zone = 1 AND b.fvg_bull_in_zone = 1 AS INTEGER) AS confluence_bull, CAST(a.ob_bear_in_zone = 1 AND b.fvg_bear_in_zone = 1 AS INTEGER) AS confluence_bear,
+CAST((m >= 120 AND m < 300) OR (m >= 420 AND m < 600) AS INTEGER) AS kill_zone, sell_volume, funding_24 FROM ({ORACLES["m4_order_blocks"]}) a JOIN ({ORACLES["m6_gaps"]}) b USING (series_id, ts)
+JOIN (WITH {bars_sql()} SELECT series_id, ts, (hour(ts) * 60 + minute(ts) + 1140) % 1440 AS m, volume - taker_buy AS sell_volume, sum(volume / 7.3e5 - 5e-5) OVER ({W} ROWS 95 PRECEDING) AS funding_24 FROM bars) c USING (series_id, ts)"""
+
+
+@query("i45_zone_confluence", _CONF45, "sell_volume funding_24")
+def _(spark, d):
+    """Block and gap zones at once, kill zones, sold volume, and funding of 96 quarter hours."""
+    x = S.gaps(S.gaps(S.order_blocks(S.swings(I.sessions(base(spark, d)))), "bull"), "bear")
+    both = lambda s: ((F.col(f"ob_{s}_in_zone") == 1) & (F.col(f"fvg_{s}_in_zone") == 1)).cast("int")
+    zone = F.col("session").isin("london", "new_york").cast("int")
+    funding = F.sum(F.col("volume") / 7.3e5 - 5e-5).over(B.rows(-95, 0))
+    return x.select("series_id", "ts", both("bull").alias("confluence_bull"), both("bear").alias("confluence_bear"), zone.alias("kill_zone"), (F.col("volume") - F.col("taker_buy")).alias("sell_volume"), funding.alias("funding_24"))
