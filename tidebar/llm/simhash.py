@@ -145,9 +145,10 @@ def _near(low: np.ndarray, high: np.ndarray, lows: np.ndarray, highs: np.ndarray
     return gap.sum(axis=1) <= radius
 
 
-def _pairs(low: np.ndarray, high: np.ndarray, radius: int, ratio: float | None) -> list[tuple[int, int]]:
+def _pairs(low: np.ndarray, high: np.ndarray, radius: int, ratio: float | None) -> pa.Table:
     """Pairs of tiles that must be compared."""
-    return [(i, i + int(j)) for i in range(len(low)) for j in np.flatnonzero(_near(low[i], high[i], low[i:], high[i:], radius, ratio))]
+    others = [i + np.flatnonzero(_near(low[i], high[i], low[i:], high[i:], radius, ratio)) for i in range(len(low))]
+    return pa.table({"a": np.repeat(np.arange(len(low)), [len(o) for o in others]), "b": np.concatenate(others)})
 
 
 def _blocks(fps: np.ndarray, sizes: np.ndarray, ratio: float | None) -> tuple[np.ndarray, list[slice], np.ndarray, np.ndarray]:
@@ -247,7 +248,7 @@ def link_forest(classes: DataFrame, lanes: int, radius: int, ratio: float | None
     folder = scratch(spark, "tiles")
     tiles.write.parquet(folder)
     tiles = spark.read.parquet(folder)
-    pairs = spark.createDataFrame(_pairs(low, high, radius, ratio), "a long, b long")
+    pairs = spark.createDataFrame(_pairs(low, high, radius, ratio))
     spread = max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions")))
     met = pairs.join(tiles.select(F.col("tile").alias("a"), F.col("rows").alias("left")), "a").join(tiles.select(F.col("tile").alias("b"), F.col("rows").alias("right")), "b").repartition(spread, "a", "b")
 
