@@ -33,6 +33,8 @@ from pyspark.sql import types as T
 END = "\ue000"
 #: Chunks, and words in them, whose ids are kept in a generation.
 KEPT_CHUNKS, KEPT_WORDS = 40_000, 120_000
+#: Pairs of tokens whose compatibility is kept.
+KEPT_PAIRS = 300_000
 #: Whether the machine writes integers as ids are written.
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 #: Separators that str.split() knows and the tokenizer's \s doesn't.
@@ -94,7 +96,8 @@ class WordBpe:
         #: for each token the longest usable token that is a proper prefix of it, or -1
         known = dict(usable)
         self.shorter = {i: next((known[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in known), -1) for t, i in usable}
-        self.fits: dict[tuple[int, int], bool] = {}
+        #: whether tokens can stand side by side, by both ids in one number
+        self.fits: dict[int, bool] = {}
         # decoding: every token with a space behind it, in one byte string
         highest = max([*vocab.values(), *self.special.values()])
         names = [b""] * (highest + 1)
@@ -105,11 +108,11 @@ class WordBpe:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the two tokens can stand side by side: no merge across their border would have come before those that made them."""
-        known = self.fits.get((left, right))
+        known = self.fits.get(left << 20 | right)
         if known is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) >= KEPT_PAIRS:
                 self.fits.clear()
-            known = self.fits[(left, right)] = self._compatible(left, right)
+            known = self.fits[left << 20 | right] = self._compatible(left, right)
         return known
 
     def _compatible(self, left: int, right: int) -> bool:
@@ -158,7 +161,7 @@ class WordBpe:
                 if alive[end]:
                     if last < 0:
                         break
-                    known = fits.get((last, token))
+                    known = fits.get(last << 20 | token)
                     if known or (known is None and compatible(last, token)):
                         break
                 token = shorter[token]

@@ -186,6 +186,7 @@ def _forest(a: np.ndarray, b: np.ndarray, same: bool, sizes: tuple[np.ndarray, n
         return x
 
     links, base = [], 0 if same else len(a)
+    seen = np.arange(len(parent))  # equal only within a component: what is known to be linked isn't looked at again
     order_a, cuts_a, low_a, high_a = _blocks(a, sizes[0], ratio)
     order_b, cuts_b, low_b, high_b = (order_a, cuts_a, low_a, high_a) if same else _blocks(b, sizes[1], ratio)
     columns_a = [np.ascontiguousarray(a[order_a, k]) for k in range(a.shape[1])]
@@ -206,11 +207,18 @@ def _forest(a: np.ndarray, b: np.ndarray, same: bool, sizes: tuple[np.ndarray, n
                 p, q = sizes[0][x], sizes[1][y]
                 fit = np.minimum(p, q) >= ratio * np.maximum(p, q)
                 x, y = x[fit], y[fit]
-            for u, v in zip(x.tolist(), (y + base).tolist(), strict=True):
+            y = y + base
+            fresh = seen[x] != seen[y]
+            x, y = x[fresh], y[fresh]
+            before = len(links)
+            for u, v in zip(x.tolist(), y.tolist(), strict=True):
                 ru, rv = root(u), root(v)
                 if ru != rv and (sets is None or jaccard(sets[u], sets[v]) >= ratio):
                     parent[max(ru, rv)] = min(ru, rv)
                     links.append((u, v))
+            if len(links) > before:
+                touched = np.unique(np.concatenate([x, y]))
+                seen[touched] = [root(k) for k in touched.tolist()]
     return links
 
 
