@@ -213,6 +213,11 @@ class WordBpe:
         own = self.words(chunk)
         return self.kept[own[0]] if len(own) == 1 else b"".join(map(self.kept.__getitem__, own))
 
+    def forget(self) -> None:
+        """Empties what is kept between texts, so that an idle worker holds the vocabulary alone."""
+        for kept in (self.chunks, self.chunks.older, self.kept, self.kept.older, self.fits):
+            kept.clear()
+
     def encode_kept(self, word: str) -> bytes:
         ids = self.encode_word(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.glyphs))
         return array("I", ids).tobytes() if LITTLE else np.array(ids, dtype="<u4").tobytes()
@@ -319,18 +324,21 @@ def encode_decode(docs: DataFrame, path: str | None = None, text: str = "text",
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(at, ROWS_AT_ONCE)
-                ids = [bpe.encode(t) for t in batch.column(len(kept)).to_pylist()]
-                back = [bpe.decode(i) for i in ids] if decodes else []
-                made = {
-                    "n_tokens": lambda i=ids: pa.array([len(x) // 4 for x in i], pa.int64()),
-                    "ids": lambda i=ids: pa.array(i, pa.binary()),
-                    "decoded": lambda b=back: pa.array([x.decode() for x in b], pa.string()),
-                    "ids_sha256": lambda i=ids: pa.array([hashlib.sha256(x).hexdigest() for x in i], pa.string()),
-                    "decoded_sha256": lambda b=back: pa.array([hashlib.sha256(x).hexdigest() for x in b], pa.string()),
-                }
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *(made[o]() for o in outputs)], names=[*kept, *outputs])
+        try:
+            for whole in batches:
+                for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                    batch = whole.slice(at, ROWS_AT_ONCE)
+                    ids = [bpe.encode(t) for t in batch.column(len(kept)).to_pylist()]
+                    back = [bpe.decode(i) for i in ids] if decodes else []
+                    made = {
+                        "n_tokens": lambda i=ids: pa.array([len(x) // 4 for x in i], pa.int64()),
+                        "ids": lambda i=ids: pa.array(i, pa.binary()),
+                        "decoded": lambda b=back: pa.array([x.decode() for x in b], pa.string()),
+                        "ids_sha256": lambda i=ids: pa.array([hashlib.sha256(x).hexdigest() for x in i], pa.string()),
+                        "decoded_sha256": lambda b=back: pa.array([hashlib.sha256(x).hexdigest() for x in b], pa.string()),
+                    }
+                    yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *(made[o]() for o in outputs)], names=[*kept, *outputs])
+        finally:
+            bpe.forget()
 
     return docs.select(*(docs[k] for k in keep), docs[text].alias("__text")).mapInArrow(work, schema)

@@ -47,7 +47,7 @@ CUT = 0.3
 #: The summed weight that scores CUT, and a little more.
 ENOUGH = -math.log(1 - CUT) * 1.05
 #: Word beginnings that a task counts before it hands its counts on.
-BUFFERED = 100_000
+BUFFERED = 50_000
 
 INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT, OBJECT, OTHER = range(8)
 SYMBOLS = range(8)
