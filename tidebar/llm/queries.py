@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import bpe, decontaminate, imatch, secret_scan, simhash, substrings, toxicity, training_order, url_filter, warc
+from tidebar.llm import bpe, decontaminate, imatch, importance, lexical_search, packing, secret_scan, simhash, substrings, toxicity, training_order, url_filter, warc
 from tidebar.session import ensure_semantics
 from tidebar.sources.tables import table
 
@@ -68,8 +68,25 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), imatch.as_text(F.col("fp")).alias("fingerprint"), imatch.as_text(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every whole text's ids in the packed sequences."""
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text")).places.drop("piece_key")
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight and score of every document towards the benchmark's distribution, and the ranks of those drawn."""
+    found = importance.resample(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    found = lexical_search.rank(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {"op1_bpe": op1_bpe, "op2_url_filter": op2_url_filter, "op3_toxicity": op3_toxicity, "op4_warc": op4_warc, "op5_training_order": op5_training_order, "op6_decontaminate": op6_decontaminate, "op7_substrings": op7_substrings, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets, "op10_imatch": op10_imatch}
+    found = {"op1_bpe": op1_bpe, "op2_url_filter": op2_url_filter, "op3_toxicity": op3_toxicity, "op4_warc": op4_warc, "op5_training_order": op5_training_order, "op6_decontaminate": op6_decontaminate, "op7_substrings": op7_substrings, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets, "op10_imatch": op10_imatch, "op11_packing": op11_packing, "op12_importance": op12_importance, "op13_search": op13_search}
     return {name: _settled(f) for name, f in found.items()}
 
 
@@ -83,4 +100,4 @@ def _settled(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.oracle(), "op4_warc": warc.oracle(), "op7_substrings": substrings.oracle()}
+    return {"op2_url_filter": url_filter.oracle(), "op4_warc": warc.oracle(), "op7_substrings": substrings.oracle(), "op12_importance": importance.oracle(), "op13_search": lexical_search.oracle()}
