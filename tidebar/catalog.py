@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebar.plans import q_bars, q_catalog, q_indicators, q_more, q_structure, q_trading, q_validation  # noqa: F401
+from tidebar.plans import q_bars, q_catalog, q_indicators, q_models, q_more, q_structure, q_trading, q_validation  # noqa: F401
 from tidebar.plans.registry import ORACLES, QUERIES
 
 
