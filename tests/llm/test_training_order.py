@@ -1,3 +1,7 @@
+import pathlib
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 
@@ -21,20 +25,20 @@ def pieces(rows, unit):
 
 @pytest.mark.parametrize(("width", "shards", "ranges"), [(1, 10**6, 10**6), (2, 10**6, 3), (4, 5, 2)])
 def test_round_trip_and_resume(spark, tmp_path, monkeypatch, width, shards, ranges):
-    monkeypatch.setattr(O, "MOST_SHARDS", shards)
+    monkeypatch.setattr(O, "SHARDS_IN_FOLDER", shards)
     monkeypatch.setattr(O, "RANGES", ranges)
     rows = [(i, b"line\nfeed \xff\0\x8b\n" * (i % 40) * width) for i in range(200)] + [(None, b"no id" * width), (7, None), (8, b""), (9, b"x\0y" * 5000 * width), (9, b"x\0y" * 5000 * width), (-(2**63), b"a" * width)]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, ids binary, slot int").repartition(5)
     made = O.materialise(docs, key=11, length=64, width=width, records=50)
     got = made.read().collect()
     n = made.records
-    assert n >= 50 and -(-made.n // n) <= shards
+    assert n == 50
     assert sorted(r.slot for r in got) == list(range(made.n))
     assert sorted(((r.doc_id, r.place, bytes(r.ids)) for r in got), key=str) == pieces(rows, 64 * width)
     assert all(r.shard == r.slot // n and r.n_tokens * width == len(r.ids) for r in got)
     rest = made.read(start=123).collect()
     assert {(r.slot, bytes(r.ids)) for r in rest} == {(r.slot, bytes(r.ids)) for r in got if r.slot >= 123}
-    files = [(p, p.stat().st_size) for p in __import__("pathlib").Path(made.folder.removeprefix("file:")).glob("shard=*/part-*")]
+    files = [(p, p.stat().st_size) for p in pathlib.Path(made.folder.removeprefix("file:")).glob("folder=*/shard=*/part-*")]
     assert all(s == made.stride * min(n, made.n - n * int(p.parent.name[6:])) for p, s in files) and len(files) == -(-made.n // n)
     # a record is read by its place alone
     at = {r.slot: r for r in got}
@@ -64,3 +68,29 @@ def test_texts_are_encoded_on_the_way(spark):
     whole = {i: b"".join(bytes(r.ids) for r in sorted(got, key=lambda r: r.place) if r.doc_id == i) for i, _ in rows}
     encode = bpe.WordBpe(bpe.default_path()).encode
     assert whole == {i: np.frombuffer(encode(t), dtype="<u4").astype("<u2").tobytes() for i, t in rows}
+
+
+def expected_slots(rows, n, key, unit):
+    """What the key says about the sequences of one partition, numbered as they come."""
+    own = [(i, k // unit) for i, b in rows for k in range(0, len(b), unit)]
+    return {s: x for s, x in zip(O.slots(np.arange(n), n, key).tolist(), own, strict=True)}
+
+
+@pytest.mark.parametrize("threshold", ["1000", str(2**31 - 1)])
+def test_slots_are_the_keys_even_if_sorts_spill(threshold):
+    repo = str(pathlib.Path(__file__).parents[2])
+    done = subprocess.run([sys.executable, "-m", "tests.llm.spilling", threshold], cwd=repo, capture_output=True, text=True, timeout=600)
+    assert "wrong slots: 0\n" in done.stdout, done.stdout + done.stderr[-3000:]
+
+
+def test_a_shard_out_of_order_is_refused(spark):
+    docs = spark.createDataFrame([(i, b"abcd" * 40) for i in range(100)], "doc_id long, ids binary")
+    made = O.materialise(docs, key=5, length=16, width=1, records=100)
+    path = next(pathlib.Path(made.folder.removeprefix("file:")).glob("folder=0/shard=3/part-*"))
+    rows = np.frombuffer(path.read_bytes(), dtype=np.uint8).reshape(-1, made.stride).copy()
+    rows[[4, 9]] = rows[[9, 4]]
+    path.write_bytes(rows.tobytes())
+    for crc in path.parent.glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(Exception, match="shard 3 isn't in order"):
+        made.read().collect()

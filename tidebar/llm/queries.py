@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import bpe, decontaminate, imatch, importance, lexical_search, packing, secret_scan, simhash, substrings, toxicity, training_order, url_filter, warc
+from tidebar.llm import bpe, byte_bpe, decontaminate, imatch, importance, lexical_search, packing, secret_scan, simhash, substrings, toxicity, training_order, url_filter, warc
 from tidebar.session import ensure_semantics
 from tidebar.sources.tables import table
 
@@ -36,8 +36,8 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sequence of every whole text's token ids (those of op1, of two bytes each) as it was read back from its shard."""
-    shards = training_order.materialise(table(spark, sf_dir, "documents", "doc_id", "text"), key=20240607, width=2, ids="text", encoder=bpe.encoder_of(2))
+    """Every sequence of every whole text's token ids (those of op11, of two bytes each) as it was read back from its shard."""
+    shards = training_order.materialise(table(spark, sf_dir, "documents", "doc_id", "text"), key=20240607, width=2, ids="text", encoder=byte_bpe.bytes_of(2))
     return shards.read().select("slot", "shard", "doc_id", "place", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
 
 

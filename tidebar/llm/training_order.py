@@ -2,12 +2,14 @@
 
 Every document's ids are cut into sequences of LENGTH ids and written once, each document with its place in its partition. A sum for each partition then
 numbers all sequences without a sort, and a keyed Feistel permutation with cycle-walking gives each number a global slot: a bijection of 0 .. n-1 without
-a table. Slots are dealt by range: shard s has the slots from s * records on, and a task writes a range of neighbouring shards. Shards grow with the
-corpus beyond MOST_SHARDS of them, and there are RANGES tasks at most, so that the driver's work stays bounded.
+a table. Slots are dealt by range: shard s has the slots from s * records on, and a task writes a range of neighbouring shards. Shards have one size,
+whatever the corpus's, and stand in folders of SHARDS_IN_FOLDER; there are RANGES tasks at most, so that the driver's work stays bounded.
 
 Each shard is one file of equal records, so that record r of shard s is slot s * records + r, at byte r * stride: reads are sequential and can resume at
-any slot. A record is: doc_id (8 bytes, signed), place of the sequence in its document (4), number of ids (3), whether there is a doc_id (1), LENGTH ids
-of `width` bytes padded with zeros, a line feed (which Spark's text sink ends each value with); all little-endian.
+any slot. A record is: doc_id (8 bytes, signed), place of the sequence in its document (4), number of ids (3), whether there is a doc_id (1), the record's
+number in its shard (4), LENGTH ids of `width` bytes padded with zeros, a line feed (which Spark's text sink ends each value with); all little-endian.
+Rows are sorted by shard and slot after the last Python step, so that the sink finds the order it needs and adds no sort of its own; read() compares each
+record's number with its place and fails if they differ.
 
 Nulls: a document without ids (null or empty) has no sequence; a null doc_id is flagged. Repeated rows are written as often as they come.
 """
@@ -26,10 +28,10 @@ from pyspark.sql import functions as F
 from tidebar.session import scratch
 
 LENGTH = 512
-#: Records in a shard at least; the most shards; the most tasks that write them.
-RECORDS, MOST_SHARDS, RANGES = 16_384, 100_000, 20_000
+#: Records in a shard; shards in a folder; the most tasks that write them.
+RECORDS, SHARDS_IN_FOLDER, RANGES = 16_384, 1_000, 20_000
 ROUNDS = 6
-HEAD = 16
+HEAD = 20
 #: Sequences built at once, and documents encoded at once.
 AT_ONCE, ROWS_AT_ONCE = 8192, 256
 
@@ -92,7 +94,7 @@ def _sequences(placed: DataFrame, begins: dict[int, int], n: int, key: int, unit
             doc = np.repeat(np.arange(len(texts)), count)
             place = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
             own = np.minimum(unit, size[doc] - place * unit) // width
-            head = np.zeros((total, HEAD), dtype=np.uint8)
+            head = np.zeros((total, HEAD - 4), dtype=np.uint8)
             head[:, :8] = np.array([i or 0 for i in ids], dtype="<i8")[doc].view(np.uint8).reshape(total, 8)
             head[:, 8:12] = place.astype("<u4").view(np.uint8).reshape(total, 4)
             head[:, 12:16] = (own + (np.array([i is not None for i in ids], dtype=np.int64)[doc] << 24)).astype("<u4").view(np.uint8).reshape(total, 4)
@@ -116,17 +118,19 @@ def _sequences(placed: DataFrame, begins: dict[int, int], n: int, key: int, unit
 
 
 def _inflated(dealt: DataFrame, unit: int, records: int) -> DataFrame:
-    """The records as they are written, without their line feed, and their shards."""
+    """The records as they are written, without their line feed, with their slots, shards and folders."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, AT_ONCE):
                 own = batch.slice(at, AT_ONCE)
-                whole = [v[:HEAD] + zlib.decompress(v[HEAD:]).ljust(unit, b"\0") for v in own.column(1).to_pylist()]
-                shard = own.column(0).to_numpy(zero_copy_only=False) // records
-                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(whole, pa.binary())], names=["shard", "value"])
+                slot = own.column(0).to_numpy(zero_copy_only=False)
+                shard = slot // records
+                number = (slot - shard * records).astype("<u4").tobytes()
+                whole = [v[: HEAD - 4] + number[4 * k : 4 * k + 4] + zlib.decompress(v[HEAD - 4 :]).ljust(unit, b"\0") for k, v in enumerate(own.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array(shard // SHARDS_IN_FOLDER), pa.array(shard), pa.array(slot), pa.array(whole, pa.binary())], names=["folder", "shard", "slot", "value"])
 
-    return dealt.mapInArrow(work, "shard long, value binary")
+    return dealt.mapInArrow(work, "folder long, shard long, slot long, value binary")
 
 
 class Shards:
@@ -151,6 +155,8 @@ class Shards:
                     if len(data) % stride:
                         raise ValueError(f"shard {shard} isn't whole")
                     rows = data.reshape(-1, stride)
+                    if (np.ascontiguousarray(rows[:, HEAD - 4 : HEAD]).view("<u4").ravel() != np.arange(len(rows))).any():
+                        raise ValueError(f"shard {shard} isn't in order")
                     for at in range(max(0, start - shard * records), len(rows), AT_ONCE):
                         own = rows[at : at + AT_ONCE]
                         column = lambda a, b, kind: np.ascontiguousarray(own[:, a:b]).view(kind).ravel()  # noqa: B023, E731
@@ -166,8 +172,8 @@ class Shards:
         if not self.n:
             return self.spark.createDataFrame([], schema)
         files = self.spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(self.folder)
-        # the folder of a shard is its number, so partition pruning leaves earlier ones alone
-        return files.filter(F.col("shard") >= start // records).select(F.col("shard").cast("long"), "content").mapInArrow(work, schema)
+        # folders and shards are named by their numbers, so partition pruning leaves earlier ones alone
+        return files.filter((F.col("folder") >= start // records // SHARDS_IN_FOLDER) & (F.col("shard") >= start // records)).select(F.col("shard").cast("long"), "content").mapInArrow(work, schema)
 
 
 def materialise(docs: DataFrame, key: int, length: int = LENGTH, width: int = 4, records: int = RECORDS, doc_id: str = "doc_id", ids: str = "ids", encoder: Encoder | None = None, folder: str | None = None) -> Shards:
@@ -181,12 +187,12 @@ def materialise(docs: DataFrame, key: int, length: int = LENGTH, width: int = 4,
     for r in placed.groupBy("part").agg(F.sum("n").alias("c")).orderBy("part").collect():  # a number for each partition of the input
         begins[r.part] = n
         n += r.c
-    records = max(records, -(-n // MOST_SHARDS))
     if n:
         shards = -(-n // records)
         ranges = min(shards, RANGES)
         made = _sequences(placed, begins, n, key, unit, width)
         # a range is a number of neighbouring shards
-        dealt = made.repartitionById(ranges, F.floor(F.floor(F.col("slot") / records) * ranges / shards).cast("int")).sortWithinPartitions("slot")
-        _inflated(dealt, unit, records).select("shard", F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").partitionBy("shard").text(f"{folder}/shards")
+        dealt = made.repartitionById(ranges, F.floor(F.floor(F.col("slot") / records) * ranges / shards).cast("int"))
+        ordered = _inflated(dealt, unit, records).sortWithinPartitions("folder", "shard", "slot")
+        ordered.select("folder", "shard", F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").partitionBy("folder", "shard").text(f"{folder}/shards")
     return Shards(spark, f"{folder}/shards", n, length, width, records)
