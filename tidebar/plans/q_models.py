@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidebar.operators import indicators as I
 from tidebar.operators import labels as L
+from tidebar.operators import sampler as S
 from tidebar.operators import trees as T
 from tidebar.operators import validation as V
 from tidebar.plans.q_indicators import W
 from tidebar.plans.q_structure import base
 from tidebar.plans.q_trading import LABELLED
 from tidebar.plans.registry import query
+from tidebar.sources.tables import table
 
 _FEATURES, _TREES, _BLOCK, _EMBARGO = ["roc_5", "roc_10", "volume"], [(0, 1), (1, 2), (2, 0)], 100, 24
 _LABEL = "label_long_hit_2r_24c"
@@ -50,3 +53,43 @@ def _(spark, d):
     if spec.empty:
         return T.summary(x.limit(0).select(F.lit(0).alias("fold"), F.array(*[F.lit(0.0)] * 3).alias("phi")), "fold", _FEATURES)
     return T.summary(T.boosted_folds(x, _FEATURES, _LABEL, spec, 5)[0], "fold", _FEATURES)
+
+
+_SPACE = (S.Number("level", 0.0, 100.0), S.Number("pace", 1.0, 10_000.0, log=True), S.Choice("kind", ("a", "b", "c")))
+_NEXT, _SEED = (100_000, 100_001), 11
+
+
+def _sampler_sql() -> str:
+    """Both densities in DuckDB's SQL. The draws' uniform numbers are digests of their keys."""
+    d = len(_SPACE)
+    u = lambda *key: f"((('0x' || substr(sha256(concat_ws(':', {_SEED}, {', '.join(key)})), 1, 13))::BIGINT + 0.5::DOUBLE) / {2**52}::DOUBLE)"
+    cdf = lambda z: f"(1 / (1 + exp(-({z}))))"
+    number = lambda x, m, h: f"({cdf(f'({x} - {m}) / {h}')} * (1 - {cdf(f'({x} - {m}) / {h}')}) / {h} / ({cdf(f'(1 - {m}) / {h}')} - {cdf(f'-{m} / {h}')}))"
+    kernel = lambda m, h: f"{number('c.x1', f'{m}.x1', f'{h}.h1')} * {number('c.x2', f'{m}.x2', f'{h}.h2')} * (CASE WHEN c.x3 = {m}.x3 THEN 1 - {h}.h3 ELSE 0 END + {h}.h3 / 3)"
+    width = lambda k: f"greatest(coalesce(stddev_pop(x{k}), 0) * pow(count(*), -1.0::DOUBLE / {d + 4}) / {S.DEVIATION!r}, {S.LEAST_WIDTH})"
+    widths = f"count(*) AS n, {width(1)} AS h1, {width(2)} AS h2, 3.0::DOUBLE / (3 + count(*)) AS h3"
+    draw = lambda k, key: f"CASE WHEN pick = 0 THEN {u('trial', 'candidate', key, chr(39) + 'u' + chr(39))} ELSE least(1.0, greatest(0.0, g.x{k} + h{k} * ln(q{k} / (1 - q{k})))) END"
+    q = lambda k, key: f"{cdf(f'-g.x{k} / h{k}')} + {u('trial', 'candidate', key, chr(39) + 'u' + chr(39))} * ({cdf(f'(1 - g.x{k}) / h{k}')} - {cdf(f'-g.x{k} / h{k}')}) AS q{k}"
+    return f"""WITH t AS (SELECT user_id AS trial, least(100, greatest(0, avg(value))) / 100 AS x1, ln(least(10000, count(*))) / ln(10000) AS x2, (user_id % 3)::DOUBLE AS x3, max(value) - min(value) AS value FROM events GROUP BY user_id),
+r AS (SELECT *, row_number() OVER (ORDER BY value DESC, trial) AS place, least({S.GOOD}, ceil({S.GOOD_SHARE} * count(*) OVER ())) AS n_good FROM t), good AS (SELECT place, x1, x2, x3 FROM r WHERE place <= n_good), other AS (SELECT x1, x2, x3 FROM r WHERE place > n_good),
+gh AS (SELECT {widths} FROM good), oh AS (SELECT {widths} FROM other), k AS (SELECT trial, candidate, floor({u('trial', 'candidate', "'component'")} * (n + 1)) AS pick, gh.* FROM (SELECT unnest({list(_NEXT)!r}) AS trial), (SELECT unnest(range({S.CANDIDATES})) AS candidate), gh),
+p AS (SELECT k.*, g.x1 AS gx1, g.x2 AS gx2, g.x3 AS gx3, {q(1, "'level'")}, {q(2, "'pace'")} FROM k LEFT JOIN good g ON g.place = pick), c AS (SELECT trial, candidate, {draw(1, "'level'").replace('g.x1', 'gx1')} AS x1, {draw(2, "'pace'").replace('g.x2', 'gx2')} AS x2,
+CASE WHEN pick > 0 AND {u('trial', 'candidate', "'kind'", "'u'")} >= h3 THEN gx3 ELSE floor({u('trial', 'candidate', "'kind'", "'v'")} * 3) END AS x3 FROM p),
+lg AS (SELECT c.trial, c.candidate, ln((sum({kernel('good', 'gh')}) + 1 / 3.0::DOUBLE) / (any_value(gh.n) + 1)) AS good FROM c, good, gh GROUP BY ALL), lo AS (SELECT c.trial, c.candidate, ln((sum({kernel('other', 'oh')}) + 1 / 3.0::DOUBLE) / (any_value(oh.n) + 1)) AS other FROM c, other, oh GROUP BY ALL)
+SELECT trial::BIGINT AS trial, candidate::INTEGER AS candidate, x1 AS level, x2 AS pace, x3 AS kind, good, other, row_number() OVER (PARTITION BY trial ORDER BY round(good - other, 6) DESC, candidate) = 1 AS chosen FROM c JOIN lg USING (trial, candidate) JOIN lo USING (trial, candidate)"""
+
+
+def _trials_of_users(spark, d):  # noqa: ANN001, ANN202
+    e = table(spark, d, "events").groupBy("user_id").agg(F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.avg("value"))).alias("level"), F.least(F.lit(10_000.0), F.count("*").cast("double")).alias("pace"), (F.max("value") - F.min("value")).alias("value"))
+    params = F.create_map(F.lit("level"), "level", F.lit("pace"), "pace", F.lit("kind"), (F.col("user_id") % 3).cast("double"))
+    return e.select(F.col("user_id").cast("long").alias("trial"), F.lit("done").alias("status"), "value", params.alias("params"))
+
+
+@query("v17_sampler", _sampler_sql(), "level pace kind good other")
+def _(spark, d):
+    """Candidates for the next trials, drawn from the good trials' density and scored against the others'; users stand for trials."""
+    found = S.scored(_trials_of_users(spark, d), _SPACE, _NEXT, _SEED)
+    if found is None:
+        found = spark.createDataFrame([], "trial long, candidate int, x array<double>, good double, other double, score double")
+    best = F.max(F.struct(F.round("score", 6), -F.col("candidate"))).over(Window.partitionBy("trial"))
+    return found.select("trial", "candidate", *(F.get("x", F.lit(k)).alias(p.name) for k, p in enumerate(_SPACE)), "good", "other", (F.struct(F.round("score", 6), -F.col("candidate")) == best).alias("chosen"))
