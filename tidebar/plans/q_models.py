@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidebar.operators import indicators as I
 from tidebar.operators import labels as L
+from tidebar.operators import proposals as P
 from tidebar.operators import sampler as S
 from tidebar.operators import trees as T
 from tidebar.operators import validation as V
@@ -93,3 +94,64 @@ def _(spark, d):
         found = spark.createDataFrame([], "trial long, candidate int, x array<double>, good double, other double, score double")
     best = F.max(F.struct(F.round("score", 6), -F.col("candidate"))).over(Window.partitionBy("trial"))
     return found.select("trial", "candidate", *(F.get("x", F.lit(k)).alias(p.name) for k, p in enumerate(_SPACE)), "good", "other", (F.struct(F.round("score", 6), -F.col("candidate")) == best).alias("chosen"))
+
+
+_METRICS = {"trades_per_yr": "floor(o_totalprice / 1000) % 180", "oos_auc": "0.7 + o_custkey % 11 / 100.0", "pbo": "o_orderkey % 13 / 200.0", "psr": "0.97 + o_custkey % 4 / 100.0", "sharpe_ann": "floor(o_totalprice / 1000) / 157.0", "win_rate": "0.5 + o_orderkey % 11 / 100.0", "ev_r": "o_custkey % 17 / 20.0", "max_drawdown": "0.1 + o_orderkey % 17 / 100.0"}
+_PARAMS = {"ml_threshold": "0.55 + o_custkey % 26 / 100.0", "cooldown_bars": "144.0 + 96 * (o_orderkey % 60)", "kelly_divisor": "20.0 + o_custkey % 31"}
+
+
+def _registry(spark, d):  # noqa: ANN001, ANN202
+    """Orders as experiments."""
+    numbers = lambda named: F.map_from_entries(F.array(*(F.struct(F.lit(k), F.expr(f"CAST({v.replace('.0', '.0D')} AS double)")) for k, v in named.items())))
+    tier = F.element_at(F.array(*map(F.lit, ("standard", "weekly", "monthly"))), (F.col("o_custkey") % 3 + 1).cast("int"))
+    status = F.when(F.col("o_orderstatus") == "P", "FAILED").otherwise("DONE")
+    return table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("seq"), status.alias("status"), tier.alias("tier"), F.when(F.col("o_totalprice") > 300_000, F.concat(F.lit("q"), F.col("o_custkey"))).alias("question"), (F.col("o_totalprice") > 450_000).alias("passed"), numbers(_PARAMS).alias("params"), numbers(_METRICS).alias("metrics")
+    )
+
+
+def _doubles(sql: str) -> str:
+    return sql.replace(" / 100.0", " / 100.0::DOUBLE").replace(" / 200.0", " / 200.0::DOUBLE").replace(" / 157.0", " / 157.0::DOUBLE").replace(" / 20.0", " / 20.0::DOUBLE").replace("144.0", "144.0::DOUBLE").replace("20.0 +", "20.0::DOUBLE +").replace("0.55 +", "0.55::DOUBLE +").replace("0.5 +", "0.5::DOUBLE +")
+
+
+_REGISTRY_SQL = f"""registry AS (SELECT o_orderkey AS id, o_orderkey AS seq, CASE WHEN o_orderstatus = 'P' THEN 'FAILED' ELSE 'DONE' END AS status, ['standard', 'weekly', 'monthly'][o_custkey % 3 + 1] AS tier, CASE WHEN o_totalprice > 300000 THEN 'q' || o_custkey END AS question, o_totalprice > 450000 AS passed,
+{', '.join(f'({_doubles(v)})::DOUBLE AS {k}' for k, v in {**_PARAMS, **_METRICS}.items())}, NULL::DOUBLE AS ece FROM orders)"""
+_RULES_SQL = "rules AS (SELECT * FROM (VALUES " + ", ".join(f"('{g}', '{a}', {f'{chr(39)}{p}{chr(39)}' if p else 'NULL'}, {s if s is not None else 'NULL'}::DOUBLE)" for g, a, p, s in P.RULES) + ") r(gate, action, parameter, step))"
+_FAILED_SQL = "failed AS (" + " UNION ALL ".join(f"SELECT id, seq, tier, '{g}' AS gate, {m} AS value, {b}::DOUBLE AS bound FROM registry WHERE status = 'DONE' AND NOT coalesce({m} {'>=' if k == 'least' else '<='} {b}, false)" for g, (m, k, b) in P.GATES.items()) + ")"
+
+
+@query("v18_diagnoses", f"WITH {_REGISTRY_SQL}, {_RULES_SQL}, {_FAILED_SQL} SELECT gate, id, seq, tier, value, bound, abs(value - bound) / bound AS gap, action, parameter, step FROM failed LEFT JOIN rules USING (gate)", "value gap")
+def _(spark, d):
+    """For every experiment the gates that it fails, and what the rules ask for."""
+    return P.diagnoses(_registry(spark, d))
+
+
+_CHANGED = sorted({r[2] for r in P.RULES if r[2]})
+_BOUNDS = {p: (min(P.PARAMETERS[p][1]), max(P.PARAMETERS[p][1])) for p in _CHANGED}
+_MUTATIONS = f"""WITH {_REGISTRY_SQL}, {_RULES_SQL}, {_FAILED_SQL}, best AS (SELECT * FROM registry WHERE status = 'DONE' QUALIFY row_number() OVER (PARTITION BY tier ORDER BY sharpe_ann DESC, seq) = 1),
+asked AS (SELECT f.tier, f.id, parameter, step, count(DISTINCT gate) AS gates, sum(abs(value - bound) / bound) AS gap FROM failed f JOIN best b USING (id) JOIN rules USING (gate) WHERE parameter IS NOT NULL GROUP BY ALL),
+x AS (SELECT a.*, CASE parameter {' '.join(f"WHEN '{p}' THEN round({p}, 6)" for p in _CHANGED)} END AS old, {', '.join(f"round(CASE WHEN parameter = '{p}' THEN least({hi}, greatest({lo}, round({p}, 6) + step)) ELSE {p} END, 6) AS n_{p}" for p, (lo, hi) in _BOUNDS.items())} FROM asked a JOIN best USING (id)),
+y AS (SELECT *, CASE parameter {' '.join(f"WHEN '{p}' THEN n_{p}" for p in _CHANGED)} END AS new FROM x) SELECT tier, CAST(row_number() OVER (PARTITION BY tier ORDER BY gates DESC, round(gap, 9) DESC NULLS LAST, parameter, step) AS INTEGER) AS rank, id AS base, parameter, old, new, gates, gap FROM y
+WHERE new <> old AND NOT EXISTS (SELECT 1 FROM registry r WHERE r.status = 'DONE' AND r.tier = y.tier AND {' AND '.join(f'round(r.{p}, 6) = n_{p}' for p in _CHANGED)})"""
+
+
+@query("v18_mutations", _MUTATIONS, "old new gap")
+def _(spark, d):
+    """Changed settings for the best experiment of each tier, ranked by the failed gates that ask for them."""
+    return P.mutations(_registry(spark, d))
+
+
+_QUESTIONS = f"""WITH {_REGISTRY_SQL}, q AS (SELECT 'q' || c_custkey AS question, c_nationkey AS priority, CASE WHEN c_custkey % 5 = 0 THEN 'needs v3' WHEN c_custkey % 11 = 0 THEN 'needs data' END AS blocked, list_distinct(['f' || c_custkey % 40, 'f' || c_custkey % 3]) AS needs FROM customer),
+features AS (SELECT DISTINCT 'f' || user_id % 37 AS feature FROM events), lacking AS (SELECT question FROM (SELECT question, unnest(needs) AS feature FROM q) WHERE feature NOT IN (SELECT feature FROM features)), last AS (SELECT coalesce(max(seq) FILTER (passed), -1) AS last FROM registry WHERE status = 'DONE'), lost AS (SELECT question FROM registry, last WHERE status = 'DONE' AND NOT passed AND seq > last AND question IS NOT NULL GROUP BY 1 HAVING count(*) >= {P.GIVEN_UP})
+SELECT row_number() OVER (ORDER BY priority, question) AS rank, question, priority, {P.MINUTES['gpu'] * P.FOLDS}::DOUBLE * (508 - 81 + len(needs)) / 500 AS minutes FROM q WHERE (blocked IS NULL OR contains(blocked, 'v3')) AND question NOT IN (SELECT question FROM registry WHERE question IS NOT NULL) AND question NOT IN (SELECT question FROM lost) AND question NOT IN (SELECT question FROM lacking)"""
+
+
+@query("v18_open_questions", _QUESTIONS, "minutes")
+def _(spark, d):
+    """Questions that are neither asked, blocked nor given up, by priority, with the time that they would take."""
+    c = F.col("c_custkey")
+    blocked = F.when(c % 5 == 0, "needs v3").when(c % 11 == 0, "needs data")
+    needs = F.array_distinct(F.array(F.concat(F.lit("f"), c % 40), F.concat(F.lit("f"), c % 3)))
+    questions = table(spark, d, "customer").select(F.concat(F.lit("q"), c).alias("question"), F.col("c_nationkey").alias("priority"), blocked.alias("blocked"), needs.alias("needs"))
+    features = table(spark, d, "events").select(F.concat(F.lit("f"), F.col("user_id") % 37).alias("feature"))
+    return P.open_questions(questions, _registry(spark, d), features, ("v3",), dead=81)
