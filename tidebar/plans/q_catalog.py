@@ -16,7 +16,7 @@ from tidebar.plans.q_structure import BASE, base
 from tidebar.plans.q_trading import LABELLED
 from tidebar.plans.registry import bars_sql, query
 from tidebar.session import scratch
-from tidebar.sources import ingest
+from tidebar.sources import archives, ingest, pages
 from tidebar.sources.tables import table
 
 
@@ -74,6 +74,41 @@ def _(spark, d):
     return ingest.description(table(spark, d, "events"))
 
 
+_ARCHIVED = ["open", "high", "low", "close", "volume"]
+
+
+@query("s9_archive_scan", f"WITH {bars_sql('1 hour')} SELECT series_id, ts, {', '.join(_ARCHIVED)} FROM bars", " ".join(_ARCHIVED))
+def _(spark, d):
+    """Bars in monthly archives with checksums, verified and read back by the archive source."""
+    path, b = scratch(spark, "archives"), B.bars_of_events(spark, d, "1h", numbered=False)
+    millis = F.unix_millis(F.col("ts").cast("timestamp"))
+    lines = b.select(F.concat("series_id", F.lit("-1h")).alias("prefix"), F.date_format("ts", "yyyy-MM").alias("month"), millis.alias("place"), F.concat_ws(",", millis, *(F.col(c).cast("string") for c in _ARCHIVED)).alias("line"))
+    archives.write(lines, path, header="open_time," + ",".join(_ARCHIVED))
+    archives.register(spark)
+    found = spark.read.format("archives").option("path", path).load()
+    parsed = ingest.parse_lines(found.select("archive", "line"), "t string, " + ", ".join(f"{c} string" for c in _ARCHIVED), keep=("archive",))
+    at = ingest.to_millis("t")
+    series = F.regexp_extract("archive", r"^(.+)-1h-", 1).alias("series_id")
+    return parsed.filter(at.isNotNull()).select(series, F.timestamp_millis(at).cast("timestamp_ntz").alias("ts"), *(F.expr(f"try_cast({c} AS double)").alias(c) for c in _ARCHIVED))
+
+
+@query("s12_paged_history", "SELECT user_id, count(*) AS n, sum(value) AS total, max(event_id) AS last FROM events GROUP BY 1", "total")
+def _(spark, d):
+    """Events in pages of 500, read once each by a stream over the paged source."""
+    folder, out, state = scratch(spark, "pages"), scratch(spark, "history"), scratch(spark, "offsets")
+    e = table(spark, d, "events").select(F.floor(F.col("event_id") / 500).alias("page"), F.col("event_id").alias("place"), F.to_json(F.struct("event_id", "user_id", "value")).alias("payload"))
+    first = e.agg(F.min("page")).first()[0] or 0
+    pages.write(e.withColumn("page", F.col("page") - first), folder)
+    pages.register(spark)
+    stream = spark.readStream.format("pages").options(path=folder, rate="2000", tasks="8").load().writeStream.format("parquet").option("checkpointLocation", state).option("path", out).start()
+    try:
+        stream.processAllAvailable()
+    finally:
+        stream.stop()
+    x = spark.read.schema(pages.SCHEMA).parquet(out).select(F.from_json("payload", "event_id long, user_id long, value double").alias("e")).select("e.*")
+    return x.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("event_id").alias("last"))
+
+
 _FEATURES = ["close", "high", "low", "open", "taker_buy", "trade_count", "volume"]
 
 

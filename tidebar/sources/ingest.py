@@ -14,9 +14,9 @@ from pyspark.sql.utils import AnalysisException
 MICROS_FROM = 100_000_000_000_000
 
 
-def parse_lines(lines: DataFrame, schema: str, column: str = "line") -> DataFrame:
-    """CSV lines as columns of text; casts are left to the caller, so that a header is just a row that doesn't parse."""
-    return lines.select(F.from_csv(column, schema).alias("r")).select("r.*")
+def parse_lines(lines: DataFrame, schema: str, column: str = "line", keep: tuple[str, ...] = ()) -> DataFrame:
+    """CSV lines as columns of text, beside the columns to keep; casts are left to the caller, so that a header is just a row that doesn't parse."""
+    return lines.select(*keep, F.from_csv(column, schema).alias("r")).select(*keep, "r.*")
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
