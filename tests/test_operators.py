@@ -248,3 +248,32 @@ def test_next_event_and_forward_asof_are_linear(spark):
     assert got.filter("n IS NOT NULL").agg(F.sum("n")).first()[0] == sum(k * 1000 * 999 for k in range(1, n // 1000))
     e = spark.range(n // 2).selectExpr("'a' AS series_id", "id * 2 - 1 AS at")
     assert J.forward_asof(e, b.filter("ts % 10 = 0"), "at", ["series_id"]).filter("first_bar_idx <> ceil(at / 10) * 10").count() == 0
+
+
+def pooled(pairs):
+    """Pool adjacent violators over sorted (p, y): calibrated value by distinct p."""
+    blocks = []
+    for p in sorted({p for p, _ in pairs}):
+        own = [y for q, y in pairs if q == p]
+        blocks.append([sum(own), len(own), [p]])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            s, n, ps = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2] + ps]
+    return sorted({(p, round(s / n, 12)) for s, n, ps in blocks for p in (ps[0], ps[-1])})
+
+
+@pytest.mark.parametrize("size", [1, 7, 10**6])
+@pytest.mark.parametrize("kind", ["noise", "rising", "falling", "ties"])
+def test_isotonic_in_ranges_equals_pooling(spark, monkeypatch, size, kind):
+    monkeypatch.setattr(V, "ISOTONIC_RANGE", size)
+    monkeypatch.setattr(V, "ISOTONIC_FAN", 3)
+    rnd = random.Random(4)
+    p = [rnd.randint(0, 40) / 40 if kind == "ties" else rnd.random() for _ in range(60)]
+    label = {"noise": lambda x: float(rnd.random() < x), "rising": lambda x: x, "falling": lambda x: 1 - x, "ties": lambda x: float(rnd.random() < 0.5)}[kind]
+    pairs = [(x, label(x)) for x in p]
+    got = V.isotonic(spark.createDataFrame([*pairs, (None, 1.0), (0.5, None)], "p double, y double"), "p", "y").collect()
+    assert sorted((r.p, round(r.calibrated, 12)) for r in got) == pooled(pairs)
+
+
+def test_isotonic_of_nothing(spark):
+    assert V.isotonic(spark.createDataFrame([], "p double, y double"), "p", "y").count() == 0

@@ -6,17 +6,19 @@ Sums are taken by Spark; what is left for the driver is arithmetic on one row, o
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import combinations
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebar.functions import correlation, normal_cdf
+from tidebar.session import scratch
 
 PHI = NormalDist()
 
@@ -228,14 +230,85 @@ def rank_correlation(df: DataFrame, item: str, fold: str, value: str) -> DataFra
     return a.join(b, item).filter("a < b").groupBy("a", "b").agg(correlation("x", "y").alias("rho"), F.count("*").alias("n"))
 
 
-def isotonic(df: DataFrame, p: str, y: str) -> DataFrame:
-    """Boundaries of the best non-decreasing calibration, by Spark's pool-adjacent-violators."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import IsotonicRegression
+#: Distinct probabilities in a range of the isotonic fit; ranges whose hulls are merged at once.
+ISOTONIC_RANGE, ISOTONIC_FAN = 100_000, 8
+
+
+def _above(a: tuple, b: tuple, c: tuple) -> bool:
+    """Whether b is on or above the line from a to c."""
+    x, y, u, v = (int(z) if float(z).is_integer() else z for z in (b[0] - a[0], b[1] - a[1], c[0] - a[0], c[1] - a[1]))
+    return y * u >= v * x
 
-    x = VectorAssembler(inputCols=[p], outputCol="__x").transform(df.select(F.col(p), F.col(y).cast("double").alias("label")))
-    model = IsotonicRegression(featuresCol="__x", labelCol="label").fit(x)
-    return df.sparkSession.createDataFrame(list(zip(map(float, model.boundaries.toArray()), map(float, model.predictions.toArray()), strict=True)), "p double, calibrated double")
+
+def lower_hull(points: Iterable[tuple]) -> list[tuple]:
+    """The vertices of the lower convex hull of points (x, y, ...) that come by x; points on an edge go. Whole numbers are compared exactly."""
+    hull: list[tuple] = []
+    for p in points:
+        while len(hull) > 1 and _above(hull[-2], hull[-1], p):
+            hull.pop()
+        hull.append(p)
+    return hull
+
+
+def isotonic(df: DataFrame, p: str, y: str) -> DataFrame:
+    """Boundaries (p, calibrated) of the best non-decreasing calibration: the first and last probability of every level.
+
+    With the probabilities in order, levels are the slopes of the lower convex hull of (rows so far, sum of y so far). Probabilities are dealt by range and
+    each range finds its own hull, in coordinates of its own; hulls of neighbouring ranges are then merged in a tree, of whose points only vertices of the
+    hulls below are left. A task holds a range, or the vertices of a few hulls. The result stays a table. Null probabilities and labels are left out.
+    """
+    spark, folder = df.sparkSession, scratch(df.sparkSession, "isotonic")
+
+    def written(x: DataFrame, name: str) -> DataFrame:
+        x.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    schema = "grp long, place long, n double, s double, p double, after double"
+
+    def hulls(own: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        """One hull from its points (n, s, p, after): p is the last probability up to a vertex, after the first one beyond it."""
+        for g, points in own:
+            h = lower_hull(points)
+            columns = [[g] * len(h), list(range(len(h))), *(list(c) for c in zip(*h, strict=True))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.float64()) for k, c in enumerate(columns)], names=["grp", "place", "n", "s", "p", "after"])
+
+    def of_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        if not rows:
+            return
+        points, n, s = [(0.0, 0.0, None, rows[0][1])], 0.0, 0.0
+        for k, (_, at, w, v) in enumerate(rows):
+            n, s = n + w, s + v
+            points.append((n, s, at, rows[k + 1][1] if k + 1 < len(rows) else None))
+        yield from hulls(iter([(rows[0][0], points)]))
+
+    def of_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, group, part, base = [], None, None, (0.0, 0.0)
+        for b in batches:
+            for g, own, _, n, s, at, after in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                group = g
+                if part is not None and own != part:  # this hull begins where the last one ended
+                    base = points[-1][:2]
+                    points[-1] = (*base, points[-1][2], after)
+                else:
+                    points.append((base[0] + n, base[1] + s, at, after))
+                part = own
+        if points:
+            yield from hulls(iter([(group, points)]))
+
+    counts = written(df.filter(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(p).cast("double").alias("p")).agg(F.count("*").cast("double").alias("n"), F.sum(F.col(y).cast("double")).alias("s")), "counts")
+    ranges = max(1, -(-counts.count() // ISOTONIC_RANGE))
+    dealt = counts.repartitionByRange(ranges, "p").sortWithinPartitions("p").withColumn("grp", F.spark_partition_id().cast("long"))
+    hull = written(dealt.select("grp", "p", "n", "s").mapInArrow(of_range, schema), "hull-0")
+    rounds = 0
+    while ranges > 1:
+        ranges, rounds = -(-ranges // ISOTONIC_FAN), rounds + 1
+        up = hull.withColumn("part", F.col("grp")).withColumn("grp", F.floor(F.col("grp") / ISOTONIC_FAN))
+        met = up.repartitionById(ranges, F.col("grp").cast("int")).sortWithinPartitions("part", "place").select("grp", "part", "place", "n", "s", "p", "after")
+        hull = written(met.mapInArrow(of_group, schema), f"hull-{rounds}")
+    at = Window.orderBy("place")  # the vertices of the result
+    edges = hull.select((F.col("s") - F.lag("s").over(at)).alias("ds"), (F.col("n") - F.lag("n").over(at)).alias("dn"), F.lag("after").over(at).alias("first"), F.col("p").alias("last")).filter("dn IS NOT NULL")
+    return edges.select(F.explode(F.array_distinct(F.array("first", "last"))).alias("p"), (F.col("ds") / F.col("dn")).alias("calibrated"))
 
 
 def _linear_folds(df: DataFrame, features: list[str], label: str, spec: pd.DataFrame) -> Iterator[tuple[int, dict[str, Column], DataFrame]]:
