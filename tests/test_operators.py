@@ -153,6 +153,27 @@ def test_percentile_rank_with_ties_and_nulls(spark):
     assert got == [1.0, None, 1.0, 2.5 / 3, 1.0, 0.25]
 
 
+@pytest.mark.parametrize("size", [5, 4096])
+def test_order_statistics_equal_plain_frames(spark, monkeypatch, size):
+    monkeypatch.setattr(R, "SLICE", size)
+    rnd = random.Random(8)
+    values = {s: [None if rnd.random() < 0.15 else float(rnd.randint(0, 9)) for _ in range(60)] for s in ("a", "b")}
+    rows = [(s, i, v, 1) for s, x in values.items() for i, v in enumerate(x)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "series_id string, bar_idx long, x double, keep int").withColumn("ts", F.col("bar_idx")).repartition(3)
+    out = R.order_statistics(df, r=R.Rank("x", 7), few=R.Rank("x", 7, 1), q=R.Quantile("x", 0.3, -12, -1, 4), wide=R.Quantile("x", 0.75, -99, 0, 1))
+    assert out.columns == [*df.columns, "r", "few", "q", "wide"]
+    got = {(r.series_id, r.bar_idx): r for r in out.collect()}
+    assert len(got) == 120
+    for (s, i), r in got.items():
+        frame = lambda a, b: [v for v in values[s][max(0, i + a) : max(0, i + b + 1)] if v is not None]  # noqa: B023, E731
+        own, last = values[s][i], frame(-6, 0)
+        rank = None if own is None else (sum(v < own for v in last) + (sum(v == own for v in last) + 1) / 2) / len(last)
+        assert r.few == rank and r.r == (rank if len(last) == 7 else None)
+        for name, x, q, least in (("q", frame(-12, -1), 0.3, 4), ("wide", frame(-99, 0), 0.75, 1)):
+            assert r[name] == (pytest.approx(float(np.percentile(x, 100 * q))) if len(x) >= least else None)
+
+
 def test_statistics(spark):
     z = [-8.0, -3.5, -1.0, 0.0, 0.3, 2.9, 3.0, 5.0]
     got = spark.createDataFrame([(x,) for x in z], "z double").select("z", V.normal_cdf(F.col("z")).alias("p")).collect()

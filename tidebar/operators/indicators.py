@@ -109,6 +109,7 @@ def bands(df: DataFrame) -> DataFrame:
 
 def volume_measures(df: DataFrame) -> DataFrame:
     """Close location, money flow, on-balance volume, Chaikin flow, taker delta and its daily sum, relative volume."""
+    df = R.order_statistics(df, volume_rank=R.Rank("volume", 50))
     C, H, L, _, V = prices()
     clv = F.when(H != L, ((C - L) - (H - C)) / (H - L)).otherwise(0.0)
     tp = (H + L + C) / 3
@@ -121,7 +122,7 @@ def volume_measures(df: DataFrame) -> DataFrame:
         {
             "mfi_14": F.when(n == 0, 100.0).otherwise(100 - 100 / (1 + p / F.nullif(n, F.lit(0.0)))), "obv": R.running(F.sum, F.coalesce(F.signum(C - F.col("__c1")) * V, F.lit(0.0))), "cmf_20": safe_div(R.rolling(F.sum, "__clv_v", 20), R.rolling(F.sum, "volume", 20)),
             "cvd_daily": F.sum("delta").over(day), "cvd_7": R.rolling(F.sum, "delta", 7), "volume_z": R.zscore("volume", 20), "rvol": safe_div(V, R.rolling(F.avg, "volume", 20)), "taker_ratio": safe_div(F.col("taker_buy"), V),
-            "volume_rank": R.percentile_rank("volume", 50), "vwap": safe_div(F.sum(flow).over(day), F.sum(V).over(day)),
+            "vwap": safe_div(F.sum(flow).over(day), F.sum(V).over(day)),
         }
     )
     df = df.withColumn("__dev", V * F.pow(F.col("__tp") - F.col("vwap"), 2))
@@ -160,12 +161,10 @@ def regimes(df: DataFrame) -> DataFrame:
     C, _, _, _, _ = prices()
     df = df.withColumn("r", F.log(C / before("close")))
     df = df.withColumn("rv", R.rolling(F.stddev_samp, "r", 20))
-    past = rows(-100, -1)
-    q = lambda p: F.when(F.count("rv").over(past) >= 50, F.percentile("rv", F.lit(p)).over(past))
-    df = df.withColumns({"__lo": q(1 / 3), "__hi": q(2 / 3)})
+    df = R.order_statistics(df, __lo=R.Quantile("rv", 1 / 3, -100, -1, 50), __hi=R.Quantile("rv", 2 / 3, -100, -1, 50), rv_rank=R.Rank("rv", 60))
     label = F.when(F.col("rv").isNull() | F.col("__lo").isNull(), -1).when(F.col("rv") <= F.col("__lo"), 0).when(F.col("rv") <= F.col("__hi"), 1).otherwise(2)
     df = df.withColumn("regime", label)
     df = df.withColumn("regime_run", F.sum(R.island("regime")).over(rows(None, 0)))
     ratio = safe_div(F.pow(R.rolling(F.stddev_samp, "r", 24), 2), F.pow(R.rolling(F.stddev_samp, "r", 96), 2))
-    df = df.withColumns({"regime_age": F.row_number().over(Window.partitionBy("series_id", "regime_run").orderBy("ts")), "variance_ratio": ratio, "rv_rank": R.percentile_rank("rv", 60)})
+    df = df.withColumns({"regime_age": F.row_number().over(Window.partitionBy("series_id", "regime_run").orderBy("ts")), "variance_ratio": ratio})
     return df.withColumn("rv_class", F.when(F.col("rv_rank") < 0.33, 0).when(F.col("rv_rank") > 0.67, 2).otherwise(1)).drop("__lo", "__hi")

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right, insort
+from typing import NamedTuple
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidebar.operators.bars import in_order, rows
+from tidebar.operators.slicing import SLICE, sliced
 
 #: Bars in a block of the recursive scan.
 BLOCK = 256
@@ -32,18 +38,86 @@ def zscore(x: Column | str, n: int, least: int | None = None) -> Column:
     return F.when(sd != 0, (_col(x) - rolling(F.avg, x, n, least)) / sd)
 
 
-def rolling_quantile(x: Column | str, q: float, n: int, least: int | None = None) -> Column:
-    return guarded(F.percentile(_col(x), F.lit(q)), x, rows(1 - n, 0), n if least is None else least)
-
-
 def percentile_rank(x: Column | str, n: int, least: int | None = None) -> Column:
-    """Rank (ties averaged) of the last value among the last n, as a share."""
+    """Rank (ties averaged) of the last value among the last n, as a share; for short frames, as it lists each (order_statistics() doesn't)."""
     w = rows(1 - n, 0)
     seen = F.collect_list(F.when(_col(x).isNotNull(), _col(x))).over(w)
     below, equal = F.size(F.filter(seen, lambda v: v < _col(x))), F.size(F.filter(seen, lambda v: v == _col(x)))
     return F.when(_col(x).isNotNull() & (F.size(seen) >= (n if least is None else least)), (below + (equal + 1) / 2) / F.size(seen))
 
 
+class Rank(NamedTuple):
+    """The rank (ties averaged) of a bar's value among the last n, as a share of those that are there; null for a null, or for fewer than `least`."""
+
+    x: str
+    n: int
+    least: int | None = None
+
+    @property
+    def frame(self) -> tuple[int, int]:
+        return 1 - self.n, 0
+
+    def of(self, seen: list[float], own: float | None) -> float | None:
+        if own is None or len(seen) < (self.n if self.least is None else self.least):
+            return None
+        below, upto = bisect_left(seen, own), bisect_right(seen, own)
+        return (below + (upto - below + 1) / 2) / len(seen)
+
+
+class Quantile(NamedTuple):
+    """A quantile, by linear interpolation, of the values from `first` to `last` bars on (negative: back); null for fewer than `least`."""
+
+    x: str
+    q: float
+    first: int
+    last: int
+    least: int
+
+    @property
+    def frame(self) -> tuple[int, int]:
+        return self.first, self.last
+
+    def of(self, seen: list[float], own: float | None) -> float | None:
+        if len(seen) < max(self.least, 1):
+            return None
+        at = self.q * (len(seen) - 1)
+        k = int(at)
+        return seen[k] if at == k else (k + 1 - at) * seen[k] + (at - k) * seen[k + 1]
+
+
+def order_statistics(df: DataFrame, **wanted: Rank | Quantile) -> DataFrame:
+    """df with ranks and quantiles of moving frames, which must not look ahead.
+
+    Slices of the series are worked on in parallel. In a slice, each frame is one sorted list: a bar puts its value in and takes the oldest one out by
+    bisection, so the cost of a bar doesn't grow with the frame's width (but for moving a part of the list), and no frame is ever built for a bar.
+    """
+    schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.DoubleType()) for c in wanted)])
+
+    def work(whole: pa.Table) -> pa.Table:
+        whole = whole.take(pc.sort_indices(whole.column("bar_idx")))
+        frames: dict[tuple, list[tuple[str, Rank | Quantile]]] = {}
+        for c, w in wanted.items():
+            frames.setdefault((w.x, *w.frame), []).append((c, w))
+        made: dict[str, list[float | None]] = {c: [] for c in wanted}
+        for (x, first, last), own in frames.items():
+            values, seen = whole.column(x).to_pylist(), []
+            for i, v in enumerate(values):
+                enters, leaves = i + last, i + first - 1
+                if enters >= 0 and values[enters] is not None:
+                    insort(seen, values[enters])
+                if leaves >= 0 and values[leaves] is not None:
+                    del seen[bisect_left(seen, values[leaves])]
+                for c, w in own:
+                    made[c].append(w.of(seen, v))
+        for c in wanted:
+            whole = whole.append_column(c, pa.array(made[c], pa.float64()))
+        return whole
+
+    back = max(-w.frame[0] for w in wanted.values())
+    inner = lambda x: x.groupBy("series_id", "__slice").applyInArrow(work, T.StructType([*x.schema.fields, *schema.fields[len(df.columns) :]]))
+    return sliced(df, inner, back, size=SLICE).select(*schema.names)
+
+
 def covariance(x: Column | str, y: Column | str, n: int) -> Column:
     """Of the population, over n pairs."""
     w = rows(1 - n, 0)

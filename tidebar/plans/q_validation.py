@@ -264,7 +264,7 @@ SELECT series_id, ts, adx, bb_width, atr_rank, CASE WHEN adx IS NULL OR q75 IS N
 def _(spark, d):
     """ADX composite regime and its interactions."""
     x = I.bands(I.adx(base(spark, d)))
-    x = x.withColumns({"atr_rank": R.percentile_rank("atr", 96), "bb_q75": R.rolling_quantile("bb_width", 0.75, 96)})
+    x = R.order_statistics(x, atr_rank=R.Rank("atr", 96), bb_q75=R.Quantile("bb_width", 0.75, -95, 0, 96))
     tag = F.when(F.col("adx").isNull() | F.col("bb_q75").isNull(), F.lit(None)).when((F.col("adx") > 25) & (F.col("bb_width") > F.col("bb_q75")), 2).when(F.col("adx") < 20, 0).otherwise(1)
     return x.select("series_id", "ts", "adx", "bb_width", "atr_rank", tag.alias("regime"), (F.col("atr_rank") * F.col("adx")).alias("adx_x_atr"))
 
@@ -276,7 +276,7 @@ s AS (SELECT *, list_concat(list_reverse(coalesce(b, []))[1:n], coalesce(a, [])[
 @query("m17_adaptive_swings", _ADAPTIVE)
 def _(spark, d):
     """Swings whose width follows the ATR's percentile; centred windows look ahead, kept for comparison."""
-    x = base(spark, d).withColumn("rank", R.percentile_rank("atr", 96))
+    x = R.order_statistics(base(spark, d), rank=R.Rank("atr", 96))
     n = F.when(F.col("rank") > 0.67, 10).when(F.col("rank") < 0.33, 3).otherwise(5)
     x = x.withColumns({"n": n, "__b": F.collect_list(F.struct("high", "low")).over(B.rows(-10, -1)), "__a": R.ahead(["high", "low"], 10)})
     near = F.concat(F.slice(F.reverse("__b"), F.lit(1), F.col("n")), F.slice("__a", F.lit(1), F.col("n")))
