@@ -146,6 +146,31 @@ def test_cooldown_is_strict(spark):
     assert sorted(r.bar_idx for r in T.take(df, 4, strict=False).collect()) == [0, 4, 9, 30]
 
 
+@pytest.mark.parametrize("block", [1, 8, 65_536])
+@pytest.mark.parametrize(("gap", "strict"), [(0, True), (3, True), (3, False), (11, True), (0, False)])
+def test_cooldown_in_blocks_equals_a_plain_loop(spark, monkeypatch, block, gap, strict):
+    monkeypatch.setattr(T, "BLOCK", block)
+    rnd = random.Random(gap)
+    signals = {s: sorted(rnd.sample(range(200), n)) for s, n in (("a", 90), ("b", 12), ("c", 1))}
+    df = spark.createDataFrame([(s, i, f"{s}{i}") for s, x in signals.items() for i in x], "series_id string, bar_idx long, name string").repartition(3)
+    want = []
+    for s, x in signals.items():
+        last = None
+        for i in x:
+            if last is None or (i - last > gap if strict else i - last >= gap):
+                want.append((s, i, f"{s}{i}"))
+                last = i
+    assert sorted(tuple(r) for r in T.take(df, gap, strict=strict).collect()) == sorted(want)
+
+
+def test_cooldown_sweep_and_repeated_bars(spark, monkeypatch):
+    monkeypatch.setattr(T, "BLOCK", 4)
+    df = spark.createDataFrame([("a", i, k) for k, i in enumerate([0, 0, 2, 5, 5, 9, 30])], "series_id string, bar_idx long, n int")
+    got = {(c, r.bar_idx) for c in (1, 4) for r in T.sweep(df, [1, 4]).filter(f"cooldown = {c}").collect()}
+    assert got == {(1, 0), (1, 2), (1, 5), (1, 9), (1, 30), (4, 0), (4, 5), (4, 30)}
+    assert T.take(df.limit(0), 3).count() == 0
+
+
 def test_percentile_rank_with_ties_and_nulls(spark):
     rows = [("a", i, v) for i, v in enumerate([1.0, None, 2.0, 2.0, 3.0, 0.5])]
     df = spark.createDataFrame(rows, "series_id string, bar_idx long, x double").withColumn("ts", F.col("bar_idx"))
