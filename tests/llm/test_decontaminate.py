@@ -144,3 +144,86 @@ def test_texts_under_one_id_do_not_mix(spark):
     half = lambda x, k: " ".join(x.split()[6 * k : 6 * k + 6])
     got = found(spark, [(1, half(a, 0)), (1, half(a, 1)), (2, half(a, 0) + " " + half(b, 1)), (3, b)], [(5, a), (5, b)])
     assert set(got) == {(3, 5)}
+
+
+TOM = "Tom buys 4 pens. Tom sells 2 pens. Tom loses 1 pen. Tom keeps the rest. How many pens has Tom?"
+ALICE = "Alice has 3 apples and Bob has 5 pears. Alice gives 2 apples to a friend and eats one more. Bob buys 4 more pears. Who has more fruit now?"
+
+
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_names_at_the_beginnings_of_sentences(spark, monkeypatch, few):
+    monkeypatch.setattr(D, "FEW", few)
+    both = ALICE.replace("Alice", "Carla").replace("Bob", "Dieter")
+    texts = [(1, around(TOM.replace("Tom", "Anna"))), (2, TOM.replace("Tom", "Anna")), (3, around(TOM.replace("Tom", "Mary Ann"))), (4, around(both)), (5, around(both.replace("3 apples", "7 apples"))), (6, around(ALICE)), (7, around(TOM).lower())]
+    texts += [(20, around(TOM.replace("Tom sells", "Anna sells").replace("Tom keeps", "Eve keeps"))), (21, "Tom buys pens. How many pens has Tom? Who has more fruit now?"), (22, around("How many pens has the shop? The rest is kept."))]
+    got = found(spark, texts, [(1, TOM), (2, ALICE)])
+    assert {(d, i): r.same_values for (d, i), r in got.items()} == {(1, 1): False, (2, 1): False, (3, 1): False, (4, 2): False, (5, 2): False, (6, 2): True} | ({(7, 1): True} if (7, 1) in got else {})
+
+
+def test_beginnings_may_be_words_or_names(spark):
+    row = spark.createDataFrame([("Mary Ann Lee sat. Then Bob, of Ulm, ate",)], "text string").select(D.tokens(D.F.col("text")).alias("t")).select("t", D._as_names(D.F.col("t"), D._hashes(D.F.col("t"))).alias("g")).first()
+    assert [x.replace(D.MARK, "<").replace(D.JOINT, "_").replace(D.EITHER, "?") for x in row.t] == ["?Mary_<Ann_<Lee", "sat", "?Then_<Bob", "of", "<Ulm", "ate"]
+    assert [h == D._NAME_HASH for h in row.g] == [True, False, True, False, True, False]
+
+
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_renamed_people_and_units_equal_a_brute_force_search(spark, monkeypatch, few):
+    """Items of sentences with names (at beginnings too), numbers and units; renamed consistently or not; against a loop over all alignments and readings."""
+    monkeypatch.setattr(D, "FEW", few)
+    rnd = random.Random(9)
+    vocab = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(150)]
+    people, other = ["Tom", "Bob", "Eva"], {"Tom": "Ken", "Bob": "Liv", "Eva": "Uma", "12": "90", "57": "8", "kg": "km", "mm": "lbs"}
+
+    def sentence():
+        w = [rnd.choice(vocab) for _ in range(7)]
+        w[0] = rnd.choice([*people, "How", "Then"])
+        w[rnd.randrange(2, 4)] = rnd.choice(people)
+        w[5:5] = [rnd.choice(["12", "57"]), rnd.choice(["kg", "mm"])]
+        return w
+
+    items = [(i, [sentence() for _ in range(4)]) for i in range(10)]
+    texts = []
+    for d in range(60):
+        own = [[other.get(x, x) if d % 3 else x for x in s] for s in rnd.choice(items)[1]]
+        if d % 4 == 0:  # one name breaks the rule
+            k = rnd.randrange(4)
+            own[k][next(j for j, x in enumerate(own[k]) if j and x[0].isupper())] = "Zoe"
+        if d % 5 == 0:
+            own = own[: rnd.randint(1, 4)]
+        texts.append((d, [[rnd.choice(vocab) for _ in range(20)], *own, [rnd.choice(vocab) for _ in range(20)]]))
+    write = lambda ss: " ".join(" ".join(s) + "." for s in ss)
+
+    def read(ss, as_name):
+        """(template, value) of every token."""
+        out = []
+        for s in ss:
+            for j, x in enumerate(s):
+                unit = x in D.UNITS and j and s[j - 1][0].isdigit()
+                kind = "0" if x[0].isdigit() else "U" if unit else "N" if x[0].isupper() and (j or as_name) else None
+                out.append((kind or x.lower(), x if kind else None))
+        return out
+
+    def covers(item, text):
+        spots, a, b = set(), [read(item, k) for k in (False, True)], [read(text, k) for k in (False, True)]
+        n, m = len(a[0]), len(b[0])
+        for off in range(-n, m):
+            hit = [(p, x, y) for p in range(n - 4) if 0 <= p + off <= m - 5 for x in a for y in b if [k for k, _ in x[p : p + 5]] == [k for k, _ in y[p + off : p + off + 5]]]
+            plain = lambda h: sum(k not in ("0", "U", "N") for k, _ in h[1][h[0] : h[0] + 5]) >= 3
+            rich = [h for h in hit if plain(h)]
+
+            def fits(hs, o=off):
+                stands = {}
+                for p, x, y in hs:
+                    for q in range(p, p + 5):
+                        if x[q][1] is not None:
+                            stands.setdefault(x[q][1], set()).add(y[q + o][1])
+                return all(len(v) == 1 for v in stands.values())
+
+            if rich and fits(hit):
+                spots |= {p + k for p, _, _ in hit for k in range(5)}
+            elif rich and fits(rich):
+                spots |= {p + k for p, _, _ in rich for k in range(5)}
+        return len(spots) >= 0.8 * n
+
+    want = {(d, i) for d, t in texts for i, w in items if covers(w, t)}
+    assert set(found(spark, [(d, write(t)) for d, t in texts], [(i, write(w)) for i, w in items])) == want and len(want) > 20

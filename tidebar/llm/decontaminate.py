@@ -1,8 +1,9 @@
 """Benchmark passages in documents, also with other numbers, names or units, in DataFrame functions only.
 
 Texts become templates: numbers, units behind numbers, and capitalised words inside sentences turn into typed placeholders, the rest into lower-case
-words. Neighbouring capitalised words are one name. All patterns read single tokens and loop over classes of characters only, so that a token of any
-length costs no stack.
+words. Neighbouring capitalised words are one name. A capitalised word at the beginning of a sentence (with the names right behind it) may be a word or a
+name: windows with such a token are keyed twice, once for each reading, on both sides, and slots decide. All patterns read single tokens and loop over
+classes of characters only, so that a token of any length costs no stack.
 
 Every WINDOW tokens of a benchmark item with at least LITERALS plain words are hashed and joined with those of the documents: these are seeds. An item
 without any is sought by the hashes of its windows with their own values instead. On a seed's offset all windows of the item, also those of placeholders
@@ -31,24 +32,34 @@ FEW = 20_000
 NUM, UNIT, NAME = "0num", "0unit", "0name"
 #: Units that a number can have behind it.
 UNITS = "mm cm km m miles mile feet ft inches mg g kg lb lbs oz tons ml l litres liters gallons s sec seconds min minutes h hours days weeks months years mph kmh usd eur dollars euros cents percent degrees people".split()
-#: Stand before a name, and between its words.
-MARK, JOINT = "\x01", "\x02"
+#: Stand before a name, between its words, and before what may be a word or a name.
+MARK, JOINT, EITHER = "\x01", "\x02", "\x03"
 _LETTER = r"A-Za-z\x{80}-\x{10FFFF}"
 _NAME_HERE = r"(?<=[\p{L}\p{N},;] )(?=\p{Lu}\p{Ll})"
-_NAME_GOES_ON = rf"{MARK}([{_LETTER}]++) (?={MARK})"
+_EITHER_HERE = rf"(?<![{_LETTER}0-9{MARK}])(?=\p{{Lu}}\p{{Ll}})"
+_NAME_GOES_ON = rf"([{MARK}{EITHER}][{_LETTER}]++) (?={MARK})"
 _SPELT_UNITS = "|".join(UNITS)
 _DIGITS = rf"(?:(?<![{_LETTER}0-9])[+\-])?[0-9][0-9.,:/]*+%?+"
 #: A name, a number (also with a unit right behind it), a word.
-TOKEN = rf"{MARK}[{_LETTER}{MARK}{JOINT}]++|{_DIGITS}(?:(?![{_LETTER}0-9])|(?=(?:{_SPELT_UNITS})(?![{_LETTER}0-9])))|[{_LETTER}0-9]++"
+TOKEN = rf"[{MARK}{EITHER}][{_LETTER}{MARK}{JOINT}]++|{_DIGITS}(?:(?![{_LETTER}0-9])|(?=(?:{_SPELT_UNITS})(?![{_LETTER}0-9])))|[{_LETTER}0-9]++"
 #: What templates have in place of the hashes of words.
 _NAME_HASH, _NUM_HASH, _UNIT_HASH = 1, 2, 3
 
 
 def tokens(text: Column) -> Column:
-    """The text's tokens as they stand; names begin with MARK."""
-    plain = F.regexp_replace(text, F.lit(rf"[{MARK}{JOINT}]"), F.lit(" "))
-    marked = F.regexp_replace(F.regexp_replace(plain, F.lit(_NAME_HERE), F.lit(MARK)), F.lit(_NAME_GOES_ON), F.lit(f"{MARK}$1{JOINT}"))
-    return F.regexp_extract_all(marked, F.lit(TOKEN), F.lit(0))
+    """The text's tokens as they stand; names begin with MARK, words at the beginning of a sentence that may be names with EITHER."""
+    plain = F.regexp_replace(text, F.lit(rf"[{MARK}{JOINT}{EITHER}]"), F.lit(" "))
+    marked = F.regexp_replace(F.regexp_replace(plain, F.lit(_NAME_HERE), F.lit(MARK)), F.lit(_EITHER_HERE), F.lit(EITHER))
+    return F.regexp_extract_all(F.regexp_replace(marked, F.lit(_NAME_GOES_ON), F.lit(f"$1{JOINT}")), F.lit(TOKEN), F.lit(0))
+
+
+def _is_either(t: Column) -> Column:
+    return t.startswith(EITHER)
+
+
+def _bare(t: Column) -> Column:
+    """A name, or what may be one, without marks."""
+    return F.trim(F.translate(t, MARK + JOINT + EITHER, " "))
 
 
 def _is_number(t: Column) -> Column:
@@ -57,11 +68,11 @@ def _is_number(t: Column) -> Column:
 
 
 def _by_kind(ts: Column, name, number, unit, word) -> Column:  # noqa: ANN001
-    """For each token what the function for its kind makes of it."""
+    """For each token what the function for its kind makes of it; what may be a word or a name is a word."""
 
     def of(t: Column, i: Column) -> Column:
         behind = _is_number(F.get(ts, i - 1)) & F.lower(t).isin(UNITS)
-        return F.when(t.startswith(MARK), name(t)).when(_is_number(t), number(t)).when(behind, unit(t)).otherwise(word(t))
+        return F.when(t.startswith(MARK), name(t)).when(_is_either(t), word(_bare(t))).when(_is_number(t), number(t)).when(behind, unit(t)).otherwise(word(t))
 
     return F.transform(ts, of)
 
@@ -81,14 +92,19 @@ def _is_literal(h: Column) -> Column:
     return ~h.isin(_NAME_HASH, _NUM_HASH, _UNIT_HASH)
 
 
+def _as_names(ts: Column, hashes: Column) -> Column:
+    """The hashes if what may be a word or a name is a name."""
+    return F.zip_with(ts, hashes, lambda t, h: F.when(_is_either(t), F.lit(_NAME_HASH).cast("long")).otherwise(h))
+
+
 def _values(ts: Column) -> Column:
     """For each token its own value if it is a placeholder, else null."""
-    return _by_kind(ts, lambda t: F.translate(t, MARK + JOINT, " "), lambda t: F.rtrim(t, F.lit(".,:/")), F.lower, lambda t: F.lit(None).cast("string"))
+    return _by_kind(ts, _bare, lambda t: F.rtrim(t, F.lit(".,:/")), F.lower, lambda t: F.lit(None).cast("string"))
 
 
 def _exact(ts: Column) -> Column:
     """Hashes of the tokens with their values."""
-    return F.transform(ts, lambda t: F.xxhash64(F.rtrim(F.lower(t), F.lit(".,:/"))))
+    return F.transform(ts, lambda t: F.xxhash64(F.rtrim(F.lower(_bare(t)), F.lit(".,:/"))))
 
 
 def _places(h: Column) -> Column:
@@ -100,9 +116,11 @@ def _window(hashes: Column, i: Column) -> Column:
 
 
 def _hashed(texts: DataFrame, exact: bool = False) -> DataFrame:
-    """For (id, row, text): the tokens, the template's hashes h and, if asked for, the hashes e of the tokens with their values."""
+    """For (id, row, text): the tokens, the template's hashes h, those with names at beginnings of sentences g, and, if asked for, the hashes e of the tokens
+    with their values."""
     cut = texts.select("id", "row", tokens(F.col("text")).alias("ts"))
-    return cut.select("id", "row", "ts", _hashes(F.col("ts")).alias("h"), *([_exact(F.col("ts")).alias("e")] if exact else []))
+    read = cut.select("id", "row", "ts", _hashes(F.col("ts")).alias("h"), *([_exact(F.col("ts")).alias("e")] if exact else []))
+    return read.withColumn("g", _as_names(F.col("ts"), F.col("h")))
 
 
 def _seeds_in(texts: DataFrame, wanted: dict[bool, list[int]] | None, exact: bool) -> DataFrame:
@@ -115,20 +133,29 @@ def _seeds_in(texts: DataFrame, wanted: dict[bool, list[int]] | None, exact: boo
             places = F.filter(places, lambda i: _window(F.col(column), i).isin(wanted[by_value])) if wanted[by_value] else F.array().cast("array<int>")
         return F.transform(places, lambda i: F.struct(i.alias("at"), F.lit(by_value).alias("by_value"), _window(F.col(column), i).alias("window")))
 
-    every = F.concat(found(False, "h"), found(True, "e")) if exact else found(False, "h")
+    read = F.array_union(found(False, "h"), found(False, "g"))
+    every = F.concat(read, found(True, "e")) if exact else read
     return hashed.select("id", "row", F.explode(every).alias("w")).select("id", "row", "w.at", "w.by_value", "w.window")
 
 
 def windows(texts: DataFrame, wanted: list[int] | None) -> DataFrame:
-    """For (id, row, text): (id, row, n tokens, at, window hash, slots, plain words in it) of every window, or of the wanted hashes only."""
+    """For (id, row, text): (id, row, n tokens, at, window hash, slots, plain words in it) of every window, or of the wanted hashes only; windows that can be
+    read in two ways come twice."""
     hashed = _hashed(texts)
-    places = _places(F.col("h")) if wanted is None else F.filter(_places(F.col("h")), lambda i: _window(F.col("h"), i).isin(wanted))
+    is_wanted = lambda i: _window(F.col("h"), i).isin(wanted) | _window(F.col("g"), i).isin(wanted)
+    places = _places(F.col("h")) if wanted is None else F.filter(_places(F.col("h")), is_wanted)
     # no filter on places: it would be pushed below and take the hashes' expression into the lambda, to be evaluated for every window
-    valued = hashed.select("id", "row", "h", "ts", places.alias("places")).withColumn("values", F.when(F.size("places") > 0, _values(F.col("ts"))))
-    slots = lambda i: F.slice(F.col("values"), i + 1, F.lit(WINDOW))
-    literals = lambda i: F.size(F.filter(F.slice(F.col("h"), i + 1, F.lit(WINDOW)), _is_literal))
-    each = F.transform("places", lambda i: F.struct(i.alias("at"), _window(F.col("h"), i).alias("window"), slots(i).alias("slots"), literals(i).alias("literals")))
-    return valued.select("id", "row", F.size("h").alias("n"), F.explode(each).alias("w")).select("id", "row", "n", "w.at", "w.window", "w.slots", "w.literals")
+    valued = hashed.select("id", "row", "h", "g", "ts", places.alias("places")).withColumn("values", F.when(F.size("places") > 0, _values(F.col("ts"))))
+    named = F.zip_with("ts", "values", lambda t, v: F.when(_is_either(t), _bare(t)).otherwise(v))
+    valued = valued.withColumn("named", F.when(F.size("places") > 0, named))
+
+    def reading(hashes: str, values: str, i: Column) -> Column:
+        literals = F.size(F.filter(F.slice(F.col(hashes), i + 1, F.lit(WINDOW)), _is_literal))
+        return F.struct(i.alias("at"), _window(F.col(hashes), i).alias("window"), F.slice(F.col(values), i + 1, F.lit(WINDOW)).alias("slots"), literals.alias("literals"))
+
+    each = F.flatten(F.transform("places", lambda i: F.array_distinct(F.array(reading("h", "values", i), reading("g", "named", i)))))
+    found = valued.select("id", "row", F.size("h").alias("n"), F.explode(each).alias("w")).select("id", "row", "n", "w.at", "w.window", "w.slots", "w.literals")
+    return found if wanted is None else found.filter(F.col("window").isin(wanted))
 
 
 def _few(listed: DataFrame, *columns: str) -> list | None:
