@@ -28,6 +28,13 @@ def aligned(label: str, embargo: int) -> bool:
     return ok
 
 
+def parsed(df: DataFrame, label: str, embargo: int) -> DataFrame:
+    """df with what a column of labels' names says: direction, ratio, horizon, and whether the embargo is the horizon; null where it is no label's name."""
+    part = lambda k: F.nullif(F.regexp_extract(label, r"^label_(long|short)_hit_([0-9]+)r_([0-9]+)c$", k), F.lit(""))
+    out = df.withColumns({"direction": part(1), "ratio": part(2).cast("int"), "horizon": part(3).cast("int")})
+    return out.withColumn("aligned", F.col("horizon") == embargo)
+
+
 def forward_returns(df: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     """Per horizon: return to the close h bars on, best and worst excursion in per cent; null in the last h bars."""
     out = {}

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def median_pruned(steps: DataFrame, warm_up: int = 3) -> DataFrame:
@@ -40,3 +42,16 @@ def safely(run: Callable[[], dict], retries: int = 1) -> dict:
         except Exception as e:  # noqa: BLE001  whatever it is, it's the record
             error = f"{type(e).__name__}: {e}"
     return {"status": "failed", "attempts": retries + 1, "error": error}
+
+
+def run_groups(df: DataFrame, by: list[str], run: Callable[[pd.DataFrame], dict], results: str, retries: int = 1) -> DataFrame:
+    """safely() for every group, in parallel: its keys, status, attempts and error, and the run's results (a schema of columns; null where it failed). A
+    group that fails takes no other one with it. A group is one run, and is held by a task."""
+    kinds = T.StructType.fromDDL(results)
+    schema = T.StructType([*(df.schema[c] for c in by), T.StructField("status", T.StringType()), T.StructField("attempts", T.IntegerType()), T.StructField("error", T.StringType()), *kinds.fields])
+
+    def work(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        row = safely(lambda: run(own), retries)
+        return pd.DataFrame([(*key, row["status"], row["attempts"], row.get("error"), *(row.get(c) for c in kinds.names))], columns=schema.names)
+
+    return df.groupBy(*by).applyInPandas(work, schema)

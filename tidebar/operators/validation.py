@@ -72,6 +72,25 @@ def fold_roles(bars: DataFrame, spec: pd.DataFrame) -> DataFrame:
     return bars.join(f, i < F.col("test_end")).withColumn("role", role).filter("role is not null")
 
 
+def fold_counts(bars: DataFrame, min_train: int, test: int, embargo: int, train_gap: int, val_gap: int, share: float = 0.10, least: int = 1000) -> DataFrame:
+    """(fold, role, n): how many bars each walk-forward fold has in each role, over all series. Roles are ranges of bar numbers, so a series' part in them
+    follows from its length: no bar meets a fold. Training bars stay train_gap below the validation part, validation bars val_gap below the test part."""
+    lengths = bars.groupBy("series_id").agg(F.max("bar_idx").alias("last")).select((F.col("last") + 1).alias("n"))
+    longest = lengths.agg(F.max("n")).first()[0] or 0
+    count = max(0, -(-(longest - min_train - embargo) // test))
+    x = lengths.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(count - 1)) if count else F.array().cast("array<int>")))
+    x = x.withColumn("start", F.lit(min_train + embargo) + F.col("k") * test).withColumn("free", F.col("start") - embargo)
+    x = x.withColumn("val", F.col("free") - F.greatest(F.floor(F.col("free") * share), F.lit(least)))
+    upto = lambda *ends: F.least(F.col("n"), *ends)
+    roles = {
+        "train": (F.lit(0), upto(F.col("val") - embargo, F.col("val") - train_gap)),
+        "validate": (F.greatest(F.col("val"), F.lit(0)), upto(F.col("free"), F.col("start") - val_gap)),
+        "test": (F.col("start"), upto(F.col("start") + test)),
+    }
+    each = F.array(*(F.struct(F.lit(r).alias("role"), F.greatest(b - a, F.lit(0)).cast("long").alias("bars")) for r, (a, b) in roles.items()))
+    return x.select((F.col("k") + 1).cast("long").alias("fold"), F.inline(each)).groupBy("fold", "role").agg(F.sum("bars").alias("n")).filter("n > 0")
+
+
 def cscv(trades: DataFrame, by: tuple[str, ...] = ("series_id",), blocks: int = 8, r: str = "r") -> DataFrame:
     """Share of symmetric splits whose other half loses, from the blocks' sums: all splits are 70 rows for 8 blocks. Splits with an empty half are left out."""
     w = Window.partitionBy(*by)

@@ -120,17 +120,41 @@ def _(spark, d):
     return spark.createDataFrame([(c,) for c in kept], "feature string")
 
 
-_LABELS = [L.name_of(a, r, h) for h in (12, 24, 48) for a in ("long", "short") for r in (1, 2)]
+_NAMED = "CASE WHEN event_id % 10 = 0 THEN event_type ELSE 'label_' || CASE WHEN user_id % 2 = 0 THEN 'long' ELSE 'short' END || '_hit_' || (1 + event_id % 3) || 'r_' || (12 * (1 + user_id % 4)) || 'c' END"
+_PARSED = f"""WITH e AS (SELECT {_NAMED} AS label, value FROM events), p AS (SELECT *, nullif(regexp_extract(label, '^label_(long|short)_hit_([0-9]+)r_([0-9]+)c$', 1), '') AS direction, CAST(nullif(regexp_extract(label, '^label_(long|short)_hit_([0-9]+)r_([0-9]+)c$', 2), '') AS INTEGER) AS ratio,
+CAST(nullif(regexp_extract(label, '^label_(long|short)_hit_([0-9]+)r_([0-9]+)c$', 3), '') AS INTEGER) AS horizon FROM e) SELECT label, direction, ratio, horizon, horizon = 24 AS aligned, count(*) AS n, sum(value) AS total FROM p GROUP BY ALL"""
 
 
-@query("l10_label_names", f"SELECT label, split_part(label, '_', 2) AS direction, CAST(rtrim(split_part(label, '_', 4), 'r') AS INTEGER) AS ratio, CAST(rtrim(split_part(label, '_', 5), 'c') AS INTEGER) AS horizon, label LIKE '%\\_24c' ESCAPE '\\' AS aligned FROM (SELECT unnest({_LABELS!r}) AS label)")
+@query("l10_label_names", _PARSED, "total")
 def _(spark, d):
-    """What labels' names say, and whether an embargo of 24 bars fits."""
-    import warnings
+    """Results by what their labels' names say, and whether an embargo of 24 bars fits."""
+    e = table(spark, d, "events").select(F.expr(_NAMED).alias("label"), "value")
+    return L.parsed(e, "label", 24).groupBy("label", "direction", "ratio", "horizon", "aligned").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        return spark.createDataFrame([(x, *L.parse_name(x), L.aligned(x, 24)) for x in _LABELS], "label string, direction string, ratio int, horizon int, aligned boolean")
+
+_DIGESTS = """SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS rows, bit_xor(('0x' || substr(sha256(event_id || '|' || user_id || '|' || props), 1, 15))::BIGINT) AS digest FROM events GROUP BY 1, 2"""
+
+
+@query("s9_part_digests", _DIGESTS)
+def _(spark, d):
+    """Digests of a table's parts that don't depend on the order of rows (S9, hash functions of 2.7)."""
+    e = table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    return ingest.digests(e, ["event_type", "day"], ["event_id", "user_id", "props"])
+
+
+_SAFE = """SELECT user_id, CASE WHEN min(value) < 0.5 THEN 'failed' ELSE 'done' END AS status, CASE WHEN min(value) < 0.5 THEN 2 ELSE 1 END AS attempts, CASE WHEN min(value) < 0.5 THEN 'ValueError: too small' END AS error, CASE WHEN min(value) >= 0.5 THEN sum(value) END AS total FROM events GROUP BY 1"""
+
+
+@query("v19_safe_runs", _SAFE, "total")
+def _(spark, d):
+    """Runs by group that may fail: each is tried again and then recorded, and the others go on."""
+
+    def run(own):  # noqa: ANN001, ANN202
+        if own["value"].min() < 0.5:
+            raise ValueError("too small")
+        return {"total": float(own["value"].sum())}
+
+    return H.run_groups(table(spark, d, "events").select("user_id", "value"), ["user_id"], run, "total double")
 
 
 _TOP = f"""WITH {bars_sql()}, x AS (SELECT *, list({{'v': floor(volume / 20), 'c': close, 'i': bar_idx}}) OVER ({W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS past FROM bars), y AS (SELECT *, list_sort(list_transform(past, lambda s: {{'a': -s.v, 'b': abs(s.c - close), 'c': s.i}}))[1:3] AS top FROM x)

@@ -118,11 +118,7 @@ r AS (SELECT fold, CASE WHEN bar_idx < val - 24 THEN 'train' WHEN bar_idx >= val
 @query("v1_folds", _FOLDS)
 def _(spark, d):
     """Walk-forward folds with embargo and purging, to the end of the longest series."""
-    bars = B.daily_bars_of_orders(spark, d)
-    last = bars.agg(F.max("bar_idx")).first()[0]
-    spec = V.folds(0 if last is None else last + 1, 285, 60, 5, 48, least=50)
-    spec["train_below"], spec["val_below"] = spec["val_start"] - 24, spec["test_start"] - 48
-    return V.fold_roles(bars, spec).groupBy("fold", "role").agg(F.count("*").alias("n"))
+    return V.fold_counts(B.daily_bars_of_orders(spark, d), 285, 60, 5, 24, 48, least=50)
 
 
 _LO = f"""WITH {daily_sql()}, d AS (SELECT series_id, ts AS day, close / open - 1 AS r FROM bars), m AS (SELECT *, r - avg(r) OVER (PARTITION BY series_id) AS x FROM d), l AS (SELECT *, {", ".join(f"x * lag(x, {k}) OVER (PARTITION BY series_id ORDER BY day) AS l{k}" for k in range(1, 11))} FROM m),
