@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tidebar.llm import words
 from tidebar.llm.components import connected_components
+from tidebar.llm.memory import returning
 from tidebar.session import scratch
 
 SEED = 42
@@ -37,7 +38,7 @@ BLOCK = 512
 #: Shingles in a chunk of a component whose links are verified.
 CHUNK = 4_000_000
 #: Texts whose fingerprints are made at once.
-ROWS_AT_ONCE = 1024
+ROWS_AT_ONCE = 256
 #: Classes (of 16 bytes each) that may be sent to all executors to pick rows by.
 SENT = 1_000_000
 #: Logarithm by which numbers of shingles are binned.
@@ -100,7 +101,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, doc_id: str
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = "doc_id long, fp array<long>, size long" + (", digest long, shingles array<long>" if sets else "")
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(work, schema)
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(returning(work), schema)
 
 
 def _features(lanes: int, radius: int, ratio: float | None) -> list:
@@ -277,7 +278,7 @@ def link_forest(classes: DataFrame, lanes: int, radius: int, ratio: float | None
                     x = np.array(found, dtype=np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[x[:, 0]]), pa.array(ids[x[:, 1]])], names=["a", "b"])
 
-    return met.select("a", "b", "left", "right").mapInArrow(work, "a long, b long")
+    return met.select("a", "b", "left", "right").mapInArrow(returning(work), "a long, b long")
 
 
 def verified_links(members: DataFrame, radius: int, ratio: float) -> DataFrame:
@@ -325,7 +326,7 @@ def verified_links(members: DataFrame, radius: int, ratio: float) -> DataFrame:
         if held:
             yield from links(now, held)
 
-    return met.mapInArrow(work, "a long, b long")
+    return met.mapInArrow(returning(work), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, lanes: int = 1, ratio: float | None = None, doc_id: str = "doc_id", text: str = "text", exact: bool = False) -> DataFrame:

@@ -7,8 +7,8 @@ and target.
 
 The insult lexicon is learned from labelled rows: word beginnings that many toxic and next to no clean documents have at least m times, for the least m
 from 1 to MOST_TIMES for which that holds. A beginning of m = 1 is an insult by itself; one of a larger m is common enough to come up by chance, and
-weighs so much that m of them reach the cut, or in long texts a share RATE of all words. Each is grown to the stem at which its words part. What is
-learned is a few hundred stems at most (STEMS); labels, lang, source and doc_id are never read by the score.
+weighs so much that m of them reach the cut, or in long texts a share RATE of all words. Each is grown to the stem at which its words part. The
+lexicon is bounded by the labelled sample alone; labels, lang, source and doc_id are never read by the score.
 
 Documents are judged by the summed weight of their clauses, 1 - exp(-weight), in one pass over the text. Null and empty texts score 0. Rows stay rows. A
 kept column with the score's name is refused.
@@ -30,17 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidebar.llm.memory import returning
+
 #: Labelled rows that the lexicon is learned from, the least hashes of all that may be used.
 SAMPLE = 20_000
 #: The least share of toxic documents (and two at least), and the least number of places with different neighbours in them (copies share their
-#: neighbours), that a stem must be seen in; the least log-odds that it must have; and the most stems kept.
-SHARE, PLACES, LOG_ODDS, STEMS = 0.005, 8, 3.0, 500
+#: neighbours), that a stem must be seen in; and the least log-odds that it must have. A share bounds what can be a candidate by the sample's text length, not by a cap.
+SHARE, PLACES, LOG_ODDS = 0.005, 8, 3.0
 #: The most times that a stem may have to come, and the share of a text's words that such stems must reach in long texts.
 MOST_TIMES, RATE = 5, 0.004
 #: Like SHARE, for stems that have to come more than once.
 COMMON_SHARE = 0.02
-#: Beginnings that may be candidates, those of the most toxic documents first.
-CANDIDATES = 200_000
 #: Lengths of the word beginnings that are counted.
 SHORTEST, LONGEST = 3, 12
 CUT = 0.3
@@ -48,6 +48,8 @@ CUT = 0.3
 ENOUGH = -math.log(1 - CUT) * 1.05
 #: Word beginnings that a task counts before it hands its counts on.
 BUFFERED = 50_000
+#: Texts that are scored at once.
+ROWS_AT_ONCE = 256
 
 INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT, OBJECT, OTHER = range(8)
 SYMBOLS = range(8)
@@ -242,8 +244,7 @@ def stems_of(telling: dict[str, tuple[int, float]], counts: dict[str, tuple[int,
         times, odds = telling[stem]
         out[stem] = (times, odds, min(1.0, odds / 6.0) if times == 1 else float(times))
         covered.update(stem[:n] for n in range(SHORTEST, len(stem)))
-    best = sorted(out, key=lambda s: (-toxic(s) * out[s][1], s))[:STEMS]
-    return {s: out[s][2] for s in best}
+    return {s: out[s][2] for s in sorted(out, key=lambda s: (-toxic(s) * out[s][1], s))}
 
 
 def held_out(doc_id) -> F.Column:  # noqa: ANN001
@@ -279,10 +280,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict[str, float]:
         if sums[0] or sums[1]:
             yield out()
 
-    counted = rows.mapInArrow(count, "b string, toxic long, clean long").groupBy("b").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    found = counted.filter((F.col("toxic") >= 2) & (F.col("toxic") > 20 * F.col("clean")) | (F.col("b") == "")).orderBy(F.desc(F.col("b") == ""), F.desc("toxic"), "b").limit(CANDIDATES + 1).toPandas()
+    counted = rows.mapInArrow(returning(count), "b string, toxic long, clean long").groupBy("b").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    kinds = {r.toxic != 0: r.n for r in rows.groupBy((F.col("toxic") != 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    n_toxic, n_clean = kinds.get(True, 0), kinds.get(False, 0)
+    # each candidate is in a share of the toxic rows, so there are at most as many as a row has beginnings on average, divided by that share
+    found = counted.filter((F.col("b") != "") & (F.col("toxic") >= max(2, SHARE * n_toxic)) & (F.col("toxic") > 20 * F.col("clean"))).toPandas()
     counts = {b: (int(t), int(c)) for b, t, c in found.itertuples(index=False)}
-    n_toxic, n_clean = counts.pop("", (0, 0))
     telling = telling_of(counts, n_toxic, n_clean) if n_toxic and n_clean else {}
     if not telling:
         return {}
@@ -298,7 +301,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict[str, float]:
                             out.add((b, zlib.crc32(f"{own[k - 1]} {w} {own[k + 1]}".encode())))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.string()), pa.array([c for _, c in out], pa.int64())], names=["b", "place"])
 
-    seen = rows.filter("toxic <> 0").mapInArrow(places, "b string, place long").groupBy("b").agg(F.countDistinct("place").alias("n")).filter(F.col("n") >= PLACES).toPandas()
+    seen = rows.filter("toxic <> 0").mapInArrow(returning(places), "b string, place long").groupBy("b").agg(F.countDistinct("place").alias("n")).filter(F.col("n") >= PLACES).toPandas()
     wide = {b for b, n in seen.itertuples(index=False) if 2 * n >= counts.get(b, counts.get(f"{b} {telling[b][0]}"))[0]}
     return stems_of({b: o for b, o in telling.items() if b in wide}, counts)
 
@@ -312,8 +315,8 @@ def score(docs: DataFrame, stems: dict[str, float], keep: tuple[str, ...] = ("do
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(stems)
-        for batch in batches:
+        for batch in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE)):
             got = np.array([scorer.score(t) for t in batch.column(n).to_pylist()], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(got)], names=[*keep, out])
 
-    return docs.select(*(docs[k] for k in keep), docs[text].alias("__text")).mapInArrow(work, schema)
+    return docs.select(*(docs[k] for k in keep), docs[text].alias("__text")).mapInArrow(returning(work), schema)
