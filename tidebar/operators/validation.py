@@ -64,14 +64,6 @@ def folds(n: int, min_train: int, test: int, embargo: int, horizon: int, share:
     return pd.DataFrame(out, columns=["fold", "train_end", "val_start", "val_end", "test_start", "test_end", "train_below", "val_below"])
 
 
-def fold_roles(bars: DataFrame, spec: pd.DataFrame) -> DataFrame:
-    """Rows of bars for each fold with their role; the fold table has a row for every `test` bars of one series."""
-    f = F.broadcast(bars.sparkSession.createDataFrame(list(spec.astype("int64").itertuples(index=False, name=None)), ", ".join(f"{c} long" for c in spec.columns)))
-    i = F.col("bar_idx")
-    role = F.when((i < F.col("train_end")) & (i < F.col("train_below")), "train").when((i >= F.col("val_start")) & (i < F.col("val_end")) & (i < F.col("val_below")), "validate").when((i >= F.col("test_start")) & (i < F.col("test_end")), "test")
-    return bars.join(f, i < F.col("test_end")).withColumn("role", role).filter("role is not null")
-
-
 def fold_counts(bars: DataFrame, min_train: int, test: int, embargo: int, train_gap: int, val_gap: int, share: float = 0.10, least: int = 1000) -> DataFrame:
     """(fold, role, n): how many bars each walk-forward fold has in each role, over all series. Roles are ranges of bar numbers, so a series' part in them
     follows from its length: no bar meets a fold. Training bars stay train_gap below the validation part, validation bars val_gap below the test part."""

@@ -10,6 +10,7 @@ from tidebar.operators import joins as J
 from tidebar.operators import rolling as R
 from tidebar.operators.validation import correlation
 from tidebar.plans.registry import bars_sql, query
+from tidebar.session import scratch
 from tidebar.sources import ingest
 from tidebar.sources.tables import table
 
@@ -73,7 +74,9 @@ SELECT b.series_id, b.ts, b.close, h.close AS h1_close, h.high AS h1_high, h.low
 @query("j1_asof_higher_timeframe", _ASOF, "close h1_close h1_high h1_low")
 def _(spark, d):
     """Each 5-minute bar with the last hour that had ended at its start."""
-    base = B.bars_of_events(spark, d, "5m", numbered=False)
+    path = scratch(spark, "bars")
+    B.bars_of_events(spark, d, "5m", numbered=False).write.parquet(path)  # made once, read for each side of the join
+    base = spark.read.parquet(path)
     hours = B.coarsen(base, "1h")
     out = J.asof_join(base.select("series_id", "ts", "close"), hours, "ts", "end_ts", ["series_id"], ["close", "high", "low"], "h1_", grain="day")
     return out.select("series_id", "ts", "close", "h1_close", "h1_high", "h1_low")
