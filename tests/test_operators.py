@@ -17,6 +17,7 @@ from tidebar.operators import machines as M
 from tidebar.operators import rolling as R
 from tidebar.operators import structure as S
 from tidebar.operators import validation as V
+from tidebar.operators import zones as Z
 from tidebar.sources import ingest
 
 
@@ -75,7 +76,7 @@ def test_structure_is_causal(spark):
             assert r == whole[r.bar_idx]
 
 
-@pytest.mark.parametrize("machine", [M.anchored_blocks, M.tracked_gaps, M.liquidity_levels, M.sweeps, M.delivery_change, M.breakers, M.supertrend])
+@pytest.mark.parametrize("machine", [Z.anchored_blocks, M.tracked_gaps, M.liquidity_levels, M.sweeps, M.delivery_change, M.breakers, M.supertrend])
 def test_machines_are_causal_and_keep_series_apart(spark, machine):
     base = lambda rows: S.displacement(S.swings(S.with_atr(frame(spark, rows))))
     a, b = walk(220, 7), walk(180, 8, "b")
@@ -85,6 +86,27 @@ def test_machines_are_causal_and_keep_series_apart(spark, machine):
     assert all(both[k] == v for k, v in alone.items()) and all(alone[k] == v for k, v in early.items())
 
 
+@pytest.mark.parametrize("seed", [3, 11])
+def test_anchored_blocks_equal_a_plain_loop(spark, seed):
+    from tests.model_blocks import AnchoredBlocks
+
+    rnd = random.Random(seed)
+    rows = [(s, i, o, h, l, c + (rnd.choice((2.5, -2.5)) if rnd.random() < 0.1 else 0), v) for s, i, o, h, l, c, v in walk(420, seed)]
+    rows = [(s, i, o, max(h, c), min(l, c), c, v) for s, i, o, h, l, c, v in rows]
+    df = S.swings(S.with_atr(frame(spark, rows)))
+    cap = 40  # so that zones also end by age
+    got = {r.bar_idx: r.asDict() for r in Z.anchored_blocks(df, cap=cap).collect()}
+    assert len(got) == 420 and len(got[0]) == 3 + 82
+    bar = namedtuple("bar", "open high low close atr bos")
+    model, seen = AnchoredBlocks(cap=cap), 0
+    for r in sorted(df.collect(), key=lambda r: r.bar_idx):
+        want = model.step(bar(r.open, r.high, r.low, r.close, math.nan if r.atr is None else r.atr, r.bos))
+        for name, v in want.items():
+            assert got[r.bar_idx][name] == (None if math.isnan(v) else pytest.approx(v, abs=1e-9)), (r.bar_idx, name)
+        seen += want["ob_bull_count"] + want["ob_bear_count"]
+    assert seen > 100
+
+
 def test_gap_intervals_equal_a_plain_loop(spark):
     rows = walk(400, 9)
     got = {r.bar_idx: r for r in S.gaps(S.with_atr(frame(spark, rows)), "bull").collect()}

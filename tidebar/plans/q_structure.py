@@ -9,6 +9,7 @@ from tidebar.operators import indicators as I
 from tidebar.operators import machines as M
 from tidebar.operators import slicing
 from tidebar.operators import structure as S
+from tidebar.operators import zones as Z
 from tidebar.plans import machine_sql as Q
 from tidebar.plans.q_indicators import TR, W, roll
 from tidebar.plans.registry import bars_sql, query
@@ -180,8 +181,10 @@ def _(spark, d):
 
 _X = f"WITH {BASE}, {swing_sql('base')}, x AS (SELECT *, CAST(sh IS NOT NULL AS INTEGER) AS swing_high, CAST(sl IS NOT NULL AS INTEGER) AS swing_low FROM st)"
 
+_BLOCKS = " ".join(f"ob_{s}_{c}" for s in ("bull", "bear") for c in ("count", "nearest_atr", *(f"{k}_{f}" for k in range(1, Z.SHOWN + 1) for f in Z.FIELDS)))
+
 for _name, _machine, _why, _sql, _floats in (
-    ("m5_anchored_blocks", M.anchored_blocks, "Order blocks anchored at displacements, best three of each side (M5, W22)", None, ""),
+    ("m5_anchored_blocks", Z.anchored_blocks, "Order blocks anchored at displacements, best three of each side, 82 columns (M5, W22)", Z.sql(f"WITH {BASE}, {swing_sql('base')}"), _BLOCKS),
     ("m7_tracked_gaps", M.tracked_gaps, "Gaps with middle touches, rejections and inversion, best three (M7)", None, ""),
     ("m9_liquidity", M.liquidity_levels, "Intact swing levels, nearest ones and equal highs and lows (M9, M23)", Q.liquidity_sql(_X), "liq_above_pct liq_below_pct"),
     ("m10_sweeps", M.sweeps, "Sweeps of clustered levels with confirmation (M10, M18)", None, ""),
