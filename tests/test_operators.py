@@ -16,6 +16,7 @@ from tidebar.operators import labels as L
 from tidebar.operators import machines as M
 from tidebar.operators import rolling as R
 from tidebar.operators import structure as S
+from tidebar.operators import sweeps as P
 from tidebar.operators import validation as V
 from tidebar.operators import zones as Z
 from tidebar.sources import ingest
@@ -76,7 +77,7 @@ def test_structure_is_causal(spark):
             assert r == whole[r.bar_idx]
 
 
-@pytest.mark.parametrize("machine", [Z.anchored_blocks, M.tracked_gaps, M.liquidity_levels, M.sweeps, M.delivery_change, M.breakers, M.supertrend])
+@pytest.mark.parametrize("machine", [Z.anchored_blocks, M.tracked_gaps, M.liquidity_levels, P.sweeps, M.delivery_change, M.breakers, M.supertrend])
 def test_machines_are_causal_and_keep_series_apart(spark, machine):
     base = lambda rows: S.displacement(S.swings(S.with_atr(frame(spark, rows))))
     a, b = walk(220, 7), walk(180, 8, "b")
@@ -125,9 +126,29 @@ def test_gap_intervals_equal_a_plain_loop(spark):
             assert got[i].fvg_bull_in_zone == int(any(l <= z["top"] and h >= z["bot"] for z in alive))
 
 
+@pytest.mark.parametrize("seed", [2, 12])
+def test_sweeps_equal_a_plain_loop(spark, seed):
+    from tests.model_sweeps import Sweeps
+
+    rnd = random.Random(seed)
+    rows = [(s, i, *(round(x * 2) / 2 for x in (o, h + rnd.choice((0, 0, 1)), l - rnd.choice((0, 0, 1)), c)), v) for s, i, o, h, l, c, v in walk(420, seed)]
+    df = S.swings(S.with_atr(frame(spark, rows)))
+    got = {r.bar_idx: r.asDict() for r in P.sweeps(df).collect()}
+    bar = namedtuple("bar", "high low close atr swing_high swing_low last_high last_low")
+    model, fired = Sweeps(), 0
+    for r in sorted(df.collect(), key=lambda r: r.bar_idx):
+        want = model.step(bar(r.high, r.low, r.close, math.nan if r.atr is None else r.atr, r.swing_high, r.swing_low, r.last_high, r.last_low))
+        for name, v in want.items():
+            assert got[r.bar_idx][name] == (None if math.isnan(v) else pytest.approx(v, abs=1e-9)), (r.bar_idx, name)
+        fired += want["sweep_bsl_fired"] + want["sweep_ssl_fired"]
+    assert fired > 10
+
+
 def test_sweep_by_hand():
     bar = namedtuple("bar", "open high low close volume atr bos swing_high swing_low last_high last_low disp_bull disp_bear")
-    m = M.Sweeps()
+    from tests.model_sweeps import Sweeps
+
+    m = Sweeps()
     quiet = dict(open=9, high=9.5, low=8.5, close=9, volume=1, atr=1, bos=0, swing_high=0, swing_low=0, last_high=10, last_low=5, disp_bull=0, disp_bear=0)
     for k in range(2):
         m.step(bar(**{**quiet, "swing_high": 1, "last_high": 10 + 0.05 * k}))

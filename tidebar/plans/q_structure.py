@@ -9,6 +9,7 @@ from tidebar.operators import indicators as I
 from tidebar.operators import machines as M
 from tidebar.operators import slicing
 from tidebar.operators import structure as S
+from tidebar.operators import sweeps as P
 from tidebar.operators import zones as Z
 from tidebar.plans import machine_sql as Q
 from tidebar.plans.q_indicators import TR, W, roll
@@ -181,13 +182,14 @@ def _(spark, d):
 
 _X = f"WITH {BASE}, {swing_sql('base')}, x AS (SELECT *, CAST(sh IS NOT NULL AS INTEGER) AS swing_high, CAST(sl IS NOT NULL AS INTEGER) AS swing_low FROM st)"
 
+_SWEPT = " ".join(f"{c}_{s}{e}" for s in ("bsl", "ssl") for c, e in (("sweep", "_pen_atr"), ("unswept", "_atr")))
 _BLOCKS = " ".join(f"ob_{s}_{c}" for s in ("bull", "bear") for c in ("count", "nearest_atr", *(f"{k}_{f}" for k in range(1, Z.SHOWN + 1) for f in Z.FIELDS)))
 
 for _name, _machine, _why, _sql, _floats in (
     ("m5_anchored_blocks", Z.anchored_blocks, "Order blocks anchored at displacements, best three of each side, 82 columns (M5, W22)", Z.sql(f"WITH {BASE}, {swing_sql('base')}"), _BLOCKS),
     ("m7_tracked_gaps", M.tracked_gaps, "Gaps with middle touches, rejections and inversion, best three (M7)", None, ""),
     ("m9_liquidity", M.liquidity_levels, "Intact swing levels, nearest ones and equal highs and lows (M9, M23)", Q.liquidity_sql(_X), "liq_above_pct liq_below_pct"),
-    ("m10_sweeps", M.sweeps, "Sweeps of clustered levels with confirmation (M10, M18)", None, ""),
+    ("m10_sweeps", P.sweeps, "Sweeps of clustered levels with confirmation (M10, M18)", P.sql(_X), _SWEPT),
     ("m13_delivery_change", M.delivery_change, "Changes in the state of delivery (M13, M26)", Q.delivery_sql(_X), ""),
     ("m15_breakers", M.breakers, "Order blocks that turned into breakers (M15)", Q.breakers_sql(_X), "breaker_bull_dist breaker_bear_dist"),
     ("i16_supertrend", M.supertrend, "Ratcheting bands and their flips (I16)", Q.supertrend_sql(_X), "supertrend"),
@@ -204,5 +206,5 @@ for _name, _machine, _why, _sql, _floats in (
 def _(spark, d):
     """Gap after displacement after sweep."""
     x = S.gaps(S.gaps(S.displacement(S.swings(base(spark, d))), "bull"), "bear")
-    fired = M.sweeps(S.swings(base(spark, d))).select("series_id", "bar_idx", F.col("sweep_bsl_fired").alias("sweep_bsl"), F.col("sweep_ssl_fired").alias("sweep_ssl"))
+    fired = P.sweeps(S.swings(base(spark, d))).select("series_id", "bar_idx", F.col("sweep_bsl_fired").alias("sweep_bsl"), F.col("sweep_ssl_fired").alias("sweep_ssl"))
     return S.sweep_sequences(x.join(fired, ["series_id", "bar_idx"])).select("series_id", "ts", "sequence_bull", "sequence_bull_age", "sequence_bear", "sequence_bear_age")
