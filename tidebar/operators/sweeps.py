@@ -69,7 +69,12 @@ def sweeps(df: DataFrame, tolerance: float = TOLERANCE, lookback: int = LOOKBACK
 
 
 def sql(with_swings: str) -> str:
-    """The same for DuckDB, over a common table expression `x` of bars with atr and swings; the waits are a recursion over breaches."""
+    return with_sql(with_swings) + " SELECT * FROM bsl_o JOIN ssl_o USING (series_id, ts, bar_idx)"
+
+
+def with_sql(with_swings: str) -> str:
+    """The same for DuckDB, over a common table expression `x` of bars with atr and swings, as tables bsl_o and ssl_o; the waits are a recursion over
+    breaches."""
     w, parts = "PARTITION BY series_id ORDER BY ts", []
     for s, sign, flag, level, tip in SIDES:
         back = " ".join(f"WHEN (near - lead(close, {k}) OVER ({w})) * {sign} > 0 THEN {k}" for k in range(1, WAIT + 1))
@@ -80,4 +85,4 @@ def sql(with_swings: str) -> str:
 {s}_r AS (SELECT *, bar_idx + coalesce(confirmed, {WAIT + 1}) AS free FROM {s}_w WHERE breach), {s}_x AS (SELECT r.*, (SELECT min(q.bar_idx) FROM {s}_r q WHERE q.series_id = r.series_id AND q.bar_idx >= r.free) AS nxt FROM {s}_r r),
 {s}_t AS (SELECT series_id, min(bar_idx) AS bar_idx FROM {s}_r GROUP BY 1 UNION ALL SELECT n.series_id, n.nxt FROM {s}_t t JOIN {s}_x n USING (series_id, bar_idx) WHERE n.nxt IS NOT NULL), {s}_f AS (SELECT series_id, bar_idx + confirmed AS bar_idx, depth FROM {s}_t JOIN {s}_r USING (series_id, bar_idx) WHERE confirmed IS NOT NULL),
 {s}_o AS (SELECT b.series_id, b.ts, b.bar_idx, (f.depth IS NOT NULL)::INTEGER::DOUBLE AS sweep_{s}_fired, (b.bar_idx - max(CASE WHEN f.depth IS NOT NULL THEN b.bar_idx END) OVER (PARTITION BY b.series_id ORDER BY b.ts ROWS {VALID} PRECEDING))::DOUBLE AS sweep_{s}_age, f.depth AS sweep_{s}_pen_atr, CASE WHEN b.atr > 0 THEN abs(b.near - b.close) / b.atr END AS unswept_{s}_atr FROM {s}_b b LEFT JOIN {s}_f f USING (series_id, bar_idx))""")
-    return with_swings.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + ", ".join(parts) + " SELECT * FROM bsl_o JOIN ssl_o USING (series_id, ts, bar_idx)"
+    return with_swings.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + ", ".join(parts)

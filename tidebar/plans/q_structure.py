@@ -202,7 +202,13 @@ for _name, _machine, _why, _sql, _floats in (
     query(_name, _sql, _floats)(_run)
 
 
-@query("m11_sweep_sequence")
+_FIRES = lambda s: f"coalesce(n_{s} > lag(n_{s}) OVER ({W}), false) AND max(d_{s}) OVER ({W} ROWS 6 PRECEDING) = 1 AND max(w_{s}) OVER ({W} ROWS 12 PRECEDING) = 1 AS f_{s}"
+_SEQUENCE = f"""{P.with_sql(_X)}, {gap_sql("bull")}, {gap_sql("bear")}, {DISP.format(source="base")}, j AS (SELECT d.series_id, d.ts, d.bar_idx, coalesce(fvg_bull_count, 0) AS n_bull, coalesce(fvg_bear_count, 0) AS n_bear, CAST(disp_bull AS INTEGER) AS d_bull, CAST(disp_bear AS INTEGER) AS d_bear, sweep_ssl_fired AS w_bull, sweep_bsl_fired AS w_bear
+FROM disp_bear_l d JOIN bsl_o USING (series_id, bar_idx) JOIN ssl_o USING (series_id, bar_idx) LEFT JOIN s_bull USING (series_id, bar_idx) LEFT JOIN s_bear USING (series_id, bar_idx)), k AS (SELECT *, {_FIRES("bull")}, {_FIRES("bear")} FROM j)
+SELECT series_id, ts, {", ".join(f"CAST(f_{s} AS INTEGER) AS sequence_{s}, bar_idx - last(CASE WHEN f_{s} THEN bar_idx END IGNORE NULLS) OVER ({W}) AS sequence_{s}_age" for s in ("bull", "bear"))} FROM k"""
+
+
+@query("m11_sweep_sequence", _SEQUENCE)
 def _(spark, d):
     """Gap after displacement after sweep."""
     x = S.gaps(S.gaps(S.displacement(S.swings(base(spark, d))), "bull"), "bear")
