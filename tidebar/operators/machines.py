@@ -173,7 +173,7 @@ class Liquidity:
             out[share] = NAN
             if levels:
                 nearest = pick(levels)
-                out[share] = abs(nearest - c) / c * 100
+                out[share] = abs(nearest - c) / c * 100 if c else math.inf  # a level isn't the close, so that zero is as far as can be
                 out[equal] = float(near > 0 and sum(abs(p - nearest) <= near for p in levels) >= 2)
         return out
 
