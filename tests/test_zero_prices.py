@@ -8,6 +8,7 @@ from tidebar import catalog
 QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
 NAMES = [
     "m9_liquidity",
+    "a7_previous_levels",
 ]  # each differed from its SQL, or failed, where a price is zero
 
 

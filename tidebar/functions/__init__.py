@@ -8,6 +8,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b as doubles have it: a division by zero is infinite, or NaN for 0 / 0, where Spark's / is null; null only where a or b is."""
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(a / b)
+
+
+def natural_log(x: Column) -> Column:
+    """ln(x) as doubles have it: minus infinity at zero and NaN below, where Spark's is null."""
+    return F.when(x == 0, F.lit(-math.inf)).when(x < 0, F.lit(math.nan)).otherwise(F.log(x))
+
+
 def correlation(x: str, y: str) -> Column:
     """Pearson's correlation of columns that are null together; null where one of them doesn't vary."""
     return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidebar.functions import quotient
 from tidebar.operators import bars as B
 from tidebar.operators import joins as J
 from tidebar.operators import rolling as R
@@ -151,7 +152,7 @@ def _(spark, d):
     weeks = weeks.select("series_id", "week", *(F.lag(c).over(per.orderBy("week")).alias(f"pw{c}") for c in "hl"))
     out = b.join(days, ["series_id", "day"]).join(weeks, ["series_id", "week"])
     gap = F.when(F.col("pdc").isNull() | (F.col("o") != F.col("pdc")), 1).otherwise(0)
-    return out.select("series_id", "ts", "pdh", "pdl", "pdc", "pwh", "pwl", (F.col("close") - F.col("pdh")).alias("dist_pdh"), ((F.col("close") - F.col("pdh")) / F.col("close") * 100).alias("dist_pdh_pct"), (F.col("o") - F.col("pdc")).alias("opening_gap"), gap.alias("gap_exists"))
+    return out.select("series_id", "ts", "pdh", "pdl", "pdc", "pwh", "pwl", (F.col("close") - F.col("pdh")).alias("dist_pdh"), (quotient(F.col("close") - F.col("pdh"), F.col("close")) * 100).alias("dist_pdh_pct"), (F.col("o") - F.col("pdc")).alias("opening_gap"), gap.alias("gap_exists"))
 
 
 _NEXT = f"""WITH {bars_sql("1 hour")}, e AS (SELECT *, close > 1.5 * open AS up FROM bars)
