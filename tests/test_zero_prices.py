@@ -9,6 +9,7 @@ QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
 NAMES = [
     "m9_liquidity",
     "a7_previous_levels",
+    "b10_costs",
 ]  # each differed from its SQL, or failed, where a price is zero
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidebar.functions import natural_log, quotient
 from tidebar.operators import rolling as R
 from tidebar.operators.bars import rows
 
@@ -109,8 +110,8 @@ def equity(trades: DataFrame, risk: Column, r: str = "r", start: float = 1.0) ->
 def costs(df: DataFrame, hold: int = 48, impact: float = 0.1) -> DataFrame:
     """Latency against the next open, square-root impact with a regime multiplier, funding over the hold."""
     ahead = rows(1, hold)
-    out = df.withColumns({"next_open": F.lead("open").over(Window.partitionBy("series_id").orderBy("ts")), "sigma": R.rolling(F.stddev_samp, F.log(F.col("close") / F.col("open")), 20), "adv": R.rolling(F.avg, "volume", 96, 10)})
-    return out.withColumns({"latency_cost": F.abs(F.col("next_open") - F.col("close")) / F.col("close"), "impact_cost": impact * F.col("sigma") * F.sqrt(F.lit(1.0) / F.nullif(F.col("adv"), F.lit(0.0))) * F.when(F.col("sigma") > 1, 1.5).otherwise(1.0), "funding_sum": F.sum("funding").over(ahead) if "funding" in df.columns else F.lit(None).cast("double")})
+    out = df.withColumns({"next_open": F.lead("open").over(Window.partitionBy("series_id").orderBy("ts")), "sigma": R.rolling(F.stddev_samp, natural_log(quotient(F.col("close"), F.col("open"))), 20), "adv": R.rolling(F.avg, "volume", 96, 10)})
+    return out.withColumns({"latency_cost": quotient(F.abs(F.col("next_open") - F.col("close")), F.col("close")), "impact_cost": impact * F.col("sigma") * F.sqrt(F.lit(1.0) / F.nullif(F.col("adv"), F.lit(0.0))) * F.when(F.col("sigma") > 1, 1.5).otherwise(1.0), "funding_sum": F.sum("funding").over(ahead) if "funding" in df.columns else F.lit(None).cast("double")})
 
 
 def metrics(trades: DataFrame, by: tuple[str, ...], years: float, r: str = "r") -> DataFrame:
