@@ -10,6 +10,7 @@ NAMES = [
     "m9_liquidity",
     "a7_previous_levels",
     "b10_costs",
+    "i11_momentum",
 ]  # each differed from its SQL, or failed, where a price is zero
 
 

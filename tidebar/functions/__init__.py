@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +19,11 @@ def natural_log(x: Column) -> Column:
     return F.when(x == 0, F.lit(-math.inf)).when(x < 0, F.lit(math.nan)).otherwise(F.log(x))
 
 
+def finite(columns: list[str]) -> Column:
+    """Whether all of these columns are there and are neither NaN nor infinite."""
+    return reduce(Column.__and__, (F.coalesce(F.abs(F.col(c)) < math.inf, F.lit(False)) for c in columns))
+
+
 def correlation(x: str, y: str) -> Column:
     """Pearson's correlation of columns that are null together; null where one of them doesn't vary."""
     return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidebar.functions import finite
 from tidebar.session import scratch
 
 #: Tests on a path at most: a path has a row for each pattern of them.
@@ -135,7 +136,7 @@ def boosted_folds(df: DataFrame, features: list[str], label: str, spec: pd.DataF
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    x = df.filter(F.col(label).isNotNull()).na.drop(subset=features).withColumn("__y", F.col(label).cast("double"))
+    x = df.filter(F.col(label).isNotNull() & finite(features)).withColumn("__y", F.col(label).cast("double"))
     vectors, nodes, tests = VectorAssembler(inputCols=features, outputCol="__v"), None, None
     for f in spec.itertuples():
         train = vectors.transform(x.filter((F.col("bar_idx") < f.train_end) & (F.col("bar_idx") < f.train_below)))
