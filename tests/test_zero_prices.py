@@ -12,6 +12,7 @@ NAMES = [
     "b10_costs",
     "i11_momentum",
     "i21_volatility",
+    "l1_forward_returns",
 ]  # each differed from its SQL, or failed, where a price is zero
 
 

@@ -7,6 +7,7 @@ import warnings
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidebar.functions import quotient
 from tidebar.operators import rolling as R
 from tidebar.operators.bars import in_order, rows
 
@@ -41,9 +42,9 @@ def forward_returns(df: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     for h in horizons:
         there = F.lead("close", h).over(in_order())
         span = rows(1, h)
-        out[f"fwd_return_{h}"] = (there / F.col("close") - 1) * 100
-        out[f"max_up_{h}"] = F.when(there.isNotNull(), (F.max("high").over(span) / F.col("close") - 1) * 100)
-        out[f"max_down_{h}"] = F.when(there.isNotNull(), (F.min("low").over(span) / F.col("close") - 1) * 100)
+        out[f"fwd_return_{h}"] = (quotient(there, F.col("close")) - 1) * 100
+        out[f"max_up_{h}"] = F.when(there.isNotNull(), (quotient(F.max("high").over(span), F.col("close")) - 1) * 100)
+        out[f"max_down_{h}"] = F.when(there.isNotNull(), (quotient(F.min("low").over(span), F.col("close")) - 1) * 100)
     return df.withColumns(out)
 
 
