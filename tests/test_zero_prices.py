@@ -14,6 +14,7 @@ NAMES = [
     "i21_volatility",
     "l1_forward_returns",
     "v13_contributions",
+    "v14_ablation",
 ]  # each differed from its SQL, or failed, where a price is zero
 
 
