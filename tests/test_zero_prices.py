@@ -15,6 +15,7 @@ NAMES = [
     "l1_forward_returns",
     "v13_contributions",
     "v14_ablation",
+    "v13_tree_contributions",
 ]  # each differed from its SQL, or failed, where a price is zero
 
 

@@ -70,7 +70,7 @@ def paths(nodes: DataFrame, depth: int) -> DataFrame:
     found, at = [], n.filter("node = 0").withColumn("tests", F.array().cast(_TESTS))
     for _ in range(depth):
         found.append(at.filter("left IS NULL").select("model", "tree", "node", "value", "tests"))
-        ways = F.array(F.struct(F.col("left").alias("child"), F.lit(float("-inf")).alias("lo"), F.col("threshold").alias("hi")), F.struct(F.col("right").alias("child"), F.col("threshold").alias("lo"), F.lit(float("inf")).alias("hi")))
+        ways = F.array(F.struct(F.col("left").alias("child"), F.lit(None).cast("double").alias("lo"), F.col("threshold").alias("hi")), F.struct(F.col("right").alias("child"), F.col("threshold").alias("lo"), F.lit(None).cast("double").alias("hi")))
         down = at.filter("left IS NOT NULL").select("model", "tree", "feature", "cover", "tests", F.inline(ways)).join(covers, ["model", "tree", "child"])
         test = F.array(F.struct(F.col("feature").alias("f"), "lo", "hi", (F.col("child_cover") / F.col("cover")).alias("z")).cast(_TESTS[6:-1]))
         at = down.select("model", "tree", F.col("child").alias("node"), F.concat("tests", test).alias("tests")).join(n, ["model", "tree", "node"])
@@ -105,7 +105,8 @@ def contributions(rows: DataFrame, models_: DataFrame, model: str, features: lis
     x = rows.withColumn("__x", F.array(*(F.col(c).cast("double") for c in features))).join(m, model)
 
     def pattern(p: Column) -> Column:
-        passed = lambda t: (F.get("__x", t["f"]) > t["lo"]) & (F.get("__x", t["f"]) <= t["hi"])
+        # an open side passes all values: minus infinity isn't above itself, and NaN, which is above all, isn't below infinity
+        passed = lambda t: (t["lo"].isNull() | (F.get("__x", t["f"]) > t["lo"])) & (t["hi"].isNull() | (F.get("__x", t["f"]) <= t["hi"]))
         return F.aggregate(p["tests"], F.lit(0), lambda a, t: a * 2 + passed(t).cast("int"))
 
     total = F.aggregate("__paths", F.array(*[F.lit(0.0)] * len(features)), lambda a, p: F.zip_with(a, F.get(p["phi"], pattern(p)), lambda u, v: u + v))

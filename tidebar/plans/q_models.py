@@ -38,7 +38,7 @@ SELECT *, CAST(row_number() OVER (ORDER BY mean_abs DESC, feature) AS INTEGER) A
 @query("v13_tree_contributions", _tree_sql(), "mean_abs cv")
 def _(spark, d):
     """Walk-forward contributions in tree ensembles, every block's trees learned from the block before; their ranks, and what may be pruned."""
-    x = I.momentum(L.triple_barrier(base(spark, d), (24,), (2,))).filter(F.col(_LABEL).isNotNull()).na.drop(subset=_FEATURES)
+    x = I.momentum(L.triple_barrier(base(spark, d), (24,), (2,))).filter(" AND ".join(f"{c} IS NOT NULL" for c in (_LABEL, *_FEATURES)))  # NaN stays
     block = F.floor(F.col("bar_idx") / _BLOCK)
     train = x.filter(F.col("bar_idx") % _BLOCK < _BLOCK - _EMBARGO).withColumn("fold", block + 1)
     trees = T.models(T.paths(T.mean_split_nodes(train, "fold", _FEATURES, _TREES, _LABEL), 2), len(_FEATURES))
