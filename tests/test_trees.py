@@ -109,3 +109,22 @@ def test_mean_split_trees(spark):
     assert {(r.model, r.value) for r in ways.collect()} == {(1, 0.0), (1, 1.0), (2, 1.0)} and ways.count() == 5
     got = T.contributions(df.filter("m = 1 and a = 1 and b = 1").limit(1), T.models(ways, 2), "m", ["a", "b"]).first()
     assert got.bias == pytest.approx(0.25) and got.phi == pytest.approx([0.375, 0.375])
+
+
+def test_folds_read_what_rows_come_from_once(spark):
+    from tidebar.operators import validation as V
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [("s", k, float(k * 7 % 13), float(k * 5 % 11), float(k * 3 % 17), k * 7 % 13 > 6) for k in range(600)]
+    df = spark.createDataFrame(rows, "series_id string, bar_idx long, a double, b double, c double, y boolean").mapInArrow(counted, "series_id string, bar_idx long, a double, b double, c double, y boolean")
+    spec = V.folds(600, 200, 150, 10, 10, least=20)
+    out, _ = T.boosted_folds(df, ["a", "b", "c"], "y", spec, rounds=2, depth=2)
+    assert out.select("fold").distinct().count() == len(spec) > 1 and seen.value == 600
+    V.boosted_folds(df, ["a", "b", "c"], "y", spec, rounds=2).collect()
+    assert seen.value == 1200

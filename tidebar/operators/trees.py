@@ -11,8 +11,12 @@ Rows meet their model (a fold's, say) in one equi-join. They aren't multiplied:
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +25,8 @@ from tidebar.session import scratch
 
 #: Tests on a path at most: a path has a row for each pattern of them.
 MOST_TESTS = 12
+#: Folds that are fitted at once, as their jobs are small.
+FITS = 4
 _POINTS, _WEIGHTS = ((x + 1) / 2 if k == 0 else x / 2 for k, x in enumerate(np.polynomial.legendre.leggauss(8)))
 _QUADRATURE = "array(" + ", ".join(f"named_struct('t', {float(t)!r}D, 'w', {float(w)!r}D)" for t, w in zip(_POINTS, _WEIGHTS, strict=True)) + ")"
 _TESTS = "array<struct<f: int, lo: double, hi: double, z: double>>"
@@ -130,25 +136,41 @@ def top_changes(current: DataFrame, previous: DataFrame, top: int = 30) -> DataF
     return both.select("feature", F.when(F.col("now").isNull(), "left").when(F.col("before").isNull(), "entered").otherwise("stable").alias("change"))
 
 
-def boosted_folds(df: DataFrame, features: list[str], label: str, spec: pd.DataFrame, rounds: int = 10, depth: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Boosted classifiers on walk-forward folds: the test rows with their fold, margin and contributions; and the paths of all folds' trees. Fitting is one
-    Spark job after another, as a fold's trees are; contributions of all folds are one plan."""
+def fitted_folds(df: DataFrame, features: list[str], label: str, spec: pd.DataFrame, rounds: int, depth: int, each: Callable[[int, object, DataFrame], None]) -> int:
+    """Boosted classifiers on walk-forward folds, FITS at once: each(fold, model, test rows with the vector __v) is called for every fold that has rows of
+    both classes to learn from; how many there were. Rows with all features are written once, so a fold reads these and not what they come from."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
+
+    spark, folder = df.sparkSession, scratch(df.sparkSession, "folds")
+    df.filter(F.col(label).isNotNull() & finite(features)).withColumn("__y", F.col(label).cast("double")).write.parquet(folder)
+    x = VectorAssembler(inputCols=features, outputCol="__v").transform(spark.read.parquet(folder))
+    first = sorted(r["at"] for r in x.groupBy("__y").agg(F.min("bar_idx").alias("at")).collect())  # where each class is first seen
+    below = lambda f: min(f.train_end, f.train_below)
+    fit = [f for f in spec.itertuples() if len(first) > 1 and first[1] < below(f)]
+
+    def work(f) -> None:  # noqa: ANN001
+        model = GBTClassifier(featuresCol="__v", labelCol="__y", maxIter=rounds, maxDepth=depth, seed=7).fit(x.filter(F.col("bar_idx") < int(below(f))))
+        each(int(f.fold), model, x.filter((F.col("bar_idx") >= int(f.test_start)) & (F.col("bar_idx") < int(f.test_end))))
+
+    with ThreadPool(FITS) as pool:
+        pool.map(inheritable_thread_target(spark)(work), fit, chunksize=1)
+    return len(fit)
+
+
+def boosted_folds(df: DataFrame, features: list[str], label: str, spec: pd.DataFrame, rounds: int = 10, depth: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Boosted classifiers on walk-forward folds: the test rows with their fold, margin and contributions; and the paths of all folds' trees. Contributions
+    of all folds are one plan."""
     from pyspark.ml.functions import vector_to_array
 
-    x = df.filter(F.col(label).isNotNull() & finite(features)).withColumn("__y", F.col(label).cast("double"))
-    vectors, nodes, tests = VectorAssembler(inputCols=features, outputCol="__v"), None, None
-    for f in spec.itertuples():
-        train = vectors.transform(x.filter((F.col("bar_idx") < f.train_end) & (F.col("bar_idx") < f.train_below)))
-        if train.agg(F.count_distinct("__y")).first()[0] < 2:
-            continue  # nothing to learn from
-        model = GBTClassifier(featuresCol="__v", labelCol="__y", maxIter=rounds, maxDepth=depth, seed=7).fit(train)
-        own = x.filter((F.col("bar_idx") >= f.test_start) & (F.col("bar_idx") < f.test_end)).withColumn("fold", F.lit(int(f.fold)).cast("long"))
-        own = model.transform(vectors.transform(own)).withColumn("margin", vector_to_array("rawPrediction")[1]).drop("__v", "rawPrediction", "probability", "prediction")
-        n = nodes_of_boosted(model, int(f.fold))
-        nodes, tests = (n, own) if nodes is None else (nodes.union(n), tests.union(own))
-    if nodes is None:
+    spark, folder = df.sparkSession, scratch(df.sparkSession, "boosted-folds")
+
+    def each(fold: int, model, own: DataFrame) -> None:  # noqa: ANN001
+        own = model.transform(own).withColumns({"fold": F.lit(fold).cast("long"), "margin": vector_to_array("rawPrediction")[1]})
+        own.drop("__v", "rawPrediction", "probability", "prediction").write.parquet(f"{folder}/tests/{fold}")
+        nodes_of_boosted(model, fold).write.parquet(f"{folder}/nodes/{fold}")
+
+    if not fitted_folds(df, features, label, spec, rounds, depth, each):
         raise ValueError("no fold has rows of both classes to learn from")
-    ways = paths(nodes, depth)
-    return contributions(tests, models(ways, len(features)), "fold", features), ways
+    ways = paths(spark.read.parquet(f"{folder}/nodes/*"), depth)
+    return contributions(spark.read.parquet(f"{folder}/tests/*"), models(ways, len(features)), "fold", features), ways

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidebar.operators import bars as B
 from tidebar.operators import indicators as I
 from tidebar.operators import labels as L
 from tidebar.operators import proposals as P
@@ -48,8 +49,8 @@ def _(spark, d):
 @query("v13_boosted_contributions")
 def _(spark, d):
     """Walk-forward contributions in Spark's boosted trees."""
-    x = I.momentum(L.triple_barrier(base(spark, d), (24,), (2,)))
-    last = base(spark, d).agg(F.max("bar_idx")).first()[0]
+    x = I.momentum(L.triple_barrier(base(spark, d), (24,), (2,))).select("series_id", "bar_idx", *_FEATURES, _LABEL)
+    last = B.bars_of_events(spark, d).agg(F.max("bar_idx")).first()[0]
     spec = V.folds(0 if last is None else last + 1, 350, 400, 24, 24, least=50)
     if spec.empty:
         return T.summary(x.limit(0).select(F.lit(0).alias("fold"), F.array(*[F.lit(0.0)] * 3).alias("phi")), "fold", _FEATURES)

@@ -159,6 +159,7 @@ def _(spark, d):
     """Boosted trees on walk-forward folds, out-of-sample probabilities."""
     x = I.momentum(L.triple_barrier(base(spark, d), (24,), (2,)))
     last = base(spark, d).agg(F.max("bar_idx")).first()[0]  # folds run to the end of the longest series
+    x = x.select("series_id", "bar_idx", "roc_5", "roc_10", "volume", "label_long_hit_2r_24c")
     return V.boosted_folds(x, ["roc_5", "roc_10", "volume"], "label_long_hit_2r_24c", V.folds(0 if last is None else last + 1, 350, 150, 24, 24, least=50), 3)
 
 
