@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidebar.llm import decontaminate as D
 
@@ -227,3 +228,12 @@ def test_renamed_people_and_units_equal_a_brute_force_search(spark, monkeypatch,
 
     want = {(d, i) for d, t in texts for i, w in items if covers(w, t)}
     assert set(found(spark, [(d, write(t)) for d, t in texts], [(i, write(w)) for i, w in items])) == want and len(want) > 20
+
+
+def test_wanted_windows_are_one_literal(spark):
+    hashes = [hash((k, 7)) for k in range(9_000)]
+    texts = spark.createDataFrame([(1, 1, "one two three four five six seven eight")], "id long, row long, text string")
+    plan = D.windows(texts, hashes)._jdf.queryExecution().analyzed().toString()
+    assert not any(str(h) in plan for h in hashes[:50])
+    own = spark.createDataFrame([(h,) for h in [*hashes, *(hash((k, 8)) for k in range(9_000))]], "h long").withColumn("found", D._may_be_in(F.col("h"), D._bits(hashes))).collect()
+    assert all(r.found for r in own[:9_000]) and sum(r.found for r in own[9_000:]) < 600

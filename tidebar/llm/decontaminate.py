@@ -124,13 +124,15 @@ def _hashed(texts: DataFrame, exact: bool = False) -> DataFrame:
 
 
 def _seeds_in(texts: DataFrame, wanted: dict[bool, list[int]] | None, exact: bool) -> DataFrame:
-    """(id, row, at, by_value, window) of the windows of templates (by_value false) and, if asked for, of tokens with their values (true)."""
+    """(id, row, at, by_value, window) of the windows of templates (by_value false) and, if asked for, of tokens with their values (true); of wanted hashes,
+    with a few others, if any are given."""
     hashed = _hashed(texts, exact)
+    bits = {v: _bits(hs) for v, hs in (wanted or {}).items()}
 
     def found(by_value: bool, column: str) -> Column:
         places = _places(F.col(column))
         if wanted is not None:
-            places = F.filter(places, lambda i: _window(F.col(column), i).isin(wanted[by_value])) if wanted[by_value] else F.array().cast("array<int>")
+            places = F.filter(places, lambda i: _may_be_in(_window(F.col(column), i), bits[by_value])) if wanted[by_value] else F.array().cast("array<int>")
         return F.transform(places, lambda i: F.struct(i.alias("at"), F.lit(by_value).alias("by_value"), _window(F.col(column), i).alias("window")))
 
     read = F.array_union(found(False, "h"), found(False, "g"))
@@ -139,10 +141,11 @@ def _seeds_in(texts: DataFrame, wanted: dict[bool, list[int]] | None, exact: boo
 
 
 def windows(texts: DataFrame, wanted: list[int] | None) -> DataFrame:
-    """For (id, row, text): (id, row, n tokens, at, window hash, slots, plain words in it) of every window, or of the wanted hashes only; windows that can be
+    """For (id, row, text): (id, row, n tokens, at, window hash, slots, plain words in it) of every window, or of the wanted hashes, with a few others; windows that can be
     read in two ways come twice."""
     hashed = _hashed(texts)
-    is_wanted = lambda i: _window(F.col("h"), i).isin(wanted) | _window(F.col("g"), i).isin(wanted)
+    bits = None if wanted is None else _bits(wanted)
+    is_wanted = lambda i: _may_be_in(_window(F.col("h"), i), bits) | _may_be_in(_window(F.col("g"), i), bits)
     places = _places(F.col("h")) if wanted is None else F.filter(_places(F.col("h")), is_wanted)
     # no filter on places: it would be pushed below and take the hashes' expression into the lambda, to be evaluated for every window
     valued = hashed.select("id", "row", "h", "g", "ts", places.alias("places")).withColumn("values", F.when(F.size("places") > 0, _values(F.col("ts"))))
@@ -155,7 +158,32 @@ def windows(texts: DataFrame, wanted: list[int] | None) -> DataFrame:
 
     each = F.flatten(F.transform("places", lambda i: F.array_distinct(F.array(reading("h", "values", i), reading("g", "named", i)))))
     found = valued.select("id", "row", F.size("h").alias("n"), F.explode(each).alias("w")).select("id", "row", "n", "w.at", "w.window", "w.slots", "w.literals")
-    return found if wanted is None else found.filter(F.col("window").isin(wanted))
+    return found if wanted is None else found.filter(_may_be_in(F.col("window"), bits))
+
+
+def _bits(hashes: list[int]) -> bytes:
+    """A small Bloom filter of hashes, two bits for each: bytes of six bits above 0x40, so that each is a character."""
+    size = 1 << max(10, (len(hashes) - 1).bit_length())
+    found = bytearray(b"\x40" * size)
+    for h in hashes:
+        for byte, bit in _PROBES:
+            found[(h >> byte) % size] |= 1 << (h >> bit & 0xFF) % 6
+    return bytes(found)
+
+
+#: From which bits of a hash a probe takes its byte and its bit.
+_PROBES = ((0, 20), (28, 48))
+
+
+def _may_be_in(h: Column, bits: bytes) -> Column:
+    """Whether the filter has the hash; of those that it doesn't have, a few in a hundred pass. One literal, where a list of thousands of hashes is as many
+    objects of every plan that the driver makes of it."""
+
+    def probe(byte: int, bit: int) -> Column:
+        own = F.ascii(F.substring(F.lit(bits), (F.shiftright(h, byte).bitwiseAND(F.lit(len(bits) - 1)) + 1).cast("int"), F.lit(1)).cast("string"))
+        return F.call_function("shiftright", own, (F.shiftright(h, bit).bitwiseAND(F.lit(0xFF)) % 6).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return probe(*_PROBES[0]) & probe(*_PROBES[1])
 
 
 def _few(listed: DataFrame, *columns: str) -> list | None:
