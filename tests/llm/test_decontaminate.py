@@ -237,3 +237,15 @@ def test_wanted_windows_are_one_literal(spark):
     assert not any(str(h) in plan for h in hashes[:50])
     own = spark.createDataFrame([(h,) for h in [*hashes, *(hash((k, 8)) for k in range(9_000))]], "h long").withColumn("found", D._may_be_in(F.col("h"), D._bits(hashes))).collect()
     assert all(r.found for r in own[:9_000]) and sum(r.found for r in own[9_000:]) < 600
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_documents_windows_are_hashed_by_compiled_code(spark, exact):
+    text = "Iron bridges cross 7 rivers. Some words of no item, then Ada Lovelace met 3 people there."
+    texts = spark.createDataFrame([(1, 1, text), (2, 2, "too few words")], "id long, row long, text string")
+    seeds = D._seeds_in(texts, exact)
+    own = [line for line in seeds._jdf.queryExecution().optimizedPlan().toString().splitlines() if "xxhash64(h#" in line]
+    assert own and all("lambda" not in line for line in own)  # a lambda isn't compiled
+    got = sorted((r.id, r.at, r.window) for r in seeds.collect() if not r.by_value)
+    assert got == sorted((r.id, r.at, r.window) for r in D.windows(texts, None).select("id", "at", "window").distinct().collect()) and len(got) > 10
+    assert {r.at for r in seeds.collect() if r.by_value} == ({at for _, at, _ in got} if exact else set())

@@ -13,8 +13,8 @@ is found in a document if the windows of consistent offsets cover at least COVER
 An item of fewer than WINDOW tokens is found where a sentence, a line or the whole text of a document has just its tokens, values included (elsewhere
 such few words are common phrases).
 
-Benchmark windows are few beside documents: up to FEW of them filter the documents' windows inside the scan; more are joined by a shuffle instead, with
-the same results.
+Benchmark windows are few beside documents: up to FEW of them are sent to the scan that makes the documents' windows; more are joined by a shuffle instead,
+with the same results.
 
 Nulls: null texts have no tokens, and rows without an id are never found. Items without tokens are never found. Repeated rows count once; texts that share
 an id are searched each for itself, and so are an item's texts.
@@ -123,21 +123,17 @@ def _hashed(texts: DataFrame, exact: bool = False) -> DataFrame:
     return read.withColumn("g", _as_names(F.col("ts"), F.col("h")))
 
 
-def _seeds_in(texts: DataFrame, wanted: dict[bool, list[int]] | None, exact: bool) -> DataFrame:
-    """(id, row, at, by_value, window) of the windows of templates (by_value false) and, if asked for, of tokens with their values (true); of wanted hashes,
-    with a few others, if any are given."""
-    hashed = _hashed(texts, exact)
-    bits = {v: _bits(hs) for v, hs in (wanted or {}).items()}
-
-    def found(by_value: bool, column: str) -> Column:
-        places = _places(F.col(column))
-        if wanted is not None:
-            places = F.filter(places, lambda i: _may_be_in(_window(F.col(column), i), bits[by_value])) if wanted[by_value] else F.array().cast("array<int>")
-        return F.transform(places, lambda i: F.struct(i.alias("at"), F.lit(by_value).alias("by_value"), _window(F.col(column), i).alias("window")))
-
-    read = F.array_union(found(False, "h"), found(False, "g"))
-    every = F.concat(read, found(True, "e")) if exact else read
-    return hashed.select("id", "row", F.explode(every).alias("w")).select("id", "row", "w.at", "w.by_value", "w.window")
+def _seeds_in(texts: DataFrame, exact: bool) -> DataFrame:
+    """(id, row, at, by_value, window) of the windows of templates (by_value false) and, if asked for, of tokens with their values (true). Windows that can be
+    read in two ways come twice."""
+    # each place is a row before its windows are hashed: functions inside of lambdas aren't compiled
+    places = _hashed(texts, exact).withColumn("at", F.explode(_places(F.col("h"))))
+    each = places.select("id", "row", "at", *(_window(F.col(c), F.col("at")).alias(c) for c in (["h", "g", "e"] if exact else ["h", "g"])))
+    read = F.when(F.col("h") == F.col("g"), F.array("h")).otherwise(F.array("h", "g"))
+    if not exact:
+        return each.select("id", "row", "at", F.lit(False).alias("by_value"), F.explode(read).alias("window"))
+    of = lambda by_value: lambda w: F.struct(F.lit(by_value).alias("by_value"), w.alias("window"))
+    return each.select("id", "row", "at", F.inline(F.concat(F.transform(read, of(False)), F.transform(F.array("e"), of(True)))))
 
 
 def windows(texts: DataFrame, wanted: list[int] | None) -> DataFrame:
@@ -187,7 +183,7 @@ def _may_be_in(h: Column, bits: bytes) -> Column:
 
 
 def _few(listed: DataFrame, *columns: str) -> list | None:
-    """The rows if they are few enough to filter inside a scan."""
+    """The rows if they are few enough to be sent to a scan."""
     found = listed.select(*columns).limit(FEW + 1).collect()
     return found if len(found) <= FEW else None
 
@@ -216,12 +212,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_
     poor = rich.filter(F.col("most") < LITERALS).select(F.col("item_id").alias("id"), F.col("item_row").alias("row")).distinct()
     exact = not poor.isEmpty()
     if exact:
-        valued = _seeds_in(items.join(poor, ["id", "row"], "left_semi"), None, True).filter("by_value")
+        valued = _seeds_in(items.join(poor, ["id", "row"], "left_semi"), True).filter("by_value")
         seeds = seeds.union(valued.select(F.col("id").alias("item_id"), F.col("row").alias("item_row"), F.col("at").alias("p"), "by_value", "window"))
-    listed = _few(seeds, "by_value", "window")
-    wanted = None if listed is None else {v: sorted({r.window for r in listed if r.by_value == v}) for v in (False, True)}
-    own = _seeds_in(texts, wanted, exact).withColumnsRenamed({"id": "doc_id", "row": "doc_row", "at": "q"})
-    met = own.join(F.broadcast(seeds) if wanted is not None else seeds, ["by_value", "window"])  # FEW rows at most, if they are sent
+    own = _seeds_in(texts, exact).withColumnsRenamed({"id": "doc_id", "row": "doc_row", "at": "q"})
+    met = own.join(seeds if _few(seeds, "window") is None else F.broadcast(seeds), ["by_value", "window"])  # FEW rows at most, if they are sent
     met.select("doc_id", "doc_row", "item_id", "item_row", (F.col("q") - F.col("p")).alias("offset"), (~F.col("by_value")).alias("seeded")).distinct().write.parquet(f"{folder}/hits")
     hits = spark.read.parquet(f"{folder}/hits")
     # all windows of the item along the seeds' offsets, of documents with seeds only
