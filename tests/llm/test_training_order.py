@@ -1,4 +1,5 @@
 import pathlib
+import random
 import subprocess
 import sys
 
@@ -94,3 +95,19 @@ def test_a_shard_out_of_order_is_refused(spark):
         crc.unlink()
     with pytest.raises(Exception, match="shard 3 isn't in order"):
         made.read().collect()
+
+
+@pytest.mark.parametrize(("documents", "shards"), [(1, 1), (10, 5), (50, 25)])
+def test_shards_are_written_in_waves_without_what_was_shuffled(spark, monkeypatch, documents, shards):
+    asked, whole = [], O._sequences
+    monkeypatch.setattr(O, "_sequences", lambda *a: asked.append(a[-2:]) or whole(*a))
+    shuffled = lambda: {str(f) for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()) if str(f).endswith(".data")}
+    rows = [(i, random.Random(i).randbytes(6400)) for i in range(documents)]  # a hundred sequences each
+    docs, before = spark.createDataFrame(rows, "doc_id long, ids binary"), shuffled()
+    made = O.materialise(docs, key=9, length=64, width=1, records=200)
+    left = sum(pathlib.Path(f).stat().st_size for f in shuffled() - before)
+    got = made.read().collect()
+    assert sorted(r.slot for r in got) == list(range(100 * documents)) and sorted(((r.doc_id, r.place, bytes(r.ids)) for r in got), key=str) == pieces(rows, 64)
+    assert asked == sorted(asked) and len(asked) == min(O.WAVES, shards) and all((b - a) // 200 <= -(-shards // O.WAVES) for a, b in asked)
+    assert left < 640 * documents + 1000  # a tenth, and some counts
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")

@@ -5,6 +5,9 @@ numbers all sequences without a sort, and a keyed Feistel permutation with cycle
 a table. Slots are dealt by range: shard s has the slots from s * records on, and a task writes a range of neighbouring shards. Shards have one size,
 whatever the corpus's, and stand in folders of SHARDS_IN_FOLDER; there are RANGES tasks at most, so that the driver's work stays bounded.
 
+Shards are written in WAVES jobs, each for neighbouring shards. A job takes from all written ids the sequences of its own shards, and what it has shuffled is
+removed when its shards are there, so that the whole shuffle never stands on the disk beside the ids and the shards.
+
 Each shard is one file of equal records, so that record r of shard s is slot s * records + r, at byte r * stride: reads are sequential and can resume at
 any slot. A record is: doc_id (8 bytes, signed), place of the sequence in its document (4), number of ids (3), whether there is a doc_id (1), the record's
 number in its shard (4), LENGTH ids of `width` bytes padded with zeros, a line feed (which Spark's text sink ends each value with); all little-endian.
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,8 @@ from tidebar.session import scratch
 LENGTH = 512
 #: Records in a shard; shards in a folder; the most tasks that write them.
 RECORDS, SHARDS_IN_FOLDER, RANGES = 16_384, 1_000, 20_000
+#: Jobs that write the shards, one after the other.
+WAVES = 3
 ROUNDS = 6
 HEAD = 20
 #: Sequences built at once, and documents encoded at once.
@@ -83,8 +89,8 @@ def _placed(docs: DataFrame, unit: int, encoder: Encoder | None) -> DataFrame:
     return docs.mapInArrow(work, "part int, at long, n long, doc_id long, ids binary")
 
 
-def _sequences(placed: DataFrame, begins: dict[int, int], n: int, key: int, unit: int, width: int) -> DataFrame:
-    """(slot, record) of every sequence; ids are deflated on their way through the shuffle."""
+def _sequences(placed: DataFrame, begins: dict[int, int], n: int, key: int, unit: int, width: int, low: int, high: int) -> DataFrame:
+    """(slot, record) of every sequence with a slot from low to below high; ids are deflated on their way through the shuffle."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def built(at: list[int], ids: list[int | None], texts: list[bytes]) -> pa.RecordBatch:
@@ -93,13 +99,16 @@ def _sequences(placed: DataFrame, begins: dict[int, int], n: int, key: int, unit
             total = int(count.sum())
             doc = np.repeat(np.arange(len(texts)), count)
             place = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
+            slot = slots(np.array(at, dtype=np.int64)[doc] + place, n, key)
+            own = np.flatnonzero((slot >= low) & (slot < high))
+            slot, doc, place, total = slot[own], doc[own], place[own], len(own)
             own = np.minimum(unit, size[doc] - place * unit) // width
             head = np.zeros((total, HEAD - 4), dtype=np.uint8)
             head[:, :8] = np.array([i or 0 for i in ids], dtype="<i8")[doc].view(np.uint8).reshape(total, 8)
             head[:, 8:12] = place.astype("<u4").view(np.uint8).reshape(total, 4)
             head[:, 12:16] = (own + (np.array([i is not None for i in ids], dtype=np.int64)[doc] << 24)).astype("<u4").view(np.uint8).reshape(total, 4)
             packed = [h.tobytes() + zlib.compress(texts[d][p * unit : p * unit + unit], 1) for h, d, p in zip(head, doc.tolist(), place.tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(slots(np.array(at, dtype=np.int64)[doc] + place, n, key)), pa.array(packed, pa.binary())], names=["slot", "value"])
+            return pa.RecordBatch.from_arrays([pa.array(slot), pa.array(packed, pa.binary())], names=["slot", "value"])
 
         for batch in batches:
             at, ids, texts, weight = [], [], [], 0
@@ -133,6 +142,18 @@ def _inflated(dealt: DataFrame, unit: int, records: int) -> DataFrame:
     return dealt.mapInArrow(work, "folder long, shard long, slot long, value binary")
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Inside, what a job has shuffled is removed at its end, not when the driver's garbage is collected."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Shards:
     """A written training order: its folder and what is needed to read it."""
 
@@ -187,12 +208,14 @@ def materialise(docs: DataFrame, key: int, length: int = LENGTH, width: int = 4,
     for r in placed.groupBy("part").agg(F.sum("n").alias("c")).orderBy("part").collect():  # a number for each partition of the input
         begins[r.part] = n
         n += r.c
-    if n:
-        shards = -(-n // records)
-        ranges = min(shards, RANGES)
-        made = _sequences(placed, begins, n, key, unit, width)
+    shards = -(-n // records)
+    edges = sorted({shards * k // WAVES for k in range(WAVES + 1)})
+    for low, high in zip(edges, edges[1:], strict=False):
+        made = _sequences(placed, begins, n, key, unit, width, low * records, high * records)
+        ranges = min(high - low, RANGES)
         # a range is a number of neighbouring shards
-        dealt = made.repartitionById(ranges, F.floor(F.floor(F.col("slot") / records) * ranges / shards).cast("int"))
-        ordered = _inflated(dealt, unit, records).sortWithinPartitions("folder", "shard", "slot")
-        ordered.select("folder", "shard", F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").partitionBy("folder", "shard").text(f"{folder}/shards")
+        dealt = made.repartitionById(ranges, F.floor((F.floor(F.col("slot") / records) - low) * ranges / (high - low)).cast("int"))
+        ordered = _inflated(dealt, unit, records).sortWithinPartitions("folder", "shard", "slot").select("folder", "shard", F.col("value").cast("string").alias("value"))
+        with _shuffles_removed(spark):
+            ordered.write.mode("append" if low else "errorifexists").option("lineSep", "\n").partitionBy("folder", "shard").text(f"{folder}/shards")
     return Shards(spark, f"{folder}/shards", n, length, width, records)
