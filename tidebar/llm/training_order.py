@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebar.llm.memory import returning
 from tidebar.session import scratch
 
 LENGTH = 512
@@ -86,7 +87,7 @@ def _placed(docs: DataFrame, unit: int, encoder: Encoder | None) -> DataFrame:
                     [pa.array(np.full(len(own), part, dtype=np.int32)), pa.array(begin), pa.array(n), batch.column(0).take(pa.array(own)), pa.array([ids[k] for k in own], pa.binary())], names=["part", "at", "n", "doc_id", "ids"]
                 )
 
-    return docs.mapInArrow(work, "part int, at long, n long, doc_id long, ids binary")
+    return docs.mapInArrow(returning(work), "part int, at long, n long, doc_id long, ids binary")
 
 
 def _sequences(placed: DataFrame, begins: dict[int, int], n: int, key: int, unit: int, width: int, low: int, high: int) -> DataFrame:
@@ -123,7 +124,7 @@ def _sequences(placed: DataFrame, begins: dict[int, int], n: int, key: int, unit
             if texts:
                 yield built(at, ids, texts)
 
-    return placed.select("part", "at", "n", "doc_id", "ids").mapInArrow(work, "slot long, value binary")
+    return placed.select("part", "at", "n", "doc_id", "ids").mapInArrow(returning(work), "slot long, value binary")
 
 
 def _inflated(dealt: DataFrame, unit: int, records: int) -> DataFrame:
@@ -139,7 +140,7 @@ def _inflated(dealt: DataFrame, unit: int, records: int) -> DataFrame:
                 whole = [v[: HEAD - 4] + number[4 * k : 4 * k + 4] + zlib.decompress(v[HEAD - 4 :]).ljust(unit, b"\0") for k, v in enumerate(own.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([pa.array(shard // SHARDS_IN_FOLDER), pa.array(shard), pa.array(slot), pa.array(whole, pa.binary())], names=["folder", "shard", "slot", "value"])
 
-    return dealt.mapInArrow(work, "folder long, shard long, slot long, value binary")
+    return dealt.mapInArrow(returning(work), "folder long, shard long, slot long, value binary")
 
 
 @contextmanager
@@ -194,7 +195,7 @@ class Shards:
             return self.spark.createDataFrame([], schema)
         files = self.spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(self.folder)
         # folders and shards are named by their numbers, so partition pruning leaves earlier ones alone
-        return files.filter((F.col("folder") >= start // records // SHARDS_IN_FOLDER) & (F.col("shard") >= start // records)).select(F.col("shard").cast("long"), "content").mapInArrow(work, schema)
+        return files.filter((F.col("folder") >= start // records // SHARDS_IN_FOLDER) & (F.col("shard") >= start // records)).select(F.col("shard").cast("long"), "content").mapInArrow(returning(work), schema)
 
 
 def materialise(docs: DataFrame, key: int, length: int = LENGTH, width: int = 4, records: int = RECORDS, doc_id: str = "doc_id", ids: str = "ids", encoder: Encoder | None = None, folder: str | None = None) -> Shards:
